@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from clonespark.llm.lm_scoring import op1_lm_scoring
 from clonespark.llm.substring_dedup import op4_substring_dedup
 
 QUERIES: dict[str, Callable] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op4_substring_dedup": op4_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
