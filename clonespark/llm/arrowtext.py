@@ -57,6 +57,16 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def chunks(offsets: np.ndarray, limit: int = 1 << 22) -> list[tuple[int, int]]:
+    """Ranges of documents of about ``limit`` bytes together; a longer document is a range of its own."""
+    out, start = [], 0
+    while start < len(offsets) - 1:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
+        out.append((start, stop))
+        start = stop
+    return out
+
+
 @dataclass
 class Words:
     """Words of a batch of documents, in order; document d has the words first[d]..first[d+1]."""
@@ -161,3 +171,63 @@ def joined_words(words: Words, kept: np.ndarray | None = None) -> tuple[np.ndarr
 def string_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A string column of the buffer's documents."""
     return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
+
+
+#: The constants of the XXH64 algorithm (fixed values).
+_P1, _P2, _P3, _P4, _P5 = (U64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << U64(r)) | (x >> U64(64 - r))
+
+
+def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _rotl(acc + lane * _P2, 31) * _P1
+
+
+def xxh64_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of each byte span, all spans in lockstep."""
+    with np.errstate(over="ignore"):
+        return _xxh64(lanes(data), starts.astype(np.int64), (ends - starts).astype(np.int64), U64(seed))
+
+
+def _xxh64(word: np.ndarray, at: np.ndarray, size: np.ndarray, seed: np.uint64) -> np.ndarray:
+    h = np.full(len(at), seed + _P5, U64)
+    at, left = at.copy(), size.copy()
+    wide = np.flatnonzero(size >= 32)
+    if len(wide):
+        acc = [np.full(len(wide), v, U64) for v in (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)]
+        live, pos, rest = np.arange(len(wide)), at[wide], left[wide]
+        while len(live):
+            for k in range(4):
+                acc[k][live] = _round(acc[k][live], word[pos[live] + 8 * k])
+            pos[live] += 32
+            rest[live] -= 32
+            live = live[rest[live] >= 32]
+        total = _rotl(acc[0], 1) + _rotl(acc[1], 7) + _rotl(acc[2], 12) + _rotl(acc[3], 18)
+        for a in acc:
+            total = (total ^ _round(np.zeros_like(a), a)) * _P1 + _P4
+        h[wide], at[wide], left[wide] = total, pos, rest
+    h += size.astype(U64)
+    for _ in range(3):
+        i = np.flatnonzero(left >= 8)
+        if not len(i):
+            break
+        h[i] = _rotl(h[i] ^ _round(np.zeros(len(i), U64), word[at[i]]), 27) * _P1 + _P4
+        at[i] += 8
+        left[i] -= 8
+    i = np.flatnonzero(left >= 4)
+    h[i] = _rotl(h[i] ^ ((word[at[i]] & U64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+    at[i] += 4
+    left[i] -= 4
+    for _ in range(3):
+        i = np.flatnonzero(left > 0)
+        h[i] = _rotl(h[i] ^ ((word[at[i]] & U64(0xFF)) * _P5), 11) * _P1
+        at[i] += 1
+        left[i] -= 1
+    h ^= h >> U64(33)
+    h *= _P2
+    h ^= h >> U64(29)
+    h *= _P3
+    h ^= h >> U64(32)
+    return h

@@ -25,25 +25,6 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import os
-
-        folder = "file://" + os.path.abspath("spark-warehouse/shared")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    import uuid
-
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def in_blocks(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Rows dealt evenly into n blocks by a hash of the key columns."""
     return df.withColumn(BLOCK, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")).repartitionById(n, BLOCK)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from clonespark.llm.lm_scoring import op1_lm_scoring
+from clonespark.llm.simhash import op9_simhash_near_dedup
 from clonespark.llm.substring_dedup import op4_substring_dedup
 
 QUERIES: dict[str, Callable] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op4_substring_dedup": op4_substring_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
