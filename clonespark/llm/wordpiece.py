@@ -13,6 +13,7 @@ Null and empty texts have no words and no tokens. Other columns are dropped unle
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -109,17 +110,18 @@ def byte_level_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
     return [t[1:] for t in tokens if t[:1] == b" " and len(t) > 1], [t for t in tokens if t[:1] != b" "]
 
 
-_automata: dict[int, MatchAutomaton] = {}
+_automata: dict[str, MatchAutomaton] = {}
 
 
 def count_tokens(docs: DataFrame, initial: list[bytes], continuing: list[bytes], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns with n_words, n_tokens (an unknown word is one) and n_unknown of each row."""
     pieces = docs.sparkSession.sparkContext.broadcast((list(initial), list(continuing)))
+    key = hashlib.sha256(repr(pieces.value).encode()).hexdigest()
     slim = docs.select(*keep, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            automaton = _automata.get(pieces.id) or _automata.setdefault(pieces.id, MatchAutomaton(*pieces.value))
+            automaton = _automata.get(key) or _automata.setdefault(key, MatchAutomaton(*pieces.value))
             data, offsets = A.column_bytes(b.column(b.num_columns - 1))
             out = []
             for i, j in A.chunks(offsets, CHUNK):
