@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from clonespark.llm.bpe import op7_bpe_codec
 from clonespark.llm.lm_scoring import op1_lm_scoring
+from clonespark.llm.quality import op3_quality_classifier
 from clonespark.llm.simhash import op9_simhash_near_dedup
 from clonespark.llm.substring_dedup import op4_substring_dedup
 from clonespark.llm.wordpiece import op8_token_counts
 
 QUERIES: dict[str, Callable] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_token_counts": op8_token_counts,
