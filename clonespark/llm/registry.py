@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from clonespark.llm import exact_search, mixing, warc_zip
+from clonespark.llm.ann import op10_ann_search
 from clonespark.llm.bpe import op7_bpe_codec
 from clonespark.llm.lm_scoring import op1_lm_scoring
 from clonespark.llm.quality import op3_quality_classifier
@@ -13,10 +15,18 @@ from clonespark.llm.wordpiece import op8_token_counts
 
 QUERIES: dict[str, Callable] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_warc_zip": warc_zip.op2_warc_zip,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_exact_topk": exact_search.op6_exact_topk,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_ann_search": op10_ann_search,
+}
+ORACLES: dict[str, str] = {
+    "op2_warc_zip": warc_zip.ORACLE,
+    "op5_mix_sources": mixing.ORACLE,
+    "op6_exact_topk": exact_search.ORACLE,
 }
-ORACLES: dict[str, str] = {}
