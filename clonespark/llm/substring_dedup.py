@@ -35,7 +35,7 @@ def levels(window: int, base: int | None = None) -> list[int]:
 
 
 class _Passes:
-    """What a block knows at each level: its words and the window starts that still repeat."""
+    """What a block does at each level, from its words and the answers to the level before."""
 
     def __init__(self, sizes: list[int]) -> None:
         self.sizes = sizes
@@ -44,34 +44,27 @@ class _Passes:
         words = A.split_words(*A.column_bytes(docs["text"]))
         return words, A.hash_spans(words.data, words.starts, words.ends)
 
-    def windows(self, words: A.Words, h: np.ndarray, level: int, repeated: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, hashes) of the candidates at a level. repeated: by word, whether the level before's window repeats."""
+    def repeats(self, words: A.Words, h: np.ndarray, answers: pa.Table, level: int) -> np.ndarray:
+        """By word, whether the window of this level that starts there repeats: the answers hold the block's repeated candidates."""
+        hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(X.unpack_sorted, answers["x"].to_pylist())]))
+        found = np.zeros(len(h) + 1, bool)
+        if len(hot):
+            at, keys = A.window_hashes(h, words.first, self.sizes[level], seed=level + 1)
+            found[at[hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys]] = True
+        return found
+
+    def request(self, words: A.Words, h: np.ndarray, level: int, repeated: np.ndarray | None) -> tuple[np.ndarray, dict]:
+        """The candidates of a level; repeated: by word, whether the window of the level before repeats."""
         size = self.sizes[level]
         at, keys = A.window_hashes(h, words.first, size, seed=level + 1)
         if repeated is not None:
-            alive = repeated[at] & repeated[at + size - self.sizes[level - 1]]
-            at, keys = at[alive], keys[alive]
-        return at, keys
-
-    def repeats(self, words: A.Words, h: np.ndarray, answers: pa.Table, upto: int) -> np.ndarray | None:
-        """By word, whether the window of level ``upto`` that starts there repeats."""
-        found = None
-        seeds = np.asarray(answers["m"], dtype=np.int64) if answers.num_rows else np.zeros(0, np.int64)
-        texts = answers["x"].to_pylist()
-        for level in range(upto + 1):
-            hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *(X.unpack_sorted(t) for t, m in zip(texts, seeds, strict=True) if m == level)]))
-            at, keys = self.windows(words, h, level, found)
-            found = np.zeros(len(h) + 1, bool)
-            if len(hot):
-                found[at[hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys]] = True
-        return found
-
-    def request(self, words: A.Words, h: np.ndarray, level: int, found: np.ndarray | None) -> tuple[np.ndarray, dict]:
-        keys, n = np.unique(self.windows(words, h, level, found)[1], return_counts=True)
-        return keys, {"a": (n > 1).astype(np.uint8)}
+            keys = keys[repeated[at] & repeated[at + size - self.sizes[level - 1]]]
+        keys = np.sort(keys)
+        fresh = np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]])
+        return keys[fresh], {"a": (np.diff(np.append(np.flatnonzero(fresh), len(keys))) > 1).astype(np.uint8)}
 
     def following(self, level: int, n: int):
-        """The requests of a level, from a block's documents and the answers to the levels before."""
+        """The requests of a level, from a block's documents and the answers to the level before."""
 
         def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
             def request(table: pa.Table) -> tuple[np.ndarray, dict]:
@@ -83,18 +76,13 @@ class _Passes:
         return run
 
 
-def _reply(level: int):
-    def reply(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
-        own = [np.frombuffer(r["a"] or b"", np.uint8) > 0 for r in rows]
-        every = np.sort(np.concatenate(keys))
-        twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[o] for k, o in zip(keys, own, strict=True))]))
-        out = []
-        for k in keys:
-            hot = k[twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k] if len(twice) else k[:0]
-            out.append({"x": X.pack_sorted(hot), "y": None, "m": level, "n": len(hot)})
-        return out
-
-    return reply
+def _reply(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
+    """x: the request's keys that repeat, within its block or between blocks."""
+    own = [np.frombuffer(r["a"] or b"", np.uint8) > 0 for r in rows]
+    every = np.sort(np.concatenate(keys))
+    twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[o] for k, o in zip(keys, own, strict=True))]))
+    hot = [k[twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k] if len(twice) else k[:0] for k in keys]
+    return [{"x": X.pack_sorted(k), "y": None, "m": len(k), "n": None} for k in hot]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int | None = None) -> DataFrame:
@@ -110,10 +98,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int | None = Non
     def first(table: pa.Table) -> tuple[np.ndarray, dict]:
         return passes.request(*passes.words(table), 0, None)
 
-    answers = X.answer(X.ask(blocks, first, n), _reply(0), n)
+    answers = X.answer(X.ask(blocks, first, n), _reply, n)
     for level in range(1, len(sizes)):
         asked = blocks.groupBy(X.BLOCK).cogroup(answers.groupBy("block")).applyInArrow(passes.following(level, n), X.REQUEST)
-        answers = answers.unionByName(X.answer(asked.repartitionById(n, "bucket"), _reply(level), n)).repartitionById(n, "block")
+        answers = X.answer(asked.repartitionById(n, "bucket"), _reply, n)
     more = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     kept = [f for f in docs.schema.fields if f.name not in {m.name for m in more}]
 
