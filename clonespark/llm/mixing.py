@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clonespark.llm.columns import slim, whole
 from clonespark.plans.lineage import stored
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
@@ -76,8 +77,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """documents as often as the mix takes them."""
     targets, _ = stored(source_targets(docs.select("source", size_of().alias("size"))), "targets")
     targets = targets.select("source", _rate().alias("_rate"))
-    times = _with_targets(docs, targets).withColumn("_copies", copies(F.col("_rate"), draw()))
-    return times.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    times = _with_targets(slim(docs, "doc_id", "text", "source"), targets).withColumn("_copies", copies(F.col("_rate"), draw()))
+    return whole(times.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs.columns)
 
 
 #: DuckDB SQL of op5_mix_sources.

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonespark.llm import arrowtext as A
+from clonespark.llm.columns import REST, slim, whole
 from clonespark.llm.lm_scoring import fold
 
 #: The bound of the sample of labelled rows that the trees are grown from.
@@ -114,7 +115,7 @@ class BoostedTrees:
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64, ridge: float = 1.0, least: float = 5.0) -> BoostedTrees:
     """Boosted trees for the log loss. least: the Hessian that each side of a split has at least."""
     inner, share = (1 << depth) - 1, (y.mean() if len(y) else 0.5)
-    if not 0 < share < 1:
+    if not (len(y) and 0 < share < 1):
         share = min(max(share, 1e-6), 1 - 1e-6)
         trees = 0
     base = float(np.log(share / (1 - share)))
@@ -190,5 +191,6 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents that the classifier does not reject."""
-    scored = score_quality(docs.withColumn("_copy", F.col("text")), _trees(spark, docs, sf_dir), "_copy")
-    return scored.where(F.col("score") >= CUT).select(docs.columns)
+    rows = slim(docs, "text").withColumn("_copy", F.col("text"))
+    kept = score_quality(rows, _trees(spark, docs, sf_dir), "_copy").where(F.col("score") >= CUT)
+    return whole(kept.select("text", REST), docs.columns)

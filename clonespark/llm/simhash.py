@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from clonespark.llm import arrowtext as A
 from clonespark.llm import exchange as X
+from clonespark.llm.columns import slim, whole
 from clonespark.operators.components import connected_components
 from clonespark.plans.lineage import stored
 
@@ -220,10 +221,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without an id all stay, as nothing tells which is the component's own.
     """
+    rows = slim(docs, "doc_id", "text")
     found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    once = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").withColumn("_rank", rank).where("_rank = 1")
-    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    once = rows.where("doc_id is not null").join(found, "doc_id", "left_semi").withColumn("_rank", rank).where("_rank = 1")
+    return whole(once.drop("_rank"), docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def brute_force(rows: list[tuple], max_bits: int = MAX_BITS) -> list[tuple]:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from clonespark.llm import arrowtext as A
 from clonespark.llm import exchange as X
+from clonespark.llm.columns import REST, slim, whole
 
 WINDOW = 35
 
@@ -86,14 +87,15 @@ def _reply(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int | None = None) -> DataFrame:
-    """docs with kept_text (kept words, one space between), n_words and n_removed, for a column ``text``; other columns stay.
+    """docs with kept_text (kept words, one space between), n_words and n_removed, for a column ``text``; other columns stay (but for any of these names).
 
     >>> levels(35), levels(35, 5)
     ([18, 35], [5, 9, 18, 35])
     """
     n, sizes = X.parts(docs.sparkSession), levels(window, base)
     passes = _Passes(sizes)
-    blocks = X.in_blocks(docs, [c for c in ("doc_id", "text") if c in docs.columns], n)
+    names = [c for c in ("doc_id", "text") if c in docs.columns]
+    blocks = X.in_blocks(slim(docs, *names), names, n)
 
     def first(table: pa.Table) -> tuple[np.ndarray, dict]:
         return passes.request(*passes.words(table), 0, None)
@@ -103,7 +105,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int | None = Non
         asked = blocks.groupBy(X.BLOCK).cogroup(answers.groupBy("block")).applyInArrow(passes.following(level, n), X.REQUEST)
         answers = X.answer(asked.repartitionById(n, "bucket"), _reply, n)
     more = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    kept = [f for f in docs.schema.fields if f.name not in {m.name for m in more}]
+    kept = [f for f in blocks.schema.fields if f.name != X.BLOCK]
 
     def finish(table: pa.Table, known: pa.Table) -> pa.Table:
         words, h = passes.words(table)
@@ -118,7 +120,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int | None = Non
         new = [text, pa.array(words.counts, pa.int64()), pa.array(words.counts - np.diff(left), pa.int64())]
         return pa.table([table[f.name] for f in kept] + new, [f.name for f in kept] + [m.name for m in more])
 
-    return blocks.groupBy(X.BLOCK).cogroup(answers.groupBy("block")).applyInArrow(finish, T.StructType(kept + more))
+    out = blocks.groupBy(X.BLOCK).cogroup(answers.groupBy("block")).applyInArrow(finish, T.StructType(kept + more))
+    own = [m.name for m in more]
+    return whole(out, [c for c in docs.columns if c not in own] + own)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,9 +132,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents whose texts have lost their repeated passages; a text that loses none is unchanged. All rows stay."""
-    out = remove_repeats(docs, window)
+    out = remove_repeats(slim(docs, "doc_id", "text"), window)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return whole(out.select("doc_id", text.alias("text"), REST), docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def brute_force(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
