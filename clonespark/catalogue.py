@@ -276,9 +276,8 @@ def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _texts(spark, sf_dir)
     near = _nearest(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")), "id")
-    return rounded(T.specificity_sweep(near.select("distance", "label"), near.select("distance"), [0.5, 1.0, 5.0, 10.0, 50.0], 5000).select("percent", "threshold", "specificity")) if texts else near
+    return rounded(T.specificity_sweep(near, near, [0.5, 1.0, 5.0, 10.0, 50.0], 5000))
 
 
 def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +358,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _KEY = "v_gene, j_gene, cdr3_length"
 _FOUND = (*_CRUDE, "t as (select ground_truth t, label p, cdr3_length from found)", "c2 as (select 1)")
 _PAIRS_OF = "(select coalesce(sum(n * (n - 1) // 2), 0)::double from (select count(*) n from t group by {}))"
-_QUANT = "select i part, cast(floor(quantile_cont(cdr3_length, i / 10.0)) as int) cdr3_length"
+_LARGE = "lg as (select * from (select *, count(*) over (partition by cdr3_length, ground_truth) size, row_number() over (partition by cdr3_length, ground_truth order by md5(sequence_id), sequence_id) r from rec) where size >= 4 and r <= 5)"
+_CODON = " + ".join(f"{m} * (instr('TCAG', substring({{c}}, 3 * i + {k}, 1)) - 1)" for k, m in ((1, 16), (2, 4), (3, 1))) + " + 1"
 _NEAR = "near as (select id, 1 - coalesce(sim, 0) distance from txt0 left join (select i, sim from (select *, row_number() over (partition by i order by sim desc, j) r from sims) where r = 2) on id = i)"
 _TXT0 = "txt0 as (select doc_id id from documents)"
 
@@ -401,13 +401,19 @@ ORACLES: dict[str, str] = {
     "in_clone_flag": _with(_REC, select="select sequence_id, ground_truth, cast(count(*) over (partition by ground_truth) > 1 as int) in_ground_truth from rec"),
     "loglog_fit": _with(_REC, select="select cdr3_length, round(regr_slope(ln(m), ln(n)), 6) slope, round(regr_intercept(ln(m), ln(n)), 6) intercept from (select v_gene, j_gene, cdr3_length, count(*) n, sum(mutation_count) m from rec group by 1, 2, 3) where n >= 3 and m > 0 group by 1"),
     "family_size_spectrum": _with(_REC, select="select cdr3_length, size, count(*) families from (select cdr3_length, count(*) size from rec where cdr3_length % 3 = 0 and cdr3_length < 106 and cdr3_length > 14 group by cdr3_length, ground_truth) group by 1, 2"),
-    "length_quantiles": _with(_REC, select=f"{_QUANT.replace('select i part', 'select cast(i as int) part')} from rec, (select unnest(range(0, 11)) i) group by i"),
+    "length_quantiles": _with(_REC, "q as (select quantile_cont(cdr3_length, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) q from rec)", select="select cast(unnest(range(0, 11)) as int) part, cast(floor(unnest(q)) as int) cdr3_length from q"),
+    "mutation_spectrum": _with(_REC, _LARGE, "p as (select cdr3_length, ground_truth, pos, substring(alt_germline_alignment, pos + 1, 1) nt, substring(alt_sequence_alignment, pos + 1, 1) s from lg, (select cast(unnest(range(0, 96)) as int) pos))", select="select cdr3_length, ground_truth, pos, nt, count(*) n from p where nt not in ('N', '.') and s <> 'N' and nt <> s group by all"),
+    "dnds": _with(_REC, _LARGE, "nv as (select cdr3_length, ground_truth, cdr3 naive from (select *, row_number() over (partition by cdr3_length, ground_truth order by mutation_count, sequence_id) k from lg) where k = 1)",
+        "b as (select cdr3_length, ground_truth, i, substring(cdr3, i + 1, 1) x, substring(naive, i + 1, 1) y from lg join nv using (cdr3_length, ground_truth), (select unnest(range(0, 36)) i) where i < cdr3_length)",
+        "a as (select cdr3_length, ground_truth, i, " + ", ".join(f"substring('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', {_CODON.format(c=c)}, 1) {n}" for c, n in (("cdr3", "x"), ("naive", "y"))) + " from lg join nv using (cdr3_length, ground_truth), (select unnest(range(0, 12)) i) where 3 * i < cdr3_length)",
+        select="select cdr3_length, ground_truth, cast(coalesce(n, 0) as int) n, cast(coalesce(t, 0) - coalesce(n, 0) as int) s from nv left join (select cdr3_length, ground_truth, count(distinct i) t from b where x <> y group by all) using (cdr3_length, ground_truth) left join (select cdr3_length, ground_truth, count(distinct i) n from a where x <> y group by all) using (cdr3_length, ground_truth)"),
     "raw_to_airr": _with(f"raw as ({RAW})", f"gv as ({GENES_V})", f"gj as ({GENES_J})", "r as (select *, concat(repeat('N', v_start), vdj_nt) s, length(cdr3_nt) l, gv.germline_alignment g, gj.germline_alignment h, 309 - (length(gv.germline_alignment) - length(replace(gv.germline_alignment, '.', ''))) c, nullif(instr(gj.germline_alignment, 'tgggg'), 0) - 1 t from raw join gv on gv.call = v_full join gj on gj.call = j_full where chain = 'heavy' and productive = 'yes' and starts_with(isotype, 'IgG') and v_start < 50)", select="select seq_id, v_full v_call, j_full j_call, substring(s, c + 1, l + 6) junction, substring(s, 51, c - 47) v_sequence_alignment, substring(s, c + l + 4, 33) j_sequence_alignment, upper(substring(replace(g, '.', ''), 51, c - 47)) v_germline_alignment, upper(substring(h, t + 1, 33)) j_germline_alignment from r"),
     "ngram_tokens": f"with {_TEXT} select * from tf",
     "tfidf_weights": f"with {_TEXT} select id, gram, round(w, 6) w from w",
     "cosine_topk": f"with {_TEXT}, {_SIMS} select i, j, round(sim, 6) sim from sims",
     "dist_to_nearest": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR} select id, round(distance, 6) distance from near",
     "percentile_threshold": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR} select round(quantile_cont(distance, 0.1), 6) threshold from near",
+    "specificity_sweep": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR}, lab as (select distance, toxic label from near join labels on id = doc_id), ps as (select unnest([0.5, 1.0, 5.0, 10.0, 50.0])::double \"percent\", unnest(q) threshold from (select quantile_cont(distance, [0.005, 0.01, 0.05, 0.1, 0.5]) q from lab)) select \"percent\", round(threshold, 6) threshold, round((select count(*) from lab where label = 0 and distance > threshold) / (select count(*) from lab where label = 0), 6) specificity from ps",
     "textclone_components": f"with recursive {_TEXT}, {_SIMS}, {_TXT0}, e as (select i, j from sims where sim > 0.7), r as (select id a, id b from txt0 union select r.a, e.j from r join e on r.b = e.i) select a id, min(b) as \"cluster\" from r group by a",
     "xy_threshold_exact": _with(_REC, _CLASSES, _NULL, """mc0 as (select v_gene, j_gene, cdr3_length, mutation_count m, count(*) k from rec group by all),
 mc1 as (select c.class_id, c.cdr3_length l, m, k from (select * from mc0 union all select 'None', 'None', cdr3_length, m, sum(k) from mc0 group by cdr3_length, m) join classes c using (v_gene, j_gene, cdr3_length)),

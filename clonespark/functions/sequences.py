@@ -39,9 +39,9 @@ def word_count(df: DataFrame, *columns: str) -> int:
 
 
 def packed(text: Column, words: int) -> list[Column]:
-    """The text as ``words`` longs of 15 letters, four bits each."""
+    """The text as ``words`` longs of 15 letters, four bits each; zeros beyond its end."""
     digits = F.translate(text, LETTERS, "1234567")
-    return [F.coalesce(F.conv(F.substring(digits, 1 + PER_WORD * i, PER_WORD), 16, 10).cast("long"), F.lit(0)) for i in range(words)]
+    return [F.conv(F.rpad(F.substring(digits, 1 + PER_WORD * i, PER_WORD), PER_WORD, "0"), 16, 10).cast("long") for i in range(words)]
 
 
 def plain(text: Column) -> Column:

@@ -1,18 +1,68 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each round is two aggregations and two joins on a node; the edges never leave the executors, and a round's
+First each partition's edges are replaced by a spanning star forest of them. Then each round is two aggregations and two joins on a node; the edges never leave the executors, and a round's
 edges are a table in the shared folder, so a lost executor costs one round at most. A hub's edges are
 not gathered: its least neighbour comes from an aggregate (combined map-side) and is joined back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonespark.plans.lineage import remove, stored
 
 
+#: Edges of a partition that are contracted at once.
+CHUNK = 1 << 20
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for the nodes that are not the least of their component: fewer edges, the same components."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    s, d = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[s], label[d])
+        new = label.copy()
+        np.minimum.at(new, label[s], low)
+        np.minimum.at(new, label[d], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        new = new[label]
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """A forest of each partition's edges; a task holds a chunk of edges and its partition's nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        schema = None
+        for b in batches:
+            schema = b.schema
+            waiting.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(2)))
+            if sum(len(x) for x, _ in waiting) > CHUNK + (len(waiting[0][0]) if len(waiting) > 1 else 0):
+                waiting = [forest(*(np.concatenate(side) for side in zip(*waiting, strict=True)))]
+        if waiting:
+            found = forest(*(np.concatenate(side) for side in zip(*waiting, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, schema, strict=True)], schema=schema)
+
+    return edges.mapInArrow(run, edges.schema)
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour (or itself)."""
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -36,16 +86,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     spark = edges.sparkSession
     edges = edges.toDF("src", "dst").where("src <> dst")
-    table, path = stored(edges.distinct(), "edges")
-    before = None
+    table, path = stored(_contracted(edges.distinct()), "edges")
+    state = _state(table)
     for _ in range(max_rounds):
         following, new_path = stored(_small_star(_large_star(table)), "edges")
         remove(spark, path)
-        table, path = following, new_path
-        state = tuple(table.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+        before, state, table, path = state, _state(following), following, new_path
         if state == before:
             break
-        before = state
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = table.select("dst").distinct()
