@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from clonespark.llm import arrowtext as A
 from clonespark.llm import exchange as X
 from clonespark.llm.columns import slim, whole
-from clonespark.operators.components import connected_components
+from clonespark.operators.components import connected_components, forest
 from clonespark.plans.lineage import stored
 
 U64 = np.uint64
@@ -155,27 +155,6 @@ def links_in_bucket(x: np.ndarray, bucket: int, bits: int, radius: int, slice_:
     return found[:, 0], found[:, 1]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) for the nodes that are not the least of their component: fewer edges, the same components."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    s, d = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[s], label[d])
-        new = label.copy()
-        np.minimum.at(new, label[s], low)
-        np.minimum.at(new, label[d], low)
-        new = new[new]
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        new = new[label]
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def _collide(bits: int, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[bytes]] = {}

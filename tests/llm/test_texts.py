@@ -9,6 +9,7 @@ import xxhash
 
 from clonespark.llm import arrowtext as A
 from clonespark.llm import bpe, lm_scoring, mixing, quality, registry, simhash, substring_dedup, wordpiece
+from clonespark.operators.components import forest
 
 
 def ordered(rows):
@@ -130,7 +131,7 @@ def test_op9_links_lose_no_pair(bits):
         links |= set(zip(a.tolist(), b.tolist()))
     assert all(bin(a ^ b).count("1") <= 4 for a, b in links)
     a, b = np.array(list(links), np.uint64).T
-    node, root = simhash.forest(a, b)
+    node, root = forest(a, b)
     found = dict(zip(node.tolist(), root.tolist()))
     want = {(i, j) for k, i in enumerate(x.tolist()) for j in x[k + 1 :].tolist() if bin(i ^ j).count("1") <= 4}
     assert want and all(found.get(i, i) == found.get(j, j) for i, j in want)
