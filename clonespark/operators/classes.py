@@ -49,6 +49,12 @@ def with_sequence_id(df: DataFrame) -> DataFrame:
     return df.withColumn("sequence_id", F.sha2(F.to_json(F.struct(*df.columns)), 256))
 
 
+def clean_or_keep(df: DataFrame, suffix: str) -> DataFrame:
+    """sequence_id without the chain's suffix, and made where there is none."""
+    df = with_sequence_id(df)
+    return df.withColumn("sequence_id", S.clean_id("sequence_id", suffix))
+
+
 def paired(heavy: DataFrame, light: DataFrame) -> DataFrame:
     """Normalised heavy and light chains of one id as one record: texts are joined, numbers added; ``_h`` and ``_k`` keep the parts."""
     columns = [c for c in WORKING if c != "sequence_id"]
