@@ -28,8 +28,9 @@ def normalise(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     df = df.withColumns(new).withColumn("cdr3_length", F.length("cdr3").cast("int"))
     more = [c for c in (ROW, *keep) if c in df.columns and c not in WORKING]
     a, b = F.col("alt_sequence_alignment"), F.col("alt_germline_alignment")
-    df = df.withColumn("mutation_count", S.hamming(a, b, S.word_count(df, "alt_sequence_alignment", "alt_germline_alignment")))
-    return df.select(*more, *WORKING).na.drop(subset=WORKING)
+    df = df.withColumn("mutation_count", F.when(a.isNotNull() & b.isNotNull(), S.letter_distance(a, b)).cast("int"))
+    # a null mutation count has a null alignment; left out here so that queries without it need not compute it
+    return df.select(*more, *WORKING).na.drop(subset=[c for c in WORKING if c != "mutation_count"])
 
 
 def with_row_ids(df: DataFrame) -> DataFrame:
