@@ -276,7 +276,7 @@ def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = _nearest(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")), "id")
+    near = _nearest(spark, sf_dir).withColumn("distance", F.round("distance", 9)).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")), "id")
     return rounded(T.specificity_sweep(near, near, [0.5, 1.0, 5.0, 10.0, 50.0], 5000))
 
 
@@ -413,7 +413,7 @@ ORACLES: dict[str, str] = {
     "cosine_topk": f"with {_TEXT}, {_SIMS} select i, j, round(sim, 6) sim from sims",
     "dist_to_nearest": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR} select id, round(distance, 6) distance from near",
     "percentile_threshold": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR} select round(quantile_cont(distance, 0.1), 6) threshold from near",
-    "specificity_sweep": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR}, lab as (select distance, toxic label from near join labels on id = doc_id), ps as (select unnest([0.5, 1.0, 5.0, 10.0, 50.0])::double \"percent\", unnest(q) threshold from (select quantile_cont(distance, [0.005, 0.01, 0.05, 0.1, 0.5]) q from lab)) select \"percent\", round(threshold, 6) threshold, round((select count(*) from lab where label = 0 and distance > threshold) / (select count(*) from lab where label = 0), 6) specificity from ps",
+    "specificity_sweep": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR}, lab as (select round(distance, 9) distance, toxic label from near join labels on id = doc_id), ps as (select unnest([0.5, 1.0, 5.0, 10.0, 50.0])::double \"percent\", unnest(q) threshold from (select quantile_cont(distance, [0.005, 0.01, 0.05, 0.1, 0.5]) q from lab)) select \"percent\", round(threshold, 6) threshold, round((select count(*) from lab where label = 0 and distance > threshold) / (select count(*) from lab where label = 0), 6) specificity from ps",
     "textclone_components": f"with recursive {_TEXT}, {_SIMS}, {_TXT0}, e as (select i, j from sims where sim > 0.7), r as (select id a, id b from txt0 union select r.a, e.j from r join e on r.b = e.i) select a id, min(b) as \"cluster\" from r group by a",
     "xy_threshold_exact": _with(_REC, _CLASSES, _NULL, """mc0 as (select v_gene, j_gene, cdr3_length, mutation_count m, count(*) k from rec group by all),
 mc1 as (select c.class_id, c.cdr3_length l, m, k from (select * from mc0 union all select 'None', 'None', cdr3_length, m, sum(k) from mc0 group by cdr3_length, m) join classes c using (v_gene, j_gene, cdr3_length)),
