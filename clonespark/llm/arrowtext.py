@@ -7,6 +7,8 @@ Words are ``[^\\x20\\x09-\\x0D]+`` on UTF-8 bytes, which is the same as on chara
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +29,13 @@ _LONG_WORD = 4096
 _ODD = U64(0x9E3779B97F4A7C15)
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task, as Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser (splitmix64), so that any bits of the result are usable."""
     x = x ^ (x >> U64(30))

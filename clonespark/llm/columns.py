@@ -13,9 +13,14 @@ def _name(c: str) -> Column:
 
 
 def slim(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns, and all others in one struct."""
+    """The named columns, and all others (if there are any) in one struct."""
     others = [_name(c) for c in docs.columns if c not in names]
-    return docs.select(*names, F.struct(*others, F.lit(0).alias("_")).alias(REST))
+    return docs.select(*names, *([F.struct(*others).alias(REST)] if others else []))
+
+
+def rest(df: DataFrame) -> list[str]:
+    """The struct's name, where there is one."""
+    return [REST] if REST in df.columns else []
 
 
 def whole(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from clonespark.llm import arrowtext as A
 from clonespark.llm import exchange as X
-from clonespark.llm.columns import REST, slim, whole
+from clonespark.llm.columns import rest, slim, whole
 
 WINDOW = 35
 
@@ -108,6 +108,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int | None = Non
     kept = [f for f in blocks.schema.fields if f.name != X.BLOCK]
 
     def finish(table: pa.Table, known: pa.Table) -> pa.Table:
+        A.release()
         words, h = passes.words(table)
         found = passes.repeats(words, h, known, len(sizes) - 1)
         starts = np.flatnonzero(found[: len(h)])
@@ -134,7 +135,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents whose texts have lost their repeated passages; a text that loses none is unchanged. All rows stay."""
     out = remove_repeats(slim(docs, "doc_id", "text"), window)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return whole(out.select("doc_id", text.alias("text"), REST), docs.columns, n_chars=F.length("text").cast("long"))
+    return whole(out.select("doc_id", text.alias("text"), *rest(out)), docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def brute_force(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
