@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clonespark.llm import arrowtext as A
+
 U64 = np.uint64
 BLOCK = "_block"
 
@@ -55,7 +57,7 @@ def by_bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def ask(blocks: DataFrame, request: Callable, n: int) -> DataFrame:
+def ask(rows: DataFrame, request: Callable, n: int) -> DataFrame:
     """One row for each block and bucket. request(table) -> (sorted distinct keys, {column: array aligned with the keys})."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +65,9 @@ def ask(blocks: DataFrame, request: Callable, n: int) -> DataFrame:
         if got:
             table = pa.Table.from_batches(got)
             yield from _requests(table[BLOCK][0].as_py(), *request(table), n)
+            A.release()
 
-    return blocks.mapInArrow(run, REQUEST).repartitionById(n, "bucket")
+    return rows.mapInArrow(run, REQUEST).repartitionById(n, "bucket")
 
 
 #: Two aligned payloads are enough for all users.
@@ -84,6 +87,7 @@ def _requests(block: int, keys: np.ndarray, more: dict[str, np.ndarray], n: int)
 
 def cogrouped(docs: pa.Table, request: Callable, n: int) -> pa.Table:
     """The rows that ask() makes, from within a cogroup."""
+    A.release()
     return pa.Table.from_batches(_requests(docs[BLOCK][0].as_py(), *request(docs), n), _REQUEST) if docs.num_rows else _REQUEST.empty_table()
 
 
@@ -99,6 +103,7 @@ def answer(requests: DataFrame, reply: Callable, n: int) -> DataFrame:
             r["keys"] = None
         out = reply(keys, rows)
         yield pa.RecordBatch.from_pylist([{"block": r["block"], "bucket": r["bucket"]} | o for r, o in zip(rows, out, strict=True)], schema=_ANSWER)
+        A.release()
 
     return requests.mapInArrow(run, ANSWER).repartitionById(n, "block")
 

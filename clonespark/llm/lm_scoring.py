@@ -164,6 +164,7 @@ class BackoffAutomaton:
 
 def _score(names: list[str], n: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        A.release()
         if not docs.num_rows:
             return pa.table({c: docs[c] for c in names} | {c.split()[0]: pa.array([], c.split()[1].replace("long", "int64")) for c in SCORES.split(", ")})
         tokens, pairs, singles = _Tokens.of(docs), _parts(answers, 0, n), _parts(answers, n, 2 * n)

@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonespark.llm import arrowtext as A
-from clonespark.llm.columns import REST, slim, whole
+from clonespark.llm.columns import rest, slim, whole
 from clonespark.llm.lm_scoring import fold
 
 #: The bound of the sample of labelled rows that the trees are grown from.
 SAMPLE = 20_000
+#: Bytes of text handled at once.
+CHUNK = 1 << 20
 CUT = 0.3
 _KIND = np.zeros(256, np.uint8)  # 0 others, 1 upper case, 2 lower case, 3 digit, 4 ASCII sign, 5 beyond ASCII, 6 white space
 _KIND[0x21:0x7F] = 4
@@ -151,15 +153,16 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: fl
     return BoostedTrees(base, depth, feature, limit, value)
 
 
-def _mapped(docs: DataFrame, text: str, new: str, columns):
-    """docs with the text replaced by what ``columns`` makes of a batch's statistics."""
-    kept = [f for f in docs.schema.fields if f.name != text]
+def _mapped(docs: DataFrame, text: str, new: str, columns, keep_text: bool = False):
+    """docs, without the text unless it is kept, and with what ``columns`` makes of a batch's statistics."""
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = statistics(*A.column_bytes(b[text]))
             names, arrays = columns(x)
             yield pa.RecordBatch.from_arrays([b[f.name] for f in kept] + arrays, names=[f.name for f in kept] + names)
+        A.release()
 
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), new]))
 
@@ -173,9 +176,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text
     return fit(x, np.array([float(r["_label"]) for r in got]))
 
 
-def score_quality(docs: DataFrame, trees: BoostedTrees, text: str = "text") -> DataFrame:
-    """docs without the text and with ``score``."""
-    return _mapped(docs, text, "score double", lambda x: (["score"], [pa.array(trees.predict(x))]))
+def score_quality(docs: DataFrame, trees: BoostedTrees, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs with ``score``, and without the text unless it is kept."""
+    return _mapped(docs, text, "score double", lambda x: (["score"], [pa.array(trees.predict(x))]), keep_text)
 
 
 def _trees(spark: SparkSession, docs: DataFrame, sf_dir: str) -> BoostedTrees:
@@ -191,6 +194,5 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents that the classifier does not reject."""
-    rows = slim(docs, "text").withColumn("_copy", F.col("text"))
-    kept = score_quality(rows, _trees(spark, docs, sf_dir), "_copy").where(F.col("score") >= CUT)
-    return whole(kept.select("text", REST), docs.columns)
+    kept = score_quality(slim(docs, "text"), _trees(spark, docs, sf_dir), keep_text=True).where(F.col("score") >= CUT)
+    return whole(kept.select("text", *rest(kept)), docs.columns)

@@ -35,12 +35,14 @@ U64 = np.uint64
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Variants that a bucket handles at once, and that a bucket should have altogether.
 SLICE, BUCKET = 1 << 20, 1 << 26
+#: Bytes of text handled at once.
+CHUNK = 1 << 21
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """The 64-bit SimHash of each document."""
     out = np.zeros(len(offsets) - 1, U64)
-    for i, j in A.chunks(offsets):
+    for i, j in A.chunks(offsets, CHUNK):
         words = A.split_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
         joined, at = A.joined_words(words)
         sizes, has = words.ends - words.starts, words.counts > 0
@@ -74,6 +76,7 @@ def _fingerprints(text: str):
             prints = fingerprints_of(*A.column_bytes(b.column(i))).view(np.int64)
             names = [x for x in b.schema.names if x != text]
             yield pa.RecordBatch.from_arrays([b[x] for x in names] + [pa.array(prints)], names=[*names, "_fp"])
+        A.release()
 
     return run
 
@@ -164,6 +167,7 @@ def _collide(bits: int, radius: int):
         for k in sorted(by):
             node, root = forest(*links_in_bucket(np.frombuffer(b"".join(by[k]), U64), k, bits, radius))
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(root.view(np.int64))], names=["src", "dst"])
+        A.release()
 
     return run
 
