@@ -154,7 +154,7 @@ class BackoffAutomaton:
         with np.errstate(divide="ignore", invalid="ignore"):
             p = (seen - discount) / context[state_of_arc] + back[state_of_arc] * unigram[word_of_arc]
             arc = np.where(seen > 0, np.log10(p), np.nan)
-        return cls(np.log10(unigram), np.log10(back), arc)
+            return cls(np.log10(unigram), np.log10(back), arc)  # the end is in no context: its failure arc is never taken
 
     def traverse(self, state: np.ndarray, word: np.ndarray, arc: np.ndarray) -> np.ndarray:
         """The weight of each step: the state's arc, or else its failure arc and then the root's arc."""
