@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from clonespark.llm import arrowtext as A
 
 #: Bounds of a worker's caches, in entries, and the bytes of text handled at once.
-PIECES, PAIRS, CHUNK = 1 << 17, 1 << 18, 1 << 22
+PIECES, PAIRS, CHUNK = 1 << 17, 1 << 18, 1 << 23
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -134,9 +134,8 @@ class BpeCodec:
         return map(self.encode_piece, self._split.findall(text))
 
     def forget(self) -> None:
-        """Empty the caches."""
+        """Empty the larger cache."""
         self._known.clear()
-        self._ok.clear()
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
