@@ -33,6 +33,8 @@ from clonespark.llm import arrowtext as A
 
 #: Bounds of a worker's caches, in entries, and the bytes of text handled at once.
 PIECES, PAIRS, CHUNK = 1 << 17, 1 << 18, 1 << 23
+#: Bytes of ids and decoded texts that are returned at once.
+OUT = 1 << 22
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -164,49 +166,71 @@ def codec(text: str) -> BpeCodec:
     return _codecs[key]
 
 
-def _encoded(bpe: BpeCodec, data: np.ndarray, offsets: np.ndarray, decode: bool = True) -> Iterator[tuple[bytes, bytes]]:
-    """(ids as little-endian uint32, decoded text unless not wanted) of each document. Each distinct word of a chunk is encoded once."""
+def _encoded(bpe: BpeCodec, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    """(ids as little-endian uint32, decoded text) of each document. Each distinct word of a chunk is encoded once."""
     for i, j in A.chunks(offsets, CHUNK):
         words = A.split_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         _, example, which = np.unique(A.hash_spans(words.data, words.starts, words.ends), return_index=True, return_inverse=True)
         raw = words.data.tobytes()
         ids = [bpe.encode(raw[s:e].decode()) for s, e in zip(words.starts[example].tolist(), words.ends[example].tolist(), strict=True)]
         codes = [np.array(x, "<u4").tobytes() for x in ids]
-        texts = [bpe.decode(x).encode() for x in ids] if decode else []
+        texts = [bpe.decode(x).encode() for x in ids]
         some = np.array([bool(x) for x in ids], bool)
         keep = some[which] if len(which) else np.zeros(0, bool)  # some words are white space to the tokenizer
         first = np.concatenate([[0], np.cumsum(keep)])[words.first].tolist()
         which = which[keep].tolist()
         for a, b in zip(first[:-1], first[1:], strict=True):
             own = which[a:b]
-            yield b"".join(map(codes.__getitem__, own)), b" ".join(map(texts.__getitem__, own)) if decode else b""
+            yield b"".join(map(codes.__getitem__, own)), b" ".join(map(texts.__getitem__, own))
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False, decode: bool = True) -> DataFrame:
-    """keep columns with n_tokens, ids (array<long>) and, unless not wanted, decoded (string); with digests, ids_sha256 and decoded_sha256 in their place."""
+def _grouped(rows: Iterator[tuple[bytes, bytes]], limit: int | None) -> Iterator[list[tuple[bytes, bytes]]]:
+    """Runs of rows of about ``limit`` bytes together (all at once without a limit); a longer row is a run of its own."""
+    got, held = [], 0
+    for row in rows:
+        size = len(row[0]) + len(row[1])
+        if limit is not None and got and held + size > limit:
+            yield got
+            got, held = [], 0
+        got.append(row)
+        held += size
+    if got:
+        yield got
+
+
+def _id_lists(codes: list[bytes]) -> pa.Array:
+    ids = np.frombuffer(b"".join(codes), "<u4").astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in codes)]), pa.int32()), pa.array(ids))
+
+
+def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
+    """keep columns with n_tokens, ids (array<long>) and decoded (string); with digests, ids_sha256 and decoded_sha256 in their place."""
     from pathlib import Path
 
     spec = docs.sparkSession.sparkContext.broadcast(Path(path or vocabulary_path()).read_text(encoding="utf-8"))
     slim = docs.select(*keep, F.col(text).alias("_text"))
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    new_columns = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["n_tokens long", "ids array<long>", "decoded string"][: 2 + decode]
+    new_columns = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["n_tokens long", "ids array<long>", "decoded string"]
     names = [*keep, *(c.split()[0] for c in new_columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(spec.value)
         for b in batches:
             data, offsets = A.column_bytes(b.column(b.num_columns - 1))
-            step = A.chunks(offsets, CHUNK)
-            for i, j in step:  # a batch of its own for each chunk, as ids take more room than texts
-                got = list(_encoded(bpe, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], decode))
-                n = pa.array([len(x) // 4 for x, _ in got], pa.int64())
-                if digests:
-                    new = [n, pa.array([sha(x) for x, _ in got], pa.string()), pa.array([sha(x) for _, x in got], pa.string())]
-                else:
-                    new = [n, pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x, _ in got], pa.list_(pa.int64())), pa.array([x.decode() for _, x in got], pa.string())][: 2 + decode]
-                own = [c.slice(i, j - i) for c in b.columns[:-1]]
-                yield pa.RecordBatch.from_arrays(own + new, names=names)
-                del got, new
+            for i, j in A.chunks(offsets, CHUNK):
+                at = i
+                # ids and decoded texts take more room than texts, so a chunk's are returned in several batches; digests are small
+                for got in _grouped(_encoded(bpe, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), None if digests else OUT):
+                    codes, texts = zip(*got, strict=True)
+                    n = pa.array([len(x) // 4 for x in codes], pa.int64())
+                    if digests:
+                        new = [n, pa.array(map(sha, codes), pa.string()), pa.array(map(sha, texts), pa.string())]
+                    else:
+                        new = [n, _id_lists(codes), A.string_array(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))]
+                    own = [c.slice(at, len(got)) for c in b.columns[:-1]]
+                    at += len(got)
+                    yield pa.RecordBatch.from_arrays(own + new, names=names)
+                    del got, codes, texts, new
         bpe.forget()
         A.release()
 

@@ -1,8 +1,8 @@
-"""A corpus pipeline: quality, near copies, repeated passages, source mix, token ids.
+"""A corpus pipeline: quality, near copies, repeated passages, source mix, token ids and their text.
 
 Each stage is one of the operators of ``clonespark.llm`` applied to all that the stage before kept; its result is
 written as a table in the shared folder and read again as the next stage's documents. All stages but the last return the
-columns of ``documents``; the last returns the ids of each document as BPE encodes it.
+columns of ``documents``; the last returns the ids of each document as BPE encodes it, and the text that they decode to.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of each document."""
-    return encode_texts(docs, keep=("doc_id", "source"), decode=False)
+    """doc_id, source, n_tokens, ids and the decoded text of each document."""
+    return encode_texts(docs, keep=("doc_id", "source"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mix", mix), ("encode", encode)]
