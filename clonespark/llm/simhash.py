@@ -181,16 +181,21 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return sent.repartitionById(1 << bits, "bucket").mapInArrow(_collide(bits, radius), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, _fp, component_id) of every row of docs; component_id is the least doc_id that links lead to."""
-    prints, _ = stored(fingerprints(docs.select(doc_id, text), text), "fingerprints")
+def _components(prints: DataFrame, max_bits: int = MAX_BITS, doc_id: str = "doc_id") -> DataFrame:
+    """(_fp, root, component_id) of the distinct fingerprints: root is a fingerprint that names the component."""
     distinct, _ = stored(prints.groupBy("_fp").agg(F.min(doc_id).alias("least")), "distinct-fingerprints")
     if max_bits % 2:
         raise ValueError("an odd number of bits would need two radii")
     roots = connected_components(near_links(distinct, max_bits))
     named = distinct.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    components, _ = stored(named.join(smallest, "root").select("_fp", "component_id"), "components")
+    return named.join(smallest, "root").select("_fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, _fp, component_id) of every row of docs; component_id is the least doc_id that links lead to."""
+    prints, _ = stored(fingerprints(docs.select(doc_id, text), text), "fingerprints")
+    components, _ = stored(_components(prints, max_bits, doc_id).select("_fp", "component_id"), "components")
     return prints.join(components, "_fp").select(doc_id, "_fp", "component_id")
 
 
@@ -199,16 +204,21 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """documents without near copies: of each component the row of the least doc_id stays (one row, if the id repeats).
+def one_of_each(docs: DataFrame, by: str = "component_id") -> DataFrame:
+    """documents without near copies: of each component one row of its least doc_id stays, and only a row that is in the component.
 
+    Where an id repeats with different texts, it may be the least of several components. by: "root" keeps a row for each of
+    these components, "component_id" one row for the id. Of several rows the least hash of the text stays.
     Rows without an id all stay, as nothing tells which is the component's own.
     """
-    rows = slim(docs, "doc_id", "text")
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    once = rows.where("doc_id is not null").join(found, "doc_id", "left_semi").withColumn("_rank", rank).where("_rank = 1")
-    return whole(once.drop("_rank"), docs.columns).unionByName(docs.where("doc_id is null"))
+    key = F.xxhash64("text").alias("_key")  # with the id, it tells which row a fingerprint is of
+    prints, _ = stored(fingerprints(docs.select("doc_id", "text", key)), "fingerprints")
+    components, _ = stored(_components(prints), "components")
+    own = prints.join(components, "_fp").where("doc_id = component_id").groupBy(by).agg(F.min("doc_id").alias("doc_id"), F.min("_key").alias("_key"))
+    rows = slim(docs, "doc_id", "text").where("doc_id is not null").withColumn("_key", key)
+    rank = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("text"))
+    once = rows.join(own.select("doc_id", "_key"), ["doc_id", "_key"], "left_semi").withColumn("_rank", rank).where("_rank = 1")
+    return whole(once.drop("_rank", "_key"), docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def brute_force(rows: list[tuple], max_bits: int = MAX_BITS) -> list[tuple]:
