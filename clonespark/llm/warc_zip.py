@@ -176,7 +176,8 @@ def read_package(file, size: int) -> Iterator[dict]:
     ranges = ZipRanges(file, size)
     for name in sorted(m for m in ranges.members if m.startswith("indexes/")):
         at, length = ranges.stored_at(name)
-        lines = [json.loads(x[x.index(b"{") :]) for x in ranges.read(at, length).splitlines()]
+        # a quoted URL may have braces, but no space
+        lines = [json.loads(x[x.index(b" {") + 1 :]) for x in ranges.read(at, length).splitlines()]
         for data in sorted({x["filename"] for x in lines}):
             start, _ = ranges.stored_at(data)
             spans = sorted((x["offset"], x["length"]) for x in lines if x["filename"] == data)
