@@ -51,7 +51,7 @@ def _distinct(h: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of NAMES for each document."""
-    return np.concatenate([np.zeros((0, len(NAMES))), *(_statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in A.chunks(offsets))])
+    return np.concatenate([np.zeros((0, len(NAMES))), *(_statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in A.chunks(offsets, CHUNK))])
 
 
 def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
