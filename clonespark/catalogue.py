@@ -239,7 +239,7 @@ def _xy_thresholds(exact: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = records(spark, sf_dir, wide)
         classes = C.create_classes(rows).withColumn("effective_prevalence", F.lit(M.PREVALENCE))
-        found = X.xy_thresholds(rows, classes, M.default_null(spark), Params(exact=exact, draws=1_000_000 if exact else 200_000))
+        found = X.xy_thresholds(rows, classes, M.default_null(spark), Params(exact=exact))
         return rounded(found.select(*CLASS, "class_id", "xy_threshold"))
 
     return run
