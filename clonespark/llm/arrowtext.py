@@ -136,6 +136,35 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return mix64(h)
 
 
+def spans_equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a and those from b are the same, over ``sizes`` bytes, for arrays of places."""
+    word = lanes(data)
+    same = ((word[a] ^ word[b]) & _MASKS[np.minimum(sizes, 8)]) == 0
+    more = np.flatnonzero(same & (sizes > 8) & (a != b))
+    done = 8
+    while len(more):
+        left = sizes[more] - done
+        if done >= _LONG_WORD:  # the rest of the few longest, one by one
+            for i in more:
+                same[i] = np.array_equal(data[a[i] : a[i] + sizes[i]], data[b[i] : b[i] + sizes[i]])
+            break
+        same[more] = ((word[a[more] + done] ^ word[b[more] + done]) & _MASKS[np.minimum(left, 8)]) == 0
+        more, done = more[same[more] & (left > 8)], done + 8
+    return same
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an example of each distinct byte span, the place of each span among them); equal hashes are compared byte by byte."""
+    _, example, which = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+    sizes = ends - starts
+    own = example[which]
+    if not ((sizes == sizes[own]).all() and spans_equal(data, starts, starts[own], sizes).all()):
+        raw, places = data.tobytes(), {}
+        which = np.array([places.setdefault(raw[s:e], len(places)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        example = np.unique(which, return_index=True)[1]
+    return example, which
+
+
 def window_hashes(h: np.ndarray, first: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of all windows of k consecutive items within one document.
 

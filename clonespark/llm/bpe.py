@@ -9,32 +9,43 @@ its time: on the right edge of the left token stands a chain of its right parts,
 merged until it was merged into the next, and likewise on the left edge of the right token. A merge of two parts
 that stand at its time breaks the pair. Of equal ranks the leftmost merge goes first.
 
-Around that: special tokens are cut out first; the rest is normalised (NFC, white space, lower case) and split by the
-file's pattern, all of which never join what white space separates, so distinct words are encoded once per batch.
+All distinct pieces of a chunk go through the table in lockstep: one run of the automaton over all of them, then one step for
+each place, in which the matches that end there are tested against the last tokens before them. Pieces beyond ``LONG``
+bytes go through the same recurrence one by one.
 
-Null and empty texts, and texts of white space only, have no ids and decode to the empty text.
+Around that: special tokens are cut out first; the rest is normalised (NFC, lower case) and cut into pieces by the
+file's pattern, none of which ever joins what white space separates, so distinct words are encoded once per chunk. What is a
+letter or a number, its composed form and its lower case follow the ``tokenizers`` library's own Unicode tables, which are of several versions and
+none of them Python's; only these tables come from there.
+
+Null and empty texts, and texts of white space only, have no ids and decode to the empty text. Repeated rows are rows of their own with equal
+results. A text is handled whole, whatever its length. ``keep`` may name any columns but those that are made (ValueError).
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import zlib
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonespark.llm import arrowtext as A
 
-#: Bounds of a worker's caches, in entries, and the bytes of text handled at once.
-PIECES, PAIRS, CHUNK = 1 << 17, 1 << 18, 1 << 23
-#: Bytes of ids and decoded texts that are returned at once.
-OUT = 1 << 22
+#: Bytes of text handled at once, of ids and decoded texts returned at once, and of a piece that goes with the others.
+CHUNK, OUT, LONG = 1 << 23, 1 << 22, 64
+#: Slots (a power of two) of a worker's cache of tested pairs.
+PAIRS = 1 << 21
+#: The pattern of files of this kind (a fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SIGN, _SPACE, _LETTER, _NUMBER = range(4)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -50,188 +61,307 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+@cache
+def unicode_classes() -> bytes:
+    """The class of each code point (sign, white space, letter, number) as the library's patterns have it, compressed."""
+    from tokenizers import Regex, pre_tokenizers
+
+    table = np.zeros(0x110000, np.uint8)
+    for kind, name in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        split = pre_tokenizers.Split(Regex(name), "removed", invert=True)
+        for start in range(0, 0x110000, 2048):
+            text = "".join(map(chr, range(start, start + 2048))) if not 0xD800 <= start < 0xE000 else ""
+            for found, _ in split.pre_tokenize_str(text):
+                table[np.frombuffer(found.encode("utf-32-le"), "<u4")] = kind
+    return zlib.compress(table.tobytes(), 1)
+
+
+class _Pairs:
+    """Whether two tokens can stand side by side: chains of parts and a cache of answers, for arrays of pairs."""
+
+    def __init__(self, tokens: int, merges: list[tuple[int, int, int]]) -> None:
+        """merges: (left, right, made) in the order of their ranks."""
+        left, right, made = (np.array([m[k] for m in merges], np.int64) for k in range(3))
+        self._shift = max(1, int(tokens).bit_length())
+        order = np.argsort(left << self._shift | right, kind="stable")
+        self._merge, self._rank = (left << self._shift | right)[order], order
+        self._parts = np.full((2, tokens), -1, np.int64)
+        self._parts[0, made], self._parts[1, made] = left, right
+        self._born = np.full(tokens, -1, np.int64)
+        self._born[made] = np.arange(len(merges))
+        if any((self._born[side] > np.arange(len(merges))).any() for side in (left, right)):
+            raise ValueError("a merge comes before its parts")
+        self._keys, self._found = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+
+    def _chain(self, token: np.ndarray, side: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(part, born, gone) of the chains on the tokens' left (0) or right (1) edges, whole tokens first; part -1 beyond a chain's end."""
+        gone = np.full(len(token), np.iinfo(np.int64).max)
+        while (token >= 0).any():
+            born = np.where(token >= 0, self._born[token], -1)
+            yield token, born, gone
+            token, gone = np.where(token >= 0, self._parts[side, token], -1), born
+
+    def _test(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(left), bool)
+        rights = list(self._chain(right, 0))
+        for x, x_born, x_gone in self._chain(left, 1):
+            for y, y_born, y_gone in rights:
+                some = np.flatnonzero(ok & (x >= 0) & (y >= 0))
+                key = x[some] << self._shift | y[some]
+                at = np.minimum(np.searchsorted(self._merge, key), len(self._merge) - 1)
+                hit = self._merge[at] == key
+                some, rank = some[hit], self._rank[at[hit]]
+                ok[some[(x_born[some] < rank) & (rank < x_gone[some]) & (y_born[some] < rank) & (rank <= y_gone[some])]] = False
+        return ok
+
+    def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << self._shift | right
+        slot = (A.mix64(key.astype(np.uint64)) & np.uint64(PAIRS - 1)).astype(np.int64)
+        out = self._found[slot]
+        new = np.flatnonzero(self._keys[slot] != key)
+        if len(new):
+            fresh, back = np.unique(key[new], return_inverse=True)
+            got = self._test(fresh >> self._shift, fresh & ((1 << self._shift) - 1)) if len(self._merge) else np.ones(len(fresh), bool)
+            out[new] = got[back]
+            at = (A.mix64(fresh.astype(np.uint64)) & np.uint64(PAIRS - 1)).astype(np.int64)
+            self._keys[at], self._found[at] = fresh, got
+            self._found[at] = got[np.searchsorted(fresh, self._keys[at])]  # of two keys of one slot the one that is there
+        return out
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start..start + size of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class BpeCodec:
     """The encoder and decoder of a tokenizer file of the word-end BPE kind; other kinds raise ValueError."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, classes: bytes | None = None) -> None:
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
         spec = json.loads(text)
         model, steps, pre = spec["model"], spec["normalizer"]["normalizers"], spec["pre_tokenizer"]["pretokenizers"]
         shape = [s["type"] for s in steps], [p["type"] for p in pre], bool(model["end_of_word_suffix"]), spec["decoder"], spec["post_processor"]
-        if shape != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], True, None, None) or pre[1]["use_regex"] or pre[1]["add_prefix_space"]:
+        if shape != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], True, None, None) or pre[0]["pattern"]["Regex"] != PATTERN or pre[1]["use_regex"] or pre[1]["add_prefix_space"]:
             raise ValueError("not a tokenizer of this kind")
-        self._split = regex.compile(pre[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        self._class = np.frombuffer(zlib.decompress(classes or unicode_classes()), np.uint8)
+        compose, lower = normalizers.NFC(), normalizers.Lowercase()
+        self._normal = lambda text: lower.normalize_str(compose.normalize_str(text))
+        split = pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True)
+        self._split = lambda text: [piece for piece, _ in split.pre_tokenize_str(text)]
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self._special, key=len, reverse=True))) + ")") if self._special else None
         end, ids = model["end_of_word_suffix"], model["vocab"]
-        self._names = {i: t for t, i in ids.items()} | {i: t for t, i in self._special.items()}
+        names = {i: t for t, i in ids.items()} | {i: t for t, i in self._special.items()}
+        self._tokens = max(names) + 1
+        self._names = pa.array([f"{names.get(i, '')} ".encode() for i in range(self._tokens)], pa.large_binary())
         byte = {c: chr(b) for b, c in enumerate(_byte_letters())}
-        self._automaton, self._size = ahocorasick.Automaton(), {}
+        self._automaton, self._size = ahocorasick.Automaton(ahocorasick.STORE_INTS), np.zeros(self._tokens, np.int64)
         for token, i in ids.items():
             body = token.removesuffix(end)
             symbols = "".join(byte[c] for c in body)
             if token != body:
                 symbols = symbols[:-1] + chr(256 + ord(symbols[-1]))
             self._size[i] = len(symbols)
-            self._automaton.add_word(symbols, (i, len(symbols)))
+            self._automaton.add_word(symbols, i)
         self._automaton.make_automaton()
-        self._rank = {(ids[a], ids[b]): r for r, (a, b) in enumerate(model["merges"])}
-        self._parts = {ids[a + b]: (ids[a], ids[b], r) for r, (a, b) in enumerate(model["merges"])}
-        if any(self._parts.get(x, (0, 0, -1))[2] > r for pair, r in self._rank.items() for x in pair):
-            raise ValueError("a merge comes before its parts")
-        self._ok: dict[int, bool] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
-
-    def _edge(self, token: int, side: int) -> Iterator[tuple[int, int, float]]:
-        """(part, born, gone) of the chain on the token's left (0) or right (1) edge, whole token first."""
-        gone = float("inf")
-        while True:
-            parts = self._parts.get(token)
-            yield token, parts[2] if parts else -1, gone
-            if not parts:
-                return
-            token, gone = parts[side], parts[2]
-
-    def _compatible(self, left: int, right: int) -> bool:
-        key = left << 17 | right
-        ok = self._ok.get(key)
-        if ok is None:
-            rights = list(self._edge(right, 0))
-            ok = True
-            for x, x_born, x_gone in self._edge(left, 1):
-                for y, y_born, y_gone in rights:
-                    r = self._rank.get((x, y))
-                    if r is not None and x_born < r < x_gone and y_born < r <= y_gone:
-                        ok = False
-            if len(self._ok) >= PAIRS:
-                self._ok.clear()
-            self._ok[key] = ok
-        return ok
-
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        got = self._known.get(piece)
-        if got is None:
-            raw = piece.encode().decode("latin-1")
-            symbols = raw[:-1] + chr(256 + ord(raw[-1]))
-            last = [-1] * len(symbols)
-            for stop, (token, size) in self._automaton.iter(symbols):
-                if last[stop] < 0 and (size > stop or self._compatible(last[stop - size], token)):
+        self._pairs = _Pairs(self._tokens, [(ids[a], ids[b], ids[a + b]) for a, b in model["merges"]])
+
+    # -- pieces to ids --
+
+    def _last_tokens(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The last token of the encoding of every prefix of every piece, by the place of the prefix's last symbol."""
+        last = np.full(len(symbols), -1, np.int64)
+        text = symbols.astype("<u4").tobytes().decode("utf-32-le")
+        # no token has a word's last symbol but at its end, so no match reaches over the border of two pieces
+        found = np.fromiter(self._automaton.iter(text), np.dtype([("stop", np.int64), ("token", np.int64)]))
+        stop, token = found["stop"], found["token"]
+        first = np.repeat(starts, ends - starts)
+        place = stop - first[stop]
+        order = np.argsort(place.astype(np.uint8), kind="stable")  # pieces of at most LONG symbols
+        stop, token = stop[order], token[order]
+        before = stop - self._size[token]
+        whole = before < first[stop]
+        at = np.searchsorted(place[order], np.arange(int(place.max()) + 2 if len(place) else 1))
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            ok = whole[i:j].copy()
+            rest = np.flatnonzero(~ok)
+            ok[rest] = self._pairs.compatible(last[before[i:j][rest]], token[i:j][rest])
+            last[stop[i:j][ok]] = token[i:j][ok]
+        return last
+
+    def _last_tokens_of_one(self, symbols: np.ndarray) -> np.ndarray:
+        """The same for a single (long) piece, place by place."""
+        last = [-1] * len(symbols)
+        known: dict[tuple[int, int], bool] = {}
+        for stop, token in self._automaton.iter(symbols.astype("<u4").tobytes().decode("utf-32-le")):
+            if last[stop] < 0:
+                before = stop - int(self._size[token])
+                pair = (last[before], token) if before >= 0 else None
+                if pair is not None and pair not in known:
+                    known[pair] = bool(self._pairs.compatible(np.array([pair[0]]), np.array([token]))[0])
+                if pair is None or known[pair]:
                     last[stop] = token
-            out, at = [], len(symbols) - 1
-            while at >= 0:
-                out.append(last[at])
-                at -= self._size[last[at]]
-            got = tuple(reversed(out))
-            if len(self._known) >= PIECES:
-                self._known.clear()
-            if len(piece) < 100:
-                self._known[piece] = got
-        return got
-
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        if text.isascii():
-            text = text.lower()
-        else:  # letter by letter: a final sigma is no special case
-            text = unicodedata.normalize("NFC", text)
-            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        return map(self.encode_piece, self._split.findall(text))
-
-    def forget(self) -> None:
-        """Empty the larger cache."""
-        self._known.clear()
+        return np.array(last, np.int64)
+
+    def encode_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of pieces, spans of at least one byte."""
+        sizes = ends - starts
+        symbols = data[ragged(starts, sizes)].astype(np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        symbols[ends - 1] += 256
+        long = np.flatnonzero(sizes > LONG)
+        if len(long):
+            last = np.full(len(symbols), -1, np.int64)
+            short = np.flatnonzero(sizes <= LONG)
+            places = ragged(starts[short], sizes[short])
+            stops = np.cumsum(sizes[short])
+            last[places] = self._last_tokens(symbols[places], stops - sizes[short], stops)
+            for k in long:
+                last[starts[k] : ends[k]] = self._last_tokens_of_one(symbols[starts[k] : ends[k]])
+        else:
+            last = self._last_tokens(symbols, starts, ends)
+        # back-pointers, from all pieces' ends at once
+        own, at, steps = np.arange(len(starts)), ends - 1, []
+        while len(own):
+            token = last[at]
+            steps.append((own, token))
+            at = at - self._size[token]
+            going = at >= starts[own]
+            own, at = own[going], at[going]
+        n = np.zeros(len(starts), np.int64)
+        for own, _ in steps:
+            n[own] += 1
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        ids = np.zeros(offsets[-1], np.int64)
+        for i, (own, token) in enumerate(steps):
+            ids[offsets[own + 1] - 1 - i] = token
+        return ids, offsets
+
+    # -- words to pieces --
+
+    def _odd(self, word: str) -> list[str | int]:
+        """The pieces of a word that may hold special tokens (as ids) or apostrophes."""
+        at = [(i, t) for t in self._special if (i := word.find(t)) >= 0]
+        if at:
+            i, t = min(at, key=lambda x: (x[0], -len(x[1])))
+            return [*self._odd(word[:i]), self._special[t], *self._odd(word[i + len(t) :])]
+        return self._split(self._normal(word)) if word else []
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of words: texts without line ends."""
+        joined = np.frombuffer(b"\n".join(words) + b"\n", np.uint8)
+        limits = np.concatenate([[0], np.flatnonzero(joined == 0x0A) + 1])
+        having = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[limits]) > 0
+        odd = having((joined == 0x27) | (joined == 0x3C))
+        high = having(joined >= 0x80) & ~odd
+        plain, others, rare = (np.flatnonzero(x) for x in (~odd & ~high, high, odd))
+        text = b"".join(words[i] + b"\n" for i in plain).lower().decode()
+        text += self._normal(b"".join(words[i] + b"\n" for i in others).decode()) if len(others) else ""
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        kind = self._class[code]
+        width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        place = np.concatenate([[0], np.cumsum(width)])
+        begins = np.flatnonzero((kind != _SPACE) & ((kind == _NUMBER) | (kind != np.concatenate([[_SPACE], kind[:-1]]))))
+        stops = np.flatnonzero((kind != _SPACE) & ((kind == _NUMBER) | (kind != np.concatenate([kind[1:], [_SPACE]])))) + 1
+        word = np.concatenate([plain, others])[(np.cumsum(code == 0x0A) - (code == 0x0A))[begins]] if len(begins) else begins
+        data, starts, ends = text.encode(), place[begins], place[stops]
+        fixed = np.full(len(starts), -1, np.int64)
+        if len(rare):  # their pieces follow the others
+            more = [(i, p) for i in rare.tolist() for p in self._odd(words[i].decode())]
+            raw = [b"" if isinstance(p, int) else p.encode() for _, p in more]
+            stop = len(data) + np.cumsum([len(x) for x in raw])
+            data, starts, ends = data + b"".join(raw), np.concatenate([starts, stop - [len(x) for x in raw]]).astype(np.int64), np.concatenate([ends, stop]).astype(np.int64)
+            word = np.concatenate([word, [i for i, _ in more]]).astype(np.int64)
+            fixed = np.concatenate([fixed, [p if isinstance(p, int) else -1 for _, p in more]]).astype(np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        example, which = A.distinct_spans(raw, starts, ends)
+        normal = ends[example] > starts[example]
+        ids, offsets = self.encode_pieces(raw, starts[example][normal], ends[example][normal])
+        n = np.zeros(len(example), np.int64)
+        n[normal] = np.diff(offsets)
+        first = np.concatenate([[0], np.cumsum(n)])[:-1]
+        order = np.argsort(word, kind="stable")  # a word's pieces are already in order
+        n, first, fixed, word = n[which][order], first[which][order], fixed[order], word[order]
+        n[fixed >= 0] = 1
+        places = ragged(first, n)
+        out = ids[np.minimum(places, max(len(ids) - 1, 0))] if len(ids) else np.zeros(len(places), np.int64)
+        out[(np.cumsum(n) - n)[fixed >= 0]] = fixed[fixed >= 0]
+        return out, np.concatenate([[0], np.cumsum(np.bincount(word, n, len(words)).astype(np.int64))])
+
+    # -- texts --
+
+    def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts. Each distinct word is encoded once."""
+        words = A.split_words(data, offsets)
+        example, which = A.distinct_spans(words.data, words.starts, words.ends)
+        raw = words.data.tobytes()
+        ids, first = self.encode_words([raw[s:e] for s, e in zip(words.starts[example].tolist(), words.ends[example].tolist(), strict=True)])
+        n = np.diff(first)[which]
+        return ids[ragged(first[:-1][which], n)], np.concatenate([[0], np.cumsum(n)])[words.first]
+
+    def decode_texts(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets) of the decoded texts, each with one space after its end: a file without a decoder has its tokens joined by spaces."""
+        data, at = A.column_bytes(self._names.take(pa.array(ids)))
+        return data, at[offsets]
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
-        if self._cut is None or "<" not in text and not self._cut.search(text):
-            return [i for piece in self._plain(text) for i in piece]
-        out: list[int] = []
-        for part in self._cut.split(text):
-            if part in self._special:
-                out.append(self._special[part])
-            else:
-                out += [i for piece in self._plain(part) for i in piece]
-        return out
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_texts(data, np.array([0, len(data)]))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: a file without a decoder has its tokens joined by spaces."""
-        return " ".join(map(self._names.__getitem__, ids))
+        """The text of ids."""
+        return self.decode_texts(np.array(ids, np.int64), np.array([0, len(ids)]))[0].tobytes()[:-1].decode()
 
 
 _codecs: dict[str, BpeCodec] = {}
 
 
-def codec(text: str) -> BpeCodec:
+def codec(text: str, classes: bytes | None = None) -> BpeCodec:
     key = hashlib.sha256(text.encode()).hexdigest()
     if key not in _codecs:
-        _codecs[key] = BpeCodec(text)
+        _codecs[key] = BpeCodec(text, classes)
     return _codecs[key]
 
 
-def _encoded(bpe: BpeCodec, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-    """(ids as little-endian uint32, decoded text) of each document. Each distinct word of a chunk is encoded once."""
-    for i, j in A.chunks(offsets, CHUNK):
-        words = A.split_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        _, example, which = np.unique(A.hash_spans(words.data, words.starts, words.ends), return_index=True, return_inverse=True)
-        raw = words.data.tobytes()
-        ids = [bpe.encode(raw[s:e].decode()) for s, e in zip(words.starts[example].tolist(), words.ends[example].tolist(), strict=True)]
-        codes = [np.array(x, "<u4").tobytes() for x in ids]
-        texts = [bpe.decode(x).encode() for x in ids]
-        some = np.array([bool(x) for x in ids], bool)
-        keep = some[which] if len(which) else np.zeros(0, bool)  # some words are white space to the tokenizer
-        first = np.concatenate([[0], np.cumsum(keep)])[words.first].tolist()
-        which = which[keep].tolist()
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            own = which[a:b]
-            yield b"".join(map(codes.__getitem__, own)), b" ".join(map(texts.__getitem__, own))
-
-
-def _grouped(rows: Iterator[tuple[bytes, bytes]], limit: int | None) -> Iterator[list[tuple[bytes, bytes]]]:
-    """Runs of rows of about ``limit`` bytes together (all at once without a limit); a longer row is a run of its own."""
-    got, held = [], 0
-    for row in rows:
-        size = len(row[0]) + len(row[1])
-        if limit is not None and got and held + size > limit:
-            yield got
-            got, held = [], 0
-        got.append(row)
-        held += size
-    if got:
-        yield got
-
-
-def _id_lists(codes: list[bytes]) -> pa.Array:
-    ids = np.frombuffer(b"".join(codes), "<u4").astype(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in codes)]), pa.int32()), pa.array(ids))
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    view = memoryview(np.ascontiguousarray(data)).cast("B") if len(data) else memoryview(b"")
+    return pa.array([hashlib.sha256(view[i:j]).hexdigest() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], pa.string())
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
     """keep columns with n_tokens, ids (array<long>) and decoded (string); with digests, ids_sha256 and decoded_sha256 in their place."""
-    from pathlib import Path
-
-    spec = docs.sparkSession.sparkContext.broadcast(Path(path or vocabulary_path()).read_text(encoding="utf-8"))
-    slim = docs.select(*keep, F.col(text).alias("_text"))
-    sha = lambda x: hashlib.sha256(x).hexdigest()
     new_columns = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["n_tokens long", "ids array<long>", "decoded string"]
-    names = [*keep, *(c.split()[0] for c in new_columns)]
+    made = [c.split()[0] for c in new_columns]
+    if set(keep) & set(made):
+        raise ValueError(f"keep has columns that are made: {sorted(set(keep) & set(made))}")
+    spec = docs.sparkSession.sparkContext.broadcast((Path(path or vocabulary_path()).read_text(encoding="utf-8"), unicode_classes()))
+    slim = docs.select(*keep, F.col(text).alias("_text"))
+    names = [*keep, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(spec.value)
+        bpe = codec(*spec.value)
         for b in batches:
             data, offsets = A.column_bytes(b.column(b.num_columns - 1))
             for i, j in A.chunks(offsets, CHUNK):
-                at = i
-                # ids and decoded texts take more room than texts, so a chunk's are returned in several batches; digests are small
-                for got in _grouped(_encoded(bpe, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), None if digests else OUT):
-                    codes, texts = zip(*got, strict=True)
-                    n = pa.array([len(x) // 4 for x in codes], pa.int64())
+                ids, first = bpe.encode_texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                # ids and decoded texts take more room than texts, so a chunk's are returned in several batches
+                for p, q in A.chunks(first * 16, OUT):
+                    own, at = ids[first[p] : first[q]], first[p : q + 1] - first[p]
+                    decoded, limits = bpe.decode_texts(own, at)
+                    n = np.diff(at)
                     if digests:
-                        new = [n, pa.array(map(sha, codes), pa.string()), pa.array(map(sha, texts), pa.string())]
+                        new = [_digests(own.astype("<u4"), 4 * at[:-1], 4 * at[1:]), _digests(decoded, limits[:-1], limits[1:] - (n > 0))]
                     else:
-                        new = [n, _id_lists(codes), A.string_array(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))]
-                    own = [c.slice(at, len(got)) for c in b.columns[:-1]]
-                    at += len(got)
-                    yield pa.RecordBatch.from_arrays(own + new, names=names)
-                    del got, codes, texts, new
-        bpe.forget()
+                        stays = np.ones(len(decoded), bool)
+                        stays[limits[1:][n > 0] - 1] = False
+                        new = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(own)), A.string_array(decoded[stays], limits - np.concatenate([[0], np.cumsum(n > 0)]))]
+                    yield pa.RecordBatch.from_arrays([c.slice(i + p, q - p) for c in b.columns[:-1]] + [pa.array(n, pa.int64()), *new], names=names)
+                    del own, at, decoded, limits, new
+                del ids, first
         A.release()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])

@@ -6,9 +6,11 @@ the number of pieces without building any (Song et al., 2021): a trie over the p
 continuing pieces; where a node has no child for the next byte, its failure link leads to the node of what
 is left after the longest pieces have been popped, and the node stores how many were popped.
 
-The automaton is flat arrays, and all distinct words of a batch go through it in lockstep.
+The automaton is flat arrays, and all distinct words of a batch go through it in lockstep; the last few of them, which are the longest,
+go on one by one, so a very long word costs its own bytes alone.
 
-Null and empty texts have no words and no tokens. Other columns are dropped unless named in ``keep``.
+Null and empty texts have no words and no tokens. Repeated rows are rows of their own. Texts and words are handled whole, whatever their
+length. Other columns are dropped unless named in ``keep``, which may not name those that are made (ValueError).
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from clonespark.llm import arrowtext as A
 from clonespark.llm.bpe import _byte_letters, vocabulary_path
 
 CHUNK = 1 << 23
+#: Words that are still going, below which they leave the lockstep.
+FEW = 64
 COUNTS = "n_words long, n_tokens long, n_unknown long"
 
 
@@ -66,12 +70,27 @@ class MatchAutomaton:
         edges = sorted((node << 8 | b, to) for node, own in enumerate(child) for b, to in own.items())
         self._edge = np.array([e for e, _ in edges] or [-1], np.int64)
         self._to = np.array([t for _, t in edges] or [-1], np.int64)
+        self._goto, self._fail_list, self._pops_list = dict(edges), fail, pops  # for single words
 
     def _step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         key = node << 8 | byte
         at = np.minimum(np.searchsorted(self._edge, key), len(self._edge) - 1)
         return np.where(self._edge[at] == key, self._to[at], -1)
 
+    def _alone(self, data: bytes, node: int, total: int) -> tuple[int, int]:
+        """(node, popped pieces) after the bytes, from a node."""
+        fail, pops, goto = self._fail_list, self._pops_list, self._goto
+        for b in data:
+            to = goto.get(node << 8 | b)
+            while to is None:
+                total += pops[node]
+                node = fail[node]
+                if node < 0:
+                    return -1, total
+                to = goto.get(node << 8 | b)
+            node = to
+        return node, total
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of pieces of each word; 0 for a word that can't be cut."""
         n = np.zeros(len(starts), np.int64)
@@ -79,9 +98,12 @@ class MatchAutomaton:
         at, size = starts[order], (ends - starts)[order]
         node = np.zeros(len(at), np.int64)
         total = np.zeros(len(at), np.int64)
+        shorter = -size
         for i in range(int(size[0]) if len(size) else 0):
-            live = np.flatnonzero(node[: int(np.searchsorted(-size, -i, "left"))] >= 0)
-            if not len(live):
+            live = np.flatnonzero(node[: int(np.searchsorted(shorter, -i, "left"))] >= 0)
+            if len(live) < FEW:  # the last few, longest words go on by themselves
+                for k in live.tolist():
+                    node[k], total[k] = self._alone(data[at[k] + i : at[k] + size[k]].tobytes(), int(node[k]), int(total[k]))
                 break
             byte = data[at[live] + i].astype(np.int64)
             while len(live):
@@ -115,6 +137,8 @@ _automata: dict[str, MatchAutomaton] = {}
 
 def count_tokens(docs: DataFrame, initial: list[bytes], continuing: list[bytes], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns with n_words, n_tokens (an unknown word is one) and n_unknown of each row."""
+    if clash := set(keep) & {c.split()[0] for c in COUNTS.split(", ")}:
+        raise ValueError(f"keep has columns that are made: {sorted(clash)}")
     pieces = docs.sparkSession.sparkContext.broadcast((list(initial), list(continuing)))
     key = hashlib.sha256(repr(pieces.value).encode()).hexdigest()
     slim = docs.select(*keep, F.col(text).alias("_text"))
@@ -126,7 +150,7 @@ def count_tokens(docs: DataFrame, initial: list[bytes], continuing: list[bytes],
             out = []
             for i, j in A.chunks(offsets, CHUNK):
                 words = A.split_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                _, example, which = np.unique(A.hash_spans(words.data, words.starts, words.ends), return_index=True, return_inverse=True)
+                example, which = A.distinct_spans(words.data, words.starts, words.ends)
                 got = automaton.counts(words.data, words.starts[example], words.ends[example])
                 sums = np.concatenate([[0], np.cumsum(np.maximum(got, 1)[which])])[words.first]
                 lost = np.concatenate([[0], np.cumsum((got == 0)[which])])[words.first]

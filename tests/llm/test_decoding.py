@@ -1,6 +1,9 @@
 """The pipeline's last stage against the library's encoding and decoding."""
 
+import numpy as np
+
 import corpus_pipeline
+from clonespark.llm import arrowtext as A
 from clonespark.llm import bpe
 
 
@@ -19,9 +22,10 @@ def test_last_stage_decodes(spark, docs, rows, folder, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
-def test_batches_are_bounded_and_whole():
-    rows = [(b"i" * n, b"t" * n) for n in (1, 2, 30, 0, 4, 5, 0)]
-    groups = list(bpe._grouped(iter(rows), 12))
-    assert [r for g in groups for r in g] == rows
-    assert all(len(g) == 1 or sum(len(a) + len(b) for a, b in g) <= 12 for g in groups) and len(groups) > 2
-    assert list(bpe._grouped(iter(rows), None)) == [rows] and list(bpe._grouped(iter([]), 12)) == []
+def test_batches_are_bounded_and_whole(spark, docs, monkeypatch):
+    """Many small batches have the rows of one."""
+    plain = sorted(map(tuple, bpe.encode_texts(docs).collect()), key=repr)
+    data, offsets = np.zeros(41, np.uint8), np.cumsum([0, 1, 2, 30, 0, 4, 5, 0])
+    assert A.chunks(offsets, 12) == [(0, 2), (2, 3), (3, 7)]
+    monkeypatch.setattr(bpe, "OUT", 100)
+    assert sorted(map(tuple, bpe.encode_texts(docs).collect()), key=repr) == plain
