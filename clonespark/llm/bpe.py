@@ -252,6 +252,8 @@ class BpeCodec:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of words: texts without line ends."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
         joined = np.frombuffer(b"\n".join(words) + b"\n", np.uint8)
         limits = np.concatenate([[0], np.flatnonzero(joined == 0x0A) + 1])
         having = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[limits]) > 0
