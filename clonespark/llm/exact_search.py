@@ -1,71 +1,183 @@
 """Exact search for the largest inner products by pivot tables.
 
-|q - x|^2 = |q|^2 + |x|^2 - 2 q.x, so a lower bound on the distance gives an upper bound on the product. For any pivot p,
-|q - x| >= | |q - p| - |x - p| |; the distances from all rows to many pivots are computed once, and the largest of
-these bounds over the pivots orders a query's candidates. They are evaluated in that order, and the search stops as soon as the
-next upper bound is below the k-th best product so far, so the result is exact, ties included.
-
-Pivots are a bounded sample of rows (``PIVOTS``); the choice changes the speed alone. See vectors.py for rows that take no part.
+|q - x|^2 = |q|^2 + |x|^2 - 2 q.x, so a lower bound on the distance gives an upper bound on the product. The distances from all rows
+to many pivots are computed once. One pivot p bounds |q - x| from below by | |q - p| - |x - p| |; the largest bound that the distances to
+all of them imply together is had from the simplex that they span (Connor et al., 2017): the distances to the pivots fix a row's place a in
+their span and its height h above it, and |q - x|^2 >= |a_q - a_x|^2 + (h_q - h_x)^2, which no single pivot's bound exceeds. It
+orders a query's candidates. They are evaluated in that order, and the search stops as soon as the next upper bound is below
+the k-th best product so far, so the result is exact, ties included.
+
+Pivots are chosen farthest first from a bounded sample (``SAMPLE`` rows); the choice changes the speed alone. Products of integers are exact:
+in doubles where no product of two norms reaches 2^53, and otherwise in whole numbers without a bound (a result beyond a
+long's range is returned as the nearest long). See vectors.py for rows that take no part, ties and repeated rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonespark.llm import vectors as V
 
-PIVOTS, FIRST = 32, 512
-
-
-class _Index:
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> None:
-        self.ids, self.x = ids, x
-        self.squares = (x**2).sum(1)
-        self.pivots = pivots if pivots.shape[1:] == x.shape[1:] else x[:1]
-        self.table = np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in self.pivots])  # (pivots, rows)
+#: Pivots, rows that they are chosen from, candidates that are evaluated first, and numbers of bounds at once.
+PIVOTS, SAMPLE, FIRST, CELLS = 49, 2048, 64, 1 << 21
+#: Vectors with components from here on have no bound, as their squares are beyond doubles; all their products are evaluated.
+HUGE = 1e100
+
+
+def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
+    """At most n rows of x, each as far as can be from those before it; none is within rounding of another."""
+    x = x[np.abs(x).max(1, initial=0) < HUGE]
+    if not len(x):
+        return x
+    chosen = [int(((x - x.mean(0)) ** 2).sum(1).argmax())]
+    near = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < n and near.max() > 1e-9 * max(1.0, (x**2).sum(1).max()):
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+class PivotTable:
+    """Places in the pivots' span, from distances to the pivots alone."""
+
+    def __init__(self, pivots: np.ndarray) -> None:
+        keep, basis = [], np.zeros((0, pivots.shape[1]))
+        arms = pivots[1:] - pivots[:1]
+        for i, arm in enumerate(arms):  # pivots that lie in the span of those before them add nothing
+            rest = arm - (basis @ arm) @ basis
+            rest -= (basis @ rest) @ basis
+            if (rest @ rest) > 1e-2 * (arm @ arm):
+                keep.append(i)
+                basis = np.concatenate([basis, rest[None] / np.sqrt(rest @ rest)])
+        self.pivots = pivots[[0, *(i + 1 for i in keep)]]
+        arms = arms[keep]
+        self._arms, self._solve = (arms**2).sum(1), np.linalg.inv(arms @ basis.T).T if len(keep) else np.zeros((0, 0))
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances, (rows, pivots)."""
+        return np.maximum((x**2).sum(1)[:, None] + (self.pivots**2).sum(1) - 2 * x @ self.pivots.T, 0)
+
+    def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the span, heights above it) of rows."""
+        d = self.distances(x)
+        along = (d[:, :1] - d[:, 1:] + self._arms) / 2  # products with the arms, by the law of cosines
+        at = along @ self._solve
+        return at, np.sqrt(np.maximum(d[:, 0] - (at**2).sum(1), 0))
+
+
+class Index:
+    """A block's rows with their places; counts the products that it evaluates."""
+
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, pivots: np.ndarray, whole: bool) -> None:
+        self.ids, self.keys, self.x, self.whole = ids, keys, x, whole
+        self.table = PivotTable(pivots if pivots.shape[1:] == x.shape[1:] and len(pivots) else np.zeros((1, x.shape[1])))
+        self.huge = np.abs(x).max(1, initial=0) >= HUGE
+        x = np.where(self.huge[:, None], 0, x) if self.huge.any() else x
+        self.at, self.height = self.table.places(x)
+        self.squares = np.where(self.huge, np.inf, (x**2).sum(1))
+        self.evaluated = 0
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """Upper bounds on the products, with room for rounding."""
-        to_pivots = np.sqrt(((self.pivots - q) ** 2).sum(1))
-        low = np.zeros(len(self.x))
-        for own, d in zip(self.table, to_pivots, strict=True):
-            np.maximum(low, np.abs(own - d), out=low)
-        total = self.squares + q @ q
-        return (total - low**2) / 2 + 1e-9 * (total + 1)
-
-
-def top_products(index: _Index, q: np.ndarray, _: bytes, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, products) of the k largest products, ties to smaller ids; the rows with the id ``own`` are left out."""
-    bound = index.bounds(q)
-    order = np.argsort(-bound, kind="stable")
-    order = order[index.ids[order] != own]
-    at, step, best, scores = 0, FIRST, np.zeros(0, np.int64), np.zeros(0)
-    while at < len(order) and (len(best) < k or bound[order[at]] >= scores[-1]):
-        some = order[at : at + step]
-        best, scores = np.concatenate([best, some]), np.concatenate([scores, index.x[some] @ q])
-        top = np.lexsort((index.ids[best], -scores))[:k]
-        best, scores = best[top], scores[top]
-        at, step = at + len(some), step * 2
-    return best, scores
+        """Upper bounds on the products of queries (rows of q) with the rows, with room for rounding."""
+        none = np.abs(q).max(1, initial=0) >= HUGE
+        q = np.where(none[:, None], 0, q)
+        at, height = self.table.places(q)
+        own = np.where(none, np.inf, (q**2).sum(1))
+        slack = 1e-7 * (self.squares + own[:, None] + (self.table.pivots**2).sum(1).max() + 1)
+        # (|q|^2 + |x|^2 - |a_q - a_x|^2 - (h_q - h_x)^2) / 2, with the squares multiplied out
+        fixed = self.squares - (self.at**2).sum(1) - self.height**2
+        return (fixed + (own - (at**2).sum(1) - height**2)[:, None]) / 2 + at @ self.at.T + height[:, None] * self.height + slack
+
+    def products(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        self.evaluated += len(rows)
+        with np.errstate(over="ignore"):
+            if not self.whole or (len(rows) and np.sqrt(self.squares[rows].max()) * np.sqrt(q @ q) < 2.0**53):
+                return self.x[rows] @ q
+        return np.array([sum(int(a) * int(b) for a, b in zip(self.x[i].tolist(), q.tolist(), strict=True)) for i in rows.tolist()], object)
+
+    def top(self, q: np.ndarray, bound: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, keys, products) of the k largest products, ties to smaller ids; the rows with the id ``own`` are left out."""
+        rows = np.flatnonzero(self.ids != own)
+        bound = bound[rows]
+        if len(rows) > 4 * FIRST:  # the best bounds first; then what they leave, in order
+            some = np.argpartition(bound, len(bound) - FIRST)[len(bound) - FIRST :]
+            best, scores = self._best(rows[some], self.products(rows[some], q), k)
+            left = np.ones(len(rows), bool)
+            left[some] = False
+            left &= bound >= self._least(scores, k)
+            rows, bound = rows[left], bound[left]
+        else:
+            best, scores = rows[:0], np.zeros(0)
+        order = np.argsort(-bound, kind="stable")
+        at, step = 0, FIRST
+        while at < len(order) and bound[order[at]] >= self._least(scores, k):
+            some = rows[order[at : at + step]]
+            best, scores = self._best(np.concatenate([best, some]), np.concatenate([scores, self.products(some, q)]), k)
+            at, step = at + len(some), step * 2
+        return self.ids[best], self.keys[best], scores
+
+    @staticmethod
+    def _least(scores: np.ndarray, k: int) -> float:
+        """What the next bound has to reach."""
+        least = float(np.clip(scores[-1], -HUGE, HUGE)) if len(scores) >= k else -np.inf
+        return least - 1e-12 * abs(least) if np.isfinite(least) else least
+
+    def _best(self, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if scores.dtype == object:
+            top = np.array(sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]], self.keys[rows[i]]))[:k], np.int64)
+        else:
+            top = np.lexsort((self.keys[rows], self.ids[rows], -scores))[:k]
+        return rows[top], scores[top]
+
+
+def _longs(scores: np.ndarray) -> np.ndarray:
+    most = (1 << 63) - 1
+    return np.array([max(-most, min(most, int(s))) for s in scores.tolist()], np.int64)
 
 
 def largest_products(table: DataFrame, queries: str, k: int, scale: float | None = None, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows where ``queries`` (SQL over vec_id) holds, the k other rows of the largest inner product.
 
-    scale: components become floor(scale * x), and products are then exact integers below 2^53.
+    scale: components become floor(scale * x), and products (long) are exact; without it they are doubles.
     """
-    rows = V.usable(table, None if scale is None else (lambda v: np.floor(scale * v)))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "v").limit(pivots).collect()
-    size = max((len(r["v"]) for r in sample), default=0)
-    chosen = V.matrix([bytes(r["v"]) for r in sample if len(r["v"]) == size])
-    return V.search(rows, rows.where(queries), lambda ids, x: _Index(ids, x, chosen), top_products, k, best="desc")
+    rows, dtype = V.usable(table, scale)
+    chosen = farthest_first(V.sample(rows, SAMPLE, dtype), pivots)
+    n, _ = V.blocks_of(rows)
+    whole = scale is not None
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in (batch.slice(i, V.BATCH) for i in range(0, batch.num_rows, V.BATCH)):
+                message = V.pack(b.column(0), b.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([message] * n, pa.binary())], names=["to", "message"])
+
+    def meet(rows: pa.Table, sent: pa.Table) -> list[tuple]:
+        made = {d: Index(i, key, x, chosen, whole) for d, (i, key, _, x) in V.by_dimension(np.asarray(rows["vec_id"]), rows["v"].combine_chunks(), np.zeros(rows.num_rows, np.int64), dtype).items()}
+        found = []
+        for message in sent["message"]:
+            ids, vectors = V.unpack(message)
+            for d, (own, _, _, q) in V.by_dimension(np.asarray(ids), vectors, np.zeros(len(ids), np.int64), dtype).items():
+                if d in made:
+                    index = made[d]
+                    step = max(1, CELLS // len(index.x))
+                    for i in range(0, len(q), step):
+                        for j, bound in enumerate(index.bounds(q[i : i + step]), i):
+                            where, keys, scores = index.top(q[j], bound, k, int(own[j]))
+                            found.append((int(own[j]), where, keys, _longs(scores) if whole else scores))
+        return found
+
+    to = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int").alias("to")
+    sent = V.single(rows.where(queries)).mapInArrow(send, "to int, message binary")
+    return V.ranked(V.met(rows.select(to, "vec_id", "v"), sent, n, meet, "long" if whole else "double"), k, "desc")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = largest_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "pmod(vec_id, 50) = 0", 5, scale=256.0)
-    return found.withColumn("score", F.col("score").cast("long"))
+    return largest_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "pmod(vec_id, 50) = 0", 5, scale=256.0)
 
 
 #: DuckDB SQL of op6_exact_topk.

@@ -5,6 +5,8 @@ import io
 import zipfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -41,15 +43,36 @@ def test_op6_equals_brute_force(vectors):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_op6_stops_early_and_stays_exact():
+def test_op6_whole_numbers_beyond_doubles(spark):
+    big = 1 << 30
+    rows = [(50, [big, 1]), (1, [big, 1]), (2, [big, 2]), (3, [big, 0]), (4, [-big, 5])]
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = exact_search.largest_products(table, "vec_id = 50", 4, scale=1.0).collect()
+    want = sorted(((-(big * v[0] + v[1]), i) for i, v in rows if i != 50))
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(i, -s) for s, i in want]
+    far = spark.createDataFrame([(50, [1e200, 1.0]), (1, [1e200, 1.0]), (2, [-1e200, 0.0]), (3, [1e308, 1e308])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in sorted(exact_search.largest_products(far, "vec_id = 50", 4, scale=256.0).collect(), key=lambda r: r["rank"])] == [(50, 1, 1, (1 << 63) - 1), (50, 2, 2, -(1 << 63) + 1)]
+
+
+@pytest.mark.parametrize(("kind", "share"), [("clusters", 0.02), ("structureless", 0.2)])
+def test_op6_stops_early_and_stays_exact(kind, share):
+    """Most products are never evaluated, among clusters and among vectors without structure, and the results are those of all products."""
     rng = np.random.default_rng(1)
-    x = np.floor(np.concatenate([rng.normal(size=(3000, 4)) + 40 * c for c in rng.normal(size=(6, 4))]) * 16)
-    index = exact_search._Index(np.arange(len(x)), x, x[:32])
-    seen = []
-    index.x = type("Seen", (), {"__getitem__": lambda _, i: (seen.append(len(i)), x[i])[1], "__len__": lambda _: len(x)})()
-    where, scores = exact_search.top_products(index, x[5], b"", 5, -1)
-    want = np.lexsort((np.arange(len(x)), -(x @ x[5])))[:5]
-    assert where.tolist() == want.tolist() and scores.tolist() == (x @ x[5])[want].tolist() and sum(seen) < len(x)
+    x = rng.normal(size=(18_000, 64))
+    if kind == "clusters":
+        x = np.repeat(rng.normal(size=(60, 64)), 300, 0) + 0.1 * x
+    x = np.floor(256 * x / np.sqrt((x**2).sum(1, keepdims=True)))
+    x[5:15] = x[5]
+    index = exact_search.Index(np.arange(len(x)), np.zeros(len(x), np.uint64), x, exact_search.farthest_first(x[::9], exact_search.PIVOTS), True)
+    for own in range(0, 400, 20):
+        bound = index.bounds(x[own : own + 1])[0]
+        assert (bound >= x @ x[own]).all()
+        ids, _, scores = index.top(x[own], bound, 5, own)
+        products = x @ x[own]
+        products[own] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -products))[:5]
+        assert ids.tolist() == want.tolist() and scores.tolist() == products[want].tolist()
+    assert index.evaluated < share * 20 * len(x)
 
 
 def test_op10_all_in_small_tables(vectors):
@@ -63,19 +86,60 @@ def test_op10_all_in_small_tables(vectors):
     assert np.allclose([r[3] for r in sorted(map(tuple, got))], [r[3] for r in sorted(want)], rtol=1e-14)
 
 
-def test_op10_recall(spark):
-    folder = "/root/testdata/check_s"
-    got = ann.op10_ann_search(spark, folder).toPandas()
-    table = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
-    x, ids = np.stack(table.embedding).astype(float), table.vec_id.to_numpy()
+@pytest.mark.parametrize("kind", ["structureless", "clusters", "a third the same"])
+def test_op10_recall(spark, tmp_path, kind):
+    """Recall against brute force on a table where a query visits a sixth of the rows at most."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64))
+    if kind == "clusters":
+        x = np.repeat(rng.normal(size=(200, 64)), 100, 0) + 0.3 * x
+    x = (x / np.sqrt((x**2).sum(1, keepdims=True))).astype(np.float32)
+    if kind == "a third the same":
+        x[rng.permutation(len(x))[: len(x) // 3]] = x[7]
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x), "label": np.zeros(len(x), np.int32)}), str(tmp_path / "embeddings.parquet"))
+    got = ann.op10_ann_search(spark, str(tmp_path)).toPandas()
+    assert len(got) == 2000 and got.groupby("query_id")["rank"].apply(list).map(lambda r: sorted(r) == list(range(1, 11))).all()
+    x, hits = x.astype(float), 0
+    for q, found in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert np.allclose(d[found.vec_id], found.score, rtol=1e-14)
+        d[q] = np.inf
+        hits += int((found.score <= np.sort(d)[9] * (1 + 1e-12)).sum())
+    assert hits / len(got) >= 0.9
+
+
+@pytest.mark.parametrize("rows", [500, 2000])
+def test_op10_recall_in_small_tables(spark, tmp_path, rows):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(rows, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(rows), "embedding": list(x)}), str(tmp_path / "embeddings.parquet"))
+    got = ann.op10_ann_search(spark, str(tmp_path)).toPandas()
     hits = 0
     for q, found in got.groupby("query_id"):
-        d = ((x - x[ids == q][0]) ** 2).sum(1)
-        d[ids == q] = np.inf
-        hits += len(set(ids[np.lexsort((ids, d))[:10]]) & set(found.vec_id))
+        d = ((x.astype(float) - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(found.vec_id))
     assert hits / len(got) >= 0.9
 
 
+def test_op10_visits_a_small_share():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 64))
+    quantiser = ann.Quantiser.fit(x[:4000], ann.CENTROIDS, 1)
+    rows = np.bincount(quantiser.cells(x), minlength=quantiser.size)
+    visited = [rows[quantiser.visit(x[i], rows, 1201)].sum() for i in range(20)]
+    assert min(visited) >= 1201 and max(visited) < 1201 + rows.max()
+
+
+def test_op10_large_cells_are_in_several_blocks():
+    rows = np.array([0, 5, 1000, 3, 0, 7])
+    place = ann.Placement(rows, 8)
+    to = place.of_rows(np.full(1000, 2), np.arange(1000))
+    blocks, cells = place.of_cells(np.array([2, 1]))
+    assert len(set(to.tolist())) > 5 and set(to.tolist()) <= set(blocks[cells == 2].tolist()) and blocks.max() < 8
+    assert set(place.of_rows(np.array([1, 3, 5]), np.arange(3)).tolist()) <= set(place.of_cells(np.array([1, 3, 5]))[0].tolist())
+
+
 def test_op10_cells_come_in_order():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 6))
