@@ -7,7 +7,7 @@ next cell comes from a heap over two sorted lists, and the visit ends when the v
 
 There are ``INDEXES`` of these, each over the vectors as another random rotation has them (the first as they are), as halves of other
 coordinates err independently: a neighbour is lost only where all of them miss it. On vectors without any structure (64 dimensions)
-three visits of 6 % find above 0.93 of the ten nearest, where one index needs a third of all rows for as much.
+three visits of 7 % of the rows each find above 0.93 of the ten nearest; one index finds 0.75 in 10 %, and 0.95 in 30 %.
 
 Rows are dealt by cell, in blocks of neighbouring cells, and a query goes to the blocks of its cells alone. A cell with more rows than
 a block is dealt to several blocks by a hash of the id, so a vector that a third of all rows share is spread.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from clonespark.llm import arrowtext as A
 from clonespark.llm import vectors as V
 
-INDEXES, CENTROIDS, SAMPLE, SHARE, EACH = 3, 256, 16384, 0.06, 16
+INDEXES, CENTROIDS, SAMPLE, SHARE, EACH = 3, 256, 16384, 0.07, 16
 #: The cell of rows that have another dimension than the index.
 OTHER = -1
 
@@ -75,25 +75,26 @@ class Quantiser:
         x = x if self.turn is None else x @ self.turn
         return _squared(x[:, : self.half], self.first).argmin(1) * len(self.second) + _squared(x[:, self.half :], self.second).argmin(1)
 
-    def visit(self, q: np.ndarray, rows: np.ndarray, enough: int) -> np.ndarray:
+    def visit(self, q: np.ndarray, rows: list[int], enough: int) -> np.ndarray:
         """The cells that have rows, nearest to q first, until they hold enough of the rows (numbers by cell)."""
         q = q if self.turn is None else q @ self.turn
         a, b = _squared(q[: self.half], self.first), _squared(q[self.half :], self.second)
         by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
         a, b, m = a[by_a].tolist(), b[by_b].tolist(), len(self.second)
-        rows_at = rows.reshape(len(a), m)[by_a][:, by_b].tolist()
+        by_a, by_b = (by_a * m).tolist(), by_b.tolist()
         heap, out, held = [(a[0] + b[0], 0, 0)], [], 0
         while heap and held < enough:
-            _, i, j = heapq.heappop(heap)
-            if n := rows_at[i][j]:
-                out.append((i, j))
+            _, i, j = heap[0]
+            if n := rows[cell := by_a[i] + by_b[j]]:
+                out.append(cell)
                 held += n
-            if j + 1 < m:
-                heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
             if j == 0 and i + 1 < len(a):
                 heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
-        at = np.array(out, np.int64).reshape(-1, 2)
-        return by_a[at[:, 0]] * m + by_b[at[:, 1]]
+            if j + 1 < m:  # in place of the one that was visited, which is still the least
+                heapq.heapreplace(heap, (a[i] + b[j + 1], i, j + 1))
+            else:
+                heapq.heappop(heap)
+        return np.array(out, np.int64)
 
 
 class Placement:
@@ -161,6 +162,7 @@ def nearest_neighbours(table: DataFrame, queries: str, k: int, centroids: int =
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantisers, count, places = index.value
+        count = [c.tolist() for c in count]
         for batch in batches:
             for b in (batch.slice(i, V.BATCH) for i in range(0, batch.num_rows, V.BATCH)):
                 to, cells, which = [], [], []

@@ -89,8 +89,8 @@ def blocks_of(rows: DataFrame, copies: int = 1) -> tuple[int, int]:
 
 
 def single(queries: DataFrame) -> DataFrame:
-    """One vector for each id."""
-    return queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    """One vector for each id, in as many partitions as a shuffle has (queries are few, but each is work)."""
+    return queries.repartition(X.parts(queries.sparkSession), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def by_dimension(ids: np.ndarray, vectors: pa.Array, group: np.ndarray, dtype: str) -> dict[int, tuple]:
