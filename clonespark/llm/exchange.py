@@ -1,11 +1,14 @@
 """Exact look-ups of huge key sets: columnar requests from blocks of rows to key buckets and back.
 
-Documents are dealt into blocks by a hash of the row. A block sends each bucket of the key space one
-packed array of its distinct keys (sorted, delta coded), and each bucket answers every block with one
-array. A key that millions of rows share is one entry per block, so no key is hot; a block and a
-bucket have a bounded size as the number of blocks follows ``spark.sql.shuffle.partitions``. Nothing
+Documents are dealt into blocks by a hash of the row, packed and compressed by the batch. A block sends each bucket of the key
+space one packed array of its distinct keys (sorted, delta coded), and each bucket answers every block with one
+array. A key that millions of rows share is one entry for each block, so no key is hot. Nothing
 is sent to the driver. Requests do not depend on the order of a block's rows, so lost partitions can
 be made again in any order.
+
+There are as many blocks, and buckets, as the texts' bytes ask for (``BLOCK_BYTES`` each), and at least one for each shuffle partition; so
+what a task holds does not grow with the table. Messages are one for each block and bucket: with n blocks, n of some 6 bytes for
+each of a block's keys over n. Rows that are equal in all key columns (the id among them) are in one block.
 """
 
 from __future__ import annotations
@@ -20,16 +23,45 @@ from pyspark.sql import functions as F
 from clonespark.llm import arrowtext as A
 
 U64 = np.uint64
-BLOCK = "_block"
+#: Bytes of texts that a block should have. A block's task needs some 30 times as much memory.
+BLOCK_BYTES = 1 << 24
 
 
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def blocks_for(docs: DataFrame, text: str = "text") -> int:
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(parts(docs.sparkSession), -(-size // BLOCK_BYTES))
+
+
 def in_blocks(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Rows dealt evenly into n blocks by a hash of the key columns."""
-    return df.withColumn(BLOCK, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")).repartitionById(n, BLOCK)
+    """(block, rows): rows dealt evenly into n blocks by a hash of the key columns, in compressed runs; rows_of() has them back."""
+    names = df.columns
+    dealt = df.select(F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(n)).cast("int").alias("_to"), *[F.col(f"`{c}`") for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeezed = pa.ipc.IpcWriteOptions(compression="zstd")
+        for b in batches:
+            to = np.asarray(b.column(0))
+            order = np.argsort(to, kind="stable")
+            rows = pa.RecordBatch.from_arrays(b.columns[1:], names=names).take(pa.array(order))
+            blocks, first = np.unique(to[order], return_index=True)
+            packed = []
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(to)], strict=True):
+                with pa.ipc.new_stream(sink := pa.BufferOutputStream(), rows.schema, options=squeezed) as stream:
+                    stream.write_batch(rows.slice(i, j - i))
+                packed.append(sink.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([x.to_pybytes() for x in packed], pa.binary())], names=["block", "rows"])
+        A.release()
+
+    return dealt.mapInArrow(run, "block int, rows binary").repartitionById(n, "block")
+
+
+def rows_of(column: pa.ChunkedArray) -> pa.Table:
+    """The rows that the messages of a block hold."""
+    return pa.concat_tables([pa.ipc.open_stream(m.as_buffer()).read_all() for m in column])
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -57,17 +89,17 @@ def by_bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def ask(rows: DataFrame, request: Callable, n: int) -> DataFrame:
-    """One row for each block and bucket. request(table) -> (sorted distinct keys, {column: array aligned with the keys})."""
+def ask(blocks: DataFrame, request: Callable[[pa.Table], tuple[np.ndarray, dict]], n: int) -> DataFrame:
+    """One row for each block and bucket. request(rows) -> (sorted distinct keys, {column: array aligned with the keys})."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if got:
             table = pa.Table.from_batches(got)
-            yield from _requests(table[BLOCK][0].as_py(), *request(table), n)
+            yield from _requests(table["block"][0].as_py(), *request(rows_of(table["rows"])), n)
             A.release()
 
-    return rows.mapInArrow(run, REQUEST).repartitionById(n, "bucket")
+    return blocks.mapInArrow(run, REQUEST).repartitionById(n, "bucket")
 
 
 #: Two aligned payloads are enough for all users.
@@ -85,10 +117,31 @@ def _requests(block: int, keys: np.ndarray, more: dict[str, np.ndarray], n: int)
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _REQUEST, strict=True)], schema=_REQUEST)
 
 
-def cogrouped(docs: pa.Table, request: Callable, n: int) -> pa.Table:
-    """The rows that ask() makes, from within a cogroup."""
-    A.release()
-    return pa.Table.from_batches(_requests(docs[BLOCK][0].as_py(), *request(docs), n), _REQUEST) if docs.num_rows else _REQUEST.empty_table()
+def ask_again(blocks: DataFrame, answers: DataFrame, request: Callable[[pa.Table, pa.Table], tuple[np.ndarray, dict]], n: int) -> DataFrame:
+    """The same from a block's rows and the answers to what it asked before: request(rows, answers)."""
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        A.release()
+        if not rows.num_rows:
+            return _REQUEST.empty_table()
+        return pa.Table.from_batches(_requests(rows["block"][0].as_py(), *request(rows_of(rows["rows"]), known), n), _REQUEST)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, REQUEST).repartitionById(n, "bucket")
+
+
+def finish(blocks: DataFrame, answers: DataFrame, make: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
+    """make(rows, answers) for every block."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        A.release()
+        return make(rows_of(rows["rows"]), known) if rows.num_rows else to_arrow_schema(kind).empty_table()
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kind)
 
 
 def answer(requests: DataFrame, reply: Callable, n: int) -> DataFrame:

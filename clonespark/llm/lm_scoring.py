@@ -1,19 +1,24 @@
-"""Language-model scores of texts: a weighted backoff automaton over word bigrams.
+"""Language-model scores of texts: a weighted backoff automaton over smoothed n-grams.
 
-The model is an interpolated bigram with absolute discounting, laid out as a backoff automaton. Each
-word seen in training is a state; a state has one arc for each word that followed it, whose weight is
-the log probability p(w|v) = (c(vw) - D) / c(v) + b(v) p(w), and a failure arc of weight log b(v),
-b(v) = D T(v) / c(v), to the root state, whose arcs are the unigrams p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
-T(v) is the number of distinct words after v, D = n1 / (n1 + 2 n2) from the numbers of bigrams seen once
-and twice. All unseen words are one class, so each state's distribution sums to one. A text is
-traversed once from left to right: the state carried into a token is the one of the token before.
+The model has n-grams of ``ORDER`` = 3 words, smoothed by a hierarchy of Dirichlet priors (MacKay and Peto, 1995):
+
+    p(w)   = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    p(w|h) = (c(hw) + m p(w|h')) / (c(h) + m)     h' is h without its first word, m = PRIOR of h's length
+
+It is laid out as a backoff automaton. Every context h of one or two words that was seen in training is a state; a state has one arc for each word that
+followed it, whose weight is log10 p(w|h), and a failure arc to the state h' of the weight log10 m / (c(h) + m), which is what p(w|h) leaves
+of p(w|h') for a word without an arc. The root's arcs are p(w), with one class for all unseen words, so each state's
+distribution sums to one. A text is traversed once from left to right, from the state of its beginning. At each token the traversal takes the
+carried state's arc, or else failure arcs until a state has one, adding up the weights; the arc leads to the longest
+context that ends in the token and was seen, which is the state that is carried on.
 
 Counts are over all training documents and all of their tokens, with no cut-off. The automaton grows with
 the corpus, so no task holds it: a block of documents asks for the counts of its own n-grams (exchange.py),
-which gives it exactly the part of the automaton that its texts traverse. N-grams are known by 64-bit hashes.
+which gives it exactly the part of the automaton that its texts traverse. N-grams are known by 63-bit hashes.
 
 Null and empty texts have only the end token. A null doc_id counts as the empty string for the split,
-so that row trains. With no training row at all, every token has the unseen class's probability 1.
+so that row trains. With no training row at all, every token has the unseen class's probability 1. Repeated rows train as often as they are there, and
+get equal scores. Texts are scored whole, whatever their length. ``keep`` may name any columns but those that are made (ValueError).
 """
 
 from __future__ import annotations
@@ -33,19 +38,27 @@ U64 = np.uint64
 _END, _BEGIN = U64(0x452821E638D01377), U64(0xBE5466CF34E90C6C)
 _TRAIN, _TEXT = "_train", "_text"
 SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+ORDER = 3
+#: The prior's weight, in tokens, by the number of words of the context.
+PRIOR = {1: 40.0, 2: 4.0, 3: 2.0, 4: 2.0}
+#: Tokens of a text that are traversed by one lane; a longer text is several lanes, each from the state that the one before it ends in.
+STRETCH = 512
 
 
 @dataclass
-class _Tokens:
-    """Tokens of a block's documents, each document's followed by one end token."""
+class _Grams:
+    """The n-grams of a block's documents, each document's tokens followed by one end.
 
-    token: np.ndarray
-    before: np.ndarray
+    keys[k - 1]: by token, the hash of the k tokens that end there (0 where the text has fewer, counting one beginning). The lowest
+    bit of a single word's hash is 1, that of others 0.
+    """
+
+    keys: list[np.ndarray]
     first: np.ndarray
     train: np.ndarray
 
     @classmethod
-    def of(cls, docs: pa.Table) -> _Tokens:
+    def of(cls, docs: pa.Table, order: int) -> _Grams:
         words = A.split_words(*A.column_bytes(docs[_TEXT]), lower=True)
         docs_n = docs.num_rows
         first = words.first + np.arange(docs_n + 1)
@@ -54,151 +67,184 @@ class _Tokens:
         ends[first[1:] - 1] = True
         token[ends] = _END
         token[~ends] = A.hash_spans(words.data, words.starts, words.ends)
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[first[:-1]] = _BEGIN
-        train = np.repeat(np.asarray(docs[_TRAIN].combine_chunks().fill_null(True)).astype(np.int64), np.diff(first))
-        return cls(token, before, first, train)
-
-    @property
-    def bigrams(self) -> np.ndarray:
-        return A.mix64(self.before * U64(0x9E3779B97F4A7C15) + (self.token ^ U64(0x3F84D5B5B5470917)))
-
-
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, starts of the runs in it, place of each key among the distinct ones)."""
-    order = np.argsort(keys)
-    ranked = keys[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = ranked[1:] != ranked[:-1]
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(fresh) - 1
-    return order, np.flatnonzero(fresh), place
-
-
-def _ask_bigrams(docs: pa.Table) -> tuple[np.ndarray, dict]:
-    tokens = _Tokens.of(docs)
-    keys = tokens.bigrams
-    order = np.argsort(keys)
-    keys = keys[order]
-    runs = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[runs], {"a": np.add.reduceat(tokens.train[order], runs)}
-
-
-def _answer_bigrams(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
-    """x: counts; y: 1 where this block is the one to count the bigram as a successor type; m, n: bigrams seen once, twice."""
-    counts = [X.unpack(r["a"], "<i8") for r in rows]
-    distinct, sums, places = X.totals(keys, counts)
-    taken = np.zeros(len(distinct), bool)
-    out: list[dict] = [{}] * len(rows)
-    for i in sorted(range(len(rows)), key=lambda i: rows[i]["block"]):  # not by arrival: a task that is run again must agree
-        own = (counts[i] > 0) & ~taken[places[i]]
-        taken[places[i][own]] = True
-        out[i] = {"x": X.pack(sums[places[i]]), "y": np.packbits(own).tobytes(), "m": int((sums == 1).sum()), "n": int((sums == 2).sum())}
-    return out
-
-
-def _parts(answers: pa.Table, low: int, high: int) -> list[dict]:
-    return sorted((r for r in answers.to_pylist() if low <= r["bucket"] < high), key=lambda r: r["bucket"])
-
-
-def _concat(texts: list[bytes], dtype: str = "<i8") -> np.ndarray:
-    return np.concatenate([np.zeros(0, dtype), *(X.unpack(t, dtype) for t in texts)])
-
-
-def _ask_words(n: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        def request(docs: pa.Table) -> tuple[np.ndarray, dict]:
-            tokens, rows = _Tokens.of(docs), _parts(answers, 0, n)
-            own = np.concatenate([np.unpackbits(np.frombuffer(r["y"], np.uint8), count=len(r["x"]) // 8) for r in rows])
-            order, runs, _ = _grouped(tokens.bigrams)
-            counts = {"before": tokens.before[order[runs]][own > 0]}  # contexts of the successor types that this block counts
-            keys = np.unique(np.concatenate([tokens.token, [_BEGIN]]))
-            seen = np.bincount(np.searchsorted(keys, tokens.token), tokens.train, len(keys)).astype(np.int64)
-            types = np.bincount(np.searchsorted(keys, counts["before"]), minlength=len(keys)).astype(np.int64)
-            return keys, {"a": seen, "b": types}
-
-        return X.cogrouped(docs, request, n)
-
-    return run
-
-
-def _answer_words(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
-    """x: counts c(w); y: successor types T(w); m, n: tokens and distinct words of the bucket."""
-    distinct, sums, places = X.totals(keys, [X.unpack(r["a"], "<i8") for r in rows])
-    types = X.totals(keys, [X.unpack(r["b"], "<i8") for r in rows])[1]
-    return [{"x": X.pack(sums[p]), "y": X.pack(types[p]), "m": int(sums.sum()), "n": int((sums > 0).sum())} for p in places]
+        del words, ends
+        at = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))
+        keys, gram = [token | U64(1)], token
+        for k in range(2, order + 1):  # one word more on the left: the gram before, and this token
+            longer = np.empty_like(gram)
+            longer[1:] = gram[:-1]
+            longer[:1] = 0
+            if k == 2:
+                longer[at == 0] = _BEGIN
+            gram = A.mix64(longer * U64(0x9E3779B97F4A7C15) + (token ^ U64(0x3F84D5B5B5470917)))
+            key = gram & ~U64(1)
+            key[key == 0] = 2
+            key[at < k - 2] = 0
+            keys.append(key)
+        train = np.repeat(np.asarray(docs[_TRAIN].combine_chunks().fill_null(True)), np.diff(first))
+        return cls(keys, first, train)
+
+    def distinct(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(all distinct keys, sorted, without 0; by order the place of each token's gram among them, -1 for none)."""
+        places, parts = [], []
+        for keys in self.keys:
+            order = np.argsort(keys)
+            ranked = keys[order]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = ranked[1:] != ranked[:-1]
+            place = np.empty(len(keys), np.int64)
+            place[order] = np.cumsum(fresh) - 1
+            places.append(place)
+            parts.append(ranked[fresh])
+        every = np.unique(np.concatenate([p[p != 0] for p in parts]))
+        for k, part in enumerate(parts):
+            where = np.searchsorted(every, part)
+            where[part == 0] = -1
+            places[k] = where[places[k]]
+        return every, places
+
+
+def _ask(order: int):
+    def request(docs: pa.Table) -> tuple[np.ndarray, dict]:
+        grams = _Grams.of(docs, order)
+        keys, places = grams.distinct()
+        seen = sum(np.bincount(p[grams.train & (p >= 0)], minlength=len(keys)) for p in places)
+        return keys, {"a": seen.astype(np.uint32)}
+
+    return request
+
+
+def _reply(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
+    """x: counts; m, n: training tokens and distinct words of the bucket."""
+    distinct, sums, places = X.totals(keys, [X.unpack(r["a"], "<u4") for r in rows])
+    word = (distinct & U64(1)) > 0
+    tokens, words = int(sums[word].sum()), int((sums[word] > 0).sum())
+    return [{"x": X.pack(sums[p]), "y": None, "m": tokens, "n": words} for p in places]
 
 
 @dataclass
 class BackoffAutomaton:
-    """The part of the automaton that a block's texts traverse, as arrays over states (words) and arcs (bigrams).
+    """The part of the automaton that a block's texts traverse. An arc of a gram of k words leads to the state of that gram, and both have its number.
 
-    root: log10 weights of the root's arcs; failure: log10 weights of the failure arcs, 0 for words that
-    are no state (after these the traversal is at the root); arc: log10 weights of the arcs, nan where
-    the state has none for the token.
+    weight[k]: log10 weights of the arcs of k words (k >= 1), nan where training has no such gram (but for the root's arcs);
+    failure[k]: log10 weights of the failure arcs of the states of k words; state[k]: whether a gram of k words is a state.
+    The last number of one word is the beginning, which has no arc.
     """
 
-    root: np.ndarray
-    failure: np.ndarray
-    arc: np.ndarray
+    weight: dict[int, np.ndarray]
+    failure: dict[int, np.ndarray]
+    state: dict[int, np.ndarray]
 
     @classmethod
-    def of(cls, c: np.ndarray, types: np.ndarray, c_of_begin: int, begin: int, word_of_arc: np.ndarray, state_of_arc: np.ndarray, seen: np.ndarray, discount: float, total: int, distinct: int) -> BackoffAutomaton:
-        unigram = (c + 0.5) / (total + 0.5 * (distinct + 1))
-        context = c.copy()
-        context[begin] = c_of_begin
-        known = context > 0
-        back = np.ones(len(c))
-        back[known] = discount * types[known] / context[known]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = (seen - discount) / context[state_of_arc] + back[state_of_arc] * unigram[word_of_arc]
-            arc = np.where(seen > 0, np.log10(p), np.nan)
-            return cls(np.log10(unigram), np.log10(back), arc)  # the end is in no context: its failure arc is never taken
-
-    def traverse(self, state: np.ndarray, word: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """The weight of each step: the state's arc, or else its failure arc and then the root's arc."""
-        weight = self.arc[arc]
-        return np.where(np.isnan(weight), self.failure[state] + self.root[word], weight)
-
-
-def _score(names: list[str], n: int):
+    def of(cls, counts: dict[int, np.ndarray], context: dict[int, np.ndarray], suffix: dict[int, np.ndarray], begins: int, total: int, distinct: int, prior: dict[int, float] = PRIOR) -> BackoffAutomaton:
+        """counts[k]: by gram of k words; context, suffix: the gram's first k - 1 words and its last k - 1 words, as grams; begins: documents in training."""
+        order = max(counts)
+        p = {1: (counts[1] + 0.5) / (total + 0.5 * (distinct + 1))}
+        occurs = {k: np.append(counts[k], begins) if k == 1 else counts[k] for k in range(1, order)}
+        weight, failure = {1: np.log10(p[1])}, {}
+        for k in range(2, order + 1):
+            before = occurs[k - 1][context[k]]
+            p[k] = np.where(before > 0, (counts[k] + prior[k - 1] * p[k - 1][suffix[k]]) / (before + prior[k - 1]), p[k - 1][suffix[k]])
+            weight[k] = np.where(counts[k] > 0, np.log10(p[k]), np.nan)
+            failure[k - 1] = np.log10(prior[k - 1] / (occurs[k - 1] + prior[k - 1]))
+        return cls(weight, failure, {k: v > 0 for k, v in occurs.items()})
+
+    def traverse(self, grams: dict[int, np.ndarray], first: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+        """The weight of each token. grams[k]: by token, the gram of k words that ends there (-1 for none); first: the texts' first tokens, and the end."""
+        order, begin, tokens = max(self.weight), len(self.weight[1]), int(first[-1])
+        out = np.zeros(tokens)
+        lanes = -(-np.diff(first) // stretch)
+        start = np.repeat(first[:-1], lanes) + stretch * (np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+        size = np.minimum(np.repeat(first[1:], lanes) - start, stretch)
+        by_size = np.argsort(-size, kind="stable")  # lanes that are still going are a prefix
+        start, shorter = start[by_size], -size[by_size]
+        # the state that is carried: words of its context, and its number
+        held, at = np.ones(len(start), np.int64), np.full(len(start), begin)
+        is_first = np.zeros(tokens, bool)
+        is_first[first[:-1]] = True
+        later = np.flatnonzero(~is_first[start])
+        held[later], at[later] = self._reached(grams, start[later] - 1)
+        has = {k: ~np.isnan(w) for k, w in self.weight.items()}
+        for step in range(int(size.max()) if len(size) else 0):
+            n = int(np.searchsorted(shorter, -step, "left"))
+            t, held, at = start[:n] + step, held[:n], at[:n]
+            weight, going = np.zeros(n), np.arange(n)
+            for k in range(order, 1, -1):  # states of k - 1 words: their arc, or their failure arc
+                here = going[held[going] == k - 1]
+                arc = grams[k][t[here]]
+                found = has[k][arc] & (arc >= 0)
+                taken, lost = here[found], here[~found]
+                weight[taken] += self.weight[k][arc[found]]
+                weight[lost] += self.failure[k - 1][at[lost]]
+                held[taken], held[lost] = order, k - 2
+                if k > 2:
+                    at[lost] = grams[k - 2][t[lost] - 1]
+                going = going[held[going] < k - 1]
+            weight[going] += self.weight[1][grams[1][t[going]]]
+            out[t] = weight
+            held, at = self._reached(grams, t)
+        return out
+
+    def _reached(self, grams: dict[int, np.ndarray], t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, number) of the state after the tokens: the longest seen context that ends there; 0 words is the root."""
+        held, at = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+        for k in sorted(self.state):
+            gram = grams[k][t]
+            seen = (gram >= 0) & self.state[k][gram]
+            held[seen], at[seen] = k, gram[seen]
+        return held, at
+
+
+def _score(names: list[str], order: int):
+    new = [c.split()[0] for c in SCORES.split(", ")]
+
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        A.release()
-        if not docs.num_rows:
-            return pa.table({c: docs[c] for c in names} | {c.split()[0]: pa.array([], c.split()[1].replace("long", "int64")) for c in SCORES.split(", ")})
-        tokens, pairs, singles = _Tokens.of(docs), _parts(answers, 0, n), _parts(answers, n, 2 * n)
-        once, twice = sum(r["m"] for r in pairs), sum(r["n"] for r in pairs)
-        total, distinct = sum(r["m"] for r in singles), sum(r["n"] for r in singles)
-        discount = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.75
-        keys = np.unique(np.concatenate([tokens.token, [_BEGIN]]))
-        c, types = _concat([r["x"] for r in singles]), _concat([r["y"] for r in singles])
-        word, state = np.searchsorted(keys, tokens.token), np.searchsorted(keys, tokens.before)
-        order, runs, arc = _grouped(tokens.bigrams)
-        begin, end = np.searchsorted(keys, [_BEGIN, _END])
-        example = order[runs]
-        automaton = BackoffAutomaton.of(c, types, int(c[end]), int(begin), word[example], state[example], _concat([r["x"] for r in pairs]), discount, total, distinct)
-        at = tokens.first[:-1]
-        known = np.add.reduceat((c[word] > 0).astype(np.int64), at)
-        base = np.add.reduceat(np.log10(c + 0.5)[word], at) - np.diff(tokens.first) * math.log10(total + 0.5 * (distinct + 1))
-        score = np.add.reduceat(automaton.traverse(state, word, arc), at)
-        new = [np.diff(tokens.first), known, np.full(docs.num_rows, total), base, score]
-        return pa.table([docs[c] for c in names] + [pa.array(x) for x in new], names + [c.split()[0] for c in SCORES.split(", ")])
+        grams = _Grams.of(docs, order)
+        keys, places = grams.distinct()
+        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        every = np.concatenate([X.unpack(r["x"], "<i8") for r in rows])
+        total, distinct = sum(r["m"] for r in rows), sum(r["n"] for r in rows)
+        grams.keys.clear()
+        first, counts, context, suffix, local = grams.first, {}, {}, {}, {}
+        words, begins, is_first = None, 0, np.zeros(int(first[-1]), bool)
+        is_first[first[:-1]] = True
+        for k, place in enumerate(places, 1):  # numbers by order, from 0
+            some = np.flatnonzero(place >= 0)
+            numbers = np.full(len(keys), -1, np.int64)
+            numbers[place[some]] = 0
+            used = np.flatnonzero(numbers == 0)
+            numbers[used] = np.arange(len(used))
+            own = np.where(place >= 0, numbers[place], -1)
+            example = np.zeros(len(used), np.int64)
+            example[own[some]] = some
+            counts[k], local[k] = every[used], own
+            if k == 1:
+                words, begins = len(used), int(every[place[first[1] - 1]])
+            else:
+                before = local[k - 1][example - 1]
+                context[k] = np.where(is_first[example], words, before) if k == 2 else before
+                suffix[k] = local[k - 1][example]
+        automaton = BackoffAutomaton.of(counts, context, suffix, begins, total, distinct)
+        at, word = first[:-1], local[1]
+        known = np.add.reduceat((counts[1] > 0).astype(np.int64)[word], at)
+        base = np.add.reduceat(np.log10(counts[1] + 0.5)[word], at) - np.diff(first) * math.log10(total + 0.5 * (distinct + 1))
+        score = np.add.reduceat(automaton.traverse(local, first), at)
+        columns = [np.diff(first), known, np.full(docs.num_rows, total), base, score]
+        return pa.table([docs[c] for c in names] + [pa.array(x) for x in columns], names + new)
 
     return run
 
 
-def score_texts(docs: DataFrame, train: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), order: int = ORDER) -> DataFrame:
     """keep columns with n_tokens, n_known, train_tokens, base_score and score of each row; the rows where ``train`` holds make the model."""
-    n = X.parts(docs.sparkSession)
+    if clash := set(keep) & {*(c.split()[0] for c in SCORES.split(", ")), _TEXT, _TRAIN}:
+        raise ValueError(f"keep has columns that are made: {sorted(clash)}")
+    n = X.blocks_for(docs, text)
     slim = docs.select(*keep, F.col(text).alias(_TEXT), F.coalesce(train, F.lit(True)).alias(_TRAIN))
     blocks = X.in_blocks(slim, [*keep, _TEXT], n)
-    pairs = X.answer(X.ask(blocks, _ask_bigrams, n), _answer_bigrams, n)
-    asked = blocks.groupBy(X.BLOCK).cogroup(pairs.groupBy("block")).applyInArrow(_ask_words(n), X.REQUEST)
-    singles = X.answer(asked.repartitionById(n, "bucket"), _answer_words, n).withColumn("bucket", F.col("bucket") + n)
-    answers = pairs.unionByName(singles).repartitionById(n, "block")
+    answers = X.answer(X.ask(blocks, _ask(order), n), _reply, n)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name in keep)
-    return blocks.groupBy(X.BLOCK).cogroup(answers.groupBy("block")).applyInArrow(_score(list(keep), n), f"{kept}, {SCORES}")
+    return X.finish(blocks, answers, _score(list(keep), order), f"{kept}, {SCORES}")
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -212,8 +258,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", *[c.split()[0] for c in SCORES.split(", ")])
 
 
-def brute_force(rows: list[tuple]) -> list[tuple]:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) by dictionaries, for tests."""
+def brute_force(rows: list[tuple], order: int = ORDER, prior: dict[int, float] = PRIOR) -> list[tuple]:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) by dictionaries and the recursive formula, for tests."""
     import re
     import zlib
     from collections import Counter
@@ -221,22 +267,27 @@ def brute_force(rows: list[tuple]) -> list[tuple]:
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = [[*re.findall("[^\x20\x09-\x0d]+", (t or "").translate(lower)), None] for _, t in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows]
-    one = Counter(w for t, h in zip(texts, held, strict=True) if not h for w in t)
-    two = Counter(p for t, h in zip(texts, held, strict=True) if not h for p in zip(["<s>", *t], t))
-    context, types = Counter(), Counter()
-    for (v, _), k in two.items():
-        context[v] += k
-        types[v] += 1
-    once, twice = (sum(k == i for k in two.values()) for i in (1, 2))
-    d = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.75
-    total, z = sum(one.values()), sum(one.values()) + 0.5 * (len(one) + 1)
+    count, context = Counter(), Counter()
+    for t, h in zip(texts, held, strict=True):
+        padded = ["<s>", *t]
+        for i in range(0 if h else len(t)):
+            for k in range(1, min(order, i + 2) + 1):
+                gram = tuple(padded[i + 2 - k : i + 2])
+                count[gram] += 1
+                context[gram[:-1]] += 1
+    total, distinct = context[()], sum(len(g) == 1 for g in count)
+
+    def p(h: tuple, w) -> float:
+        if not h:
+            return (count[w,] + 0.5) / (total + 0.5 * (distinct + 1))
+        lower_p = p(h[1:], w)
+        m = prior[len(h)]
+        return (count[*h, w] + m * lower_p) / (context[h] + m) if context[h] else lower_p
+
     out = []
     for (doc_id, _), t, h in zip(rows, texts, held, strict=True):
-        score = 0.0
-        for v, w in zip(["<s>", *t], t):
-            p = (one[w] + 0.5) / z
-            if context[v]:
-                p = max(two[v, w] - d, 0) / context[v] + d * types[v] / context[v] * p
-            score += math.log10(p)
-        out.append((doc_id, h, len(t), sum(one[w] > 0 for w in t), total, sum(math.log10((one[w] + 0.5) / z) for w in t), score))
+        padded = ["<s>", *t]
+        score = sum(math.log10(p(tuple(padded[max(0, i + 2 - order) : i + 1]), w)) for i, w in enumerate(t))
+        base = sum(math.log10(p((), w)) for w in t)
+        out.append((doc_id, h, len(t), sum(count[w,] > 0 for w in t), total, base, score))
     return out

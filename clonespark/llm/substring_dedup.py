@@ -1,13 +1,15 @@
 """Removal of word passages that occur more than once, by level-wise doubling.
 
-The windows of ``base`` words that repeat anywhere are found first (``window`` halved, rounded up).
-A window of twice that length is a candidate only where both of its halves repeat, so each
-level asks about survivors alone, until the wanted length is reached or no candidate survives. The last doubling
-overlaps its halves so that it ends at exactly ``window`` words. Each level is one exact look-up of
-64-bit window hashes over the whole corpus (exchange.py), with another seed at each level.
+The windows of ``BASE`` words that repeat anywhere are found first. A window of twice that length is a candidate only where both of its
+halves repeat, so each level asks about survivors alone, until the wanted length is reached; where no candidate survives a level, the
+following ones ask about nothing. The last doublings overlap their halves so that they end at exactly ``window`` words. Each level is one exact
+look-up over the whole corpus (exchange.py) of 64-bit window hashes with a seed of its own. A false match of a level before the last
+merely makes a candidate more. At the last level windows are equal only if a digest of 128 further bits is too, which is made from
+other hashes of their words' bytes.
 
 Null and empty texts have no words. A window lies within one document; windows are judged on the
-input. Rows that repeat (same id or not) count as separate occurrences. Other columns are kept as they are.
+input. Rows that repeat (same id or not) count as separate occurrences. Texts are handled whole, whatever their length. Other columns are kept as they are,
+but for those of the names that are made.
 """
 
 from __future__ import annotations
@@ -24,104 +26,161 @@ from clonespark.llm import arrowtext as A
 from clonespark.llm import exchange as X
 from clonespark.llm.columns import rest, slim, whole
 
-WINDOW = 35
+WINDOW, BASE = 35, 9
 
 
-def levels(window: int, base: int | None = None) -> list[int]:
-    """Window lengths from the base to the window, each at most twice the one before."""
+def levels(window: int, base: int = BASE) -> list[int]:
+    """Window lengths from the base (or less) to the window, each at most twice the one before.
+
+    >>> levels(35), levels(35, 5)
+    ([9, 18, 35], [5, 9, 18, 35])
+    """
     sizes = [window]
-    while sizes[0] > (base or (window + 1) // 2):
+    while sizes[0] > base:
         sizes.insert(0, (sizes[0] + 1) // 2)
     return sizes
 
 
+class _Block:
+    """A block's words, their hashes by seed, and its windows."""
+
+    def __init__(self, docs: pa.Table) -> None:
+        self.words = A.split_words(*A.column_bytes(docs["text"]))
+
+    def hashes(self, seed: int) -> np.ndarray:
+        return A.hash_spans(self.words.data, self.words.starts, self.words.ends, seed)
+
+    def windows(self, size: int, level: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, hashes) of the windows of a level, or of those that start at the words ``among``."""
+        at, keys = A.window_hashes(self.hashes(level), self.words.first, size, seed=level + 1)
+        if among is not None:
+            keep = among[at]
+            at, keys = at[keep], keys[keep]
+        return at, keys
+
+    def digests(self, size: int, at: np.ndarray) -> np.ndarray:
+        """Two more hashes of the windows that start at the words ``at``, (windows, 2)."""
+        out = np.empty((len(at), 2), np.uint64)
+        for k, seed in enumerate((0x5851F42D, 0x14057B7E)):
+            every, keys = A.window_hashes(self.hashes(seed), self.words.first, size, seed=seed)
+            out[:, k] = keys[np.searchsorted(every, at)]
+        return out
+
+
+def _same(keys: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key and digest, whether each equals the one before it in that order)."""
+    order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more[:, 1], more[:, 0], keys))
+    keys = keys[order]
+    same = np.zeros(len(keys), bool)
+    same[1:] = keys[1:] == keys[:-1]
+    if more is not None:
+        more = more[order]
+        same[1:] &= (more[1:] == more[:-1]).all(1)
+    return order, same
+
+
 class _Passes:
     """What a block does at each level, from its words and the answers to the level before."""
 
     def __init__(self, sizes: list[int]) -> None:
         self.sizes = sizes
 
-    def words(self, docs: pa.Table) -> tuple[A.Words, np.ndarray]:
-        words = A.split_words(*A.column_bytes(docs["text"]))
-        return words, A.hash_spans(words.data, words.starts, words.ends)
-
-    def repeats(self, words: A.Words, h: np.ndarray, answers: pa.Table, level: int) -> np.ndarray:
+    def repeats(self, block: _Block, answers: pa.Table, level: int, among: np.ndarray | None = None) -> np.ndarray:
         """By word, whether the window of this level that starts there repeats: the answers hold the block's repeated candidates."""
-        hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(X.unpack_sorted, answers["x"].to_pylist())]))
-        found = np.zeros(len(h) + 1, bool)
-        if len(hot):
-            at, keys = A.window_hashes(h, words.first, self.sizes[level], seed=level + 1)
-            found[at[hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys]] = True
+        rows = sorted(answers.select(["bucket", "x", "y"]).to_pylist(), key=lambda r: r["bucket"])
+        hot = np.concatenate([np.zeros(0, np.uint64), *(X.unpack_sorted(r["x"]) for r in rows)])
+        found = np.zeros(len(block.words.starts) + 1, bool)
+        if not len(hot):
+            return found
+        at, keys = block.windows(self.sizes[level], level, among)
+        place = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+        match = hot[place] == keys
+        if level == len(self.sizes) - 1:
+            at, place, keys = at[match], place[match], keys[match]
+            own, known = block.digests(self.sizes[level], at), np.concatenate([_pairs(r["y"]) for r in rows])
+            match = (own == known[place]).all(1)
+            if (hot[1:] == hot[:-1]).any():  # windows of one key and several digests
+                every = set(zip(hot.tolist(), map(tuple, known.tolist()), strict=True))
+                match = np.array([(k, tuple(d)) in every for k, d in zip(keys.tolist(), own.tolist(), strict=True)], bool)
+        found[at[match]] = True
         return found
 
-    def request(self, words: A.Words, h: np.ndarray, level: int, repeated: np.ndarray | None) -> tuple[np.ndarray, dict]:
-        """The candidates of a level; repeated: by word, whether the window of the level before repeats."""
-        size = self.sizes[level]
-        at, keys = A.window_hashes(h, words.first, size, seed=level + 1)
-        if repeated is not None:
-            keys = keys[repeated[at] & repeated[at + size - self.sizes[level - 1]]]
-        keys = np.sort(keys)
-        fresh = np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]])
-        return keys[fresh], {"a": (np.diff(np.append(np.flatnonzero(fresh), len(keys))) > 1).astype(np.uint8)}
-
-    def following(self, level: int, n: int):
-        """The requests of a level, from a block's documents and the answers to the level before."""
+    def candidates(self, block: _Block, answers: pa.Table, level: int) -> np.ndarray:
+        """By word, whether both halves of the window of a level that starts there repeat."""
+        size, half = self.sizes[level], self.sizes[level - 1]
+        repeated = self.repeats(block, answers, level - 1)
+        second = np.zeros_like(repeated)
+        second[: max(len(repeated) - (size - half), 0)] = repeated[size - half :]
+        return repeated & second
 
-        def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-            def request(table: pa.Table) -> tuple[np.ndarray, dict]:
-                words, h = self.words(table)
-                return self.request(words, h, level, self.repeats(words, h, answers, level - 1))
+    def request(self, block: _Block, level: int, among: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+        """The distinct candidates of a level, with a: whether each is there more than once in the block, b: at the last level the digests."""
+        at, keys = block.windows(self.sizes[level], level, among)
+        last = level == len(self.sizes) - 1
+        more = block.digests(self.sizes[level], at) if last else None
+        order, same = _same(keys, more)
+        fresh = np.flatnonzero(~same)
+        twice = (np.diff(np.append(fresh, len(keys))) > 1).astype(np.uint8)
+        return keys[order[fresh]], {"a": twice} | ({"b": np.ascontiguousarray(more[order[fresh]]).view("V16").ravel()} if last else {})
 
-            return X.cogrouped(docs, request, n)
 
-        return run
+def _pairs(data: bytes | None) -> np.ndarray:
+    return np.ascontiguousarray(X.unpack(data, "V16")).view(np.uint64).reshape(-1, 2)
 
 
 def _reply(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
-    """x: the request's keys that repeat, within its block or between blocks."""
-    own = [np.frombuffer(r["a"] or b"", np.uint8) > 0 for r in rows]
-    every = np.sort(np.concatenate(keys))
-    twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[o] for k, o in zip(keys, own, strict=True))]))
-    hot = [k[twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k] if len(twice) else k[:0] for k in keys]
-    return [{"x": X.pack_sorted(k), "y": None, "m": len(k), "n": None} for k in hot]
-
+    """x: the request's keys that repeat, within its block or between blocks; y: their digests, where the requests have them."""
+    own = np.concatenate([np.frombuffer(r["a"] or b"", np.uint8) > 0 for r in rows])
+    more = np.concatenate([_pairs(r["b"]) for r in rows]) if any(r["b"] for r in rows) else None
+    order, same = _same(np.concatenate(keys), more)
+    group = np.cumsum(~same) - 1
+    hot = np.zeros(len(order), bool)
+    if len(order):
+        n = np.bincount(group)
+        hot[order] = (n[group] > 1) | (np.bincount(group, own[order], len(n))[group] > 0)
+    ends, out = np.cumsum([len(k) for k in keys]), []
+    for k, stop in zip(keys, ends, strict=True):
+        mine = hot[stop - len(k) : stop]
+        digest = X.pack(np.ascontiguousarray(more[stop - len(k) : stop][mine]).view("V16").ravel()) if more is not None else None
+        out.append({"x": X.pack_sorted(k[mine]), "y": digest, "m": int(mine.sum()), "n": None})
+    return out
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int | None = None) -> DataFrame:
-    """docs with kept_text (kept words, one space between), n_words and n_removed, for a column ``text``; other columns stay (but for any of these names).
 
-    >>> levels(35), levels(35, 5)
-    ([18, 35], [5, 9, 18, 35])
-    """
-    n, sizes = X.parts(docs.sparkSession), levels(window, base)
+def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
+    """docs with kept_text (kept words, one space between), n_words and n_removed, for a column ``text``; other columns stay (but for any of these names)."""
+    sizes = levels(window, base)
     passes = _Passes(sizes)
     names = [c for c in ("doc_id", "text") if c in docs.columns]
-    blocks = X.in_blocks(slim(docs, *names), names, n)
+    n = X.blocks_for(docs)
+    rows = slim(docs, *names)
+    blocks = X.in_blocks(rows, names, n)
+    answers = X.answer(X.ask(blocks, lambda docs: passes.request(_Block(docs), 0), n), _reply, n)
+    for level in range(1, len(sizes)):
 
-    def first(table: pa.Table) -> tuple[np.ndarray, dict]:
-        return passes.request(*passes.words(table), 0, None)
+        def following(docs: pa.Table, known: pa.Table, level: int = level) -> tuple[np.ndarray, dict]:
+            block = _Block(docs)
+            return passes.request(block, level, passes.candidates(block, known, level))
 
-    answers = X.answer(X.ask(blocks, first, n), _reply, n)
-    for level in range(1, len(sizes)):
-        asked = blocks.groupBy(X.BLOCK).cogroup(answers.groupBy("block")).applyInArrow(passes.following(level, n), X.REQUEST)
-        answers = X.answer(asked.repartitionById(n, "bucket"), _reply, n)
+        answers = X.answer(X.ask_again(blocks, answers, following, n), _reply, n)
     more = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    kept = [f for f in blocks.schema.fields if f.name != X.BLOCK]
-
-    def finish(table: pa.Table, known: pa.Table) -> pa.Table:
-        A.release()
-        words, h = passes.words(table)
-        found = passes.repeats(words, h, known, len(sizes) - 1)
-        starts = np.flatnonzero(found[: len(h)])
-        edge = np.zeros(len(h) + 1, np.int64)
+    kept = list(rows.schema.fields)
+
+    def make(table: pa.Table, known: pa.Table) -> pa.Table:
+        block = _Block(table)
+        words = block.words
+        found = passes.repeats(block, known, len(sizes) - 1)
+        total = len(words.starts)
+        starts = np.flatnonzero(found[:total])
+        edge = np.zeros(total + 1, np.int64)
         np.add.at(edge, starts, 1)
-        np.add.at(edge, np.minimum(starts + window, len(h)), -1)
+        np.add.at(edge, np.minimum(starts + window, total), -1)
         stays = np.cumsum(edge[:-1]) == 0
         left = np.concatenate([[0], np.cumsum(stays)])[words.first]
         text = A.string_array(*A.joined_words(words, stays))
         new = [text, pa.array(words.counts, pa.int64()), pa.array(words.counts - np.diff(left), pa.int64())]
         return pa.table([table[f.name] for f in kept] + new, [f.name for f in kept] + [m.name for m in more])
 
-    out = blocks.groupBy(X.BLOCK).cogroup(answers.groupBy("block")).applyInArrow(finish, T.StructType(kept + more))
+    out = X.finish(blocks, answers, make, T.StructType(kept + more))
     own = [m.name for m in more]
     return whole(out, [c for c in docs.columns if c not in own] + own)
 

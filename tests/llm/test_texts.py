@@ -4,10 +4,13 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from clonespark.llm import arrowtext as A
+from clonespark.llm import exchange as X
 from clonespark.llm import bpe, lm_scoring, mixing, quality, registry, simhash, substring_dedup, wordpiece
 from clonespark.operators.components import forest
 
@@ -44,20 +47,69 @@ def test_op1_scores(spark, folder, rows):
         assert math.isclose(g[5], w[5], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-9, abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_op1_orders(docs, rows, order):
+    """Chains of failure arcs of any length, from carried states, equal the recursive formula."""
+    got = lm_scoring.score_texts(docs.withColumn("held_out", lm_scoring.fold() == 1), F.expr("not held_out"), keep=("doc_id", "held_out"), order=order).collect()
+    want = lm_scoring.brute_force([r[:2] for r in rows], order)
+    assert np.allclose(sorted(r["score"] for r in got), sorted(w[-1] for w in want), rtol=1e-9)
+
+
+def _automaton(texts, order=3):
+    """The automaton of texts of small numbers (0 is the end), all of them training, and the grams of every token by order."""
+    tokens = [x for t in texts for x in [*t, 0]]
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    padded = [["<s>", *t, 0] for t in texts]
+    numbers, grams, counts = {k: {} for k in range(1, order + 1)}, {}, {}
+    for k in range(1, order + 1):
+        grams[k] = np.array([numbers[k].setdefault(tuple(p[i + 1 - k : i + 1]), len(numbers[k])) if i + 1 >= k else -1 for p in padded for i in range(1, len(p))])
+        counts[k] = np.bincount(grams[k][grams[k] >= 0])
+    context = {k: np.array([numbers[k - 1].get(g[:-1], len(numbers[1])) for g in numbers[k]]) for k in range(2, order + 1)}
+    suffix = {k: np.array([numbers[k - 1][g[1:]] for g in numbers[k]]) for k in range(2, order + 1)}
+    automaton = lm_scoring.BackoffAutomaton.of(counts, context, suffix, len(texts), len(tokens), len(numbers[1]))
+    return automaton, grams, first, numbers
+
+
 def test_op1_states_sum_to_one():
     """The weights of a state's steps over all known words, and the unseen class, as probabilities."""
-    c = np.array([4, 2, 1, 3])  # the last is the end; the first row of ``pairs`` is the context
-    pairs, begin = np.array([[1, 2, 0, 1], [0, 0, 1, 1], [0, 0, 0, 1]]), 4
-    total, distinct = int(c.sum()), len(c)
-    state, word = np.divmod(np.arange(12), 4)
-    context = pairs.sum(1)
-    automaton = lm_scoring.BackoffAutomaton.of(np.append(c, 0), np.append((pairs > 0).sum(1), [0, 1]), 3, begin, word, state, pairs.ravel(), 0.6, total, distinct)
-    weights = 10 ** automaton.traverse(state, word, np.arange(12)).reshape(3, 4)
-    unseen = 10 ** automaton.failure[:3] * 0.5 / (total + 0.5 * (distinct + 1))
-    assert context.tolist() == c[:3].tolist() and np.allclose(weights.sum(1) + unseen, 1)
-
-
-@pytest.mark.parametrize(("window", "base"), [(35, None), (35, 5), (4, None), (1, None)])
+    texts = [[1, 2, 1, 2, 3], [1, 2, 3], [2, 2, 1]]
+    automaton, grams, first, numbers = _automaton(texts)
+    distinct, total = len(numbers[1]), int(first[-1])
+    p1 = {w: 10 ** automaton.weight[1][i] for (w,), i in numbers[1].items()}
+    unseen = 0.5 / (total + 0.5 * (distinct + 1))
+    assert np.isclose(sum(p1.values()) + unseen, 1)
+
+    def p(h, w):
+        if not h:
+            return p1.get(w, unseen)
+        k = len(h)
+        if (g := numbers[k + 1].get((*h, w))) is not None and not np.isnan(automaton.weight[k + 1][g]):
+            return 10 ** automaton.weight[k + 1][g]
+        return 10 ** automaton.failure[k][numbers[k].get(h, len(numbers[1]))] * p(h[1:], w)
+
+    for h in [*numbers[1], *numbers[2]]:
+        if 0 not in h:
+            assert np.isclose(sum(p(h, w) for w in [*p1, "unseen"]), 1)
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 3, 512])
+def test_op1_lanes_carry_their_state(stretch):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, 4, n).tolist() for n in (1, 2, 7, 30, 0, 100)]
+    automaton, grams, first, _ = _automaton(texts)
+    assert np.allclose(automaton.traverse(grams, first, stretch), automaton.traverse(grams, first, 1000))
+
+
+def test_op1_copies_stand_apart(spark):
+    """Of training texts of one kind, those that occur twice score higher by the word."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 500) for _ in range(150)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:50]])], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_scoring.score_texts(table, F.lit(True)).collect()}
+    assert max(got[i] for i in range(50, 150)) < np.quantile([got[i] for i in range(50)], 0.3)
+
+
+@pytest.mark.parametrize(("window", "base"), [(35, 9), (35, 18), (35, 5), (4, 9), (3, 1), (1, 1)])
 def test_op4_removes_what_repeats(docs, rows, window, base):
     got = substring_dedup.remove_repeats(docs, window, base)
     assert got.columns[-3:] == ["kept_text", "n_words", "n_removed"]
@@ -65,8 +117,35 @@ def test_op4_removes_what_repeats(docs, rows, window, base):
     assert found == ordered(substring_dedup.brute_force([r[:2] for r in rows], window))
 
 
+@pytest.mark.parametrize("colliding", ["words", "windows"])
+def test_op4_false_matches_are_found_out(rows, colliding, monkeypatch):
+    """With hashes that collide all the time, the digests of the last level tell windows apart."""
+    if colliding == "words":  # the plain seeds see a word's size alone
+        plain = A.hash_spans
+        monkeypatch.setattr(A, "hash_spans", lambda data, starts, ends, seed=0: plain(data, starts, ends, seed) if seed > 100 else (ends - starts).astype(np.uint64))
+    else:
+        plain_windows = A.window_hashes
+        monkeypatch.setattr(A, "window_hashes", lambda h, first, k, seed=0: (lambda at, keys: (at, keys if seed > 100 else keys % np.uint64(3)))(*plain_windows(h, first, k, seed)))
+    texts = [t or "" for _, t, _ in rows]
+    passes = substring_dedup._Passes(substring_dedup.levels(35))
+    blocks = [substring_dedup._Block(pa.table({"text": texts[i::2]})) for i in range(2)]
+    answers = None
+    for level in range(3):
+        asked = [passes.request(b, level, None if not level else passes.candidates(b, a, level)) for b, a in zip(blocks, answers or [None] * 2)]
+        replies = substring_dedup._reply([k for k, _ in asked], [{c: X.pack(v) for c, v in ({"b": None} | more).items() if v is not None} | ({} if "b" in more else {"b": None}) for _, more in asked])
+        answers = [pa.table({"bucket": [0], "x": pa.array([r["x"]], pa.binary()), "y": pa.array([r["y"]], pa.binary())}) for r in replies]
+    want = substring_dedup.brute_force([r[:2] for r in rows])
+    removed = [0] * len(rows)
+    for i, (b, a) in enumerate(zip(blocks, answers)):
+        found = np.flatnonzero(passes.repeats(b, a, 2))
+        gone = {w for f in found for w in range(f, f + 35)}
+        for d in range(len(b.words.first) - 1):
+            removed[2 * d + i] = sum(w in gone for w in range(b.words.first[d], b.words.first[d + 1]))
+    assert removed == [w[2] for w in want]
+
+
 def test_op4_levels():
-    assert substring_dedup.levels(35) == [18, 35] and substring_dedup.levels(35, 5) == [5, 9, 18, 35] and substring_dedup.levels(1) == [1]
+    assert substring_dedup.levels(35) == [9, 18, 35] and substring_dedup.levels(35, 5) == [5, 9, 18, 35] and substring_dedup.levels(1) == [1]
 
 
 def test_op4_stage_keeps_rows_and_columns(docs):
