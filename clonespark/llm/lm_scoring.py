@@ -40,7 +40,7 @@ _TRAIN, _TEXT = "_train", "_text"
 SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 ORDER = 3
 #: The prior's weight, in tokens, by the number of words of the context.
-PRIOR = {1: 40.0, 2: 4.0, 3: 2.0, 4: 2.0}
+PRIOR = {1: 400.0, 2: 4.0, 3: 2.0, 4: 2.0}
 #: Tokens of a text that are traversed by one lane; a longer text is several lanes, each from the state that the one before it ends in.
 STRETCH = 512
 
