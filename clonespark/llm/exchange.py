@@ -89,42 +89,69 @@ def by_bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def ask(blocks: DataFrame, request: Callable[[pa.Table], tuple[np.ndarray, dict]], n: int) -> DataFrame:
-    """One row for each block and bucket. request(rows) -> (sorted distinct keys, {column: array aligned with the keys})."""
+#: keys: runs of sorted keys, delta coded; runs: their lengths; a, b: payloads, aligned with the keys or not.
+REQUEST = "bucket int, block int, keys binary, runs array<long>, a binary, b binary"
+#: x: one value for each key, in the request's order; m, n: of the bucket.
+ANSWER = "block int, bucket int, level int, x binary, m long, n long"
+_REQUEST = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("runs", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary())])
+_ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("level", pa.int32()), ("x", pa.binary()), ("m", pa.int64()), ("n", pa.int64())])
+#: What a block asks for: sorted runs of keys, each with arrays aligned with it by payload.
+Runs = list[tuple[np.ndarray, dict[str, np.ndarray]]]
+
+
+def _requests(block: int, runs: Runs, n: int) -> Iterator[pa.RecordBatch]:
+    cuts = [by_bucket(keys, n) for keys, _ in runs]
+    made: dict[str, list] = {c: [] for c in ("keys", "runs", "a", "b")}
+    for i in range(n):
+        spans = [slice(c[i], c[i + 1]) for c in cuts]
+        made["keys"].append(b"".join(pack_sorted(keys[s]) for (keys, _), s in zip(runs, spans, strict=True)))
+        made["runs"].append([s.stop - s.start for s in spans])
+        for c in "ab":
+            made[c].append(pack(np.concatenate([more[c][s] for (_, more), s in zip(runs, spans, strict=True)])) if c in runs[0][1] else None)
+    cols = [np.arange(n, dtype=np.int32), np.full(n, block, np.int32), *made.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _REQUEST, strict=True)], schema=_REQUEST)
+
+
+def in_bucket_order(runs: Runs, values: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """By run, the values that the answers of the buckets 0..n hold, one array each: as the run's keys are ordered."""
+    cuts = [by_bucket(keys, n) for keys, _ in runs]
+    out = [[] for _ in runs]
+    for i, x in enumerate(values):
+        at = 0
+        for own, c in zip(out, cuts, strict=True):
+            own.append(x[at : (at := at + c[i + 1] - c[i])])
+    return [np.concatenate(own) for own in out]
+
+
+def by_level(answers: pa.Table) -> dict[int, list[dict]]:
+    """The answers of each level, in the order of buckets."""
+    out: dict[int, list[dict]] = {}
+    for r in sorted(answers.to_pylist(), key=lambda r: (r["level"], r["bucket"])):
+        out.setdefault(r["level"], []).append(r)
+    return out
+
+
+def ask(blocks: DataFrame, request: Callable[[pa.Table], Runs], n: int) -> DataFrame:
+    """One row for each block and bucket, of what request(rows) asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if got:
             table = pa.Table.from_batches(got)
-            yield from _requests(table["block"][0].as_py(), *request(rows_of(table["rows"])), n)
+            yield from _requests(table["block"][0].as_py(), request(rows_of(table["rows"])), n)
             A.release()
 
     return blocks.mapInArrow(run, REQUEST).repartitionById(n, "bucket")
 
 
-#: Two aligned payloads are enough for all users.
-REQUEST = "bucket int, block int, keys binary, a binary, b binary"
-ANSWER = "block int, bucket int, x binary, y binary, m long, n long"
-_REQUEST = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("m", pa.int64()), ("n", pa.int64())])
-
-
-def _requests(block: int, keys: np.ndarray, more: dict[str, np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
-    cut = by_bucket(keys, n)
-    spans = list(zip(cut[:-1], cut[1:], strict=True))
-    cols = [np.arange(n, dtype=np.int32), np.full(n, block, np.int32), [pack_sorted(keys[i:j]) for i, j in spans]]
-    cols += [[pack(more[c][i:j]) for i, j in spans] if c in more else [None] * n for c in "ab"]
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _REQUEST, strict=True)], schema=_REQUEST)
-
-
-def ask_again(blocks: DataFrame, answers: DataFrame, request: Callable[[pa.Table, pa.Table], tuple[np.ndarray, dict]], n: int) -> DataFrame:
+def ask_again(blocks: DataFrame, answers: DataFrame, request: Callable[[pa.Table, pa.Table], Runs], n: int) -> DataFrame:
     """The same from a block's rows and the answers to what it asked before: request(rows, answers)."""
 
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
         A.release()
         if not rows.num_rows:
             return _REQUEST.empty_table()
-        return pa.Table.from_batches(_requests(rows["block"][0].as_py(), *request(rows_of(rows["rows"]), known), n), _REQUEST)
+        return pa.Table.from_batches(_requests(rows["block"][0].as_py(), request(rows_of(rows["rows"]), known), n), _REQUEST)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, REQUEST).repartitionById(n, "bucket")
 
@@ -144,18 +171,20 @@ def finish(blocks: DataFrame, answers: DataFrame, make: Callable[[pa.Table, pa.T
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kind)
 
 
-def answer(requests: DataFrame, reply: Callable, n: int) -> DataFrame:
-    """reply(list of (keys, row)) -> list of {"x": bytes, "y": bytes, "m": int, "n": int}, one for each request of the bucket."""
+def answer(requests: DataFrame, reply: Callable[[list[np.ndarray], list[dict]], list[dict]], n: int, level: int = 0) -> DataFrame:
+    """reply(keys, rows) -> one {"x": bytes, "m": int, "n": int} for each request of the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         if not rows:
             return
-        keys = [unpack_sorted(r["keys"]) for r in rows]
+        keys = []
         for r in rows:
+            at = np.cumsum([0, *r["runs"]]) * 8
+            keys.append(np.concatenate([unpack_sorted(r["keys"][i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]))
             r["keys"] = None
         out = reply(keys, rows)
-        yield pa.RecordBatch.from_pylist([{"block": r["block"], "bucket": r["bucket"]} | o for r, o in zip(rows, out, strict=True)], schema=_ANSWER)
+        yield pa.RecordBatch.from_pylist([{"block": r["block"], "bucket": r["bucket"], "level": level, "m": None, "n": None} | o for r, o in zip(rows, out, strict=True)], schema=_ANSWER)
         A.release()
 
     return requests.mapInArrow(run, ANSWER).repartitionById(n, "block")

@@ -84,32 +84,31 @@ class _Grams:
         train = np.repeat(np.asarray(docs[_TRAIN].combine_chunks().fill_null(True)), np.diff(first))
         return cls(keys, first, train)
 
-    def distinct(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(all distinct keys, sorted, without 0; by order the place of each token's gram among them, -1 for none)."""
-        places, parts = [], []
-        for keys in self.keys:
+    def distinct(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By order: (distinct keys, sorted, without 0; the place of each token's gram among them, -1 for none)."""
+        out = []
+        while self.keys:
+            keys = self.keys.pop(0)
             order = np.argsort(keys)
             ranked = keys[order]
             fresh = np.ones(len(keys), bool)
             fresh[1:] = ranked[1:] != ranked[:-1]
+            own = ranked[fresh]
+            none = int(len(own) > 0 and own[0] == 0)
             place = np.empty(len(keys), np.int64)
-            place[order] = np.cumsum(fresh) - 1
-            places.append(place)
-            parts.append(ranked[fresh])
-        every = np.unique(np.concatenate([p[p != 0] for p in parts]))
-        for k, part in enumerate(parts):
-            where = np.searchsorted(every, part)
-            where[part == 0] = -1
-            places[k] = where[places[k]]
-        return every, places
+            place[order] = np.cumsum(fresh) - 1 - none
+            out.append((own[none:], place))
+        return out
 
 
 def _ask(order: int):
-    def request(docs: pa.Table) -> tuple[np.ndarray, dict]:
+    def request(docs: pa.Table) -> X.Runs:
         grams = _Grams.of(docs, order)
-        keys, places = grams.distinct()
-        seen = sum(np.bincount(p[grams.train & (p >= 0)], minlength=len(keys)) for p in places)
-        return keys, {"a": seen.astype(np.uint32)}
+        runs = []
+        for keys, place in grams.distinct():
+            seen = np.bincount(place[grams.train & (place >= 0)], minlength=len(keys))
+            runs.append((keys, {"a": seen.astype(np.uint32)}))
+        return runs
 
     return request
 
@@ -119,7 +118,7 @@ def _reply(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
     distinct, sums, places = X.totals(keys, [X.unpack(r["a"], "<u4") for r in rows])
     word = (distinct & U64(1)) > 0
     tokens, words = int(sums[word].sum()), int((sums[word] > 0).sum())
-    return [{"x": X.pack(sums[p]), "y": None, "m": tokens, "n": words} for p in places]
+    return [{"x": X.pack(sums[p].astype("<u8")), "m": tokens, "n": words} for p in places]
 
 
 @dataclass
@@ -200,30 +199,24 @@ def _score(names: list[str], order: int):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         grams = _Grams.of(docs, order)
-        keys, places = grams.distinct()
-        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-        every = np.concatenate([X.unpack(r["x"], "<i8") for r in rows])
+        first, found = grams.first, grams.distinct()
+        rows = X.by_level(answers)[0]
         total, distinct = sum(r["m"] for r in rows), sum(r["n"] for r in rows)
-        grams.keys.clear()
-        first, counts, context, suffix, local = grams.first, {}, {}, {}, {}
-        words, begins, is_first = None, 0, np.zeros(int(first[-1]), bool)
+        answered = X.in_bucket_order([(keys, {}) for keys, _ in found], [X.unpack(r["x"], "<i8") for r in rows], len(rows))
+        counts = dict(enumerate(answered, 1))
+        local = {k: place for k, (_, place) in enumerate(found, 1)}
+        words, begins = len(counts[1]), int(counts[1][local[1][first[1] - 1]])
+        is_first = np.zeros(int(first[-1]), bool)
         is_first[first[:-1]] = True
-        for k, place in enumerate(places, 1):  # numbers by order, from 0
-            some = np.flatnonzero(place >= 0)
-            numbers = np.full(len(keys), -1, np.int64)
-            numbers[place[some]] = 0
-            used = np.flatnonzero(numbers == 0)
-            numbers[used] = np.arange(len(used))
-            own = np.where(place >= 0, numbers[place], -1)
-            example = np.zeros(len(used), np.int64)
-            example[own[some]] = some
-            counts[k], local[k] = every[used], own
-            if k == 1:
-                words, begins = len(used), int(every[place[first[1] - 1]])
-            else:
-                before = local[k - 1][example - 1]
-                context[k] = np.where(is_first[example], words, before) if k == 2 else before
-                suffix[k] = local[k - 1][example]
+        context, suffix = {}, {}
+        for k in range(2, order + 1):
+            some = np.flatnonzero(local[k] >= 0)
+            example = np.zeros(len(counts[k]), np.int64)
+            example[local[k][some]] = some
+            before = local[k - 1][example - 1]
+            context[k] = np.where(is_first[example], words, before) if k == 2 else before
+            suffix[k] = local[k - 1][example]
+        del found, answered
         automaton = BackoffAutomaton.of(counts, context, suffix, begins, total, distinct)
         at, word = first[:-1], local[1]
         known = np.add.reduceat((counts[1] > 0).astype(np.int64)[word], at)

@@ -61,8 +61,15 @@ class _Block:
     def digests(self, size: int, at: np.ndarray) -> np.ndarray:
         """Two more hashes of the windows that start at the words ``at``, (windows, 2)."""
         out = np.empty((len(at), 2), np.uint64)
+        starts, ends = self.words.starts, self.words.ends
+        edge = np.zeros(len(starts) + 1, np.int32)
+        edge[at] += 1
+        np.add.at(edge, at + size, -1)
+        covered = np.flatnonzero(np.cumsum(edge[:-1]))
+        h = np.zeros(len(starts), np.uint64)
         for k, seed in enumerate((0x5851F42D, 0x14057B7E)):
-            every, keys = A.window_hashes(self.hashes(seed), self.words.first, size, seed=seed)
+            h[covered] = A.hash_spans(self.words.data, starts[covered], ends[covered], seed)
+            every, keys = A.window_hashes(h, self.words.first, size, seed=seed)
             out[:, k] = keys[np.searchsorted(every, at)]
         return out
 
@@ -80,70 +87,58 @@ def _same(keys: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.nda
 
 
 class _Passes:
-    """What a block does at each level, from its words and the answers to the level before."""
+    """What a block does at each level. It asks for its distinct candidates in the order of their keys, and an answer is one bit for each of them;
+    so a block makes its candidates again from the first level on, as the answers so far tell which survived."""
 
     def __init__(self, sizes: list[int]) -> None:
         self.sizes = sizes
 
-    def repeats(self, block: _Block, answers: pa.Table, level: int, among: np.ndarray | None = None) -> np.ndarray:
-        """By word, whether the window of this level that starts there repeats: the answers hold the block's repeated candidates."""
-        rows = sorted(answers.select(["bucket", "x", "y"]).to_pylist(), key=lambda r: r["bucket"])
-        hot = np.concatenate([np.zeros(0, np.uint64), *(X.unpack_sorted(r["x"]) for r in rows)])
-        found = np.zeros(len(block.words.starts) + 1, bool)
-        if not len(hot):
-            return found
+    def _asked(self, block: _Block, level: int, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+        """(first words, keys, digests) of the candidates in the order of keys and digests, (places of the distinct ones, numbers of each among these)."""
         at, keys = block.windows(self.sizes[level], level, among)
-        place = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-        match = hot[place] == keys
-        if level == len(self.sizes) - 1:
-            at, place, keys = at[match], place[match], keys[match]
-            own, known = block.digests(self.sizes[level], at), np.concatenate([_pairs(r["y"]) for r in rows])
-            match = (own == known[place]).all(1)
-            if (hot[1:] == hot[:-1]).any():  # windows of one key and several digests
-                every = set(zip(hot.tolist(), map(tuple, known.tolist()), strict=True))
-                match = np.array([(k, tuple(d)) in every for k, d in zip(keys.tolist(), own.tolist(), strict=True)], bool)
-        found[at[match]] = True
+        more = block.digests(self.sizes[level], at) if level == len(self.sizes) - 1 else None
+        order, same = _same(keys, more)
+        return at[order], keys[order], None if more is None else more[order], np.flatnonzero(~same), np.cumsum(~same) - 1
+
+    def repeats(self, block: _Block, answers: pa.Table) -> np.ndarray:
+        """By word, whether the window of the last answered level that starts there repeats."""
+        among = None
+        for level, rows in X.by_level(answers).items():
+            if level:
+                among = self._candidates(found, level)
+            at, keys, _, fresh, number = self._asked(block, level, among)
+            bits = [np.unpackbits(np.frombuffer(r["x"], np.uint8), count=r["m"]) for r in rows]
+            hot = X.in_bucket_order([(keys[fresh], {})], bits, len(rows))[0] > 0
+            found = np.zeros(len(block.words.starts) + 1, bool)
+            found[at[hot[number]]] = True
         return found
 
-    def candidates(self, block: _Block, answers: pa.Table, level: int) -> np.ndarray:
+    def _candidates(self, repeated: np.ndarray, level: int) -> np.ndarray:
         """By word, whether both halves of the window of a level that starts there repeat."""
-        size, half = self.sizes[level], self.sizes[level - 1]
-        repeated = self.repeats(block, answers, level - 1)
+        step = self.sizes[level] - self.sizes[level - 1]
         second = np.zeros_like(repeated)
-        second[: max(len(repeated) - (size - half), 0)] = repeated[size - half :]
+        second[: max(len(repeated) - step, 0)] = repeated[step:]
         return repeated & second
 
-    def request(self, block: _Block, level: int, among: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+    def request(self, block: _Block, level: int, answers: pa.Table | None = None) -> X.Runs:
         """The distinct candidates of a level, with a: whether each is there more than once in the block, b: at the last level the digests."""
-        at, keys = block.windows(self.sizes[level], level, among)
-        last = level == len(self.sizes) - 1
-        more = block.digests(self.sizes[level], at) if last else None
-        order, same = _same(keys, more)
-        fresh = np.flatnonzero(~same)
+        _, keys, more, fresh, _ = self._asked(block, level, self._candidates(self.repeats(block, answers), level) if level else None)
         twice = (np.diff(np.append(fresh, len(keys))) > 1).astype(np.uint8)
-        return keys[order[fresh]], {"a": twice} | ({"b": np.ascontiguousarray(more[order[fresh]]).view("V16").ravel()} if last else {})
-
-
-def _pairs(data: bytes | None) -> np.ndarray:
-    return np.ascontiguousarray(X.unpack(data, "V16")).view(np.uint64).reshape(-1, 2)
+        return [(keys[fresh], {"a": twice} | ({} if more is None else {"b": np.ascontiguousarray(more[fresh]).view("V16").ravel()}))]
 
 
 def _reply(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
-    """x: the request's keys that repeat, within its block or between blocks; y: their digests, where the requests have them."""
+    """x: one bit for each of the request's keys, whether it repeats, within its block or between blocks."""
     own = np.concatenate([np.frombuffer(r["a"] or b"", np.uint8) > 0 for r in rows])
-    more = np.concatenate([_pairs(r["b"]) for r in rows]) if any(r["b"] for r in rows) else None
-    order, same = _same(np.concatenate(keys), more)
+    digests = [np.ascontiguousarray(X.unpack(r["b"], "V16")).view(np.uint64).reshape(-1, 2) for r in rows if r["b"]]
+    order, same = _same(np.concatenate(keys), np.concatenate(digests) if digests else None)
     group = np.cumsum(~same) - 1
     hot = np.zeros(len(order), bool)
     if len(order):
         n = np.bincount(group)
         hot[order] = (n[group] > 1) | (np.bincount(group, own[order], len(n))[group] > 0)
-    ends, out = np.cumsum([len(k) for k in keys]), []
-    for k, stop in zip(keys, ends, strict=True):
-        mine = hot[stop - len(k) : stop]
-        digest = X.pack(np.ascontiguousarray(more[stop - len(k) : stop][mine]).view("V16").ravel()) if more is not None else None
-        out.append({"x": X.pack_sorted(k[mine]), "y": digest, "m": int(mine.sum()), "n": None})
-    return out
+    ends = np.cumsum([len(k) for k in keys])
+    return [{"x": np.packbits(hot[stop - len(k) : stop]).tobytes(), "m": len(k)} for k, stop in zip(keys, ends, strict=True)]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
@@ -157,18 +152,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
     answers = X.answer(X.ask(blocks, lambda docs: passes.request(_Block(docs), 0), n), _reply, n)
     for level in range(1, len(sizes)):
 
-        def following(docs: pa.Table, known: pa.Table, level: int = level) -> tuple[np.ndarray, dict]:
-            block = _Block(docs)
-            return passes.request(block, level, passes.candidates(block, known, level))
+        def following(docs: pa.Table, known: pa.Table, level: int = level) -> X.Runs:
+            return passes.request(_Block(docs), level, known)
 
-        answers = X.answer(X.ask_again(blocks, answers, following, n), _reply, n)
+        answers = answers.unionByName(X.answer(X.ask_again(blocks, answers, following, n), _reply, n, level)).repartitionById(n, "block")
     more = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     kept = list(rows.schema.fields)
 
     def make(table: pa.Table, known: pa.Table) -> pa.Table:
         block = _Block(table)
         words = block.words
-        found = passes.repeats(block, known, len(sizes) - 1)
+        found = passes.repeats(block, known)
         total = len(words.starts)
         starts = np.flatnonzero(found[:total])
         edge = np.zeros(total + 1, np.int64)

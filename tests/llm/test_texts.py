@@ -129,15 +129,16 @@ def test_op4_false_matches_are_found_out(rows, colliding, monkeypatch):
     texts = [t or "" for _, t, _ in rows]
     passes = substring_dedup._Passes(substring_dedup.levels(35))
     blocks = [substring_dedup._Block(pa.table({"text": texts[i::2]})) for i in range(2)]
-    answers = None
+    answers = [[], []]
     for level in range(3):
-        asked = [passes.request(b, level, None if not level else passes.candidates(b, a, level)) for b, a in zip(blocks, answers or [None] * 2)]
-        replies = substring_dedup._reply([k for k, _ in asked], [{c: X.pack(v) for c, v in ({"b": None} | more).items() if v is not None} | ({} if "b" in more else {"b": None}) for _, more in asked])
-        answers = [pa.table({"bucket": [0], "x": pa.array([r["x"]], pa.binary()), "y": pa.array([r["y"]], pa.binary())}) for r in replies]
+        asked = [passes.request(b, level, pa.Table.from_pylist(a) if a else None)[0] for b, a in zip(blocks, answers)]
+        replies = substring_dedup._reply([k for k, _ in asked], [{"b": None} | {c: X.pack(v) for c, v in more.items()} for _, more in asked])
+        for a, r in zip(answers, replies):
+            a.append({"level": level, "bucket": 0} | r)
     want = substring_dedup.brute_force([r[:2] for r in rows])
     removed = [0] * len(rows)
     for i, (b, a) in enumerate(zip(blocks, answers)):
-        found = np.flatnonzero(passes.repeats(b, a, 2))
+        found = np.flatnonzero(passes.repeats(b, pa.Table.from_pylist(a)))
         gone = {w for f in found for w in range(f, f + 35)}
         for d in range(len(b.words.first) - 1):
             removed[2 * d + i] = sum(w in gone for w in range(b.words.first[d], b.words.first[d + 1]))
