@@ -31,6 +31,7 @@ _ODD = U64(0x9E3779B97F4A7C15)
 
 def release() -> None:
     """Give freed memory back to the system at the end of a task, as Python workers live on."""
+    _known_powers.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -165,6 +166,21 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return example, which
 
 
+_BASE = 0xD1342543DE82EF95
+#: The powers of the base and of its inverse that were needed last.
+_known_powers: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _known_powers or not n <= len(_known_powers[0]) <= max(4 * n, 1 << 16):
+        _known_powers.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            powers = np.full(n, U64(base), U64)
+            powers[0] = 1
+            _known_powers.append(np.multiply.accumulate(powers))
+    return _known_powers[0][:n], _known_powers[1][:n]
+
+
 def window_hashes(h: np.ndarray, first: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of all windows of k consecutive items within one document.
 
@@ -173,10 +189,7 @@ def window_hashes(h: np.ndarray, first: np.ndarray, k: int, seed: int = 0) -> tu
     n = len(h)
     if n < k:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    base, inverse = U64(0xD1342543DE82EF95), U64(pow(0xD1342543DE82EF95, -1, 1 << 64))
-    powers, back = np.full(n, base, U64), np.full(n, inverse, U64)
-    powers[0] = back[0] = 1
-    powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
+    powers, back = _powers(n)
     total = np.zeros(n + 1, U64)
     np.cumsum(mix64(h + U64(seed)) * powers, out=total[1:])
     ends = np.repeat(first[1:], np.diff(first))

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def in_blocks(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     dealt = df.select(F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(n)).cast("int").alias("_to"), *[F.col(f"`{c}`") for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeezed = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for b in batches:
             to = np.asarray(b.column(0))
             order = np.argsort(to, kind="stable")
@@ -50,7 +51,7 @@ def in_blocks(df: DataFrame, keys: list[str], n: int) -> DataFrame:
             blocks, first = np.unique(to[order], return_index=True)
             packed = []
             for i, j in zip(first.tolist(), [*first[1:].tolist(), len(to)], strict=True):
-                with pa.ipc.new_stream(sink := pa.BufferOutputStream(), rows.schema, options=squeezed) as stream:
+                with pa.ipc.new_stream(sink := pa.BufferOutputStream(), rows.schema, options=options) as stream:
                     stream.write_batch(rows.slice(i, j - i))
                 packed.append(sink.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([x.to_pybytes() for x in packed], pa.binary())], names=["block", "rows"])
@@ -65,13 +66,13 @@ def rows_of(column: pa.ChunkedArray) -> pa.Table:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Bytes by place rather than by value, so that the shuffle's compression finds the empty places."""
+    """Bytes by place rather than by value, so that compression finds the places that are empty or take few values."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes() if len(values) else b""
 
 
-def unpack(data: bytes | None, dtype: str) -> np.ndarray:
+def unpack(data: bytes, dtype: str) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    raw = np.frombuffer(data or b"", np.uint8)
+    raw = np.frombuffer(data, np.uint8)
     return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(dtype).ravel()
 
 
@@ -79,10 +80,18 @@ def pack_sorted(keys: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=U64(0)))
 
 
-def unpack_sorted(data: bytes | None) -> np.ndarray:
+def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, "<u8"), dtype=U64)
 
 
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data) if data else b""
+
+
+def opened(data: bytes | None) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data) if data else b""
+
+
 def by_bucket(keys: np.ndarray, n: int) -> np.ndarray:
     """Limits of the buckets 0..n in sorted keys; a bucket is a range of the upper 32 bits."""
     edges = np.array([-(-(b << 32) // n) for b in range(1, n)], U64) << U64(32)
@@ -104,10 +113,10 @@ def _requests(block: int, runs: Runs, n: int) -> Iterator[pa.RecordBatch]:
     made: dict[str, list] = {c: [] for c in ("keys", "runs", "a", "b")}
     for i in range(n):
         spans = [slice(c[i], c[i + 1]) for c in cuts]
-        made["keys"].append(b"".join(pack_sorted(keys[s]) for (keys, _), s in zip(runs, spans, strict=True)))
+        made["keys"].append(squeezed(b"".join(pack_sorted(keys[s]) for (keys, _), s in zip(runs, spans, strict=True))))
         made["runs"].append([s.stop - s.start for s in spans])
         for c in "ab":
-            made[c].append(pack(np.concatenate([more[c][s] for (_, more), s in zip(runs, spans, strict=True)])) if c in runs[0][1] else None)
+            made[c].append(squeezed(pack(np.concatenate([more[c][s] for (_, more), s in zip(runs, spans, strict=True)]))) if c in runs[0][1] else None)
     cols = [np.arange(n, dtype=np.int32), np.full(n, block, np.int32), *made.values()]
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _REQUEST, strict=True)], schema=_REQUEST)
 
@@ -127,7 +136,7 @@ def by_level(answers: pa.Table) -> dict[int, list[dict]]:
     """The answers of each level, in the order of buckets."""
     out: dict[int, list[dict]] = {}
     for r in sorted(answers.to_pylist(), key=lambda r: (r["level"], r["bucket"])):
-        out.setdefault(r["level"], []).append(r)
+        out.setdefault(r["level"], []).append(r | {"x": opened(r["x"])})
     return out
 
 
@@ -181,9 +190,12 @@ def answer(requests: DataFrame, reply: Callable[[list[np.ndarray], list[dict]],
         keys = []
         for r in rows:
             at = np.cumsum([0, *r["runs"]]) * 8
-            keys.append(np.concatenate([unpack_sorted(r["keys"][i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]))
-            r["keys"] = None
+            run = opened(r["keys"])
+            keys.append(np.concatenate([unpack_sorted(run[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]))
+            r["keys"], r["a"], r["b"] = None, opened(r["a"]), opened(r["b"])
         out = reply(keys, rows)
+        for o in out:
+            o["x"] = squeezed(o["x"])
         yield pa.RecordBatch.from_pylist([{"block": r["block"], "bucket": r["bucket"], "level": level, "m": None, "n": None} | o for r, o in zip(rows, out, strict=True)], schema=_ANSWER)
         A.release()
 

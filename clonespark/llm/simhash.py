@@ -10,9 +10,12 @@ x and e. A fingerprint is sent once to each bucket that has variants of it, and
 variants itself: 8 bytes a bucket in place of up to 33 variants. Buckets grow in number with the
 fingerprints, and a bucket works through its variants in slices of bounded size.
 
+A text that very many rows share is one fingerprint with many rows, and a large component one root with many fingerprints. Both are joined with
+a stored table that has one row for each, so Spark broadcasts that table or splits the hot partitions (adaptive skew joins).
+
 Null and empty texts, and texts of white space only, have fingerprint zero and link like any other. Texts of fewer than
 four words have one shingle, all their words. Repeated rows share a fingerprint; a null doc_id is never
-the smallest unless its component has no other (then component_id is null).
+the smallest unless its component has no other (then component_id is null). Texts are hashed whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonespark.llm import arrowtext as A
@@ -33,7 +36,7 @@ from clonespark.plans.lineage import stored
 
 U64 = np.uint64
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-#: Variants that a bucket handles at once, and that a bucket should have altogether.
+#: Variants that a task handles at once, and that a bucket should have altogether.
 SLICE, BUCKET = 1 << 20, 1 << 26
 #: Bytes of text handled at once.
 CHUNK = 1 << 21
@@ -103,19 +106,26 @@ def syndrome(x: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _emit(bits: int, radius: int):
-    """To each bucket one packed array of the batch's fingerprints that have variants in it."""
+def messages(x: np.ndarray, bits: int, radius: int, slice_: int = SLICE) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(buckets, packed fingerprints of x that have variants in each), over and over; about ``slice_`` of them at once."""
+    reach = np.unique(syndrome(ball(radius), bits))
+    own = syndrome(x, bits)
+    step = max(1, slice_ // max(len(x), 1))
+    for i in range(0, len(reach) if len(x) else 0, step):
+        bucket = (own[:, None] ^ reach[None, i : i + step]).ravel()
+        order = np.argsort(bucket, kind="stable")
+        ranked = bucket[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        which = x[order // min(step, len(reach) - i)].tobytes()
+        ends = np.append(first[1:], len(ranked)).tolist()
+        yield ranked[first], [which[8 * j : 8 * k] for j, k in zip(first.tolist(), ends, strict=True)]
+
 
+def _emit(bits: int, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = np.unique(syndrome(ball(radius), bits))
         for b in batches:
-            x = np.asarray(b.column(0)).view(U64)
-            own = syndrome(x, bits)
-            bucket = (own[:, None] ^ reach[None, :]).ravel()
-            order = np.argsort(bucket, kind="stable")
-            which = np.repeat(x, len(reach))[order]
-            at, first = np.unique(bucket[order], return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([p.tobytes() for p in np.split(which, first[1:])], pa.binary())], names=["bucket", "fps"])
+            for buckets, packed in messages(np.asarray(b.column(0)).view(U64), bits, radius):
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "fps"])
 
     return run
 
@@ -172,11 +182,15 @@ def _collide(bits: int, radius: int):
     return run
 
 
+def bits_for(n: int, radius: int) -> int:
+    """The bits that number the buckets of n fingerprints."""
+    return max(6, int(n * len(ball(radius)) // BUCKET).bit_length())
+
+
 def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges (src, dst) whose components are those of all links of ``max_bits`` or fewer between the distinct fingerprints ``_fp``."""
     radius = (max_bits + 1) // 2
-    n = distinct.count()
-    bits = max(6, int(n * len(ball(radius)) // BUCKET).bit_length())
+    bits = bits_for(distinct.count(), radius)
     sent = distinct.select("_fp").mapInArrow(_emit(bits, radius), "bucket int, fps binary")
     return sent.repartitionById(1 << bits, "bucket").mapInArrow(_collide(bits, radius), "src long, dst long")
 
@@ -188,7 +202,8 @@ def _components(prints: DataFrame, max_bits: int = MAX_BITS, doc_id: str = "doc_
         raise ValueError("an odd number of bits would need two radii")
     roots = connected_components(near_links(distinct, max_bits))
     named = distinct.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a stored table, so that the join can split the partition of a root with very many fingerprints
+    smallest, _ = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     return named.join(smallest, "root").select("_fp", "root", "component_id")
 
 
@@ -204,21 +219,23 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, by: str = "component_id") -> DataFrame:
-    """documents without near copies: of each component one row of its least doc_id stays, and only a row that is in the component.
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """documents without near copies: of each component one row stays, that of the least doc_id; rows without an id come after all others.
 
-    Where an id repeats with different texts, it may be the least of several components. by: "root" keeps a row for each of
-    these components, "component_id" one row for the id. Of several rows the least hash of the text stays.
-    Rows without an id all stay, as nothing tells which is the component's own.
+    Of several rows of that id in the component the least hash of the text stays, and of rows that are equal in id and text the first
+    as JSON. An id that repeats with different texts may stay once in each of several components.
     """
     key = F.xxhash64("text").alias("_key")  # with the id, it tells which row a fingerprint is of
     prints, _ = stored(fingerprints(docs.select("doc_id", "text", key)), "fingerprints")
-    components, _ = stored(_components(prints), "components")
-    own = prints.join(components, "_fp").where("doc_id = component_id").groupBy(by).agg(F.min("doc_id").alias("doc_id"), F.min("_key").alias("_key"))
-    rows = slim(docs, "doc_id", "text").where("doc_id is not null").withColumn("_key", key)
-    rank = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("text"))
-    once = rows.join(own.select("doc_id", "_key"), ["doc_id", "_key"], "left_semi").withColumn("_rank", rank).where("_rank = 1")
-    return whole(once.drop("_rank", "_key"), docs.columns).unionByName(docs.where("doc_id is null"))
+    components, _ = stored(_components(prints).select("_fp", "root"), "components")
+    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_key"))
+    own = prints.join(components, "_fp").groupBy("root").agg(best.alias("_best")).select(F.col("_best.doc_id").alias("_id"), F.col("_best._key").alias("_own"))
+    rows = slim(docs, "doc_id", "text").withColumn("_key", key)
+    kept = rows.join(own.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_own")), "left_semi")
+    # aggregated before it is shuffled, as very many rows may be equal
+    row = F.struct(*[c for c in kept.columns if c != "_key"])
+    one = kept.groupBy("doc_id", "_key").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return whole(one, docs.columns)
 
 
 def brute_force(rows: list[tuple], max_bits: int = MAX_BITS) -> list[tuple]:

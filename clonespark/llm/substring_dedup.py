@@ -3,7 +3,7 @@
 The windows of ``BASE`` words that repeat anywhere are found first. A window of twice that length is a candidate only where both of its
 halves repeat, so each level asks about survivors alone, until the wanted length is reached; where no candidate survives a level, the
 following ones ask about nothing. The last doublings overlap their halves so that they end at exactly ``window`` words. Each level is one exact
-look-up over the whole corpus (exchange.py) of 64-bit window hashes with a seed of its own. A false match of a level before the last
+look-up over the whole corpus (exchange.py) of 64-bit window hashes. A false match of a level before the last
 merely makes a candidate more. At the last level windows are equal only if a digest of 128 further bits is too, which is made from
 other hashes of their words' bytes.
 
@@ -42,17 +42,15 @@ def levels(window: int, base: int = BASE) -> list[int]:
 
 
 class _Block:
-    """A block's words, their hashes by seed, and its windows."""
+    """A block's words, their hashes, and its windows."""
 
     def __init__(self, docs: pa.Table) -> None:
         self.words = A.split_words(*A.column_bytes(docs["text"]))
-
-    def hashes(self, seed: int) -> np.ndarray:
-        return A.hash_spans(self.words.data, self.words.starts, self.words.ends, seed)
+        self.hashes = A.hash_spans(self.words.data, self.words.starts, self.words.ends)
 
     def windows(self, size: int, level: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(first words, hashes) of the windows of a level, or of those that start at the words ``among``."""
-        at, keys = A.window_hashes(self.hashes(level), self.words.first, size, seed=level + 1)
+        at, keys = A.window_hashes(self.hashes, self.words.first, size, seed=level + 1)
         if among is not None:
             keep = among[at]
             at, keys = at[keep], keys[keep]
@@ -93,12 +91,8 @@ class _Passes:
     def __init__(self, sizes: list[int]) -> None:
         self.sizes = sizes
 
-    def _asked(self, block: _Block, level: int, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
-        """(first words, keys, digests) of the candidates in the order of keys and digests, (places of the distinct ones, numbers of each among these)."""
-        at, keys = block.windows(self.sizes[level], level, among)
-        more = block.digests(self.sizes[level], at) if level == len(self.sizes) - 1 else None
-        order, same = _same(keys, more)
-        return at[order], keys[order], None if more is None else more[order], np.flatnonzero(~same), np.cumsum(~same) - 1
+    def _last(self, level: int) -> bool:
+        return level == len(self.sizes) - 1
 
     def repeats(self, block: _Block, answers: pa.Table) -> np.ndarray:
         """By word, whether the window of the last answered level that starts there repeats."""
@@ -106,11 +100,17 @@ class _Passes:
         for level, rows in X.by_level(answers).items():
             if level:
                 among = self._candidates(found, level)
-            at, keys, _, fresh, number = self._asked(block, level, among)
-            bits = [np.unpackbits(np.frombuffer(r["x"], np.uint8), count=r["m"]) for r in rows]
-            hot = X.in_bucket_order([(keys[fresh], {})], bits, len(rows))[0] > 0
+            at, keys = block.windows(self.sizes[level], level, among)
             found = np.zeros(len(block.words.starts) + 1, bool)
-            found[at[hot[number]]] = True
+            bits = [np.unpackbits(np.frombuffer(r["x"], np.uint8), count=r["m"]) for r in rows]
+            if self._last(level):
+                order, same = _same(keys, block.digests(self.sizes[level], at))
+                hot = X.in_bucket_order([(keys[order][~same], {})], bits, len(rows))[0] > 0
+                found[at[order][hot[np.cumsum(~same) - 1]]] = True
+            else:
+                distinct, _ = _distinct(keys)
+                hot = distinct[X.in_bucket_order([(distinct, {})], bits, len(rows))[0] > 0]
+                found[at[_among(keys, hot)]] = True
         return found
 
     def _candidates(self, repeated: np.ndarray, level: int) -> np.ndarray:
@@ -122,14 +122,35 @@ class _Passes:
 
     def request(self, block: _Block, level: int, answers: pa.Table | None = None) -> X.Runs:
         """The distinct candidates of a level, with a: whether each is there more than once in the block, b: at the last level the digests."""
-        _, keys, more, fresh, _ = self._asked(block, level, self._candidates(self.repeats(block, answers), level) if level else None)
-        twice = (np.diff(np.append(fresh, len(keys))) > 1).astype(np.uint8)
-        return [(keys[fresh], {"a": twice} | ({} if more is None else {"b": np.ascontiguousarray(more[fresh]).view("V16").ravel()}))]
+        at, keys = block.windows(self.sizes[level], level, self._candidates(self.repeats(block, answers), level) if level else None)
+        if not self._last(level):
+            distinct, n = _distinct(keys)
+            return [(distinct, {"a": (n > 1).astype(np.uint8)})]
+        more = block.digests(self.sizes[level], at)
+        order, same = _same(keys, more)
+        n = np.diff(np.append(np.flatnonzero(~same), len(keys)))
+        return [(keys[order][~same], {"a": (n > 1).astype(np.uint8), "b": np.ascontiguousarray(more[order][~same]).view("V16").ravel()})]
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct keys, sorted; how often each is there)."""
+    ranked = np.sort(keys)
+    fresh = np.ones(len(ranked), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    return ranked[fresh], np.diff(np.append(np.flatnonzero(fresh), len(ranked)))
+
+
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the keys that are among the wanted (sorted) ones."""
+    bit = np.zeros(1 << 20, bool)  # by the upper 20 bits, most others are told at once
+    bit[(wanted >> np.uint64(44)).astype(np.int64)] = True
+    at = np.flatnonzero(bit[(keys >> np.uint64(44)).astype(np.int64)])
+    return at[wanted[np.minimum(np.searchsorted(wanted, keys[at]), max(len(wanted) - 1, 0))] == keys[at]] if len(at) else at
 
 
 def _reply(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
     """x: one bit for each of the request's keys, whether it repeats, within its block or between blocks."""
-    own = np.concatenate([np.frombuffer(r["a"] or b"", np.uint8) > 0 for r in rows])
+    own = np.concatenate([np.frombuffer(r["a"], np.uint8) > 0 for r in rows])
     digests = [np.ascontiguousarray(X.unpack(r["b"], "V16")).view(np.uint64).reshape(-1, 2) for r in rows if r["b"]]
     order, same = _same(np.concatenate(keys), np.concatenate(digests) if digests else None)
     group = np.cumsum(~same) - 1

@@ -21,17 +21,17 @@ def _good(spark, rows, folder):
 
 
 def _without_copies(rows):
-    """Of each component one row of its least id, and all rows without an id."""
+    """Of each component one row of its least id; ids come before rows without one."""
     prints = [int(f, 16) for _, f, _ in simhash.brute_force([r[:2] for r in rows])]
     root = {p: p for p in prints}
     for _ in prints:  # the least fingerprint that links lead to
         root = {p: min(root[q] for q in root if (p ^ q).bit_count() <= 4) for p in root}
-    out = [r for r in rows if r[0] is None]
+    out = []
     for c in set(root.values()):
-        own = [r for r, p in zip(rows, prints, strict=True) if root[p] == c and r[0] is not None]
-        least = [r for r in own if r[0] == min(x[0] for x in own)]
-        assert len(set(least)) <= 1, "the fixture leaves no choice"
-        out += least[:1]
+        own = [r for r, p in zip(rows, prints, strict=True) if root[p] == c]
+        least = min((r[0] is None, r[0]) for r in own)[1]
+        assert len({r for r in own if r[0] == least}) == 1, "the fixture leaves no choice"
+        out.append(next(r for r in own if r[0] == least))
     return out
 
 

@@ -26,6 +26,7 @@ def test_each_component_keeps_its_own_row(spark, repeated):
     assert sorted((r["doc_id"], r["note"]) for r in got.collect()) == sorted([*OWN, (9, "clean"), (9, "clean too")])
 
 
-def test_an_id_keeps_a_row_of_its_own_component(repeated):
-    got = [(r["doc_id"], r["note"]) for r in simhash.one_of_each(repeated).collect()]
-    assert sorted(x for x in got if x[0] != 9) == sorted(OWN) and len(got) == len(OWN) + 1
+def test_rows_without_an_id_are_copies_too(spark):
+    rows = [(None, _text(3), "a"), (None, _text(3), "b"), (5, _text(3), "of 5"), (None, _text(6), "x"), (None, _text(6) + "\n", "y"), (None, None, "none"), (None, "", "none")]
+    got = [tuple(r) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, note string")).collect()]
+    assert len(got) == 3 and (5, _text(3), "of 5") in got and sorted(r[2] in "xy" for r in got) == [False, False, True]

@@ -122,7 +122,7 @@ def test_op4_false_matches_are_found_out(rows, colliding, monkeypatch):
     """With hashes that collide all the time, the digests of the last level tell windows apart."""
     if colliding == "words":  # the plain seeds see a word's size alone
         plain = A.hash_spans
-        monkeypatch.setattr(A, "hash_spans", lambda data, starts, ends, seed=0: plain(data, starts, ends, seed) if seed > 100 else (ends - starts).astype(np.uint64))
+        monkeypatch.setattr(A, "hash_spans", lambda data, starts, ends, seed=0: plain(data, starts, ends, seed) if seed else (ends - starts).astype(np.uint64))
     else:
         plain_windows = A.window_hashes
         monkeypatch.setattr(A, "window_hashes", lambda h, first, k, seed=0: (lambda at, keys: (at, keys if seed > 100 else keys % np.uint64(3)))(*plain_windows(h, first, k, seed)))
@@ -134,7 +134,7 @@ def test_op4_false_matches_are_found_out(rows, colliding, monkeypatch):
         asked = [passes.request(b, level, pa.Table.from_pylist(a) if a else None)[0] for b, a in zip(blocks, answers)]
         replies = substring_dedup._reply([k for k, _ in asked], [{"b": None} | {c: X.pack(v) for c, v in more.items()} for _, more in asked])
         for a, r in zip(answers, replies):
-            a.append({"level": level, "bucket": 0} | r)
+            a.append({"level": level, "bucket": 0} | r | {"x": X.squeezed(r["x"])})
     want = substring_dedup.brute_force([r[:2] for r in rows])
     removed = [0] * len(rows)
     for i, (b, a) in enumerate(zip(blocks, answers)):
@@ -217,10 +217,43 @@ def test_op9_links_lose_no_pair(bits):
     assert want and all(found.get(i, i) == found.get(j, j) for i, j in want)
 
 
+@pytest.mark.parametrize("bits", [6, 11, 13])
+def test_op9_messages_are_whole_and_bounded(bits):
+    """In slices, every fingerprint still goes to each bucket that has variants of it, and little memory is held."""
+    import tracemalloc
+
+    x = np.random.default_rng(1).integers(0, 1 << 63, 60, dtype=np.uint64)
+    got = {}
+    for buckets, packed in simhash.messages(x, bits, 2, slice_=1 << 10):
+        assert sum(map(len, packed)) <= 8 * max(1 << 10, len(x))
+        for k, p in zip(buckets.tolist(), packed):
+            got.setdefault(k, []).extend(np.frombuffer(p, np.uint64).tolist())
+    balls = simhash.ball(2)
+    want = {}
+    for f in x:
+        for k in np.unique(simhash.syndrome(f ^ balls, bits)).tolist():
+            want.setdefault(k, set()).add(int(f))
+    assert {k: set(v) for k, v in got.items()} == want and all(len(v) == len(set(v)) for v in got.values())
+    tracemalloc.start()
+    for _ in simhash.messages(np.random.default_rng(1).integers(0, 1 << 63, 10_000, dtype=np.uint64), bits, 2):
+        if tracemalloc.get_traced_memory()[1] > 1 << 28:
+            break
+    assert tracemalloc.get_traced_memory()[1] < 1 << 28
+    tracemalloc.stop()
+
+
+def test_op9_many_buckets(spark, folder, rows, monkeypatch):
+    """The regime of large tables: a fingerprint goes to most of 2,048 buckets."""
+    monkeypatch.setattr(simhash, "BUCKET", 1 << 7)
+    assert simhash.bits_for(80, 2) == 11
+    assert ordered(simhash.op9_simhash_near_dedup(spark, folder).collect()) == ordered(simhash.brute_force([r[:2] for r in rows]))
+
+
 def test_op9_stage_keeps_one_of_each(docs, rows):
     kept = [r["doc_id"] for r in simhash.one_of_each(docs).collect()]
     components = {i: c for i, _, c in simhash.brute_force([r[:2] for r in rows]) if i is not None}
-    assert sorted(k for k in kept if k is not None) == sorted(set(components.values())) and kept.count(None) == 2
+    # the two texts of 8 are components of their own; one row without an id has a null text, as row 300
+    assert sorted(k for k in kept if k is not None) == sorted([*set(components.values()), 8]) and kept.count(None) == 1
 
 
 def test_op3_trees_learn_and_flatten():
