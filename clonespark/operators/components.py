@@ -2,7 +2,7 @@
 
 First each partition's edges are replaced by a spanning star forest of them. Then each round is two aggregations and two joins on a node; the edges never leave the executors, and a round's
 edges are a table in the shared folder, so a lost executor costs one round at most. A hub's edges are
-not gathered: its least neighbour comes from an aggregate (combined map-side) and is joined back.
+not gathered: its least neighbour comes from an aggregate (combined map-side), is stored, and is joined back.
 """
 
 from __future__ import annotations
@@ -63,19 +63,30 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(pairs: DataFrame, least: DataFrame, others: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """pairs (src, dst) as (dst, the least of src), without loops, and ``others``; a stored table and its path.
+
+    The least neighbours are a stored table, so the join reads both sides as they are shuffled, and adaptive execution splits the partition of a hub.
+    """
+    table, path = stored(least, "least")
+    moved = pairs.join(table, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    moved = moved if others is None else moved.union(others)
+    out, new = stored(moved.where("src <> dst").distinct(), "star")
+    remove(pairs.sparkSession, path)
+    return out, new
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, str]:
     """Every larger neighbour of a node is linked to the node's least neighbour (or itself)."""
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.least("src", F.min("dst")).alias("m"))
-    return both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
+    return _with_least(both.where("dst > src"), both.groupBy("src").agg(F.least("src", F.min("dst")).alias("m")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, str]:
     """A node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
     least = down.groupBy("src").agg(F.min("dst").alias("m"))
-    moved = down.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-    return moved.union(least.select("src", F.col("m").alias("dst"))).where("src <> dst").distinct()
+    return _with_least(down, least, least.select("src", F.col("m").alias("dst")))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -89,7 +100,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     table, path = stored(_contracted(edges.distinct()), "edges")
     state = _state(table)
     for _ in range(max_rounds):
-        following, new_path = stored(_small_star(_large_star(table)), "edges")
+        large, large_path = _large_star(table)
+        following, new_path = _small_star(large)
+        remove(spark, large_path)
         remove(spark, path)
         before, state, table, path = state, _state(following), following, new_path
         if state == before:

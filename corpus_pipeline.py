@@ -2,7 +2,12 @@
 
 Each stage is one of the operators of ``clonespark.llm`` applied to all that the stage before kept; its result is
 written as a table in the shared folder and read again as the next stage's documents. All stages but the last return the
-columns of ``documents``; the last returns the ids of each document as BPE encodes it, and the text that they decode to.
+columns of ``documents``, and any more that these have, whatever their names; the last returns the ids of each document as BPE encodes it, and
+the text that they decode to.
+
+Null and empty texts are scored as any other, are near copies of each other, have no passages, size 0 (so no copy in the mix unless
+the rate of their source is one or more, or their draw falls below it), and no ids. Rows without an id are near copies too; such a row stays where its component
+has no row with an id. Repeated rows are exact copies, of which one stays. Ties are settled as the operators' docstrings say. An empty table gives one.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, also where groups share an id."""
-    return one_of_each(docs, by="root")
+    return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
