@@ -1,12 +1,14 @@
 """Document quality by histogram gradient-boosted trees over statistics of the text.
 
 The statistics come from whole texts, vectorised over a batch (no label, language, source or id is among them). Trees
-are grown on the driver from a bounded sample of labelled rows (``SAMPLE``, the least hashes of doc_id): features are cut
+are grown on the driver from a bounded sample of labelled documents (at most ``SAMPLE`` ids, and as many distinct rows of theirs, by
+the least hashes): features are cut
 into at most 64 bins at their quantiles, each level's gradient and Hessian sums are one histogram over (node, feature, bin), and
 the best split of each node is read off its cumulative sums. A tree is a complete binary tree in flat arrays, so
 scoring is a few gathers per level for all documents of a batch.
 
-Null and empty texts have statistics of zero and get a score as any other. Labels that are null are not learnt from; of
+Null and empty texts have statistics of zero and get a score as any other; texts are scored whole, whatever their length. Repeated rows get equal
+scores, and are learnt from once. Labels that are null are not learnt from; of
 repeated labels of an id the largest counts. Without labels of both kinds every score is the share of label 1
 (0.5 without labels at all).
 """
@@ -168,10 +170,11 @@ def _mapped(docs: DataFrame, text: str, new: str, columns, keep_text: bool = Fal
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", sample: int = SAMPLE) -> BoostedTrees:
-    """Trees grown from at most ``sample`` labelled rows (doc_id, label) of docs; their statistics are all that the driver gets."""
+    """Trees grown from at most ``sample`` distinct rows of at most ``sample`` labelled ids; their statistics are all that the driver gets."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", text)
-    got = _mapped(rows, text, "_x binary", lambda x: (["_x"], [pa.array([r.tobytes() for r in x], pa.binary())])).orderBy("doc_id", "_x").limit(2 * sample).collect()
+    seen = _mapped(rows, text, "_x binary", lambda x: (["_x"], [pa.array([r.tobytes() for r in x], pa.binary())])).distinct()
+    got = sorted(seen.orderBy(F.xxhash64("doc_id", "_x"), "doc_id", "_x").limit(sample).collect(), key=lambda r: (r["doc_id"], r["_x"]))
     x = np.stack([np.frombuffer(r["_x"]) for r in got]) if got else np.zeros((0, len(NAMES)))
     return fit(x, np.array([float(r["_label"]) for r in got]))
 

@@ -5,13 +5,16 @@ index with each record's offset and length. The reader parses the end of central
 there is one, and the central directory; finds the stored members through their local headers; reads the index; and then
 reads just the records' ranges from the open file. Nothing is extracted.
 
-Files are opened with pyarrow.fs, so the folder can be any file system that pyarrow knows and executors share. A package is
-written under a name of its task attempt and then moved to its final name, so a task that is run again replaces it.
+Files are opened with pyarrow.fs, so the folder can be any file system that pyarrow knows and executors share. Each attempt of a task
+writes packages under names of its own, and the table of (path, records), which Spark commits once, alone says which of them count. So
+an attempt that is lost, repeated or late changes nothing; what it leaves in the folder is in no table. The reader compares a package's number of
+records with the table's.
 
 Of pages with equal payloads of at least ``LEAST`` bytes, the smallest page_id is a response and the others are revisit records
 that refer to it; smaller payloads are always responses. Null html is an empty payload, a null url an
 empty one. Rows that repeat the smallest page_id are all responses. A row without a page_id revisits the smallest id
-of its payload, or is a response if no equal payload has an id.
+of its payload, or is a response if no equal payload has an id. A page is a record whole, whatever its length. Columns other than page_id, url and html are
+not read.
 """
 
 from __future__ import annotations
@@ -213,15 +216,14 @@ def write_packages(pages: DataFrame, folder: str, least: int = LEAST, level: int
         where, root = fs.FileSystem.from_uri(folder)
         where.create_dir(root, recursive=True)
         done: list[tuple[str, int]] = []
+        own = uuid.uuid4().hex  # of this attempt
 
         def close(package: Package) -> None:
-            name = f"pages-{task.partitionId():06d}-{len(done):05d}.zip"
-            part = f"{root}/.{name}.{task.taskAttemptId()}"
-            with where.open_output_stream(part) as out:
+            name = f"pages-{task.partitionId():06d}-{len(done):05d}-{own}.zip"
+            with where.open_output_stream(f"{root}/{name}") as out:
                 buffer = io.BytesIO()
                 package.write(buffer)
                 out.write(buffer.getbuffer())
-            where.move(part, f"{root}/{name}")
             done.append((name, len(package.lines)))
 
         package = Package()
@@ -240,7 +242,10 @@ def write_packages(pages: DataFrame, folder: str, least: int = LEAST, level: int
 
 
 def read_packages(packages: DataFrame, payload: bool = True) -> DataFrame:
-    """The records of the packages in ``path``: RECORDS, and the payload (null for revisits) unless it is not wanted."""
+    """The records of the packages (path, records): RECORDS, and the payload (null for revisits) unless it is not wanted.
+
+    A package with another number of records raises ValueError.
+    """
     names = [f.split()[0] for f in RECORDS.split(", ")] + ["payload"] * payload
     schema = RECORDS + ", payload string" * payload
 
@@ -248,22 +253,24 @@ def read_packages(packages: DataFrame, payload: bool = True) -> DataFrame:
         types = {"page_id": pa.int64(), "refers_to": pa.int64(), "payload_bytes": pa.int64()}
         arrow = pa.schema([(n, types.get(n, pa.string())) for n in names])
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 where, name = fs.FileSystem.from_uri(path)
                 size = where.get_file_info(name).size
                 with where.open_input_file(name) as file:
-                    rows = []
-                    for r in read_package(file, size):
+                    rows, n = [], 0
+                    for n, r in enumerate(read_package(file, size), 1):  # noqa: B007
                         if payload and r["payload"] is not None:
                             r["payload"] = r["payload"].decode()
                         rows.append({n: r[n] for n in names})
                         if len(rows) >= 500:
                             yield pa.RecordBatch.from_pylist(rows, arrow)
                             rows = []
+                    if n != records:
+                        raise ValueError(f"{path}: {n} records, not {records}")
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
     tasks = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packages.select("path").repartition(tasks).mapInArrow(run, schema)
+    return packages.select("path", "records").repartition(tasks).mapInArrow(run, schema)
 
 
 def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
