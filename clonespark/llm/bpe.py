@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from clonespark.llm import arrowtext as A
 
 #: Bytes of text handled at once, of ids and decoded texts returned at once, and of a piece that goes with the others.
-CHUNK, OUT, LONG = 1 << 23, 1 << 22, 64
+CHUNK, OUT, LONG = 1 << 22, 1 << 21, 64
 #: Slots (a power of two) of a worker's cache of tested pairs.
 PAIRS = 1 << 21
 #: The pattern of files of this kind (a fixed value).

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from clonespark.llm import arrowtext as A
 
 U64 = np.uint64
-#: Bytes of texts that a block should have. A block's task needs some 30 times as much memory.
-BLOCK_BYTES = 1 << 24
+#: Bytes of texts that a block should have. A block's task needs some 40 times as much memory.
+BLOCK_BYTES = 1 << 23
 
 
 def parts(spark: SparkSession) -> int:
