@@ -187,7 +187,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.cosine_matches(T.weights(T.tokens(_texts(spark, sf_dir))))
+    return T.cosine_matches(T.stored_weights(_texts(spark, sf_dir)))
 
 
 def _modelled(spark: SparkSession, sf_dir: str, params: Params = _P99) -> tuple[DataFrame, DataFrame]:

@@ -74,9 +74,17 @@ def hamming(a: Column, b: Column, words: int) -> Column:
 
 
 def ngrams(text: Column | str, n: int = 5) -> Column:
-    """The n-grams of the text without ``,`` to ``.``, ``/`` and a white space before ``BD``."""
+    """The n-grams of the text without ``,`` to ``.``, ``/`` and a white space before ``BD``.
+
+    The cleaned text is the element of an array of one, so it is made once for each text and not for each n-gram.
+    """
     clean = F.regexp_replace(text, r"[,-./]|\sBD", "")
-    return F.when(F.length(clean) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(clean) - (n - 1)), lambda i: F.substring(clean, i, F.lit(n))))
+
+    def grams(c: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
+        return F.when(F.length(c) < n, F.array().cast("array<string>")).otherwise(every)
+
+    return F.flatten(F.transform(F.array(clean), grams))
 
 
 def tail(text: Column, window: int, skip: int = 0) -> Column:

@@ -1,8 +1,9 @@
 """Alignment-free clusters: TF-IDF of character n-grams, cosine matches, nearest distances and label propagation.
 
 Cosine matches above a bound use prefix filtering. With the n-grams of all texts in one order, rarest first, a text's prefix
-ends where the rest of its (unit) vector is shorter than the bound; two texts that match share an n-gram of both prefixes. So
-frequent n-grams, which make the most pairs, are mostly never joined on. Candidates are then verified with whole vectors.
+ends where the rest of its (unit) vector is shorter than a share of the bound. What two texts have in common outside both prefixes
+is a product of one's rest, so it adds no more than that length, and only pairs whose prefixes make up for the difference are candidates. So
+frequent n-grams, which make the most pairs, are mostly never joined on. The few candidates are then compared as a whole.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from clonespark.functions import sequences as S
 from clonespark.operators.components import connected_components
+from clonespark.plans.lineage import stored
 
 
 def tokens(texts: DataFrame, window: int = 150, n: int = 5) -> DataFrame:
@@ -23,39 +25,56 @@ def tokens(texts: DataFrame, window: int = 150, n: int = 5) -> DataFrame:
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
     """(gram, df, idf) with idf = ln((1 + N) / (1 + df)) + 1, N the texts that have n-grams."""
-    total = tf.agg(F.countDistinct("id")).first()[0]
-    return tf.groupBy("gram").agg(F.count("*").alias("df")).withColumn("idf", F.ln((1 + F.lit(float(total))) / (1 + F.col("df"))) + 1)
+    total = tf.agg(F.countDistinct("id").cast("double").alias("_n"))
+    counts = tf.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(total))  # one row
+    return counts.select("gram", "df", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def weights(tf: DataFrame, idf: DataFrame | None = None) -> DataFrame:
     """(id, gram, w, df): tf * idf over the text's Euclidean length."""
     idf = document_frequencies(tf) if idf is None else idf
     raw = tf.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    size = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_size"))
-    return raw.join(size, "id").select("id", "gram", (F.col("w") / F.col("_size")).alias("w"), "df")
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))  # a text has as many rows as n-grams in its window
+    return raw.withColumn("_size", size).select("id", "gram", (F.col("w") / F.col("_size")).alias("w"), "df")
+
+
+def stored_weights(texts: DataFrame, window: int = 150, n: int = 5) -> DataFrame:
+    """The weights of texts (id, text) as a table, for the several passes that matching makes over them."""
+    tf, _ = stored(tokens(texts, window, n), "tokens")
+    return stored(weights(tf), "weights")[0]
+
+
+#: Pieces that an n-gram with very many texts is dealt to, and the length, as a share of the bound, of what a prefix leaves of its vector.
+SALTS, REST = 16, 0.6
+
+
+def _prefix(w: DataFrame, rest: float) -> DataFrame:
+    """(id, gram, w) of each text's prefix: its n-grams in the order of (df, gram), up to where the others are no longer than ``rest``."""
+    by = Window.partitionBy("id").orderBy("df", "gram").rowsBetween(0, Window.unboundedFollowing)
+    left = w.withColumn("_left", F.sum(F.col("w") * F.col("w")).over(by))
+    return left.where(F.col("_left") >= rest * rest * (1 - 1e-9)).select("id", "gram", "w") if rest > 0 else w.select("id", "gram", "w")
 
 
 def cosine_matches(left: DataFrame, right: DataFrame | None = None, least: float = 0.5, top: int | None = 1800) -> DataFrame:
     """(i, j, sim) for the pairs of texts whose weights have a product above ``least``; at most ``top`` for each i, best first.
 
     Without a right side the texts match among themselves, each also with itself. Both sides' weights need one idf table.
-    With least = 0 every common n-gram is joined on.
+    With least = 0 every common n-gram is joined on. Weights should be stored (stored_weights), as they are read several times.
+    An n-gram's pairs are dealt to SALTS tasks, so a frequent one is not one task's.
     """
-    own = left if right is None else right
-
-    def prefix(w: DataFrame) -> DataFrame:
-        rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id").orderBy("df", "gram").rowsBetween(0, Window.unboundedFollowing))
-        return w.withColumn("_rest", rest).where(F.col("_rest") >= least * least * (1 - 1e-9)).select("id", "gram") if least > 0 else w.select("id", "gram")
-
-    if right is None:  # each pair once; the other way and the text itself are added below
-        pairs = prefix(left).alias("a").join(prefix(left).alias("b"), F.expr("a.gram = b.gram and a.id < b.id"))
-    else:
-        pairs = prefix(left).alias("a").join(prefix(own).alias("b"), F.expr("a.gram = b.gram"))
-    pairs = pairs.select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
-    a, b = left.select(F.col("id").alias("i"), "gram", F.col("w").alias("_a")), own.select(F.col("id").alias("j"), "gram", F.col("w").alias("_b"))
-    sims = pairs.join(a, "i").join(b, ["j", "gram"]).groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("sim")).where(F.col("sim") > least)
+    own, rest = left if right is None else right, least * REST
+    a = _prefix(left, rest).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).alias("a")
+    b = _prefix(own, rest).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("b")
+    same = "a.gram = b.gram and a._salt = b._salt" + (" and a.id < b.id" if right is None else "")  # each pair once; the other way and the text itself are added below
+    pairs = a.join(b, F.expr(same)).groupBy(F.col("a.id").alias("i"), F.col("b.id").alias("j")).agg(F.sum(F.expr("a.w * b.w")).alias("sim"))
+    if rest > 0:  # what the prefixes leave adds no more than ``rest``, so few pairs are compared as a whole
+        x, y = left.select(F.col("id").alias("i"), "gram", F.col("w").alias("_a")), own.select(F.col("id").alias("j"), "gram", F.col("w").alias("_b"))
+        pairs = pairs.where(F.col("sim") >= (least - rest) * (1 - 1e-9)).select("i", "j")
+        pairs = pairs.join(x, "i").join(y, ["j", "gram"]).groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("sim"))
+    sims = pairs.where(F.col("sim") > least)
     if right is None:
         every = left.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("sim")).select(F.col("id").alias("i"), F.col("id").alias("j"), "sim")
+        sims, _ = stored(sims, "matches")
         sims = sims.unionByName(sims.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim")).unionByName(every)
     if top is None:
         return sims
@@ -127,11 +146,10 @@ def alignment_free(repertoire: DataFrame, negatives: DataFrame, window: int = 15
     """(id, cluster) of a repertoire (id, text), with the threshold from its nearest distances to a negative set (text)."""
     reads = repertoire.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), "text")
     strangers = negatives.select(F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string")).alias("id"), "text")
-    both = tokens(reads.unionByName(strangers), window)
-    w = weights(both)
+    w = stored_weights(reads.unionByName(strangers), window)
     far = cosine_matches(w.where("id like 'r%'"), w.where("id like 'n%'"), 0.0, 5)
     threshold = percentile_threshold(nearest_distance(far, reads), percent).first()[0]
-    matches = cosine_matches(weights(tokens(repertoire, window)))
+    matches = cosine_matches(stored_weights(repertoire, window))
     return greedy_clusters(matches, repertoire, float(threshold)) if greedy else component_clusters(matches, repertoire, float(threshold))
 
 
