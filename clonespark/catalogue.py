@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from clonespark.functions import sequences as S
 from clonespark.functions.offsets import offset_distance_udf
 from clonespark.operators import classes as C
+from clonespark.operators import compare as Q
 from clonespark.operators import convert as V
 from clonespark.operators import evaluate as E
 from clonespark.operators import linkage as L
 from clonespark.operators import mixture as M
 from clonespark.operators import mutations as X
+from clonespark.operators import numbering as N
 from clonespark.operators import spectra as P
 from clonespark.operators import textclone as T
 from clonespark.plans import methods
@@ -104,10 +106,10 @@ classes as (select *, cast(row_number() over (order by sequence_count desc, v_ge
   (select * from sizes union all select 'None', 'None', cdr3_length, cast(sum(sequence_count) as bigint), cast(sum(pair_count) as bigint) from sizes group by cdr3_length))"""
 
 
-def _sample_sql(nmax: int) -> str:
+def _sample_sql(nmax: int, lengths: str = "between 15 and 81") -> str:
     return f"""sample as (select class_id, cdr3_length, sequence_id, cdr3 from (select c.class_id, r.cdr3_length, r.sequence_id, r.cdr3, round(least(sqrt({nmax}.0::double / c.pair_count), 1.0) * c.sequence_count) take,
   row_number() over (partition by c.class_id order by md5('0:' || r.sequence_id), r.sequence_id) rank from rec r join classes c using (v_gene, j_gene, cdr3_length)
-  where c.v_gene <> 'None' and c.pair_count > 0 and c.cdr3_length between 15 and 81 and c.cdr3_length % 3 = 0) where rank <= take)"""
+  where c.v_gene <> 'None' and c.pair_count > 0 and c.cdr3_length {lengths} and c.cdr3_length % 3 = 0) where rank <= take)"""
 
 
 _HIST = "hist as (select a.class_id, a.cdr3_length, cast(hamming(a.cdr3, b.cdr3) as int) d, count(*) n from sample a join sample b on a.class_id = b.class_id and a.sequence_id < b.sequence_id group by all)"
@@ -132,10 +134,10 @@ params as (select c.*, least(rho_poisson, rho_geo) prevalence, error_geo, error_
   coalesce(mu_poisson / cdr3_length, 0.04) effective_mean_distance from classes c left join fits using (class_id) left join errors using (class_id))"""
 
 
-def _thresholds_sql(precision: float, sensitivity: float) -> str:
+def _thresholds_sql(precision: float, sensitivity: float, lengths: str = "between 15 and 81") -> str:
     p = f"({precision}::double - 1e-4::double)"
     return f"""steps as (select class_id, effective_prevalence rho, cdf, sum(pow(effective_mean_distance * cdr3_length, d) * exp(-effective_mean_distance * cdr3_length) / f) over (partition by class_id order by d rows unbounded preceding) cdf1
-  from params join pmf on l = cdr3_length where cdr3_length between 15 and 81 and cdr3_length % 3 = 0),
+  from params join pmf on l = cdr3_length where cdr3_length {lengths} and cdr3_length % 3 = 0),
 ts as (select class_id, count(*) filter (cdf1 < {sensitivity}) s, count(*) filter (cdf / cdf1 < rho / (1 + 1e-5::double - rho) * (1 - {p}) / {p}) - 1 p from steps group by class_id),
 thr as (select params.*, cast(coalesce(least(p, s), cdr3_length // 5) as int) precise_threshold, cast(coalesce(s, cdr3_length // 5) as int) sensitive_threshold from params left join ts using (class_id))"""
 
@@ -165,12 +167,41 @@ _PAIRS = f"""two as (select p.*, p.label precise, s.label sensitive from pre p j
 zs as (select *, {_Z} z from (select a.v_gene, a.j_gene, a.cdr3_length, a.sequence_id a, b.sequence_id b, a.precise pa, b.precise pb, a.sensitive, hamming(a.cdr3, b.cdr3) ham, hamming(a.alt_sequence_alignment, b.alt_sequence_alignment) alt,
   cast(a.mutation_count as double) n1, cast(b.mutation_count as double) n2, a.cdr3_length / 96.0::double * (hamming(a.alt_sequence_alignment, b.alt_sequence_alignment) + 1) exp_n
   from two a join two b on a.v_gene = b.v_gene and a.j_gene = b.j_gene and a.cdr3_length = b.cdr3_length and a.sensitive = b.sensitive and a.precise < b.precise where a.mutation_count > 0 and b.mutation_count > 0))"""
-_FULL = (*_CDR3, _PAIRS, """open_ as (select v_gene, j_gene, cdr3_length from thr where v_gene <> 'None' and precise_threshold < sensitive_threshold and pair_count > 0),
-me as (select distinct pa a, pb b, sensitive from zs join open_ using (v_gene, j_gene, cdr3_length) where z <= 0),
+
+
+def _full_sql(open_: str) -> tuple[str, ...]:
+    """The merge of precise clusters, from pairs (zs), both clusters (two) and the open classes with their thresholds zt."""
+    return (open_, """me as (select distinct pa a, pb b, sensitive from zs join open_ using (v_gene, j_gene, cdr3_length) where z <= zt + 1e-9::double),
 mr as (select distinct precise a, precise b, sensitive from two union select r.a, e.b, r.sensitive from mr r join (select a, b, sensitive from me union all select b, a, sensitive from me) e on r.b = e.a and r.sensitive = e.sensitive),
 ml as (select a precise, sensitive, min(b) root from mr group by all),
 fam as (select two.*, case when open_.v_gene is not null then ml.root else '' end root from two join ml using (precise, sensitive) left join open_ using (v_gene, j_gene, cdr3_length)),
 full_ as (select *, min(sequence_id) over (partition by v_gene, j_gene, cdr3_length, sensitive, root) clone_id from fam)""")
+
+
+_OPEN = "v_gene <> 'None' and precise_threshold < sensitive_threshold and pair_count > 0"
+_FULL = (*_CDR3, _PAIRS, *_full_sql(f"open_ as (select v_gene, j_gene, cdr3_length, 0.0::double zt from thr where {_OPEN})"))
+
+
+def _xy_sql(classes: str, rho: str) -> str:
+    """The exact thresholds of the mutation statistic (found) of classes with a prevalence."""
+    return f"""mc0 as (select v_gene, j_gene, cdr3_length, mutation_count m, count(*) k from rec group by all),
+mc1 as (select c.class_id, c.cdr3_length l, m, k from (select * from mc0 union all select 'None', 'None', cdr3_length, m, sum(k) from mc0 group by cdr3_length, m) join {classes} c using (v_gene, j_gene, cdr3_length)),
+ok as (select class_id, max(m) most from mc1 group by 1 having sum(k) >= 100 and max(m) >= 2),
+mc2 as (select class_id, l, least(m, most - 1) m, sum(k) k from mc1 join ok using (class_id) where m > 0 group by all),
+mc as (select class_id, l, cast(m as double) m, k / sum(k) over (partition by class_id) p from mc2),
+n0s as (select unnest(range(0, 40)) n0),
+zz as (select a.class_id, p0 * a.p * b.p * exp(n0 * ln(a.m * b.m / 96.0) - a.m * b.m / 96.0 - lgamma(n0 + 1)) w, a.l / 96.0::double * (greatest(a.m + b.m - 2 * n0, 0) + 1) en, d, a.l, (n0 - a.m * b.m / 96.0::double) / sqrt(a.m * b.m / 96.0::double) y from mc a join mc b using (class_id) cross join n0s join pmf on pmf.l = a.l),
+zw as (select class_id, z, sum(w) w from (select class_id, round((d - en) / sqrt(en * (l + 96) / 96.0::double) - y, 9) z, w from zz) group by all),
+cum as (select class_id, z, sum(w) over (partition by class_id order by z rows unbounded preceding) c from zw),
+found_xy as (select class_id, min(z) z from cum join {classes} using (class_id) where c > floor(1e6::double * ({rho} / (1 + 1e-5::double - {rho}) * (1 - 0.99::double) / 0.99::double)) / 1e6::double group by 1)"""
+
+
+_FULL_WIDE = (*_CDR3, _PAIRS, _xy_sql("thr", "effective_prevalence"), *_full_sql(f"open_ as (select v_gene, j_gene, cdr3_length, coalesce(z, 0)::double zt from thr left join found_xy using (class_id) where {_OPEN})"))
+_LONG = "between 57 and 144"
+#: Both chains of an id as one record: the light chain is the heavy one with its junction the other way round, for a third of the families.
+_PAIR = (_REC.replace("rec as", "one as"), """k as (select sequence_id, v_gene, j_gene, reverse(substring(junction, 4, length(junction) - 6)) cdr3, cdr3_length, mutation_count from one join rep using (sequence_id) where rep.ground_truth % 3 = 0),
+rec as (select h.sequence_id, h.v_gene || k.v_gene v_gene, h.j_gene || k.j_gene j_gene, h.cdr3_length + k.cdr3_length cdr3_length, h.cdr3 || k.cdr3 cdr3 from one h join k using (sequence_id))""")
+_PAIR_CDR3 = (*_PAIR, _CLASSES, _sample_sql(100_000, _LONG), _HIST, _NULL, _SPINE, _em("geo"), _em("poi"), _FITS, _thresholds_sql(0.99, 0.9, _LONG), _clusters_sql("pre", "thr", "precise_threshold"))
 _LABELLED = "select sequence_id, v_gene, j_gene, cdr3_length, {}"
 _TEXT = r"""txt as (select doc_id id, regexp_replace(substring(text, greatest(length(text) - 150, 0) + 1, 150), '[,-./]|\sBD', '', 'g') s from documents where text is not null),
 tf as (select id, gram, count(*) tf from (select id, unnest(list_transform(range(1, length(s) - 3), lambda i: substring(s, i, 5))) gram from txt) group by all),
@@ -250,6 +281,24 @@ def _join_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return methods.crude(rows).output.select("sequence_id", "clone_id")
 
 
+def _light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rep(spark, sf_dir).where("ground_truth % 3 = 0").withColumn("junction", F.reverse("junction"))
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = {"crude": _crude(spark, sf_dir).withColumnRenamed("crude_method_family", "clone_id"), "cdr3": methods.cdr3(rep(spark, sf_dir), params=_P99).output}
+    return Q.align_models(rep(spark, sf_dir).select("sequence_id"), found)
+
+
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir)
+    words = S.word_count(rows, "cdr3")
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, F.expr("a.ground_truth = b.ground_truth and a.sequence_id < b.sequence_id"))
+    d = S.length_normalised(S.hamming(F.col("a.cdr3"), F.col("b.cdr3"), words), F.col("a.cdr3"), F.col("b.cdr3"))
+    return rounded(pairs.select(F.col("a.sequence_id").alias("a"), F.col("b.sequence_id").alias("b"), d.cast("double").alias("distance")))
+
+
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rep(spark, sf_dir)
     heavy = rows.withColumn("sequence_id", S.clean_id("sequence_id"))
@@ -277,7 +326,7 @@ def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = _nearest(spark, sf_dir).withColumn("distance", F.round("distance", 9)).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")), "id")
-    return rounded(T.specificity_sweep(near, near, [0.5, 1.0, 5.0, 10.0, 50.0], 5000))
+    return rounded(T.specificity_sweep(near, near, [0.5, 1.0, 5.0, 10.0, 50.0], _texts(spark, sf_dir).count()))
 
 
 def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,6 +376,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "xy_threshold_exact": _xy_thresholds(True),
     "xy_threshold_mc": _xy_thresholds(False),
     "full_method": lambda s, d: methods.full(rep(s, d), params=_P99).output.select("sequence_id", "clone_id"),
+    "full_method_wide": lambda s, d: methods.full(wide(s, d), params=_P99).output.select("sequence_id", "clone_id"),
+    "paired_crude": lambda s, d: methods.crude(rep(s, d), light=_light(s, d)).output.select("sequence_id", "clone_id"),
+    "paired_cdr3": lambda s, d: methods.cdr3(rep(s, d), light=_light(s, d), params=_P99).output.select("sequence_id", "clone_id"),
+    "head_of_table": lambda s, d: rep(s, d).orderBy("sequence_id").limit(100),
+    "gene_prefix_keys": lambda s, d: rep(s, d).select("sequence_id", Q.gene_keys().alias("gene_key")),
+    "unique_counts": lambda s, d: Q.unique_counts(rep(s, d), ["v_call", "j_call"]),
+    "unique_inverse": lambda s, d: Q.unique_inverse(rep(s, d), ["v_call", "j_call"]).select("sequence_id", "inverse"),
+    "cluster_numbers": lambda s, d: N.dense_numbers(_crude(s, d).select("sequence_id", "crude_method_family"), ["crude_method_family"]).select("sequence_id", "number"),
+    "models_aligned": _models,
+    "mean_over_seeds": lambda s, d: rounded(Q.mean_over(records(s, d).groupBy("cdr3_length", (F.col("ground_truth") % 5).alias("seed")).agg((F.sum("mutation_count") / F.count("*")).alias("value")), ["cdr3_length"])),
     "result_join_back": _join_back,
     "paired_concat": _paired,
     "pair_precision_sensitivity": lambda s, d: rounded(E.pair_scores(_truth(s, d), "clone")),
@@ -347,6 +406,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ngram_tokens": lambda s, d: T.tokens(_texts(s, d)),
     "tfidf_weights": lambda s, d: rounded(T.weights(T.tokens(_texts(s, d))).select("id", "gram", "w")),
     "cosine_topk": lambda s, d: rounded(_matches(s, d)),
+    "cosine_top3": lambda s, d: rounded(T.cosine_matches(T.stored_weights(_texts(s, d)), top=3)),
+    "third_nearest": lambda s, d: rounded(T.nearest_distance(_matches(s, d), _texts(s, d), 3)),
+    "matches_with_texts": lambda s, d: rounded(Q.with_texts(_matches(s, d), _texts(s, d).withColumn("text", F.md5(F.col("text").cast("binary"))))),
+    "row_by_value": lambda s, d: rounded(Q.row_by_value(_matches(s, d))),
+    "ngram_tokens_4": lambda s, d: T.tokens(_texts(s, d), n=4),
+    "text_windows": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.tail(F.col("text"), 15, 5).alias("tail"), S.head(F.col("text"), 15, 3).alias("head"), S.wrapped_tail(F.col("text"), 15).alias("wrapped")),
+    "normalised_hamming": _normalised,
     "dist_to_nearest": lambda s, d: rounded(_nearest(s, d)),
     "percentile_threshold": lambda s, d: rounded(T.percentile_threshold(_nearest(s, d), 10.0)),
     "specificity_sweep": _sweep,
@@ -413,16 +479,24 @@ ORACLES: dict[str, str] = {
     "cosine_topk": f"with {_TEXT}, {_SIMS} select i, j, round(sim, 6) sim from sims",
     "dist_to_nearest": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR} select id, round(distance, 6) distance from near",
     "percentile_threshold": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR} select round(quantile_cont(distance, 0.1), 6) threshold from near",
-    "specificity_sweep": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR}, lab as (select round(distance, 9) distance, toxic label from near join labels on id = doc_id), ps as (select unnest([0.5, 1.0, 5.0, 10.0, 50.0])::double \"percent\", unnest(q) threshold from (select quantile_cont(distance, [0.005, 0.01, 0.05, 0.1, 0.5]) q from lab)) select \"percent\", round(threshold, 6) threshold, round((select count(*) from lab where label = 0 and distance > threshold) / (select count(*) from lab where label = 0), 6) specificity from ps",
+    "specificity_sweep": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR}, lab as (select round(distance, 9) distance, toxic label from near join labels on id = doc_id), ps as (select unnest([0.5, 1.0, 5.0, 10.0, 50.0])::double \"percent\", unnest(q) * (1 - 0.09::double * ln((select count(*) from documents) / 5000.0::double)) threshold from (select quantile_cont(distance, [0.005, 0.01, 0.05, 0.1, 0.5]) q from lab)) select \"percent\", round(threshold, 6) threshold, round((select count(*) from lab where label = 0 and distance > threshold) / (select count(*) from lab where label = 0), 6) specificity from ps",
     "textclone_components": f"with recursive {_TEXT}, {_SIMS}, {_TXT0}, e as (select i, j from sims where sim > 0.7), r as (select id a, id b from txt0 union select r.a, e.j from r join e on r.b = e.i) select a id, min(b) as \"cluster\" from r group by a",
-    "xy_threshold_exact": _with(_REC, _CLASSES, _NULL, """mc0 as (select v_gene, j_gene, cdr3_length, mutation_count m, count(*) k from rec group by all),
-mc1 as (select c.class_id, c.cdr3_length l, m, k from (select * from mc0 union all select 'None', 'None', cdr3_length, m, sum(k) from mc0 group by cdr3_length, m) join classes c using (v_gene, j_gene, cdr3_length)),
-ok as (select class_id, max(m) most from mc1 group by 1 having sum(k) >= 100 and max(m) >= 2),
-mc2 as (select class_id, l, least(m, most - 1) m, sum(k) k from mc1 join ok using (class_id) where m > 0 group by all),
-mc as (select class_id, l, cast(m as double) m, k / sum(k) over (partition by class_id) p from mc2),
-n0s as (select unnest(range(0, 40)) n0),
-zz as (select a.class_id, p0 * a.p * b.p * exp(n0 * ln(a.m * b.m / 96.0) - a.m * b.m / 96.0 - lgamma(n0 + 1)) w, a.l / 96.0::double * (greatest(a.m + b.m - 2 * n0, 0) + 1) en, d, a.l, (n0 - a.m * b.m / 96.0::double) / sqrt(a.m * b.m / 96.0::double) y from mc a join mc b using (class_id) cross join n0s join pmf on pmf.l = a.l),
-zw as (select class_id, z, sum(w) w from (select class_id, round((d - en) / sqrt(en * (l + 96) / 96.0::double) - y, 9) z, w from zz) group by all),
-cum as (select class_id, z, sum(w) over (partition by class_id order by z rows unbounded preceding) c from zw),
-found as (select class_id, min(z) z from cum where c > floor(1e6::double * (0.2 / (1 + 1e-5::double - 0.2) * (1 - 0.99::double) / 0.99::double)) / 1e6::double group by 1)""", view=WIDE, select=f"select {_KEY}, class_id, round(coalesce(z, 0), 6) xy_threshold from classes left join found using (class_id)"),
+    "xy_threshold_exact": _with(_REC, _CLASSES, _NULL, "prior as (select *, 0.2::double rho from classes)", _xy_sql("prior", "rho"), view=WIDE, select=f"select {_KEY}, class_id, round(coalesce(z, 0), 6) xy_threshold from classes left join found_xy using (class_id)"),
+    "full_method_wide": _with(*_FULL_WIDE, view=WIDE, select="select sequence_id, clone_id from full_"),
+    "paired_crude": _with(*_PAIR, *_CRUDE[1:], select="select rep.sequence_id, label clone_id from rep left join found using (sequence_id)"),
+    "paired_cdr3": _with(*_PAIR_CDR3, select="select rep.sequence_id, label clone_id from rep left join pre using (sequence_id)"),
+    "head_of_table": _with(select="select * from rep order by sequence_id limit 100").replace("), , select", ") select").replace("),  select", ") select"),
+    "gene_prefix_keys": _with(_REC, select="select sequence_id, substring(v_call, 1, 15) || substring(j_call, 1, 13) gene_key from rep"),
+    "unique_counts": _with(_REC, select="select v_call, j_call, count(*) as \"count\" from rep group by all"),
+    "unique_inverse": _with(_REC, select="select sequence_id, dense_rank() over (order by v_call, j_call) - 1 inverse from rep"),
+    "cluster_numbers": _with(*_CRUDE, select="select sequence_id, dense_rank() over (order by label) number from found"),
+    "models_aligned": _with(*_CDR3, _CRUDE[2], _clusters_sql("found", "crude", "threshold"), select="select sequence_id, found.label crude, pre.label cdr3 from found join pre using (sequence_id)"),
+    "mean_over_seeds": _with(_REC, select="select cdr3_length, round(avg(value), 6) mean, count(value) n from (select cdr3_length, ground_truth % 5 seed, sum(mutation_count) / count(*) as \"value\" from rec group by all) group by 1"),
+    "cosine_top3": f"with {_TEXT}, {_SIMS}, r as (select *, row_number() over (partition by i order by round(sim, 9) desc, j) k from sims) select i, j, round(sim, 6) sim from r where k <= 3",
+    "third_nearest": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR.replace('r = 2', 'r = 3')} select id, round(distance, 6) distance from near",
+    "matches_with_texts": f"with {_TEXT}, {_SIMS} select i, j, md5(a.text) as \"left\", md5(b.text) as \"right\", round(sim, 6) similarity from sims join documents a on a.doc_id = i join documents b on b.doc_id = j",
+    "row_by_value": f"with {_TEXT}, {_SIMS} select i, cast(row_number() over (partition by i order by round(sim, 9) desc, j) as int) place, j, round(sim, 6) sim from sims",
+    "ngram_tokens_4": f"with {_TEXT.replace('length(s) - 3', 'length(s) - 2').replace('i, 5)', 'i, 4)')} select * from tf",
+    "text_windows": "select doc_id, substring(text, greatest(length(text) - 20, 0) + 1, greatest(length(text) - 5, 0) - greatest(length(text) - 20, 0)) as \"tail\", substring(text, 4, 15) as \"head\", case when length(text) >= 15 then right(text, 15) when 2 * length(text) > 15 then substring(text, 2 * length(text) - 14) else text end wrapped from documents",
+    "normalised_hamming": _with(_REC, select="select a.sequence_id a, b.sequence_id b, round(2.0::double * hamming(a.cdr3, b.cdr3) / (2 * a.cdr3_length), 6) distance from rec a join rec b on a.ground_truth = b.ground_truth and a.sequence_id < b.sequence_id"),
 }

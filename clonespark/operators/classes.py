@@ -44,10 +44,13 @@ def with_row_ids(df: DataFrame) -> DataFrame:
 
 
 def with_sequence_id(df: DataFrame) -> DataFrame:
-    """A sequence_id where the input has none: a rank by the row's content."""
+    """A sequence_id where the input has none: a digest of the row and, among equal rows, their rank."""
     if "sequence_id" in df.columns:
         return df.withColumn("sequence_id", F.col("sequence_id").cast("string"))
-    return df.withColumn("sequence_id", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+    digest = F.sha2(F.to_json(F.struct(*df.columns)), 256)
+    rank = F.row_number().over(Window.partitionBy("_digest").orderBy("_digest"))
+    numbered = df.withColumn("_digest", digest).withColumn("_rank", rank)
+    return numbered.withColumn("sequence_id", F.when(F.col("_rank") == 1, F.col("_digest")).otherwise(F.concat_ws("-", "_digest", "_rank"))).drop("_digest", "_rank")
 
 
 def clean_or_keep(df: DataFrame, suffix: str) -> DataFrame:
@@ -82,9 +85,15 @@ def class_sample(records: DataFrame, classes: DataFrame, params: Params = Params
     """
     modelled = classes.where(f"v_gene <> '{ANY}' and pair_count > 0 and {params.legal()}")
     share = F.least(F.sqrt(F.lit(float(params.nmax)) / F.col("pair_count")), F.lit(1.0))
-    modelled = modelled.withColumn("_take", F.round(share * F.col("sequence_count"))).select(*CLASS, "class_id", "_take")
-    ranked = records.select(*CLASS, "sequence_id", "cdr3").join(modelled, CLASS)
-    order = Window.partitionBy("class_id").orderBy(F.md5(F.concat(F.lit(f"{params.seed}:"), F.col("sequence_id")).cast("binary")), "sequence_id")
+    take = F.round(share * F.col("sequence_count"))
+    # the hashes are uniform, so of a class's n rows those below (take + 8 sqrt(take) + 32) / n hold the ``take`` least but for a chance of 1e-14
+    most = (take + 8 * F.sqrt(take) + 32) / F.col("sequence_count")
+    modelled = modelled.select(*CLASS, "class_id", take.alias("_take"), most.alias("_most"))
+    digest = F.md5(F.concat(F.lit(f"{params.seed}:"), F.col("sequence_id")).cast("binary"))
+    ranked = records.select(*CLASS, "sequence_id", "cdr3").join(modelled, CLASS).withColumn("_hash", digest)
+    near = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) <= F.col("_most")
+    order = Window.partitionBy("class_id").orderBy("_hash", "sequence_id")
+    ranked = ranked.where(near)
     return ranked.withColumn("_rank", F.row_number().over(order)).where("_rank <= _take").select("class_id", "cdr3_length", "sequence_id", "cdr3")
 
 

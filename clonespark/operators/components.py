@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from clonespark.plans.lineage import remove, stored
 
 
-#: Edges of a partition that are contracted at once.
-CHUNK = 1 << 20
+#: Edges of a partition that are contracted at once, and edges from which on hubs' partitions are worth splitting.
+CHUNK, SPLIT = 1 << 20, 1 << 16
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,19 +42,28 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    """A forest of each partition's edges; a task holds a chunk of edges and its partition's nodes."""
+    """A forest of each partition's edges; a task holds a chunk of edges and its partition's nodes. A third column, the same for all nodes of a component, stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        schema = None
+        waiting: list[tuple[np.ndarray, ...]] = []
+        schema, held = None, 0
+
+        def reduced() -> tuple[np.ndarray, ...]:
+            columns = [np.concatenate(side) for side in zip(*waiting, strict=True)]
+            node, root = forest(*columns[:2])
+            if len(columns) == 2:
+                return node, root
+            nodes, first = np.unique(np.concatenate(columns[:2]), return_index=True)
+            return node, root, columns[2][first[np.searchsorted(nodes, node)] % len(columns[2])]
+
         for b in batches:
             schema = b.schema
-            waiting.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(2)))
-            if sum(len(x) for x, _ in waiting) > CHUNK + (len(waiting[0][0]) if len(waiting) > 1 else 0):
-                waiting = [forest(*(np.concatenate(side) for side in zip(*waiting, strict=True)))]
+            waiting.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
+            held += b.num_rows
+            if held > CHUNK:
+                waiting, held = [reduced()], 0
         if waiting:
-            found = forest(*(np.concatenate(side) for side in zip(*waiting, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(reduced(), schema, strict=True)], schema=schema)
 
     return edges.mapInArrow(run, edges.schema)
 
@@ -63,45 +72,50 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
 
-def _with_least(pairs: DataFrame, least: DataFrame, others: DataFrame | None = None) -> tuple[DataFrame, str]:
-    """pairs (src, dst) as (dst, the least of src), without loops, and ``others``; a stored table and its path.
+def _with_least(pairs: DataFrame, least: DataFrame, split: bool, others: bool = False) -> tuple[DataFrame, str]:
+    """pairs (src, dst) as (dst, the least of src), without loops, and with ``others`` the least neighbours too; a stored table and its path.
 
-    The least neighbours are a stored table, so the join reads both sides as they are shuffled, and adaptive execution splits the partition of a hub.
+    split: the least neighbours are a stored table, so that the join reads both sides as they are shuffled, and adaptive execution splits a hub's partition.
     """
-    table, path = stored(least, "least")
+    table, path = stored(least, "least") if split else (least, None)
     moved = pairs.join(table, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-    moved = moved if others is None else moved.union(others)
+    moved = moved.union(table.select("src", F.col("m").alias("dst"))) if others else moved
     out, new = stored(moved.where("src <> dst").distinct(), "star")
-    remove(pairs.sparkSession, path)
+    if path:
+        remove(pairs.sparkSession, path)
     return out, new
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, str]:
+def _large_star(edges: DataFrame, split: bool) -> tuple[DataFrame, str]:
     """Every larger neighbour of a node is linked to the node's least neighbour (or itself)."""
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return _with_least(both.where("dst > src"), both.groupBy("src").agg(F.least("src", F.min("dst")).alias("m")))
+    return _with_least(both.where("dst > src"), both.groupBy("src").agg(F.least("src", F.min("dst")).alias("m")), split)
 
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, str]:
+def _small_star(edges: DataFrame, split: bool) -> tuple[DataFrame, str]:
     """A node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("src").agg(F.min("dst").alias("m"))
-    return _with_least(down, least, least.select("src", F.col("m").alias("dst")))
+    return _with_least(down, down.groupBy("src").agg(F.min("dst").alias("m")), split, others=True)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 50, within: str | None = None) -> DataFrame:
     """(node, root) for every node with an edge; root is the least node of its component.
 
     edges: two columns of one orderable type; direction, repeats, loops and nulls do not matter.
-    A node all of whose edges are loops is not returned.
+    A node all of whose edges are loops is not returned. within: a third column that edges of one component share; partitions of
+    edges are then contracted where they are, and once more dealt by that column, which mostly leaves no round to do.
     """
     spark = edges.sparkSession
-    edges = edges.toDF("src", "dst").where("src <> dst")
-    table, path = stored(_contracted(edges.distinct()), "edges")
+    if within:
+        edges = _contracted(edges.select(*edges.columns[:2], within).toDF("src", "dst", "within").where("src <> dst"))
+        table, path = stored(_contracted(edges.repartition("within")).select("src", "dst"), "edges")
+    else:
+        table, path = stored(_contracted(edges.toDF("src", "dst").where("src <> dst").distinct()), "edges")
     state = _state(table)
     for _ in range(max_rounds):
-        large, large_path = _large_star(table)
-        following, new_path = _small_star(large)
+        split = state[0] > SPLIT
+        large, large_path = _large_star(table, split)
+        following, new_path = _small_star(large, split)
         remove(spark, large_path)
         remove(spark, path)
         before, state, table, path = state, _state(following), following, new_path

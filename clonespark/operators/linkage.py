@@ -1,38 +1,61 @@
 """Single linkage of CDR3s within a class at a distance threshold of the class.
 
-Texts at most t letters apart that are cut into t + 1 parts have an equal part. So the distinct CDR3s of a class are exploded
-into parts, joined on (class, place, part), verified by packed comparison, and linked; components give the clusters. No class is
-gathered in one task. Where parts would be shorter than ``SHORT`` letters there would be little to tell them apart, and the
-class is joined on itself.
+Texts at most t letters apart that are cut into t + 1 parts have an equal part. Where these parts would be shorter than ``SHORT`` letters, half as many
+are cut, one of which differs in at most one letter; such a part stands once for each of its letters, with that letter left out. So the distinct CDR3s of a
+class are exploded into parts, joined on (class, place, part), verified by packed comparison, and linked; components give the clusters. No class is
+gathered in one task. Only where even half as many parts would be too short (t is about two thirds of the length, and most texts are linked)
+a class is joined on itself, dealt to ``SALTS`` tasks. Adaptive execution splits the partitions of other parts that are frequent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonespark.functions import sequences as S
 from clonespark.operators.components import connected_components
 from clonespark.schema import CLASS
 
-SHORT = 3
+SHORT, SALTS = 3, 16
+
+
+def _keys(text: Column, n: Column, t: Column) -> Column:
+    """The parts that a text is found by, each with its place; texts at most t letters apart share one."""
+    half = F.floor((t + 2) / 2)
+
+    def cut(k: Column) -> Column:
+        start, stop = F.floor(k["at"] * n / k["of"]).cast("int"), F.floor((k["at"] + 1) * n / k["of"]).cast("int")
+        return F.struct(k["at"].alias("at"), F.substring(text, start + 1, stop - start).alias("part"))
+
+    def parts(of: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), of.cast("int") - 1), lambda i: cut({"at": i, "of": of}))
+
+    def without(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(p["part"])), lambda i: F.concat_ws("|", p["at"].cast("string"), F.overlay(p["part"], F.lit("_"), i, F.lit(1))))
+
+    equal = F.transform(parts(t + 1), lambda p: F.concat_ws("|", p["at"].cast("string"), p["part"]))
+    near = F.flatten(F.transform(parts(half), without))
+    return F.when(n >= SHORT * (t + 1), equal).when(n >= SHORT * half, near)
 
 
 def links(nodes: DataFrame, words: int, inclusive: bool = True) -> DataFrame:
-    """(a, b): links between nodes (node, group, text, t) of a group whose texts differ in at most t letters (less than t, if not inclusive)."""
+    """(a, b, group): links between nodes (node, group, text, t) of a group whose texts differ in at most t letters (less than t, if not inclusive).
+
+    A link is there once for each part that its texts share.
+    """
     t = F.col("t") if inclusive else F.col("t") - 1
     e = [f"_e{i}" for i in range(words)]
     nodes = nodes.withColumn("t", t.cast("int")).where("t > 0").withColumns(dict(zip(e, S.packed(F.col("text"), words), strict=True))).withColumn("_plain", S.plain(F.col("text"))).withColumn("_n", F.length("text"))
-    parts = F.when(F.col("_n") >= SHORT * (F.col("t") + 1), F.col("t") + 1).otherwise(1)
-    split = nodes.withColumn("_parts", parts).withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    start = F.floor(F.col("_at") * F.col("_n") / F.col("_parts"))
-    stop = F.floor((F.col("_at") + 1) * F.col("_n") / F.col("_parts"))
-    split = split.withColumn("_part", F.when(F.col("_parts") == 1, F.lit("")).otherwise(F.substring("text", (start + 1).cast("int"), (stop - start).cast("int"))))
-    a, b = split.alias("a"), split.alias("b")
+    nodes = nodes.withColumn("_keys", _keys(F.col("text"), F.col("_n"), F.col("t")))
+    split = nodes.where("_keys is not null").withColumn("_part", F.explode("_keys")).drop("_keys")
+    whole = nodes.where("_keys is null").drop("_keys")
+    salted = whole.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("string"))
+    every = whole.withColumn("_part", F.explode(F.array(*[F.lit(str(i)) for i in range(SALTS)])))
+    a, b = split.unionByName(salted).alias("a"), split.unionByName(every).alias("b")
     fast = S.packed_distance([F.col(f"a.{c}") for c in e], [F.col(f"b.{c}") for c in e])
     d = F.when(F.col("a._plain") & F.col("b._plain"), fast).otherwise(S.letter_distance(F.col("a.text"), F.col("b.text")))
-    same = F.expr("a.group = b.group and a._at = b._at and a._part = b._part and a.node < b.node")
-    return a.join(b, same & (d <= F.col("a.t"))).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
+    same = F.expr("a.group = b.group and a._part = b._part and a.node < b.node")
+    return a.join(b, same & (d <= F.col("a.t"))).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.col("a.group").alias("group"))
 
 
 def clusters(records: DataFrame, thresholds: DataFrame, column: str, label: str, inclusive: bool = True) -> DataFrame:
@@ -46,7 +69,7 @@ def clusters(records: DataFrame, thresholds: DataFrame, column: str, label: str,
     nodes = rows.where("_t >= 0").groupBy(*CLASS, "cdr3", "_t").agg(F.min("sequence_id").alias("_least")).withColumn("node", key)
     group = F.concat_ws("|", *CLASS)
     found = links(nodes.select("node", group.alias("group"), F.col("cdr3").alias("text"), F.col("_t").alias("t")), S.word_count(records, "cdr3"), inclusive)
-    roots = connected_components(found)
+    roots = connected_components(found, within="group")
     named = nodes.select("node", "_least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("_least").alias("_label"))
     labels = named.join(least, "root").select(F.col("node").alias("_node"), "_label")

@@ -61,12 +61,12 @@ def _settings(params: Params, light: DataFrame | None) -> Params:
     return replace(params, **PAIRED, xy_offset=4.0) if light is not None else params
 
 
-def cdr3(df: DataFrame, null: DataFrame | None = None, light: DataFrame | None = None, params: Params = Params(precision=0.99)) -> Result:
-    """Clusters at each class's precise threshold."""
+def cdr3(df: DataFrame, null: DataFrame | None = None, light: DataFrame | None = None, params: Params = Params(precision=0.99), sensitive: bool = False) -> Result:
+    """Clusters at each class's precise threshold; with ``sensitive``, the records also have the clusters at its sensitive one."""
     params = _settings(params, light)
     rows, records = prepare(df, light)
     classes = modelled_classes(records, null if null is not None else M.default_null(df.sparkSession), params)
-    found = _both(records, classes, params)
+    found = _both(records, classes, params) if sensitive else L.clusters(records, classes, "precise_threshold", "precise_cluster", params.inclusive)
     return Result(_output(rows, found, "precise_cluster"), found, classes)
 
 

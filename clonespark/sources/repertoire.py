@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The rows that a sheet of a workbook can have, below its header (a fixed value).
+SHEET = 1_048_575
 SUFFIXES = (".tsv", ".csv", ".csv.gz", ".tsv.gz", ".parquet", ".xlsx")
 
 
@@ -20,10 +22,11 @@ def suffix_of(path: str) -> str:
     return max(found, key=len)
 
 
-def read_repertoire(spark: SparkSession, path: str, config: dict[str, str] | str | None = None) -> DataFrame:
+def read_repertoire(spark: SparkSession, path: str, config: dict[str, str] | str | None = None, rows: int | None = None) -> DataFrame:
     """A table of sequences, every column a string (Parquet keeps its types); more columns than the named ones pass through.
 
     config: {column of the file: column wanted}, or the path of such a JSON file; columns are copied, not renamed.
+    rows: so many rows of the file at most. A compressed file is one task's to read; its rows are dealt out after that.
     """
     kind = suffix_of(path)
     if kind == ".parquet":
@@ -34,6 +37,10 @@ def read_repertoire(spark: SparkSession, path: str, config: dict[str, str] | str
         df = spark.createDataFrame(pd.read_excel(path, dtype=str))
     else:
         df = spark.read.csv(path, header=True, sep="\t" if ".tsv" in kind else ",")
+    if rows is not None:
+        df = df.limit(rows)
+    elif kind.endswith(".gz"):
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     if config:
         names = json.loads("\n".join(r[0] for r in spark.read.text(config).collect())) if isinstance(config, str) else config
         df = df.withColumns({new: F.col(old) for old, new in names.items()})
@@ -49,7 +56,10 @@ def write_result(df: DataFrame, path: str, overwrite: bool = False) -> None:
     elif kind == ".xlsx":
         if os.path.exists(path) and not overwrite:
             raise ValueError(f"{path} exists")
-        df.toPandas().to_excel(path, index=False)
+        sheet = df.limit(SHEET + 1).toPandas()
+        if len(sheet) > SHEET:
+            raise ValueError(f"{path}: a sheet has at most {SHEET} rows")
+        sheet.to_excel(path, index=False)
     else:
         writer = writer.option("header", True).option("sep", "\t" if ".tsv" in kind else ",")
         (writer.option("compression", "gzip") if kind.endswith(".gz") else writer).csv(path)
@@ -108,9 +118,10 @@ def read_times(spark: SparkSession, path: str) -> DataFrame:
 
 def id_map(df: DataFrame, sequence_id: str = "sequence_id") -> DataFrame:
     """(seq_id, sequence_id): the given id, and a number from 0 in the order of ids."""
-    from pyspark.sql import Window
+    from clonespark.operators.numbering import numbered
 
-    return df.select(F.col(sequence_id).cast("string").alias("seq_id")).distinct().withColumn("sequence_id", F.row_number().over(Window.orderBy("seq_id")) - 1)
+    ids = df.select(F.col(sequence_id).cast("string").alias("seq_id")).distinct()
+    return numbered(ids, ["seq_id"], "sequence_id", 0)
 
 
 def export_by_length(df: DataFrame, path: str) -> None:

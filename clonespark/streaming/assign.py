@@ -25,7 +25,7 @@ def assign(batch: DataFrame, known: DataFrame, thresholds: DataFrame, column: st
     old = known.groupBy(*CLASS, "cdr3").agg(F.min(label).alias("_label"))
     texts = batch.select(*CLASS, "cdr3").unionByName(old.select(*CLASS, "cdr3")).distinct().join(t, CLASS)
     nodes = texts.select(key.alias("node"), F.concat_ws("|", *CLASS).alias("group"), F.col("cdr3").alias("text"), "t")
-    near = links(nodes, S.word_count(texts, "cdr3"))
+    near = links(nodes, S.word_count(texts, "cdr3")).select("src", "dst")
     both = near.union(near.select("dst", "src")).union(nodes.where("t >= 0").select("node", "node"))
     labels = old.select(key.alias("dst"), "_label")
     found = both.toDF("src", "dst").join(labels, "dst").groupBy("src").agg(F.min("_label").alias("_label"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clonespark.functions import sequences as S
-from clonespark.functions.offsets import offset_distance
+from clonespark.functions.offsets import offset_distance, sift4
 from clonespark.operators import classes as C
 from clonespark.operators import evaluate as E
 from clonespark.operators import linkage as L
@@ -65,7 +65,16 @@ def test_small_expressions(spark):
 
 
 def test_offset_distance():
+    """Values of the published algorithm (fixed values), look-ahead 5 and 2."""
     assert [offset_distance(a, b) for a, b in (("", "abc"), ("abc", "abc"), ("abc", "abd"), ("abcdef", "bcdef"), ("ab", "ba"))] == [3, 0, 1, 1, 1]
+    table = {
+        ("", ""): (0, 0), ("abc", ""): (3, 3), ("abcd", "abdc"): (1, 1), ("abcdef", "fabcde"): (1, 1), ("ACGTACGT", "CGTACGTA"): (1, 1), ("kitten", "sitting"): (3, 3),
+        ("sunday", "saturday"): (3, 7), ("aaaa", "aaaab"): (1, 1), ("TTGACCA", "TGACCAT"): (1, 1), ("GATTACA", "GCATGCU"): (3, 3),
+    }
+    for (a, b), (five, two) in table.items():
+        assert (offset_distance(a, b), offset_distance(a, b, 2)) == (five, two)
+    first, second = zip(*table, strict=True)
+    assert sift4([*first] * 3, [*second] * 3).tolist() == [five for five, _ in table.values()] * 3  # together as by themselves
 
 
 # -- classes and fits ------------------------------------------------------------------------------
