@@ -1,3 +1,3 @@
 """Clonal families of B-cell-receptor sequences, on Spark."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

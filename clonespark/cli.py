@@ -60,9 +60,10 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from clonespark.operators.classes import clean_or_keep
+    from clonespark.operators.classes import class_sample, clean_or_keep, distance_histogram
     from clonespark.operators.evaluate import pair_scores
     from clonespark.plans import methods
+    from clonespark.plans.lineage import clean
     from clonespark.sources import repertoire as R
 
     builder = SparkSession.builder.appName("clonespark")
@@ -75,6 +76,7 @@ def main(argv: list[str] | None = None) -> int:
     data = clean_or_keep(R.read_repertoire(spark, args.data_path, args.config), "-igh")
     light = clean_or_keep(R.read_repertoire(spark, args.kappa_file, args.config), "-igk") if args.kappa_file else None
     log.info("read %s", args.data_path)
+    params = Params()
     if method == "crude":
         result = methods.crude(data, args.normalized_threshold, args.fixed_threshold, light)
     else:
@@ -91,9 +93,15 @@ def main(argv: list[str] | None = None) -> int:
         output = output.withColumn("sequence_id", F.concat("sequence_id", F.lit("-igh")))
     R.write_result(output, out, args.override)
     if args.verbose >= 2:
-        R.write_result(result.classes, out.rsplit("/", 1)[0] + f"/debug/classes_{method}.parquet", True)
+        folder = out.rsplit("/", 1)[0] + "/debug"
+        R.write_result(data, f"{folder}/input_{method}.parquet", True)
+        R.write_result(result.classes, f"{folder}/classes_{method}.parquet", True)  # with the parameters and thresholds
+        if method != "crude":
+            histograms = distance_histogram(class_sample(result.records, result.classes, params))
+            R.write_result(histograms, f"{folder}/histograms_{method}.parquet", True)
         if "ground_truth" in result.output.columns:
             log.debug("scores %s", pair_scores(result.output, "clone_id").first().asDict())
+    clean(spark)
     log.info("wrote %s in %.1f s", out, time.time() - began)
     return 0
 

@@ -1,4 +1,7 @@
-"""Cutting lineage with tables in the folder that driver and executors share."""
+"""Cutting lineage with tables in the folder that driver and executors share.
+
+Tables lie in a folder of the application. A result reads them when it is run, so they stay until ``clean`` removes them.
+"""
 
 from __future__ import annotations
 
@@ -9,16 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (a local session) a folder of our own."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a local session has a folder of our own, and others raise ValueError."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + os.path.abspath("spark-warehouse/shared")
     return folder.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables of this application, when none of its results is needed any more."""
+    remove(spark, _own(spark))
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
