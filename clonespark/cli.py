@@ -69,6 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     builder = SparkSession.builder.appName("clonespark")
     if "SPARK_MASTER" not in os.environ and "MASTER" not in os.environ:
         builder = builder.master(f"local[{'*' if args.threads < 0 else args.threads}]")
+    ours = SparkSession.getActiveSession() is None
     spark = builder.getOrCreate()
     method = args.command.removesuffix("-method")
     out = R.result_path(args.data_path, method, args.result_folder)
@@ -101,7 +102,8 @@ def main(argv: list[str] | None = None) -> int:
             R.write_result(histograms, f"{folder}/histograms_{method}.parquet", True)
         if "ground_truth" in result.output.columns:
             log.debug("scores %s", pair_scores(result.output, "clone_id").first().asDict())
-    clean(spark)
+    if ours:  # another's session may have results that are still to be read
+        clean(spark)
     log.info("wrote %s in %.1f s", out, time.time() - began)
     return 0
 

@@ -61,3 +61,53 @@ def test_stream_assigns_like_a_batch(spark, sf_dir, tmp_path):
 def test_params_and_constants(spark, sf_dir):
     out = methods.full(catalogue.rep(spark, sf_dir).where("ground_truth < 50"), params=Params(precision=0.99, xy_constant=-1e9))
     assert out.output.where(F.col("clone_id").isNull()).count() == 0
+
+
+def test_numbers_in_order(spark):
+    from clonespark.operators.numbering import dense_numbers, numbered
+
+    rows = spark.range(0, 1000, numPartitions=7).selectExpr("id", "pmod(xxhash64(id), 50) k")
+    got = numbered(rows, ["k", "id"]).collect()
+    assert [r["number"] for r in sorted(got, key=lambda r: (r["k"], r["id"]))] == list(range(1, 1001))
+    dense = dense_numbers(rows, ["k"], start=0).collect()
+    place = {k: i for i, k in enumerate(sorted({r["k"] for r in dense}))}
+    assert all(r["number"] == place[r["k"]] for r in dense)
+    assert numbered(rows.limit(0), ["id"]).count() == 0
+
+
+def test_ids_of_equal_rows_differ(spark):
+    from clonespark.operators.classes import with_sequence_id
+
+    rows = spark.createDataFrame([("a", 1)] * 3 + [("b", 2)], "x string, y int")
+    assert len({r["sequence_id"] for r in with_sequence_id(rows).collect()}) == 4
+
+
+def test_grouped_functions_and_aligned_models(spark):
+    from clonespark.operators import compare as Q
+
+    rows = spark.createDataFrame([(1, "a", 2.0), (2, "a", 4.0), (3, "b", None)], "id long, k string, value double")
+    assert sorted(map(tuple, Q.apply_groups(rows, ["k"], lambda p: p.assign(n=len(p))[["id", "n"]], "id long, n long").collect())) == [(1, 2), (2, 2), (3, 1)]
+    assert sorted(map(tuple, Q.mean_over(rows, ["k"]).collect())) == [("a", 3.0, 2), ("b", None, 0)]
+    models = {"one": rows.selectExpr("id", "k clone_id"), "two": rows.where("id < 3").selectExpr("id", "id clone_id")}
+    assert sorted(map(tuple, Q.align_models(rows.select("id"), models, "id").collect())) == [(1, "a", 1), (2, "a", 2), (3, "b", None)]
+
+
+@pytest.mark.parametrize("t", [1, 3, 5, 8, 14])
+def test_linkage_finds_every_link(spark, t):
+    """Whole parts, parts with a letter left out, and the class as a whole."""
+    from clonespark.operators.linkage import links
+
+    rng = np.random.default_rng(t)
+    base = rng.integers(0, 4, (12, 15))
+    texts = {"".join("ACGT"[c] for c in np.where(rng.random(15) < 0.25, rng.integers(0, 4, 15), base[k % 12])) for k in range(150)}
+    nodes = spark.createDataFrame([(x, "g", x, t) for x in texts], "node string, `group` string, text string, t int")
+    got = {(r["src"], r["dst"]) for r in links(nodes, 1).collect()}
+    assert got == {(a, b) for a in texts for b in texts if a < b and sum(x != y for x, y in zip(a, b)) <= t}
+
+
+def test_components_within_groups(spark):
+    from clonespark.operators.components import connected_components
+
+    edges = spark.createDataFrame([(f"{g}{i}", f"{g}{i + 1}", g) for g in "abc" for i in range(10, 40) if i % 7] + [("a10", "a10", "a")], "x string, y string, `group` string").repartition(5)
+    got, plain = (sorted(map(tuple, connected_components(edges if w else edges.select("x", "y"), within=w).collect())) for w in ("group", None))
+    assert got == plain and len(got) > 80
