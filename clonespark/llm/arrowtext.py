@@ -172,6 +172,7 @@ _known_powers: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    n = max(n, 1)
     if not _known_powers or not n <= len(_known_powers[0]) <= max(4 * n, 1 << 16):
         _known_powers.clear()
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
@@ -181,20 +182,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _known_powers[0][:n], _known_powers[1][:n]
 
 
+def prefix_sums(h: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Sums of the (mixed) item hashes times the powers of a fixed odd base, up to each item."""
+    total = np.zeros(len(h) + 1, U64)
+    np.cumsum(mix64(h + U64(seed)) * _powers(len(h))[0], out=total[1:])
+    return total
+
+
+def window_values(total: np.ndarray, at: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """The hash of the k items from each place on: a polynomial in the base, mixed."""
+    return mix64((total[at + k] - total[at]) * _powers(len(total) - 1)[1][at] + U64(seed))
+
+
+def window_starts(first: np.ndarray, k: int) -> np.ndarray:
+    """Places from which on there are k items in one document."""
+    n = np.diff(first)
+    return np.flatnonzero(np.arange(k, first[-1] + k) <= np.repeat(first[1:], n))
+
+
 def window_hashes(h: np.ndarray, first: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of all windows of k consecutive items within one document.
-
-    A polynomial in a fixed odd base over the (already mixed) item hashes, from prefix sums, then mixed.
-    """
-    n = len(h)
-    if n < k:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    powers, back = _powers(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(mix64(h + U64(seed)) * powers, out=total[1:])
-    ends = np.repeat(first[1:], np.diff(first))
-    at = np.flatnonzero(np.arange(k, n + k) <= ends)
-    return at, mix64((total[at + k] - total[at]) * back[at])
+    """(places, hashes) of all windows of k consecutive items within one document."""
+    at = window_starts(first, k)
+    return at, window_values(prefix_sums(h, seed), at, k)
 
 
 def joined_words(words: Words, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

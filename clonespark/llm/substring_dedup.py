@@ -46,29 +46,29 @@ class _Block:
 
     def __init__(self, docs: pa.Table) -> None:
         self.words = A.split_words(*A.column_bytes(docs["text"]))
-        self.hashes = A.hash_spans(self.words.data, self.words.starts, self.words.ends)
+        self.sums = A.prefix_sums(A.hash_spans(self.words.data, self.words.starts, self.words.ends))
 
     def windows(self, size: int, level: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(first words, hashes) of the windows of a level, or of those that start at the words ``among``."""
-        at, keys = A.window_hashes(self.hashes, self.words.first, size, seed=level + 1)
-        if among is not None:
-            keep = among[at]
-            at, keys = at[keep], keys[keep]
-        return at, keys
+        if among is None:
+            at = A.window_starts(self.words.first, size)
+        else:
+            at = np.flatnonzero(among)
+            at = at[at + size <= self.words.first[np.searchsorted(self.words.first, at, "right")]]
+        return at, A.window_values(self.sums, at, size, seed=level + 1)
 
     def digests(self, size: int, at: np.ndarray) -> np.ndarray:
-        """Two more hashes of the windows that start at the words ``at``, (windows, 2)."""
+        """Two more hashes of the windows that start at the words ``at``, (windows, 2), from the words that these cover."""
         out = np.empty((len(at), 2), np.uint64)
         starts, ends = self.words.starts, self.words.ends
         edge = np.zeros(len(starts) + 1, np.int32)
         edge[at] += 1
         np.add.at(edge, at + size, -1)
-        covered = np.flatnonzero(np.cumsum(edge[:-1]))
-        h = np.zeros(len(starts), np.uint64)
+        covered = np.cumsum(edge[:-1]) > 0
+        place = (np.cumsum(covered) - 1)[at]
         for k, seed in enumerate((0x5851F42D, 0x14057B7E)):
-            h[covered] = A.hash_spans(self.words.data, starts[covered], ends[covered], seed)
-            every, keys = A.window_hashes(h, self.words.first, size, seed=seed)
-            out[:, k] = keys[np.searchsorted(every, at)]
+            h = A.hash_spans(self.words.data, starts[covered], ends[covered], seed)
+            out[:, k] = A.window_values(A.prefix_sums(h, seed), place, size, seed)
         return out
 
 
