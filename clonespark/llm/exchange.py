@@ -32,9 +32,9 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def blocks_for(docs: DataFrame, text: str = "text") -> int:
+def blocks_for(docs: DataFrame, text: str = "text", each: int = BLOCK_BYTES) -> int:
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(parts(docs.sparkSession), -(-size // BLOCK_BYTES))
+    return max(parts(docs.sparkSession), -(-size // each))
 
 
 def in_blocks(df: DataFrame, keys: list[str], n: int) -> DataFrame:

@@ -41,6 +41,8 @@ SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, sco
 ORDER = 3
 #: The prior's weight, in tokens, by the number of words of the context.
 PRIOR = {1: 400.0, 2: 4.0, 3: 2.0, 4: 2.0}
+#: Bytes of texts in a block: larger blocks ask for the n-grams that their texts share but once, and take more memory.
+BLOCK = 12 << 20
 #: Tokens of a text that are traversed by one lane; a longer text is several lanes, each from the state that the one before it ends in.
 STRETCH = 512
 
@@ -232,7 +234,7 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", keep: tuple[
     """keep columns with n_tokens, n_known, train_tokens, base_score and score of each row; the rows where ``train`` holds make the model."""
     if clash := set(keep) & {*(c.split()[0] for c in SCORES.split(", ")), _TEXT, _TRAIN}:
         raise ValueError(f"keep has columns that are made: {sorted(clash)}")
-    n = X.blocks_for(docs, text)
+    n = X.blocks_for(docs, text, BLOCK)
     slim = docs.select(*keep, F.col(text).alias(_TEXT), F.coalesce(train, F.lit(True)).alias(_TRAIN))
     blocks = X.in_blocks(slim, [*keep, _TEXT], n)
     answers = X.answer(X.ask(blocks, _ask(order), n), _reply, n)
