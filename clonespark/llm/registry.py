@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from clonespark.llm import exact_search, mixing, warc_zip
+from clonespark.llm import exact_search, fill_middle, license_scan, mixing, vector_codes, warc_zip
 from clonespark.llm.ann import op10_ann_search
 from clonespark.llm.bpe import op7_bpe_codec
 from clonespark.llm.lm_scoring import op1_lm_scoring
@@ -24,9 +24,15 @@ QUERIES: dict[str, Callable] = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_ann_search": op10_ann_search,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_license_scan": license_scan.op13_license_scan,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_zip": warc_zip.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op6_exact_topk": exact_search.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_fill_in_middle": fill_middle.ORACLE,
+    "op13_license_scan": license_scan.ORACLE,
 }
