@@ -101,11 +101,10 @@ def blocks_of(table: DataFrame, scale: float = SCALE, vec_id: str = "vec_id", ve
     return rows.mapInArrow(run, f"ids array<bigint>, labels array<{kind}>, dim int, form string, x binary")
 
 
-def _opened(x: bytes, form: str, dim: int, width: int, parts: int) -> np.ndarray:
-    """A block as integers by part, position and vector."""
-    n = len(x) // np.dtype(form).itemsize // dim if dim else 0
+def _opened(x: bytes, form: str, dim: int, n: int, width: int, parts: int) -> np.ndarray:
+    """A block of n vectors as integers by part, position and vector."""
     out = np.zeros((width, n), np.int64)
-    out[:dim] = np.frombuffer(x, form).reshape(dim, n) if dim else 0
+    out[:dim] = np.frombuffer(x, form).reshape(dim, n)
     limit = math.isqrt((1 << 62) // max(width, 1)) // 2
     return np.clip(out, -limit, limit).reshape(parts, width // parts, n)
 
@@ -128,9 +127,8 @@ def _start(blocks: DataFrame, width: int, parts: int, entries: int) -> np.ndarra
     merge = lambda a, b: b if a is None else a if b is None else _least(*(np.concatenate(s) for s in zip(a, b, strict=True)), entries)
 
     def add(known, row):
-        x = _opened(bytes(row["x"]), row["form"], row["dim"], width, parts).reshape(width, -1)
         ids = np.array([(i is None, i or 0) for i in row["ids"]], np.int64).reshape(-1, 2)
-        x = x.T if width else np.zeros((len(ids), 0), np.int64)
+        x = _opened(bytes(row["x"]), row["form"], row["dim"], len(ids), width, parts).reshape(width, len(ids)).T
         some = np.unique(ids, axis=0)[:entries]
         near = (ids[:, 0] < some[-1, 0]) | ((ids[:, 0] == some[-1, 0]) & (ids[:, 1] <= some[-1, 1]))
         return merge(known, _least(ids[near], x[near], entries))
@@ -148,7 +146,7 @@ def _refined(blocks: DataFrame, books: Codebooks, width: int, parts: int) -> Cod
     sent = context.broadcast(books)
 
     def add(known, row):
-        block = _opened(bytes(row["x"]), row["form"], row["dim"], width, parts)
+        block = _opened(bytes(row["x"]), row["form"], row["dim"], row["n"], width, parts)
         codes, _ = sent.value.nearest(block)
         sums, counts = known or (np.zeros(shape, np.int64), np.zeros(shape[:2], np.int64))
         part = np.broadcast_to(np.arange(parts)[:, None], codes.shape)
@@ -159,7 +157,7 @@ def _refined(blocks: DataFrame, books: Codebooks, width: int, parts: int) -> Cod
     def merge(a, b):
         return b if a is None else a if b is None else (a[0] + b[0], a[1] + b[1])
 
-    rows = blocks.select("dim", "form", "x").where("dim > 0").rdd
+    rows = blocks.select("dim", "form", "x", F.size("ids").alias("n")).rdd
     total = rows.treeAggregate(None, add, merge, _depth(rows))
     sent.unpersist()
     if total is None:
@@ -191,10 +189,7 @@ def encoded(blocks: DataFrame, books: Codebooks) -> DataFrame:
             for i in range(b.num_rows):
                 ids, labels, dim, form, x = (c[i] for c in b.columns)
                 n = len(ids)
-                if dim.as_py():
-                    codes, error = sent.value.nearest(_opened(x.as_py(), form.as_py(), dim.as_py(), parts * each, parts))
-                else:
-                    codes, error = sent.value.nearest(np.zeros((parts, each, n), np.int64))
+                codes, error = sent.value.nearest(_opened(x.as_py(), form.as_py(), dim.as_py(), n, parts * each, parts))
                 code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(parts), n, [None, pa.py_buffer(np.ascontiguousarray(codes.T.astype(np.uint8)))])
                 yield pa.RecordBatch.from_arrays([ids.values, labels.values, code.cast(pa.binary()), pa.array(error.sum(0))], names=["vec_id", "label", "code", "error"])
         A.release()
