@@ -264,7 +264,7 @@ def _crude(spark: SparkSession, sf_dir: str, fixed: int = -1) -> DataFrame:
 def _one_threshold(column: str, label: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, classes = _modelled(spark, sf_dir)
-        return _labels(L.clusters(rows, classes, column, label), label)
+        return _labels(L.clusters(rows, classes, {label: column}), label)
 
     return run
 

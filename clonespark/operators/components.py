@@ -17,15 +17,13 @@ from pyspark.sql import functions as F
 from clonespark.plans.lineage import remove, stored
 
 
-#: Edges of a partition that are contracted at once, and edges from which on hubs' partitions are worth splitting.
-CHUNK, SPLIT = 1 << 20, 1 << 16
+#: Edges of a partition that are contracted at once, edges from which on hubs' partitions are worth splitting, and edges of a group that one task may have.
+CHUNK, SPLIT, LARGE = 1 << 20, 1 << 16, 1 << 22
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) for the nodes that are not the least of their component: fewer edges, the same components."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    s, d = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
+def least_labels(n: int, s: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The least node of the component of each of the nodes 0..n - 1, for edges (s, d)."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[s], label[d])
         new = label.copy()
@@ -35,8 +33,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             new = new[new]
         new = new[label]
         if np.array_equal(new, label):
-            break
+            return label
         label = new
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for the nodes that are not the least of their component: fewer edges, the same components."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = least_labels(len(nodes), ends[: len(a)], ends[len(a) :])
     moved = label != np.arange(len(nodes))
     return nodes[moved], nodes[label[moved]]
 
@@ -103,14 +107,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 50, within: str | N
 
     edges: two columns of one orderable type; direction, repeats, loops and nulls do not matter.
     A node all of whose edges are loops is not returned. within: a third column that edges of one component share; partitions of
-    edges are then contracted where they are, and once more dealt by that column, which mostly leaves no round to do.
+    edges are then contracted where they are, and once more dealt by that column, which leaves stars. Only groups that still have more than LARGE edges
+    then go through rounds.
     """
+    if not within:
+        return _by_rounds(_contracted(edges.toDF("src", "dst").where("src <> dst").distinct()), max_rounds)
+    near, _ = stored(_contracted(edges.select(*edges.columns[:2], within).toDF("src", "dst", "within").where("src <> dst")), "edges")
+    sizes = near.groupBy("within").count().where(F.col("count") > LARGE).select("within")
+    large, _ = stored(sizes, "large")  # groups of more than LARGE edges; few, as they share the table's edges
+    stars, _ = stored(_contracted(near.join(large, "within", "left_anti").select(near.columns).repartition("within")).select("src", "dst"), "stars")
+    out = _with_roots(stars)
+    return out if large.isEmpty() else out.union(_by_rounds(near.join(large, "within", "left_semi").select("src", "dst").distinct(), max_rounds))
+
+
+def _with_roots(stars: DataFrame) -> DataFrame:
+    roots = stars.select("dst").distinct()
+    return stars.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(roots.select("dst", "dst"))
+
+
+def _by_rounds(edges: DataFrame, max_rounds: int) -> DataFrame:
     spark = edges.sparkSession
-    if within:
-        edges = _contracted(edges.select(*edges.columns[:2], within).toDF("src", "dst", "within").where("src <> dst"))
-        table, path = stored(_contracted(edges.repartition("within")).select("src", "dst"), "edges")
-    else:
-        table, path = stored(_contracted(edges.toDF("src", "dst").where("src <> dst").distinct()), "edges")
+    table, path = stored(edges, "edges")
     state = _state(table)
     for _ in range(max_rounds):
         split = state[0] > SPLIT
@@ -123,5 +140,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 50, within: str | N
             break
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-    roots = table.select("dst").distinct()
-    return table.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(roots.select("dst", "dst"))
+    return _with_roots(table)

@@ -2,18 +2,22 @@
 
 Texts at most t letters apart that are cut into t + 1 parts have an equal part. Where these parts would be shorter than ``SHORT`` letters, half as many
 are cut, one of which differs in at most one letter; such a part stands once for each of its letters, with that letter left out. So the distinct CDR3s of a
-class are exploded into parts, joined on (class, place, part), verified by packed comparison, and linked; components give the clusters. No class is
+class are exploded into parts, joined on (class, place, part), verified by packed comparison, and linked. The links' least spanning forest (``spanning.py``) is cut at any number of thresholds. No class is
 gathered in one task. Only where even half as many parts would be too short (t is about two thirds of the length, and most texts are linked)
 a class is joined on itself, dealt to ``SALTS`` tasks. Adaptive execution splits the partitions of other parts that are frequent.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonespark.functions import sequences as S
-from clonespark.operators.components import connected_components
+from clonespark.operators.numbering import numbered
+from clonespark.operators.spanning import cut, minimum_forest
+from clonespark.plans.lineage import stored
 from clonespark.schema import CLASS
 
 SHORT, SALTS = 3, 16
@@ -39,7 +43,7 @@ def _keys(text: Column, n: Column, t: Column) -> Column:
 
 
 def links(nodes: DataFrame, words: int, inclusive: bool = True) -> DataFrame:
-    """(a, b, group): links between nodes (node, group, text, t) of a group whose texts differ in at most t letters (less than t, if not inclusive).
+    """(src, dst, w, within): links between nodes (node, within, text, t) of a group whose texts differ in w letters, at most t (less than t, if not inclusive).
 
     A link is there once for each part that its texts share.
     """
@@ -54,27 +58,64 @@ def links(nodes: DataFrame, words: int, inclusive: bool = True) -> DataFrame:
     a, b = split.unionByName(salted).alias("a"), split.unionByName(every).alias("b")
     fast = S.packed_distance([F.col(f"a.{c}") for c in e], [F.col(f"b.{c}") for c in e])
     d = F.when(F.col("a._plain") & F.col("b._plain"), fast).otherwise(S.letter_distance(F.col("a.text"), F.col("b.text")))
-    same = F.expr("a.group = b.group and a._part = b._part and a.node < b.node")
-    return a.join(b, same & (d <= F.col("a.t"))).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.col("a.group").alias("group"))
+    same = F.expr("a.within = b.within and a._part = b._part and a.node < b.node")
+    return a.join(b, same & (d <= F.col("a.t"))).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), d.cast("int").alias("w"), F.col("a.within").alias("within"))
+
+
+@dataclass
+class Linkage:
+    """Single linkage of a repertoire's distinct CDR3s at several thresholds of each class, from one table of links.
+
+    nodes: (class, cdr3, node, within, least, thresholds); forest: the least spanning forest of the links up to the largest threshold.
+    """
+
+    nodes: DataFrame
+    forest: DataFrame
+    columns: list[str]
+    inclusive: bool
+
+    def labels(self, names: dict[str, str]) -> DataFrame:
+        """(class, cdr3, and for each name the label of a threshold's column): the least sequence_id of the node's cluster; null for a threshold below zero."""
+        used = list(names.values())
+        limit = self.nodes.groupBy("within").agg(*[(F.first(c) if self.inclusive else F.first(c) - 1).alias(c) for c in used])
+        roots = cut(self.forest, limit, used)
+        named = self.nodes.join(roots.withColumnsRenamed({c: f"_r{i}" for i, c in enumerate(used)}), "node", "left")
+        out = named.select(*CLASS, "cdr3", "least", *used, *[F.coalesce(f"_r{i}", "node").alias(f"_r{i}") for i in range(len(used))])
+        out, _ = stored(out, "rooted")
+        for i in range(len(used)):
+            least = out.groupBy(f"_r{i}").agg(F.min("least").alias(f"_l{i}"))
+            out = out.join(least, f"_r{i}")
+        return out.select(*CLASS, "cdr3", *[F.when(F.col(c) >= 0, F.col(f"_l{i}")).alias(name) for i, (name, c) in enumerate(names.items())])
+
+
+def linkage(records: DataFrame, thresholds: DataFrame, columns: list[str], inclusive: bool = True) -> Linkage:
+    """The linkage of records' CDR3s for thresholds (class, columns), one value for each class; links are made once, at the largest of the columns.
+
+    Distinct CDR3s and classes are numbered, so that links and components are of longs.
+    """
+    t = thresholds.select(*CLASS, *columns)
+    most = F.greatest(*[F.coalesce(c, F.lit(-1)) for c in columns], F.lit(-1))
+    distinct = records.groupBy(*CLASS, "cdr3").agg(F.min("sequence_id").alias("least")).join(t, CLASS).where(most >= 0)
+    nodes, _ = stored(numbered(distinct, [*CLASS, "cdr3"], "node", 0), "nodes")
+    # the numbers of a class's nodes follow each other, so its least one stands for it
+    within = nodes.groupBy(*CLASS).agg(F.min("node").alias("within"))
+    nodes, _ = stored(nodes.join(within, CLASS), "numbered")
+    found = links(nodes.select("node", "within", F.col("cdr3").alias("text"), most.alias("t")), S.word_count(records, "cdr3"), inclusive)
+    return Linkage(nodes, minimum_forest(found), columns, inclusive)
 
 
-def clusters(records: DataFrame, thresholds: DataFrame, column: str, label: str, inclusive: bool = True) -> DataFrame:
-    """records with ``label``, the least sequence_id of the row's cluster, for thresholds (class, column).
+def clusters(records: DataFrame, thresholds: DataFrame, names: dict[str, str], inclusive: bool = True) -> DataFrame:
+    """records with labels {label: threshold column}, each the least sequence_id of the row's cluster, for thresholds (class, columns).
 
     A negative threshold leaves every row alone, and zero links equal CDR3s. Rows of classes without a threshold get null.
     """
-    t = thresholds.select(*CLASS, F.col(column).alias("_t"))
-    rows = records.join(t, CLASS, "left")
-    key = F.concat_ws("|", *CLASS, "cdr3")
-    nodes = rows.where("_t >= 0").groupBy(*CLASS, "cdr3", "_t").agg(F.min("sequence_id").alias("_least")).withColumn("node", key)
-    group = F.concat_ws("|", *CLASS)
-    found = links(nodes.select("node", group.alias("group"), F.col("cdr3").alias("text"), F.col("_t").alias("t")), S.word_count(records, "cdr3"), inclusive)
-    roots = connected_components(found, within="group")
-    named = nodes.select("node", "_least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("_least").alias("_label"))
-    labels = named.join(least, "root").select(F.col("node").alias("_node"), "_label")
-    out = rows.withColumn("_node", F.when(F.col("_t") >= 0, key)).join(labels, "_node", "left")
-    return out.withColumn(label, F.when(F.col("_t") < 0, F.col("sequence_id")).otherwise(F.col("_label"))).drop("_t", "_node", "_label")
+    columns = list(dict.fromkeys(names.values()))
+    found = linkage(records, thresholds, columns, inclusive).labels(names)
+    t = thresholds.select(*CLASS, *[F.col(c).alias(f"_t_{c}") for c in columns])
+    labels = found.withColumnsRenamed({name: f"_f_{name}" for name in names})
+    out = records.join(labels, [*CLASS, "cdr3"], "left").join(t, CLASS, "left")
+    made = {name: F.when(F.col(f"_t_{c}") < 0, F.col("sequence_id")).otherwise(F.col(f"_f_{name}")) for name, c in names.items()}
+    return out.select(*records.columns, *[v.alias(k) for k, v in made.items()])
 
 
 def crude_thresholds(classes: DataFrame, share: float = 0.2, fixed: int = -1) -> DataFrame:

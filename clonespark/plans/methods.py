@@ -40,7 +40,7 @@ def crude(df: DataFrame, share: float = 0.2, fixed: int = -1, light: DataFrame |
     """Clusters at one threshold: fixed, or a share of the CDR3's length."""
     rows, records = prepare(df, light)
     classes = L.crude_thresholds(C.create_classes(records), share, fixed)
-    found = L.clusters(records, classes, "threshold", "crude_method_family", params.inclusive)
+    found = L.clusters(records, classes, {"crude_method_family": "threshold"}, params.inclusive)
     return Result(_output(rows, found, "crude_method_family"), found, classes)
 
 
@@ -53,8 +53,7 @@ def modelled_classes(records: DataFrame, null: DataFrame, params: Params) -> Dat
 
 
 def _both(records: DataFrame, classes: DataFrame, params: Params) -> DataFrame:
-    precise = L.clusters(records, classes, "precise_threshold", "precise_cluster", params.inclusive)
-    return L.clusters(stored(precise, "precise")[0], classes, "sensitive_threshold", "sensitive_cluster", params.inclusive)
+    return L.clusters(records, classes, {"precise_cluster": "precise_threshold", "sensitive_cluster": "sensitive_threshold"}, params.inclusive)
 
 
 def _settings(params: Params, light: DataFrame | None) -> Params:
@@ -66,7 +65,7 @@ def cdr3(df: DataFrame, null: DataFrame | None = None, light: DataFrame | None =
     params = _settings(params, light)
     rows, records = prepare(df, light)
     classes = modelled_classes(records, null if null is not None else M.default_null(df.sparkSession), params)
-    found = _both(records, classes, params) if sensitive else L.clusters(records, classes, "precise_threshold", "precise_cluster", params.inclusive)
+    found = _both(records, classes, params) if sensitive else L.clusters(records, classes, {"precise_cluster": "precise_threshold"}, params.inclusive)
     return Result(_output(rows, found, "precise_cluster"), found, classes)
 
 

@@ -158,7 +158,7 @@ def test_clusters_equal_all_pairs(spark, t):
     rows = [(f"s{i:03d}", "V", "J", 18, x) for i, x in enumerate(texts)]
     records = spark.createDataFrame(rows, "sequence_id string, v_gene string, j_gene string, cdr3_length int, cdr3 string")
     thresholds = spark.createDataFrame([("V", "J", 18, t)], "v_gene string, j_gene string, cdr3_length int, t int")
-    got = {r["sequence_id"]: r["c"] for r in L.clusters(records, thresholds, "t", "c").collect()}
+    got = {r["sequence_id"]: r["c"] for r in L.clusters(records, thresholds, {"c": "t"}).collect()}
     edges = [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[:i] if t >= 0 and distance(a[4], b[4]) <= t]
     assert got == components([r[0] for r in rows], edges)
 
