@@ -23,6 +23,7 @@ from clonespark.operators import mutations as X
 from clonespark.operators import numbering as N
 from clonespark.operators import spectra as P
 from clonespark.operators import textclone as T
+from clonespark.operators.topmatches import top_matches
 from clonespark.plans import methods
 from clonespark.plans.lineage import stored
 from clonespark.schema import CLASS, Params
@@ -208,7 +209,7 @@ tf as (select id, gram, count(*) tf from (select id, unnest(list_transform(range
 df as (select gram, count(*) df, ln((1 + (select count(distinct id) from tf)::double) / (1 + count(*))) + 1 idf from tf group by gram),
 w0 as (select id, gram, tf * idf w, df from tf join df using (gram)), w as (select id, gram, w / sqrt(sum(w * w) over (partition by id)) w, df from w0)"""
 #: The threshold (thr) at the tenth percentile of the documents' distances to the second nearest of a negative set, with one table of n-grams for both.
-_FAR = r"""txt2 as (select id, regexp_replace(substring(text, greatest(length(text) - 150, 0) + 1, 150), '[,-./]|\sBD', '', 'g') s from (select 'r' || doc_id id, text from documents union all select 'n' || row_number() over () id, text from benchmark) where text is not null),
+_FAR = r"""txt2 as (select id, regexp_replace(substring(text, greatest(length(text) - 150, 0) + 1, 150), '[,-./]|\sBD', '', 'g') s from (select 'r' || doc_id id, text from documents union all select 'n' || item_id id, text from benchmark) where text is not null),
 tf2 as (select id, gram, count(*) tf from (select id, unnest(list_transform(range(1, length(s) - 3), lambda i: substring(s, i, 5))) gram from txt2) group by all),
 df2 as (select gram, ln((1 + (select count(distinct id) from tf2)::double) / (1 + count(*))) + 1 idf from tf2 group by gram),
 w02 as (select id, gram, tf * idf w from tf2 join df2 using (gram)), w2 as (select id, gram, w / sqrt(sum(w * w) over (partition by id)) w from w02),
@@ -362,6 +363,15 @@ def _alignment_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.alignment_free(_texts(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"), percent=10.0)
 
 
+def _negative_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five benchmark passages that are most like each document, with one table of n-grams for both."""
+    passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.concat(F.lit("n"), F.col("item_id").cast("string")).alias("id"), "text")
+    texts = _texts(spark, sf_dir).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), "text")
+    w = T.stored_weights(texts.unionByName(passages))
+    found = top_matches(w.where("id like 'r%'"), w.where("id like 'n%'"), 5)
+    return rounded(found.select(F.substring("i", 2, 20).cast("long").alias("doc_id"), F.substring("j", 2, 20).cast("long").alias("item_id"), "sim"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "repertoire_normalised": lambda s, d: records(s, d),
     "gene_from_call": lambda s, d: rep(s, d).select("sequence_id", S.gene("v_call").alias("v_gene"), S.gene("j_call").alias("j_gene")),
@@ -433,6 +443,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "greedy_clones": _greedy,
     "offset_distance": _offsets,
     "alignment_free_clones": _alignment_free,
+    "negative_top5": _negative_top,
 }
 
 _KEY = "v_gene, j_gene, cdr3_length"
@@ -496,6 +507,7 @@ ORACLES: dict[str, str] = {
     "specificity_sweep": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR}, lab as (select round(distance, 9) distance, toxic label from near join labels on id = doc_id), ps as (select unnest([0.5, 1.0, 5.0, 10.0, 50.0])::double \"percent\", unnest(q) * (1 - 0.09::double * ln((select count(*) from documents) / 5000.0::double)) threshold from (select quantile_cont(distance, [0.005, 0.01, 0.05, 0.1, 0.5]) q from lab)) select \"percent\", round(threshold, 6) threshold, round((select count(*) from lab where label = 0 and distance > threshold) / (select count(*) from lab where label = 0), 6) specificity from ps",
     "textclone_components": f"with recursive {_TEXT}, {_SIMS}, {_TXT0}, e as (select i, j from sims where sim > 0.7), r as (select id a, id b from txt0 union select r.a, e.j from r join e on r.b = e.i) select a id, min(b) as \"cluster\" from r group by a",
     "alignment_free_clones": f"with recursive {_FAR}, {_TEXT}, {_SIMS}, {_TXT0}, e as (select i, j from sims, thr where sim > 1 - t), r as (select id a, id b from txt0 union select r.a, e.j from r join e on r.b = e.i) select a id, min(b) as \"cluster\" from r group by a",
+    "negative_top5": f"with {_FAR}, best as (select *, row_number() over (partition by i order by round(sim, 9) desc, j) r from far) select cast(substring(i, 2) as bigint) doc_id, cast(substring(j, 2) as bigint) item_id, round(sim, 6) sim from best where r <= 5",
     "xy_threshold_exact": _with(_REC, _CLASSES, _NULL, "prior as (select *, 0.2::double rho from classes)", _xy_sql("prior", "rho"), view=WIDE, select=f"select {_KEY}, class_id, round(coalesce(z, 0), 6) xy_threshold from classes left join found_xy using (class_id)"),
     "full_method_wide": _with(*_FULL_WIDE, view=WIDE, select="select sequence_id, clone_id from full_"),
     "paired_crude": _with(*_PAIR, *_CRUDE[1:], select="select rep.sequence_id, label clone_id from rep left join found using (sequence_id)"),

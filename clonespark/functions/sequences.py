@@ -49,16 +49,16 @@ def plain(text: Column) -> Column:
     return ~text.rlike(f"[^{LETTERS}]")
 
 
-def packed_distance(a: list[Column], b: list[Column]) -> Column:
-    """Letters that differ, from packed words: the four bits of each letter are folded into one."""
-    ones = F.lit(int("1" * PER_WORD, 16))
+def _packed_differ(x: Column, y: Column) -> Column:
+    """Letters that differ of two packed words: the four bits of each letter are folded into one."""
+    z = x.bitwiseXOR(y)
+    z = z.bitwiseOR(F.shiftright(z, 1))
+    return F.bit_count(z.bitwiseOR(F.shiftright(z, 2)).bitwiseAND(F.lit(int("1" * PER_WORD, 16))))
 
-    def differ(x: Column, y: Column) -> Column:
-        z = x.bitwiseXOR(y)
-        z = z.bitwiseOR(F.shiftright(z, 1))
-        return F.bit_count(z.bitwiseOR(F.shiftright(z, 2)).bitwiseAND(ones))
 
-    return reduce(lambda s, t: s + t, [differ(x, y) for x, y in zip(a, b, strict=True)])
+def packed_distance(a: list[Column], b: list[Column]) -> Column:
+    """Letters that differ, from packed words."""
+    return reduce(lambda s, t: s + t, [_packed_differ(x, y) for x, y in zip(a, b, strict=True)])
 
 
 def letter_distance(a: Column, b: Column) -> Column:
@@ -73,6 +73,18 @@ def hamming(a: Column, b: Column, words: int) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when(plain(a) & plain(b), fast).otherwise(letter_distance(a, b)).cast("int")
 
 
+def chunked_hamming(a: Column, b: Column) -> Column:
+    """The Hamming distance of two texts of any length, packed word by packed word; null if one is null."""
+
+    def word(text: Column, i: Column) -> Column:
+        digits = F.translate(F.substring(text, i * PER_WORD + 1, F.lit(PER_WORD)), LETTERS, "1234567")
+        return F.conv(F.rpad(digits, PER_WORD, "0"), 16, 10).cast("long")
+
+    words = F.sequence(F.lit(0), F.floor((F.greatest(F.length(a), F.length(b), F.lit(1)) - 1) / PER_WORD).cast("int"))
+    fast = F.aggregate(words, F.lit(0), lambda s, i: s + _packed_differ(word(a, i), word(b, i)))
+    return F.when(a.isNull() | b.isNull(), None).when(plain(a) & plain(b), fast).otherwise(letter_distance(a, b)).cast("int")
+
+
 def ngrams(text: Column | str, n: int = 5) -> Column:
     """The n-grams of the text without ``,`` to ``.``, ``/`` and a white space before ``BD``.
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonespark.functions import sequences as S
+from clonespark.operators.numbering import numbered
+from clonespark.plans.lineage import stored
 from clonespark.schema import ANY, CLASS, ROW, WORKING, Params
 
 
@@ -28,19 +30,14 @@ def normalise(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     df = df.withColumns(new).withColumn("cdr3_length", F.length("cdr3").cast("int"))
     more = [c for c in (ROW, *keep) if c in df.columns and c not in WORKING]
     a, b = F.col("alt_sequence_alignment"), F.col("alt_germline_alignment")
-    df = df.withColumn("mutation_count", F.when(a.isNotNull() & b.isNotNull(), S.letter_distance(a, b)).cast("int"))
+    df = df.withColumn("mutation_count", S.chunked_hamming(a, b))
     # a null mutation count has a null alignment; left out here so that queries without it need not compute it
     return df.select(*more, *WORKING).na.drop(subset=[c for c in WORKING if c != "mutation_count"])
 
 
 def with_row_ids(df: DataFrame) -> DataFrame:
-    """Rows numbered so that results can be joined back, dropped rows and repeated ids included.
-
-    The number is a hash of the whole row and, among equal rows, their rank, so it does not depend on partitions.
-    """
-    key = F.xxhash64(*df.columns)
-    rank = F.row_number().over(Window.partitionBy("_key", *df.columns).orderBy("_key"))
-    return df.withColumn("_key", key).withColumn(ROW, F.concat_ws("-", "_key", rank)).drop("_key")
+    """Rows with a number of their own, stored, so that results can be joined back, dropped rows and repeated ids included."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")[0]
 
 
 def with_sequence_id(df: DataFrame) -> DataFrame:
@@ -75,7 +72,7 @@ def create_classes(records: DataFrame) -> DataFrame:
     sizes = sizes.withColumn("pair_count", F.expr("sequence_count * (sequence_count - 1) div 2"))
     lengths = sizes.groupBy("cdr3_length").agg(F.sum("sequence_count").alias("sequence_count"), F.sum("pair_count").alias("pair_count"))
     every = sizes.unionByName(lengths.select(F.lit(ANY).alias("v_gene"), F.lit(ANY).alias("j_gene"), "cdr3_length", "sequence_count", "pair_count"))
-    return every.withColumn("class_id", F.row_number().over(Window.orderBy(F.col("sequence_count").desc(), *CLASS)).cast("int"))
+    return numbered(every, [F.col("sequence_count").desc(), *CLASS], "class_id").withColumn("class_id", F.col("class_id").cast("int"))
 
 
 def class_sample(records: DataFrame, classes: DataFrame, params: Params = Params()) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from clonespark.functions import sequences as S
 from clonespark.operators.components import connected_components
+from clonespark.operators.selection import percentiles
+from clonespark.operators.topmatches import top_matches
 from clonespark.plans.lineage import stored
 
 
@@ -59,7 +61,7 @@ def cosine_matches(left: DataFrame, right: DataFrame | None = None, least: float
     """(i, j, sim) for the pairs of texts whose weights have a product above ``least``; at most ``top`` for each i, best first.
 
     Without a right side the texts match among themselves, each also with itself. Both sides' weights need one idf table.
-    With least = 0 every common n-gram is joined on. Weights should be stored (stored_weights), as they are read several times.
+    With least = 0 every common n-gram is joined on; for the best few of each text there is ``top_matches``. Weights should be stored (stored_weights), as they are read several times.
     An n-gram's pairs are dealt to SALTS tasks, so a frequent one is not one task's.
     """
     own, rest = left if right is None else right, least * REST
@@ -91,7 +93,7 @@ def nearest_distance(matches: DataFrame, ids: DataFrame, place: int = 2) -> Data
 
 def percentile_threshold(distances: DataFrame, percent: float = 0.1) -> DataFrame:
     """One row (threshold): the percentile of the distances, interpolated."""
-    return distances.agg(F.percentile("distance", F.lit(percent / 100.0)).alias("threshold"))
+    return distances.sparkSession.createDataFrame([(percentiles(distances, "distance", [percent / 100.0])[0],)], "threshold double")
 
 
 def component_clusters(matches: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
@@ -133,9 +135,9 @@ def specificity_sweep(distances: DataFrame, negatives: DataFrame, percents: list
     """
     import math
 
-    table = negatives.agg(F.percentile("distance", F.array(*[F.lit(p / 100.0) for p in percents])).alias("t"))
+    at = percentiles(negatives, "distance", [p / 100.0 for p in percents])
     factor = 1 - 0.09 * math.log(size / 5000)
-    sweep = table.select(F.posexplode("t").alias("k", "t")).select(F.element_at(F.array(*map(F.lit, percents)), F.col("k") + 1).alias("percent"), (F.col("t") * factor).alias("threshold"))
+    sweep = distances.sparkSession.createDataFrame([(float(p), None if t is None else t * factor) for p, t in zip(percents, at, strict=True)], "percent double, threshold double")
     lone = distances.where("label = 0").select("distance")
     kept = lone.join(F.broadcast(sweep), F.expr("distance > threshold"), "right").groupBy("percent", "threshold").agg(F.count("distance").alias("kept"))
     total = lone.agg(F.count("*").alias("total"))
@@ -147,7 +149,7 @@ def alignment_free(repertoire: DataFrame, negatives: DataFrame, window: int = 15
     reads = repertoire.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), "text")
     strangers = negatives.select(F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string")).alias("id"), "text")
     w = stored_weights(reads.unionByName(strangers), window)
-    far = cosine_matches(w.where("id like 'r%'"), w.where("id like 'n%'"), 0.0, 5)
+    far = top_matches(w.where("id like 'r%'"), w.where("id like 'n%'"), 2)  # the second nearest decides
     threshold = percentile_threshold(nearest_distance(far, reads), percent).first()[0]
     matches = cosine_matches(stored_weights(repertoire, window))
     return greedy_clusters(matches, repertoire, float(threshold)) if greedy else component_clusters(matches, repertoire, float(threshold))
