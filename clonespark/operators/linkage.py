@@ -1,10 +1,10 @@
-"""Single linkage of CDR3s within a class at a distance threshold of the class.
+"""Single linkage of CDR3s within a class at distance thresholds of the class.
 
 Texts at most t letters apart that are cut into t + 1 parts have an equal part. Where these parts would be shorter than ``SHORT`` letters, half as many
 are cut, one of which differs in at most one letter; such a part stands once for each of its letters, with that letter left out. So the distinct CDR3s of a
-class are exploded into parts, joined on (class, place, part), verified by packed comparison, and linked. The links' least spanning forest (``spanning.py``) is cut at any number of thresholds. No class is
-gathered in one task. Only where even half as many parts would be too short (t is about two thirds of the length, and most texts are linked)
-a class is joined on itself, dealt to ``SALTS`` tasks. Adaptive execution splits the partitions of other parts that are frequent.
+class are exploded into parts, joined on (class, place, part), verified by packed comparison, and linked. Where even half as many parts would be too short (t is about two
+thirds of the length, and most texts are linked) budgets grow until a class hangs together, and texts walk tries (``trie.py``). The links' least spanning forest (``spanning.py``) is cut at any number of
+thresholds. No class is gathered in one task. Adaptive execution splits the partitions of parts that are frequent.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonespark.functions import sequences as S
+from clonespark.operators.components import connected_components
 from clonespark.operators.numbering import numbered
 from clonespark.operators.spanning import cut, minimum_forest
+from clonespark.operators.trie import trie_links
 from clonespark.plans.lineage import stored
 from clonespark.schema import CLASS
 
-SHORT, SALTS = 3, 16
+SHORT = 3
 
 
 def _keys(text: Column, n: Column, t: Column) -> Column:
@@ -45,21 +47,44 @@ def _keys(text: Column, n: Column, t: Column) -> Column:
 def links(nodes: DataFrame, words: int, inclusive: bool = True) -> DataFrame:
     """(src, dst, w, within): links between nodes (node, within, text, t) of a group whose texts differ in w letters, at most t (less than t, if not inclusive).
 
-    A link is there once for each part that its texts share.
+    Nodes are longs, no less than their group's ``within``, best in the texts' order. A link is there once for each part that its texts share.
     """
     t = F.col("t") if inclusive else F.col("t") - 1
     e = [f"_e{i}" for i in range(words)]
-    nodes = nodes.withColumn("t", t.cast("int")).where("t > 0").withColumns(dict(zip(e, S.packed(F.col("text"), words), strict=True))).withColumn("_plain", S.plain(F.col("text"))).withColumn("_n", F.length("text"))
-    nodes = nodes.withColumn("_keys", _keys(F.col("text"), F.col("_n"), F.col("t")))
-    split = nodes.where("_keys is not null").withColumn("_part", F.explode("_keys")).drop("_keys")
-    whole = nodes.where("_keys is null").drop("_keys")
-    salted = whole.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("string"))
-    every = whole.withColumn("_part", F.explode(F.array(*[F.lit(str(i)) for i in range(SALTS)])))
-    a, b = split.unionByName(salted).alias("a"), split.unionByName(every).alias("b")
+    nodes = nodes.withColumn("t", t.cast("int")).where("t > 0").withColumn("_keys", _keys(F.col("text"), F.length("text"), F.col("t")))
+    split = nodes.where("_keys is not null").withColumns(dict(zip(e, S.packed(F.col("text"), words), strict=True))).withColumn("_plain", S.plain(F.col("text")))
+    split = split.withColumn("_part", F.explode("_keys")).drop("_keys")
+    a, b = split.alias("a"), split.alias("b")
     fast = S.packed_distance([F.col(f"a.{c}") for c in e], [F.col(f"b.{c}") for c in e])
     d = F.when(F.col("a._plain") & F.col("b._plain"), fast).otherwise(S.letter_distance(F.col("a.text"), F.col("b.text")))
     same = F.expr("a.within = b.within and a._part = b._part and a.node < b.node")
-    return a.join(b, same & (d <= F.col("a.t"))).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), d.cast("int").alias("w"), F.col("a.within").alias("within"))
+    near = a.join(b, same & (d <= F.col("a.t"))).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), d.cast("int").alias("w"), F.col("a.within").alias("within"))
+    return near.unionByName(trie_links(nodes.where("_keys is null")))
+
+
+#: The first budget of groups with large thresholds, what each round adds, and the largest budget for which texts are joined on parts.
+BUDGET, BY_PARTS = 2, 4
+
+
+def spanning_links(nodes: DataFrame, words: int, inclusive: bool = True) -> DataFrame:
+    """Links (src, dst, w, within) that hold a least spanning forest of all links: for thresholds at which most texts are linked, so that links are as many as pairs.
+
+    Budgets grow from round to round, up to a group's threshold. A group that hangs together is finished, as heavier links only close circles; in the others
+    only the texts outside the largest component ask for more.
+    """
+    t = F.col("t") if inclusive else F.col("t") - 1
+    left, _ = stored(nodes.select("node", "within", "text", t.cast("int").alias("t"), F.lit(True).alias("asked")).where("t > 0"), "far")
+    found, budget = None, BUDGET
+    while not left.isEmpty():
+        now = left.withColumn("t", F.least("t", F.lit(budget)))
+        new = links(now, words) if budget <= BY_PARTS else trie_links(now)
+        found = minimum_forest(new if found is None else new.unionByName(found))
+        roots, _ = stored(left.join(connected_components(found.select("src", "dst", "within"), within="within"), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+        sizes = roots.groupBy("within", "root").agg(F.count("*").alias("n")).groupBy("within").agg(F.count("*").alias("_parts"), F.max(F.struct("n", "root"))["root"].alias("_largest"))
+        going = roots.join(sizes, "within").where((F.col("_parts") > 1) & (F.col("t") > budget))
+        left, _ = stored(going.select("node", "within", "text", "t", (F.col("root") != F.col("_largest")).alias("asked")), "far")
+        budget += BUDGET
+    return nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("w"), "within").limit(0) if found is None else found
 
 
 @dataclass
@@ -100,7 +125,10 @@ def linkage(records: DataFrame, thresholds: DataFrame, columns: list[str], inclu
     # the numbers of a class's nodes follow each other, so its least one stands for it
     within = nodes.groupBy(*CLASS).agg(F.min("node").alias("within"))
     nodes, _ = stored(nodes.join(within, CLASS), "numbered")
-    found = links(nodes.select("node", "within", F.col("cdr3").alias("text"), most.alias("t")), S.word_count(records, "cdr3"), inclusive)
+    texts = nodes.select("node", "within", F.col("cdr3").alias("text"), most.alias("t"))
+    joined = _keys(F.col("text"), F.length("text"), F.col("t")).isNotNull()
+    words = S.word_count(records, "cdr3")
+    found = links(texts.where(joined), words, inclusive).unionByName(spanning_links(texts.where(~joined), words, inclusive))
     return Linkage(nodes, minimum_forest(found), columns, inclusive)
 
 

@@ -42,30 +42,31 @@ def least_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
     return order[np.concatenate(taken)]
 
 
+def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of edges (src, dst, w, ...) that come in batches; what is held is a chunk of edges, and their nodes' forest."""
+    waiting: list[pa.RecordBatch] = []
+    held, limit = 0, CHUNK
+
+    def forest() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(waiting).combine_chunks()
+        own = least_forest(*(rows.column(c).to_numpy() for c in ("src", "dst", "w")))
+        return rows.take(pa.array(np.sort(own))).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if b.num_rows:
+            waiting.append(b)
+            held += b.num_rows
+            if held > limit:
+                waiting = [forest()]
+                held = waiting[0].num_rows
+                limit = max(CHUNK, 2 * held)
+    if waiting:
+        yield forest()
+
+
 def _reduced(edges: DataFrame) -> DataFrame:
-    """The forest of each partition's edges (src, dst, w, ...); a task holds a chunk of edges, and its nodes' forest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        held, limit = 0, CHUNK
-
-        def forest() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(waiting).combine_chunks()
-            own = least_forest(*(rows.column(c).to_numpy() for c in ("src", "dst", "w")))
-            return rows.take(pa.array(np.sort(own))).combine_chunks().to_batches()[0]
-
-        for b in batches:
-            if b.num_rows:
-                waiting.append(b)
-                held += b.num_rows
-                if held > limit:
-                    waiting = [forest()]
-                    held = waiting[0].num_rows
-                    limit = max(CHUNK, 2 * held)
-        if waiting:
-            yield forest()
-
-    return edges.mapInArrow(run, edges.schema)
+    """The forest of each partition's edges."""
+    return edges.mapInArrow(reduced, edges.schema)
 
 
 def _rounds(edges: DataFrame, max_rounds: int) -> DataFrame:

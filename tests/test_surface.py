@@ -100,8 +100,9 @@ def test_linkage_finds_every_link(spark, t):
     rng = np.random.default_rng(t)
     base = rng.integers(0, 4, (12, 15))
     texts = {"".join("ACGT"[c] for c in np.where(rng.random(15) < 0.25, rng.integers(0, 4, 15), base[k % 12])) for k in range(150)}
-    nodes = spark.createDataFrame([(x, "g", x, t) for x in texts], "node string, within string, text string, t int")
-    got = {(r["src"], r["dst"]) for r in links(nodes, 1).collect()}
+    order = sorted(texts)
+    nodes = spark.createDataFrame([(i, 0, x, t) for i, x in enumerate(order)], "node long, within long, text string, t int")
+    got = {(order[r["src"]], order[r["dst"]]) for r in links(nodes, 1).collect()}
     assert got == {(a, b) for a in texts for b in texts if a < b and sum(x != y for x, y in zip(a, b)) <= t}
 
 
