@@ -216,6 +216,12 @@ w02 as (select id, gram, tf * idf w from tf2 join df2 using (gram)), w2 as (sele
 far as (select a.id i, b.id j, sum(a.w * b.w) sim from w2 a join w2 b on a.gram = b.gram where a.id like 'r%' and b.id like 'n%' group by all),
 second as (select i, sim from (select *, row_number() over (partition by i order by sim desc) r from far) where r = 2),
 thr as (select quantile_cont(1 - coalesce(sim, 0), 0.1) t from documents left join second on i = 'r' || doc_id)"""
+#: Labels handed on in the order of ids: every text points to an earlier one, and takes the label of the root.
+_GREEDY = """ok as (select i, j from near_ where i in (select i from near_ group by i having count(*) > 1)),
+before as (select i, j, lag(i) over (partition by j order by i) p from ok),
+ptr as (select i, arg_min(p, j) filter (p is not null) p from before group by i),
+chain as (select i, i root from ptr where p is null union all select x.i, c.root from ptr x join chain c on x.p = c.i),
+lab as (select j, root from (select j, max(i) i from ok group by j) join chain using (i)), least_ as (select root, min(j) c from lab group by root)"""
 _SIMS = "sims as (select a.id i, b.id j, sum(a.w * b.w) sim from w a join w b on a.gram = b.gram group by all having sum(a.w * b.w) > 0.5)"
 
 
@@ -227,7 +233,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.cosine_matches(T.stored_weights(_texts(spark, sf_dir)))
+    return T.cosine_matches(T.stored_weights(_texts(spark, sf_dir)), top=None)
 
 
 def _modelled(spark: SparkSession, sf_dir: str, params: Params = _P99) -> tuple[DataFrame, DataFrame]:
@@ -358,6 +364,21 @@ def _greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.greedy_clusters(_matches(spark, sf_dir), _texts(spark, sf_dir), 0.3)
 
 
+def _greedy_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text with a threshold of its own."""
+    texts = _texts(spark, sf_dir).withColumn("t", 0.2 + 0.1 * (F.col("id") % 3))
+    return T.greedy_clusters(_matches(spark, sf_dir), texts, "t")
+
+
+def _greedy_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the CDR3s of a family, both ways round and with themselves."""
+    rows = records(spark, sf_dir)
+    a, b = rows.alias("a"), rows.alias("b")
+    d = S.length_normalised(S.chunked_hamming(F.col("a.cdr3"), F.col("b.cdr3")), F.col("a.cdr3"), F.col("b.cdr3"))
+    pairs = a.join(b, F.expr("a.ground_truth = b.ground_truth")).select(F.col("a.sequence_id").alias("i"), F.col("b.sequence_id").alias("j"), F.round(d, 9).alias("distance"))
+    return T.greedy_by_distance(pairs, rows.select(F.col("sequence_id").alias("id")), 0.15)
+
+
 def _alignment_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' clusters, with the benchmark's passages as the negative set."""
     return T.alignment_free(_texts(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"), percent=10.0)
@@ -441,9 +462,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "specificity_sweep": _sweep,
     "textclone_components": lambda s, d: T.component_clusters(_matches(s, d), _texts(s, d), 0.3),
     "greedy_clones": _greedy,
+    "greedy_by_text": _greedy_by_text,
+    "greedy_distances": _greedy_distances,
     "offset_distance": _offsets,
     "alignment_free_clones": _alignment_free,
     "negative_top5": _negative_top,
+    "cosine_top1800": lambda s, d: rounded(T.cosine_matches(T.stored_weights(_texts(s, d)), top=1800)),
+    "ngram_tokens_whole": lambda s, d: T.tokens(_texts(s, d), window=None),
 }
 
 _KEY = "v_gene, j_gene, cdr3_length"
@@ -506,6 +531,9 @@ ORACLES: dict[str, str] = {
     "percentile_threshold": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR} select round(quantile_cont(distance, 0.1), 6) threshold from near",
     "specificity_sweep": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR}, lab as (select round(distance, 9) distance, toxic label from near join labels on id = doc_id), ps as (select unnest([0.5, 1.0, 5.0, 10.0, 50.0])::double \"percent\", unnest(q) * (1 - 0.09::double * ln((select count(*) from documents) / 5000.0::double)) threshold from (select quantile_cont(distance, [0.005, 0.01, 0.05, 0.1, 0.5]) q from lab)) select \"percent\", round(threshold, 6) threshold, round((select count(*) from lab where label = 0 and distance > threshold) / (select count(*) from lab where label = 0), 6) specificity from ps",
     "textclone_components": f"with recursive {_TEXT}, {_SIMS}, {_TXT0}, e as (select i, j from sims where sim > 0.7), r as (select id a, id b from txt0 union select r.a, e.j from r join e on r.b = e.i) select a id, min(b) as \"cluster\" from r group by a",
+    "greedy_clones": f"with recursive {_TEXT}, {_SIMS}, near_ as (select i, j from sims where sim > 0.7), {_GREEDY} select doc_id id, coalesce(c, doc_id) as \"cluster\" from documents left join lab on j = doc_id left join least_ using (root)",
+    "greedy_by_text": f"with recursive {_TEXT}, {_SIMS}, near_ as (select i, j from sims where sim > 1 - (0.2::double + 0.1::double * (i % 3))), {_GREEDY} select doc_id id, coalesce(c, doc_id) as \"cluster\" from documents left join lab on j = doc_id left join least_ using (root)",
+    "greedy_distances": _with(_REC, "near_ as (select a.sequence_id i, b.sequence_id j from rec a join rec b on a.ground_truth = b.ground_truth where round(2.0::double * hamming(a.cdr3, b.cdr3) / (2 * a.cdr3_length), 9) < 0.15)", _GREEDY, select="select sequence_id id, coalesce(c, sequence_id) as \"cluster\" from rec left join lab on j = sequence_id left join least_ using (root)"),
     "alignment_free_clones": f"with recursive {_FAR}, {_TEXT}, {_SIMS}, {_TXT0}, e as (select i, j from sims, thr where sim > 1 - t), r as (select id a, id b from txt0 union select r.a, e.j from r join e on r.b = e.i) select a id, min(b) as \"cluster\" from r group by a",
     "negative_top5": f"with {_FAR}, best as (select *, row_number() over (partition by i order by round(sim, 9) desc, j) r from far) select cast(substring(i, 2) as bigint) doc_id, cast(substring(j, 2) as bigint) item_id, round(sim, 6) sim from best where r <= 5",
     "xy_threshold_exact": _with(_REC, _CLASSES, _NULL, "prior as (select *, 0.2::double rho from classes)", _xy_sql("prior", "rho"), view=WIDE, select=f"select {_KEY}, class_id, round(coalesce(z, 0), 6) xy_threshold from classes left join found_xy using (class_id)"),
@@ -520,6 +548,8 @@ ORACLES: dict[str, str] = {
     "models_aligned": _with(*_CDR3, _CRUDE[2], _clusters_sql("found", "crude", "threshold"), select="select sequence_id, found.label crude, pre.label cdr3 from found join pre using (sequence_id)"),
     "mean_over_seeds": _with(_REC, select="select cdr3_length, round(avg(value), 6) mean, count(value) n from (select cdr3_length, ground_truth % 5 seed, sum(mutation_count) / count(*) as \"value\" from rec group by all) group by 1"),
     "cosine_top3": f"with {_TEXT}, {_SIMS}, r as (select *, row_number() over (partition by i order by round(sim, 9) desc, j) k from sims) select i, j, round(sim, 6) sim from r where k <= 3",
+    "cosine_top1800": f"with {_TEXT}, {_SIMS}, r as (select *, row_number() over (partition by i order by round(sim, 9) desc, j) k from sims) select i, j, round(sim, 6) sim from r where k <= 1800",
+    "ngram_tokens_whole": f"with {_TEXT.replace('substring(text, greatest(length(text) - 150, 0) + 1, 150)', 'text')} select * from tf",
     "third_nearest": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR.replace('r = 2', 'r = 3')} select id, round(distance, 6) distance from near",
     "matches_with_texts": f"with {_TEXT}, {_SIMS} select i, j, md5(a.text) as \"left\", md5(b.text) as \"right\", round(sim, 6) similarity from sims join documents a on a.doc_id = i join documents b on b.doc_id = j",
     "row_by_value": f"with {_TEXT}, {_SIMS} select i, cast(row_number() over (partition by i order by round(sim, 9) desc, j) as int) place, j, round(sim, 6) sim from sims",

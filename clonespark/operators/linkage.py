@@ -47,18 +47,20 @@ def _keys(text: Column, n: Column, t: Column) -> Column:
 def links(nodes: DataFrame, words: int, inclusive: bool = True) -> DataFrame:
     """(src, dst, w, within): links between nodes (node, within, text, t) of a group whose texts differ in w letters, at most t (less than t, if not inclusive).
 
-    Nodes are longs, no less than their group's ``within``, best in the texts' order. A link is there once for each part that its texts share.
+    Nodes are longs, no less than their group's ``within``, best in the texts' order. A link is there once for each part that its texts share. Where there is a boolean column
+    ``asked``, links without an asked node are left out.
     """
     t = F.col("t") if inclusive else F.col("t") - 1
     e = [f"_e{i}" for i in range(words)]
+    nodes = nodes if "asked" in nodes.columns else nodes.withColumn("asked", F.lit(True))
     nodes = nodes.withColumn("t", t.cast("int")).where("t > 0").withColumn("_keys", _keys(F.col("text"), F.length("text"), F.col("t")))
     split = nodes.where("_keys is not null").withColumns(dict(zip(e, S.packed(F.col("text"), words), strict=True))).withColumn("_plain", S.plain(F.col("text")))
     split = split.withColumn("_part", F.explode("_keys")).drop("_keys")
-    a, b = split.alias("a"), split.alias("b")
+    a, b = split.where("asked").alias("a"), split.alias("b")
     fast = S.packed_distance([F.col(f"a.{c}") for c in e], [F.col(f"b.{c}") for c in e])
     d = F.when(F.col("a._plain") & F.col("b._plain"), fast).otherwise(S.letter_distance(F.col("a.text"), F.col("b.text")))
-    same = F.expr("a.within = b.within and a._part = b._part and a.node < b.node")
-    near = a.join(b, same & (d <= F.col("a.t"))).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), d.cast("int").alias("w"), F.col("a.within").alias("within"))
+    same = F.expr("a.within = b.within and a._part = b._part and (a.node < b.node or a.node > b.node and not b.asked)")
+    near = a.join(b, same & (d <= F.col("a.t"))).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst"), d.cast("int").alias("w"), F.col("a.within").alias("within"))
     return near.unionByName(trie_links(nodes.where("_keys is null")))
 
 
@@ -66,20 +68,21 @@ def links(nodes: DataFrame, words: int, inclusive: bool = True) -> DataFrame:
 BUDGET, BY_PARTS = 2, 4
 
 
-def spanning_links(nodes: DataFrame, words: int, inclusive: bool = True) -> DataFrame:
+def spanning_links(nodes: DataFrame, words: int, inclusive: bool = True, known: DataFrame | None = None) -> DataFrame:
     """Links (src, dst, w, within) that hold a least spanning forest of all links: for thresholds at which most texts are linked, so that links are as many as pairs.
 
     Budgets grow from round to round, up to a group's threshold. A group that hangs together is finished, as heavier links only close circles; in the others
-    only the texts outside the largest component ask for more.
+    only the texts outside the largest component ask for more. known: a forest of the links between nodes that are not asked.
     """
     t = F.col("t") if inclusive else F.col("t") - 1
-    left, _ = stored(nodes.select("node", "within", "text", t.cast("int").alias("t"), F.lit(True).alias("asked")).where("t > 0"), "far")
-    found, budget = None, BUDGET
+    asked = F.col("asked") if "asked" in nodes.columns else F.lit(True)
+    left, _ = stored(nodes.select("node", "within", "text", t.cast("int").alias("t"), asked.alias("asked")).where("t > 0"), "far")
+    found, budget = known, BUDGET
     while not left.isEmpty():
         now = left.withColumn("t", F.least("t", F.lit(budget)))
         new = links(now, words) if budget <= BY_PARTS else trie_links(now)
         found = minimum_forest(new if found is None else new.unionByName(found))
-        roots, _ = stored(left.join(connected_components(found.select("src", "dst", "within"), within="within"), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+        roots, _ = stored(left.join(connected_components(found.where(F.col("w") <= budget).select("src", "dst", "within"), within="within"), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
         sizes = roots.groupBy("within", "root").agg(F.count("*").alias("n")).groupBy("within").agg(F.count("*").alias("_parts"), F.max(F.struct("n", "root"))["root"].alias("_largest"))
         going = roots.join(sizes, "within").where((F.col("_parts") > 1) & (F.col("t") > budget))
         left, _ = stored(going.select("node", "within", "text", "t", (F.col("root") != F.col("_largest")).alias("asked")), "far")
@@ -87,6 +90,12 @@ def spanning_links(nodes: DataFrame, words: int, inclusive: bool = True) -> Data
     return nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("w"), "within").limit(0) if found is None else found
 
 
+def forest_links(texts: DataFrame, words: int, inclusive: bool = True, known: DataFrame | None = None) -> DataFrame:
+    """Links that hold a least spanning forest, by parts where these are long enough, and else by growing budgets; see the two."""
+    joined = _keys(F.col("text"), F.length("text"), F.col("t")).isNotNull()
+    return links(texts.where(joined), words, inclusive).unionByName(spanning_links(texts.where(~joined), words, inclusive, known))
+
+
 @dataclass
 class Linkage:
     """Single linkage of a repertoire's distinct CDR3s at several thresholds of each class, from one table of links.
@@ -126,10 +135,7 @@ def linkage(records: DataFrame, thresholds: DataFrame, columns: list[str], inclu
     within = nodes.groupBy(*CLASS).agg(F.min("node").alias("within"))
     nodes, _ = stored(nodes.join(within, CLASS), "numbered")
     texts = nodes.select("node", "within", F.col("cdr3").alias("text"), most.alias("t"))
-    joined = _keys(F.col("text"), F.length("text"), F.col("t")).isNotNull()
-    words = S.word_count(records, "cdr3")
-    found = links(texts.where(joined), words, inclusive).unionByName(spanning_links(texts.where(~joined), words, inclusive))
-    return Linkage(nodes, minimum_forest(found), columns, inclusive)
+    return Linkage(nodes, minimum_forest(forest_links(texts, S.word_count(records, "cdr3"), inclusive)), columns, inclusive)
 
 
 def clusters(records: DataFrame, thresholds: DataFrame, names: dict[str, str], inclusive: bool = True) -> DataFrame:

@@ -8,20 +8,21 @@ frequent n-grams, which make the most pairs, are mostly never joined on. The few
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonespark.functions import sequences as S
 from clonespark.operators.components import connected_components
+from clonespark.operators.numbering import numbered
 from clonespark.operators.selection import percentiles
 from clonespark.operators.topmatches import top_matches
-from clonespark.plans.lineage import stored
+from clonespark.plans.lineage import remove, stored
 
 
-def tokens(texts: DataFrame, window: int = 150, n: int = 5) -> DataFrame:
-    """(id, gram, tf) of the last ``window`` letters of each text (id, text)."""
-    grams = texts.where("text is not null").select("id", F.explode(S.ngrams(S.tail(F.col("text"), window), n)).alias("gram"))
+def tokens(texts: DataFrame, window: int | None = 150, n: int = 5) -> DataFrame:
+    """(id, gram, tf) of the last ``window`` letters of each text (id, text), or of whole texts."""
+    seen = F.col("text") if window is None else S.tail(F.col("text"), window)
+    grams = texts.where("text is not null").select("id", F.explode(S.ngrams(seen, n)).alias("gram"))
     return grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
 
 
@@ -40,7 +41,7 @@ def weights(tf: DataFrame, idf: DataFrame | None = None) -> DataFrame:
     return raw.withColumn("_size", size).select("id", "gram", (F.col("w") / F.col("_size")).alias("w"), "df")
 
 
-def stored_weights(texts: DataFrame, window: int = 150, n: int = 5) -> DataFrame:
+def stored_weights(texts: DataFrame, window: int | None = 150, n: int = 5) -> DataFrame:
     """The weights of texts (id, text) as a table, for the several passes that matching makes over them."""
     tf, _ = stored(tokens(texts, window, n), "tokens")
     return stored(weights(tf), "weights")[0]
@@ -102,30 +103,44 @@ def component_clusters(matches: DataFrame, ids: DataFrame, threshold: float) ->
     return ids.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("cluster"))
 
 
-def greedy_clusters(matches: DataFrame, ids: DataFrame, threshold: float | str) -> DataFrame:
-    """(id, cluster): labels spread in the order of ids, each text handing the first label among its matches to all of them.
+def greedy_labels(near: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, cluster): labels spread in the order of ids over matches (i, j): a text with two matches or more (it may be its own) hands the first label that one of them has,
+    taken in the order of their ids, or else a new one, to all of them, whatever label they had. The cluster is the least id with the same last label.
 
-    threshold: a number, or a column of ``ids`` with one for each text. A text's labels reach its component at most, so the sequential
-    part runs in each component; the cluster is its least id.
+    Which text hands the label on to which does not depend on the labels: a match has one if an earlier text matches it too, and then it has the label of the last of
+    these. So every text points to one earlier text, or to itself if it makes a new label, and labels are the roots of these pointers, found by doubling. Places in the order of (j, i) replace
+    windows over all that match one text, so a text that very many match is no single task's.
     """
+    counts = near.groupBy("i").agg(F.count("*").alias("_n")).where("_n > 1").select("i")
+    ordered = numbered(near.join(counts, "i", "left_semi").select("i", "j"), ["j", "i"], "_place", 0)
+    ordered, _ = stored(ordered, "ordered")
+    before = ordered.select((F.col("_place") + 1).alias("_place"), F.col("j").alias("_j"), F.col("i").alias("_i"))
+    known = ordered.join(before, "_place", "left").select("i", "j", F.when(F.col("j") == F.col("_j"), F.col("_i")).alias("p"))
+    pointer = known.groupBy("i").agg(F.min(F.when(F.col("p").isNotNull(), F.struct("j", "p")))["p"].alias("p"))
+    to, path = stored(pointer.select("i", F.coalesce("p", "i").alias("to")), "pointers")
+    while True:
+        step = to.join(to.select(F.col("i").alias("to"), F.col("to").alias("_next")), "to").select("i", F.col("_next").alias("to"), (F.col("_next") != F.col("to")).alias("_moved"))
+        table, new = stored(step, "pointers")
+        remove(to.sparkSession, path)
+        to, path = table.drop("_moved"), new
+        if table.where("_moved").isEmpty():
+            break
+    last = ordered.groupBy("j").agg(F.max("i").alias("i"))
+    label, _ = stored(last.join(to, "i").select(F.col("j").alias("id"), "to"), "labels")
+    found = label.join(label.groupBy("to").agg(F.min("id").alias("cluster")), "to")
+    return ids.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
+def greedy_clusters(matches: DataFrame, ids: DataFrame, threshold: float | str) -> DataFrame:
+    """(id, cluster): greedy_labels over matches (i, j, sim) above 1 - threshold; threshold: a number, or a column of ``ids`` with one for each text."""
     one = ids.select("id", (F.lit(float(threshold)) if isinstance(threshold, float) else F.col(threshold)).alias("_t"))
     near = matches.join(one, F.col("i") == F.col("id")).where("sim > 1 - _t").select("i", "j")
-    roots = connected_components(near)
-    lists = near.groupBy("i").agg(F.array_sort(F.collect_set("j")).alias("js")).where(F.size("js") > 1)
-    work = lists.join(roots, F.col("i") == F.col("node")).select("root", "i", "js")
-    kind = dict(ids.dtypes)["id"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        label: dict = {}
-        for i, js in pdf.sort_values("i")[["i", "js"]].itertuples(index=False):
-            known = next((label[j] for j in js if j in label), i)
-            label.update(dict.fromkeys(js.tolist(), known))
-        out = pd.DataFrame({"id": list(label), "_l": list(label.values())})
-        out["cluster"] = out.groupby("_l")["id"].transform("min")
-        return out[["id", "cluster"]]
-
-    found = work.groupBy("root").applyInPandas(run, f"id {kind}, cluster {kind}")
-    return ids.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    return greedy_labels(near, ids)
+
+
+def greedy_by_distance(distances: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
+    """(id, cluster): greedy_labels over pairs (i, j, distance) below the threshold; pairs are there both ways round, each text's with itself among them."""
+    return greedy_labels(distances.where(F.col("distance") < threshold).select("i", "j"), ids)
 
 
 def specificity_sweep(distances: DataFrame, negatives: DataFrame, percents: list[float], size: int) -> DataFrame:
@@ -144,14 +159,14 @@ def specificity_sweep(distances: DataFrame, negatives: DataFrame, percents: list
     return kept.join(total, F.lit(True)).select("percent", "threshold", (F.col("kept") / F.nullif("total", F.lit(0))).alias("specificity"))
 
 
-def alignment_free(repertoire: DataFrame, negatives: DataFrame, window: int = 150, percent: float = 0.1, greedy: bool = False) -> DataFrame:
+def alignment_free(repertoire: DataFrame, negatives: DataFrame, window: int | None = 150, percent: float = 0.1, greedy: bool = False) -> DataFrame:
     """(id, cluster) of a repertoire (id, text), with the threshold from its nearest distances to a negative set (text)."""
     reads = repertoire.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), "text")
     strangers = negatives.select(F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string")).alias("id"), "text")
     w = stored_weights(reads.unionByName(strangers), window)
     far = top_matches(w.where("id like 'r%'"), w.where("id like 'n%'"), 2)  # the second nearest decides
     threshold = percentile_threshold(nearest_distance(far, reads), percent).first()[0]
-    matches = cosine_matches(stored_weights(repertoire, window))
+    matches = cosine_matches(stored_weights(repertoire, window), top=None)
     return greedy_clusters(matches, repertoire, float(threshold)) if greedy else component_clusters(matches, repertoire, float(threshold))
 
 

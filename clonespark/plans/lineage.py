@@ -43,6 +43,13 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it does not exist."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that no plan needs any more."""
     jvm = spark.sparkContext._jvm

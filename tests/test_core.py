@@ -266,6 +266,40 @@ def test_greedy_labels_follow_the_order(spark):
     assert got == {i: least[label[i]] for i in range(30)}
 
 
+def plain_greedy(lists):
+    """Labels handed on one text after the other: {id: cluster} of {id: its matches}."""
+    label, members = {}, {}
+    for i in sorted(lists):
+        if len(lists[i]) > 1:
+            known = next((label[j] for j in sorted(lists[i]) if j in label), i)
+            label.update(dict.fromkeys(lists[i], known))
+    for j, k in label.items():
+        members.setdefault(k, []).append(j)
+    return {j: min(members[label[j]]) if j in label else j for j in lists}
+
+
+def test_greedy_labels_in_one_large_component(spark):
+    """2,000 texts that all hang together, with a hub that a third of them match, and a threshold for each text."""
+    rng = random.Random(8)
+    sims = {(i, i): 1.0 for i in range(2000)}
+    for i in range(2000):
+        for j in {i // 2, rng.randrange(2000), 77 if i % 3 == 0 else i}:
+            sims[i, j] = sims[j, i] = max(0.6, 1 - abs(i - j) % 40 / 100)
+    table = spark.createDataFrame([(i, j, s) for (i, j), s in sims.items()], "i long, j long, sim double").repartition(5)
+    own = {i: 0.1 + 0.1 * (i % 4) for i in range(2001)}
+    ids = spark.createDataFrame(list(own.items()), "id long, t double")
+    for threshold, limit in (("t", own), (0.35, dict.fromkeys(own, 0.35))):
+        lists = {i: set() for i in own}
+        for (i, j), s in sims.items():
+            if s > 1 - limit[i]:
+                lists[i].add(j)
+        got = {r["id"]: r["cluster"] for r in T.greedy_clusters(table, ids, threshold).collect()}
+        assert got == plain_greedy(lists) and len(set(got.values())) < 1900
+    far = table.select("i", "j", (1 - F.col("sim")).alias("distance"))
+    lists = {i: {j for a, j in sims if a == i and 1 - sims[a, j] < 0.2} for i in own}
+    assert {r["id"]: r["cluster"] for r in T.greedy_by_distance(far, ids, 0.2).collect()} == plain_greedy(lists)
+
+
 def test_alignment_free_pipeline(spark):
     rng = random.Random(12)
     base = ["".join(rng.choice("ACGT") for _ in range(170)) for _ in range(4)]

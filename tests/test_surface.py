@@ -11,7 +11,6 @@ import __spark_entry__ as entry
 from clonespark import catalogue, cli
 from clonespark.plans import methods
 from clonespark.schema import Params
-from clonespark.streaming.assign import assign, assign_stream
 
 
 def test_entry(spark):
@@ -46,18 +45,6 @@ def test_command_line(spark, sf_dir, tmp_path):
         cli.main(["crude-method", path, "--result-folder", f"{tmp_path}/out"])
 
 
-def test_stream_assigns_like_a_batch(spark, sf_dir, tmp_path):
-    found = methods.crude(catalogue.rep(spark, sf_dir).where("ground_truth < 100"))
-    rows = found.records.drop("_row").withColumnRenamed("crude_method_family", "clone")
-    known, new = rows.where("ground_truth % 2 = 0"), rows.where("ground_truth % 2 = 1 or split(sequence_id, '_')[1] = '3'").drop("clone")
-    want = {tuple(r) for r in assign(new, known, found.classes, "threshold", "clone").select("sequence_id", "clone").collect()}
-    new.write.parquet(f"{tmp_path}/new")
-    stream = spark.readStream.schema(new.schema).parquet(f"{tmp_path}/new")
-    assign_stream(stream, known, found.classes, "threshold", "clone", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("sequence_id", "clone").collect()}
-    assert got == want and any(a != b for a, b in got)
-
-
 def test_params_and_constants(spark, sf_dir):
     out = methods.full(catalogue.rep(spark, sf_dir).where("ground_truth < 50"), params=Params(precision=0.99, xy_constant=-1e9))
     assert out.output.where(F.col("clone_id").isNull()).count() == 0
