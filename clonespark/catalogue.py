@@ -25,8 +25,9 @@ from clonespark.operators import spectra as P
 from clonespark.operators import textclone as T
 from clonespark.operators.topmatches import top_matches
 from clonespark.plans import methods
-from clonespark.plans.lineage import stored
+from clonespark.plans.lineage import scratch, stored
 from clonespark.schema import CLASS, Params
+from clonespark.sources import repertoire as R
 
 # -- fixtures (the same text runs in Spark and DuckDB) ------------------------------------------------
 
@@ -393,6 +394,53 @@ def _negative_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select(F.substring("i", 2, 20).cast("long").alias("doc_id"), F.substring("j", 2, 20).cast("long").alias("item_id"), "sim"))
 
 
+def _lengths_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The null model of the lengths that the repertoire has."""
+    return M.default_null(spark).join(records(spark, sf_dir).select(F.col("cdr3_length").alias("l")).distinct(), "l", "left_semi")
+
+
+def _written_as(spark: SparkSession, suffix: str) -> str:
+    return scratch(spark, "written") + suffix
+
+
+def _table_round_trip(suffix: str):
+    """The repertoire written in a format and read again, with a copied column."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _written_as(spark, suffix)
+        R.write_result(rep(spark, sf_dir).select("sequence_id", "v_call", "junction"), path)
+        return R.read_repertoire(spark, path, {"v_call": "call"}).select("sequence_id", "v_call", "junction", "call")
+
+    return run
+
+
+def _fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written_as(spark, ".fasta")
+    rows = rep(spark, sf_dir).withColumn("name", F.concat_ws("|", F.lit("x"), "sequence_id", "v_call"))
+    R.write_fasta(rows, path, "name", "v_germline_alignment")
+    return R.read_fasta(spark, path)
+
+
+def _partitions_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The families of each V call, as numbered in a partition file's line."""
+    path = _written_as(spark, ".json")
+    R.write_partitions(rep(spark, sf_dir), path, "sequence_id", "ground_truth", ["v_call"])
+    return R.read_partitions(spark, path)
+
+
+def _null_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written_as(spark, ".csv")
+    R.write_null_model(_lengths_null(spark, sf_dir), path)
+    return rounded(M.null_pmf(R.read_null_model(spark, path)))
+
+
+def _export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders by CDR3 length, read again as a glob of CSV files."""
+    path = _written_as(spark, "-lengths")
+    R.export_by_length(records(spark, sf_dir).select("sequence_id", "cdr3", "cdr3_length"), path)
+    return R.read_columns(spark, f"{path}/*/*.csv", ["sequence_id", "cdr3"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "repertoire_normalised": lambda s, d: records(s, d),
     "gene_from_call": lambda s, d: rep(s, d).select("sequence_id", S.gene("v_call").alias("v_gene"), S.gene("j_call").alias("j_gene")),
@@ -404,7 +452,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_ids": lambda s, d: C.create_classes(records(s, d)),
     "class_sample": lambda s, d: (lambda r: C.class_sample(r, C.create_classes(r), Params(nmax=50)))(records(s, d)),
     "distance_histogram": lambda s, d: (lambda r: C.distance_histogram(C.class_sample(r, C.create_classes(r))))(records(s, d)),
-    "null_pmf": lambda s, d: rounded(M.null_pmf(M.default_null(s))),
+    "null_pmf": lambda s, d: rounded(M.null_pmf(_lengths_null(s, d))),
+    "null_model_file": _null_round_trip,
+    "tsv_gz_file": _table_round_trip(".tsv.gz"),
+    "csv_file": _table_round_trip(".csv"),
+    "fasta_file": _fasta_round_trip,
+    "partition_file": _partitions_round_trip,
+    "length_folders": _export_round_trip,
+    "id_map": lambda s, d: R.id_map(rep(s, d)),
     "em_geometric": _fit("geometric", "rho_geo", "mu_geo"),
     "em_poisson": _fit("poisson", "rho_poisson", "mu_poisson"),
     "mixture_error": lambda s, d: rounded(M.fit_classes(_bins(s, d)).select("class_id", "error_geo", "error_poisson")),
@@ -490,7 +545,14 @@ ORACLES: dict[str, str] = {
     "class_ids": _with(_REC, _CLASSES, select="select * from classes"),
     "class_sample": _with(_REC, _CLASSES, _sample_sql(50), select="select * from sample"),
     "distance_histogram": _with(_REC, _CLASSES, _sample_sql(100_000), _HIST, select="select * from hist"),
-    "null_pmf": "with recursive " + _NULL + " select cast(l as int) l, cast(d as int) d, round(p0, 6) p0 from pmf",
+    "null_pmf": _with(_REC, _NULL, select="select cast(l as int) l, cast(d as int) d, round(p0, 6) p0 from pmf where l in (select cdr3_length from rec)"),
+    "null_model_file": _with(_REC, _NULL, select="select cast(l as int) l, cast(d as int) d, round(p0, 6) p0 from pmf where l in (select cdr3_length from rec)"),
+    "tsv_gz_file": _with(_REC, select="select sequence_id, v_call, junction, v_call as \"call\" from rep"),
+    "csv_file": _with(_REC, select="select sequence_id, v_call, junction, v_call as \"call\" from rep"),
+    "fasta_file": _with(_REC, select="select sequence_id as \"call\", v_germline_alignment germline_alignment from rep"),
+    "partition_file": _with(_REC, select="select sequence_id, cast(dense_rank() over (partition by v_call order by ground_truth) - 1 as int) clone from rep"),
+    "length_folders": _with(_REC, select="select sequence_id, cdr3 from rec"),
+    "id_map": _with(_REC, select="select sequence_id seq_id, row_number() over (order by sequence_id) - 1 sequence_id from rep"),
     "em_geometric": _with(*_MODEL, select="select class_id, round(rho_geo, 6) rho_geo, round(mu_geo, 6) mu_geo from fits"),
     "em_poisson": _with(*_MODEL, select="select class_id, round(rho_poisson, 6) rho_poisson, round(mu_poisson, 6) mu_poisson from fits"),
     "mixture_error": _with(*_MODEL, select="select class_id, round(error_geo, 6) error_geo, round(error_poisson, 6) error_poisson from errors"),

@@ -51,9 +51,34 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--silent", action="store_true")
         if name == "full-method":
             c.add_argument("--without-heuristic", type=float, metavar="XY", help="this constant in place of the computed thresholds of the mutation statistic")
+    c = commands.add_parser("alignment-free")
+    c.add_argument("data_path", help="a table of sequences with the columns sequence_id and --text")
+    c.add_argument("negative_path", help="a table of sequences that are no clones of any")
+    c.add_argument("--text", dest="column", default="sequence", help="the column that is compared")
+    c.add_argument("-p", "--percent", type=float, default=0.1, help="percentile of the nearest distances to the negative set")
+    c.add_argument("-w", "--window", type=int, default=150, help="letters from the end that are compared; 0 for whole texts")
+    c.add_argument("--greedy", action="store_true", help="labels in the order of ids in place of components")
+    c.add_argument("-v", "--verbose", action="count", default=0)
+    c.add_argument("-t", "--threads", type=int, default=1, help="local threads, -1 for all; ignored where a master is set")
+    c.add_argument("--result-folder")
+    c.add_argument("--override", action="store_true")
+    c.add_argument("--json", dest="as_json", action="store_true")
     return top
 
 
+def _alignment_free(spark, args: argparse.Namespace, out: str) -> None:
+    from pyspark.sql import functions as F
+
+    from clonespark.operators.classes import with_sequence_id
+    from clonespark.operators.textclone import alignment_free
+    from clonespark.sources import repertoire as R
+
+    data = with_sequence_id(R.read_repertoire(spark, args.data_path))
+    negatives = R.read_repertoire(spark, args.negative_path).select(F.col(args.column).alias("text"))
+    found = alignment_free(data.select(F.col("sequence_id").alias("id"), F.col(args.column).alias("text")), negatives, args.window or None, args.percent, args.greedy)
+    R.write_result(data.join(found.toDF("sequence_id", "clone_id"), "sequence_id", "left"), out, args.override)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     set_logging(args.verbose, args.as_json)
@@ -74,6 +99,12 @@ def main(argv: list[str] | None = None) -> int:
     method = args.command.removesuffix("-method")
     out = R.result_path(args.data_path, method, args.result_folder)
     began = time.time()
+    if method == "alignment-free":
+        _alignment_free(spark, args, out)
+        if ours:
+            clean(spark)
+        log.info("wrote %s in %.1f s", out, time.time() - began)
+        return 0
     data = clean_or_keep(R.read_repertoire(spark, args.data_path, args.config), "-igh")
     light = clean_or_keep(R.read_repertoire(spark, args.kappa_file, args.config), "-igk") if args.kappa_file else None
     log.info("read %s", args.data_path)

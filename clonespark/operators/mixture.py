@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from clonespark.schema import ANY, Params
 
 SMALL = 1e-5
+#: The greatest length whose factorial is a double.
+LONGEST = 170
 ITERATIONS = 10
 #: Used where a class has no fit of its own.
 PREVALENCE, MEAN_DISTANCE = 0.2, 0.04
@@ -30,6 +32,15 @@ def default_null(spark: SparkSession, lengths: range = range(12, 148, 3)) -> Dat
     return spark.createDataFrame(rows, "l int, cdf array<double>")
 
 
+def require_lengths(classes: DataFrame, null: DataFrame, params: Params) -> None:
+    """ValueError where classes that are to be modelled have lengths that the null model lacks, or that are beyond LONGEST: they would get no fit."""
+    lengths = classes.where(params.legal()).select("cdr3_length").distinct()
+    lacking = lengths.join(null.select(F.col("l").alias("cdr3_length")), "cdr3_length", "left_anti").union(lengths.where(F.col("cdr3_length") > LONGEST))
+    found = sorted(r[0] for r in lacking.limit(10).collect())
+    if found:
+        raise ValueError(f"the null model has no rows for the lengths {found}; set max_length or give a longer model (up to {LONGEST})")
+
+
 def null_pmf(null: DataFrame) -> DataFrame:
     """(l, d, p0): the null probabilities; the last one takes what is left."""
     return null.select("l", F.posexplode(_p0(F.col("cdf"), F.col("l"))).alias("d", "p0"))
@@ -41,7 +52,7 @@ def _p0(cdf: Column, n: Column) -> Column:
 
 
 def _factorials() -> Column:
-    return F.array(*[F.lit(float(math.factorial(k))) for k in range(150)])
+    return F.array(*[F.lit(float(math.factorial(k))) for k in range(LONGEST + 1)])
 
 
 def _pmf(kind: str, mu: Column, b: Column, factorial: Column) -> Column:

@@ -47,6 +47,7 @@ def crude(df: DataFrame, share: float = 0.2, fixed: int = -1, light: DataFrame |
 def modelled_classes(records: DataFrame, null: DataFrame, params: Params) -> DataFrame:
     """Classes with parameters and thresholds, written once."""
     classes, _ = stored(C.create_classes(records), "classes")
+    M.require_lengths(classes, null, params)
     histogram = C.distance_histogram(C.class_sample(records, classes, params))
     fits = M.fit_classes(M.binned(histogram, null), params)
     return stored(M.with_thresholds(M.with_parameters(classes, fits), null, params), "thresholds")[0]

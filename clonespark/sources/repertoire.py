@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: The rows that a sheet of a workbook can have, below its header (a fixed value).
 SHEET = 1_048_575
 SUFFIXES = (".tsv", ".csv", ".csv.gz", ".tsv.gz", ".parquet", ".xlsx")
@@ -67,7 +72,7 @@ def write_result(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 def result_path(path: str, method: str, folder: str | None = None) -> str:
     """Where a method's result for an input goes: <folder>/inferred_<method>_<name>."""
-    name = {"crude": "crude_method", "cdr3": "cdr3_based", "full": "full_method"}[method]
+    name = {"crude": "crude_method", "cdr3": "cdr3_based", "full": "full_method", "alignment-free": "alignment_free"}[method]
     return f"{folder or os.path.join(os.path.dirname(path), 'clone_results')}/inferred_{name}_{os.path.basename(path)}"
 
 
@@ -75,7 +80,7 @@ def read_null_model(spark: SparkSession, path: str) -> DataFrame:
     """(l, cdf) from a table with the columns l, 0, 1, 2, ...; cdf[d] is the share of distances up to d."""
     wide = spark.read.csv(path, header=True, inferSchema=False)
     places = sorted((c for c in wide.columns if c != "l"), key=int)
-    return wide.select(F.col("l").cast("int").alias("l"), F.array(*[F.col(f"`{c}`").cast("double") for c in places]).alias("cdf"))
+    return wide.select(F.col("l").cast("int").alias("l"), F.array_compact(F.array(*[F.col(f"`{c}`").cast("double") for c in places])).alias("cdf"))
 
 
 def read_fasta(spark: SparkSession, path: str, field: int = 1) -> DataFrame:
@@ -97,13 +102,33 @@ def read_columns(spark: SparkSession, pattern: str, columns: list[str]) -> DataF
     return spark.read.csv(pattern, header=True).select(*columns)
 
 
+def _best_partitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The likeliest partition of each YAML file, read in the file's task."""
+    import pandas as pd
+    import yaml
+
+    for b in batches:
+        best = [max(yaml.safe_load(t)["partitions"], key=lambda p: p.get("logprob", 0))["partition"] for t in b["value"]]
+        yield pd.DataFrame({"partition": best})
+
+
+def write_partitions(df: DataFrame, path: str, sequence_id: str, clone: str, by: list[str]) -> None:
+    """JSON lines {"partition": [[ids of a clone], ...]}, a line for each value of the columns ``by``; ids and clones in their order."""
+    clones = df.groupBy(*by, clone).agg(F.array_sort(F.collect_list(sequence_id)).alias("_ids"))
+    lines = clones.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(clone, "_ids"))).alias("_clones"))
+    lines.select(F.transform("_clones", lambda c: c["_ids"]).alias("partition")).write.json(path)
+
+
+def write_null_model(null: DataFrame, path: str) -> None:
+    """(l, cdf) as a CSV table with the columns l, 0, 1, 2, ...; shorter rows end in empty fields."""
+    longest = null.agg(F.max(F.size("cdf"))).first()[0] or 0
+    null.select("l", *[F.get("cdf", F.lit(d)).alias(str(d)) for d in range(longest)]).write.option("header", True).csv(path)
+
+
 def read_partitions(spark: SparkSession, path: str) -> DataFrame:
     """(sequence_id, clone) from JSON lines {"partition": [[ids of a clone], ...]}; YAML files too where PyYAML is installed."""
     if str(path).endswith((".yaml", ".yml")):
-        import yaml
-
-        best = max(yaml.safe_load("\n".join(r[0] for r in spark.read.text(path).collect()))["partitions"], key=lambda p: p.get("logprob", 0))
-        df = spark.createDataFrame([(best["partition"],)], "partition array<array<string>>")
+        df = spark.read.text(path, wholetext=True).mapInPandas(_best_partitions, "partition array<array<string>>")
     else:
         df = spark.read.schema("partition array<array<string>>").json(path)
     return df.select(F.posexplode("partition").alias("clone", "ids")).select(F.explode("ids").alias("sequence_id"), "clone")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from clonespark import catalogue, cli
+from clonespark.operators import mixture as M
 from clonespark.plans import methods
 from clonespark.schema import Params
 
@@ -45,6 +46,32 @@ def test_command_line(spark, sf_dir, tmp_path):
         cli.main(["crude-method", path, "--result-folder", f"{tmp_path}/out"])
 
 
+def test_command_line_of_pairs_and_texts(spark, sf_dir, tmp_path):
+    """Light chains, the CDR3 method and the alignment-free command."""
+    rows = catalogue.rep(spark, sf_dir).where("ground_truth < 200")
+    write = lambda df, name: df.write.option("header", True).option("sep", "\t").csv(f"{tmp_path}/{name}")
+    read = lambda name: spark.read.option("header", True).option("sep", "\t").csv(f"{tmp_path}/out/{name}")
+    write(rows.withColumn("sequence_id", F.concat("sequence_id", F.lit("-igh"))), "h.tsv")
+    write(rows.withColumn("sequence_id", F.concat("sequence_id", F.lit("-igk"))).withColumn("junction", F.reverse("junction")), "k.tsv")
+    assert cli.main(["cdr3-method", f"{tmp_path}/h.tsv", "--kappa-file", f"{tmp_path}/k.tsv", "--result-folder", f"{tmp_path}/out"]) == 0
+    heavy, light = read("inferred_cdr3_based_h.tsv"), read("inferred_kappa_cdr3_based_h.tsv")
+    assert heavy.count() == light.count() == rows.count() and heavy.where("sequence_id not like '%-igh'").count() == light.where("sequence_id not like '%-igk'").count() == 0
+    pair = heavy.select(F.regexp_replace("sequence_id", "-igh$", "").alias("s"), "clone_id").exceptAll(light.select(F.regexp_replace("sequence_id", "-igk$", ""), "clone_id"))
+    assert pair.count() == 0 and heavy.where("clone_id is null").count() == 0
+    texts = [(f"s{i}", "ACGTTGCA" * 20 + ("ACGT", "TTTT")[i % 2] * 10) for i in range(6)] + [("t", "GATTACAC" * 25)]
+    write(spark.createDataFrame(texts, "sequence_id string, sequence string"), "a.tsv")
+    write(spark.createDataFrame([(f"n{i}", "CCATGGAT" * i + "AACCGGTT" * 20) for i in range(5)], "sequence_id string, sequence string"), "n.tsv")
+    assert cli.main(["alignment-free", f"{tmp_path}/a.tsv", f"{tmp_path}/n.tsv", "--result-folder", f"{tmp_path}/out", "--greedy"]) == 0
+    got = {r["sequence_id"]: r["clone_id"] for r in read("inferred_alignment_free_a.tsv").collect()}
+    assert len(got) == 7 and got["s0"] == got["s2"] == got["s4"] and got["t"] == "t"
+
+
+def test_lengths_without_a_null_model_are_refused(spark, sf_dir):
+    rows = catalogue.rep(spark, sf_dir).where("ground_truth < 100")
+    with pytest.raises(ValueError, match="null model"):
+        methods.cdr3(rows, null=M.default_null(spark, range(12, 30, 3)))
+
+
 def test_params_and_constants(spark, sf_dir):
     out = methods.full(catalogue.rep(spark, sf_dir).where("ground_truth < 50"), params=Params(precision=0.99, xy_constant=-1e9))
     assert out.output.where(F.col("clone_id").isNull()).count() == 0
