@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clonespark.plans.lineage import stored
 
-def _pairs(df: DataFrame, *keys: str) -> DataFrame:
+
+def _cells(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n), stored: how many rows have each combination, so that sums over some of the keys need not read the rows again."""
+    return stored(df.groupBy(*keys).agg(F.count("*").alias("n")), "cells")[0]
+
+
+def _pairs(cells: DataFrame, *keys: str) -> DataFrame:
     for k in keys:
-        df = df.where(F.col(k).isNotNull())
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("pairs"))
+        cells = cells.where(F.col(k).isNotNull())
+    return cells.groupBy(*keys).agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("pairs"))
 
 
 def pair_scores(df: DataFrame, partition: str, truth: str = "ground_truth") -> DataFrame:
@@ -19,7 +26,8 @@ def pair_scores(df: DataFrame, partition: str, truth: str = "ground_truth") -> D
     """
     if truth not in df.columns:
         return df.sparkSession.createDataFrame([(None, None)], "precision double, sensitivity double")
-    t, p, both = _pairs(df, truth), _pairs(df, partition), _pairs(df, truth, partition)
+    cells = _cells(df, truth, partition)
+    t, p, both = _pairs(cells, truth), _pairs(cells, partition), _pairs(cells, truth, partition)
     one = t.select(F.col("pairs").alias("p")).join(p.select(F.col("pairs").alias("tf")), F.lit(True)).join(both.select(F.col("pairs").alias("tp")), F.lit(True))
     precision = F.when(F.col("p") == 0, None).when(F.col("tf") == 0, 1.0).otherwise(F.col("tp") / F.nullif("tf", F.lit(0)))
     return one.select(precision.cast("double").alias("precision"), F.when(F.col("p") > 0, F.col("tp") / F.nullif("p", F.lit(0))).alias("sensitivity"))
@@ -27,33 +35,34 @@ def pair_scores(df: DataFrame, partition: str, truth: str = "ground_truth") -> D
 
 def pair_scores_by(df: DataFrame, partition: str, truth: str, by: list[str]) -> DataFrame:
     """pair_scores in each group of ``by``."""
-    pairs = F.expr("n * (n - 1) div 2")
+    pairs, cells = F.expr("n * (n - 1) div 2"), _cells(df, *by, truth, partition)
 
     def sums(name: str, *keys: str) -> DataFrame:
-        rows = df
+        rows = cells
         for k in keys:
             rows = rows.where(F.col(k).isNotNull())
-        return rows.groupBy(*by, *keys).agg(F.count("*").alias("n")).groupBy(*by).agg(F.sum(pairs).alias(name))
+        return rows.groupBy(*by, *keys).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(pairs).alias(name))
 
     one = sums("p", truth).join(sums("tf", partition), by, "left").join(sums("tp", truth, partition), by, "left")
     precision = F.when(F.col("p") == 0, None).when(F.coalesce("tf", F.lit(0)) == 0, 1.0).otherwise(F.col("tp") / F.nullif("tf", F.lit(0)))
     return one.select(*by, precision.cast("double").alias("precision"), F.when(F.col("p") > 0, F.coalesce("tp", F.lit(0)) / F.nullif("p", F.lit(0))).alias("sensitivity"))
 
 
-def _entropy(df: DataFrame, *keys: str) -> DataFrame:
+def _entropy(cells: DataFrame, *keys: str) -> DataFrame:
     """Sum of p log2 p over the groups (not positive)."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    sizes = cells.groupBy(*keys).agg(F.sum("n").alias("n"))
     # sum n log2 n / N - log2 N, in one pass over the sizes
     return sizes.agg((F.sum(F.col("n") * F.log2("n")) / F.sum("n") - F.log2(F.sum("n"))).alias("h"))
 
 
 def entropy(df: DataFrame, *keys: str) -> DataFrame:
-    return _entropy(df, *keys).select(F.col("h").alias("entropy"))
+    return _entropy(df.withColumn("n", F.lit(1)), *keys).select(F.col("h").alias("entropy"))
 
 
 def variation_of_information(df: DataFrame, partition: str, truth: str = "ground_truth") -> DataFrame:
     """One row (variation_of_information): 0 for equal partitions."""
-    a, b, both = _entropy(df, truth), _entropy(df, partition), _entropy(df, truth, partition)
+    cells = _cells(df, truth, partition)
+    a, b, both = _entropy(cells, truth), _entropy(cells, partition), _entropy(cells, truth, partition)
     one = a.select(F.col("h").alias("a")).join(b.select(F.col("h").alias("b")), F.lit(True)).join(both.select(F.col("h").alias("c")), F.lit(True))
     return one.select((F.col("a") + F.col("b") - 2 * F.col("c")).alias("variation_of_information"))
 
@@ -69,7 +78,8 @@ def prevalence_by_length(df: DataFrame, truth: str = "ground_truth") -> DataFram
 def specificity(df: DataFrame, partition: str, truth: str = "ground_truth") -> DataFrame:
     """One row (specificity): the share of unrelated pairs that the partition keeps apart, over all pairs."""
     n = df.agg(F.expr("count(*) * (count(*) - 1) div 2").alias("all"))
-    t, p, both = _pairs(df, truth), _pairs(df, partition), _pairs(df, truth, partition)
+    cells = _cells(df, truth, partition)
+    t, p, both = _pairs(cells, truth), _pairs(cells, partition), _pairs(cells, truth, partition)
     one = n.join(t.select(F.col("pairs").alias("t")), F.lit(True)).join(p.select(F.col("pairs").alias("p")), F.lit(True)).join(both.select(F.col("pairs").alias("b")), F.lit(True))
     return one.select(((F.col("all") - F.col("t") - F.col("p") + F.col("b")) / F.nullif(F.col("all") - F.col("t"), F.lit(0))).alias("specificity"))
 

@@ -198,6 +198,17 @@ def test_full_method_merges_by_mutations(spark):
     assert got == {"a": "a", "b": "a", "c": "c", "d": "d"}
 
 
+def test_pairs_of_a_large_cluster_are_dealt_out(spark, monkeypatch):
+    """Every pair of different precise clusters once, whatever the number of tasks that a sensitive cluster is dealt to."""
+    rng = random.Random(3)
+    rows = [(f"s{i:02d}", "V", "J", 12, "".join(rng.choice("ACGT") for _ in range(12)), 1 + i % 5, f"p{i % 7}", "s" if i % 10 else "other", "".join(rng.choice("ACGT") for _ in range(40))) for i in range(60)]
+    table = spark.createDataFrame(rows, "sequence_id string, v_gene string, j_gene string, cdr3_length int, cdr3 string, mutation_count int, precise_cluster string, sensitive_cluster string, alt_sequence_alignment string")
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[7] == b[7] and a[6] < b[6])
+    for each in (4096, 7):
+        monkeypatch.setattr(X, "EACH", each)
+        assert sorted((r["a"], r["b"]) for r in X.cross_pairs(table, 40).collect()) == want
+
+
 def test_xy_threshold_exact_and_drawn_agree():
     m, k = np.array([1.0, 2, 5, 9]), np.array([5.0, 3, 2, 1])
     p0 = np.array([math.comb(15, d) * 3**d / 4**15 for d in range(16)])
