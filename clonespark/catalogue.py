@@ -441,6 +441,17 @@ def _export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_columns(spark, f"{path}/*/*.csv", ["sequence_id", "cdr3"])
 
 
+def _to_do(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, classes = _modelled(spark, sf_dir)
+    return X.to_do(methods._both(rows, classes, _P99), classes, 3)
+
+
+def _cross_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest CDR3s of each family between rows of odd and of even numbers."""
+    rows = records(spark, sf_dir).withColumn("group", F.split("sequence_id", "_")[1].cast("int") % 2)
+    return rounded(T.cross_group_distances(rows, "ground_truth", "group", "cdr3", S.chunked_hamming))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "repertoire_normalised": lambda s, d: records(s, d),
     "gene_from_call": lambda s, d: rep(s, d).select("sequence_id", S.gene("v_call").alias("v_gene"), S.gene("j_call").alias("j_gene")),
@@ -522,6 +533,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "offset_distance": _offsets,
     "alignment_free_clones": _alignment_free,
     "negative_top5": _negative_top,
+    "to_resolve_clusters": _to_do,
+    "cross_group_nearest": _cross_groups,
     "cosine_top1800": lambda s, d: rounded(T.cosine_matches(T.stored_weights(_texts(s, d)), top=1800)),
     "ngram_tokens_whole": lambda s, d: T.tokens(_texts(s, d), window=None),
 }
@@ -593,6 +606,8 @@ ORACLES: dict[str, str] = {
     "percentile_threshold": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR} select round(quantile_cont(distance, 0.1), 6) threshold from near",
     "specificity_sweep": f"with {_TEXT}, {_SIMS}, {_TXT0}, {_NEAR}, lab as (select round(distance, 9) distance, toxic label from near join labels on id = doc_id), ps as (select unnest([0.5, 1.0, 5.0, 10.0, 50.0])::double \"percent\", unnest(q) * (1 - 0.09::double * ln((select count(*) from documents) / 5000.0::double)) threshold from (select quantile_cont(distance, [0.005, 0.01, 0.05, 0.1, 0.5]) q from lab)) select \"percent\", round(threshold, 6) threshold, round((select count(*) from lab where label = 0 and distance > threshold) / (select count(*) from lab where label = 0), 6) specificity from ps",
     "textclone_components": f"with recursive {_TEXT}, {_SIMS}, {_TXT0}, e as (select i, j from sims where sim > 0.7), r as (select id a, id b from txt0 union select r.a, e.j from r join e on r.b = e.i) select a id, min(b) as \"cluster\" from r group by a",
+    "to_resolve_clusters": _with(*_CDR3, select="select v_gene, j_gene, cdr3_length, label sensitive_cluster, count(*) size, count(*) > 3 large from sen join (select v_gene, j_gene, cdr3_length from thr where v_gene <> 'None' and precise_threshold < sensitive_threshold and pair_count > 0) using (v_gene, j_gene, cdr3_length) group by all"),
+    "cross_group_nearest": _with(_REC, select="select a.ground_truth, round(min(2.0::double * hamming(a.cdr3, b.cdr3) / (2 * a.cdr3_length)), 6) nearest from rec a join rec b on a.ground_truth = b.ground_truth where cast(split_part(a.sequence_id, '_', 2) as int) % 2 < cast(split_part(b.sequence_id, '_', 2) as int) % 2 group by 1"),
     "greedy_clones": f"with recursive {_TEXT}, {_SIMS}, near_ as (select i, j from sims where sim > 0.7), {_GREEDY} select doc_id id, coalesce(c, doc_id) as \"cluster\" from documents left join lab on j = doc_id left join least_ using (root)",
     "greedy_by_text": f"with recursive {_TEXT}, {_SIMS}, near_ as (select i, j from sims where sim > 1 - (0.2::double + 0.1::double * (i % 3))), {_GREEDY} select doc_id id, coalesce(c, doc_id) as \"cluster\" from documents left join lab on j = doc_id left join least_ using (root)",
     "greedy_distances": _with(_REC, "near_ as (select a.sequence_id i, b.sequence_id j from rec a join rec b on a.ground_truth = b.ground_truth where round(2.0::double * hamming(a.cdr3, b.cdr3) / (2 * a.cdr3_length), 9) < 0.15)", _GREEDY, select="select sequence_id id, coalesce(c, sequence_id) as \"cluster\" from rec left join lab on j = sequence_id left join least_ using (root)"),

@@ -8,7 +8,9 @@ frequent n-grams, which make the most pairs, are mostly never joined on. The few
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonespark.functions import sequences as S
@@ -170,11 +172,20 @@ def alignment_free(repertoire: DataFrame, negatives: DataFrame, window: int | No
     return greedy_clusters(matches, repertoire, float(threshold)) if greedy else component_clusters(matches, repertoire, float(threshold))
 
 
-def cross_group_distances(records: DataFrame, clone: str, group: str, text: str, max_offset: int = 30) -> DataFrame:
-    """(clone, nearest): within each clone, the least normalised distance of texts between its two groups."""
+def cross_group_distances(records: DataFrame, clone: str, group: str, text: str, distance: Callable[[Column, Column], Column] | None = None, each: int = 4096) -> DataFrame:
+    """(clone, nearest): within each clone that has several groups, the least normalised distance of texts of two of its groups.
+
+    distance: of two columns of texts, by default the offset distance. Equal texts of a group are compared once, and one side of a clone with more than ``each`` texts
+    is dealt to several tasks. Rows with a null in any of the columns take no part.
+    """
     from clonespark.functions.offsets import offset_distance_udf
 
-    a, b = records.alias("a"), records.alias("b")
-    pairs = a.join(b, F.expr(f"a.{clone} = b.{clone} and a.{group} < b.{group}")).select(F.col(f"a.{clone}").alias(clone), F.col(f"a.{text}").alias("x"), F.col(f"b.{text}").alias("y")).distinct()
-    d = S.length_normalised(offset_distance_udf(F.col("x"), F.col("y"), max_offset), F.col("x"), F.col("y"))
-    return pairs.select(clone, d.alias("d")).groupBy(clone).agg(F.min("d").alias("nearest"))
+    rows, _ = stored(records.select(F.col(clone).alias("_c"), F.col(group).alias("_g"), F.col(text).alias("_x")).na.drop().distinct(), "groups")
+    large = rows.groupBy("_c").agg(F.count("*").alias("_n")).where(F.col("_n") > each)
+    rows = rows.join(large, "_c", "left").withColumn("_salts", F.coalesce(F.ceil(F.col("_n") / each), F.lit(1)).cast("int"))
+    a = rows.withColumn("_s", F.pmod(F.xxhash64("_x"), F.col("_salts")).cast("int")).alias("a")
+    b = rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).alias("b")
+    x, y = F.col("a._x"), F.col("b._x")
+    pairs = a.join(b, F.expr("a._c = b._c and a._s = b._s and a._g < b._g"))
+    d = S.length_normalised((distance or offset_distance_udf)(x, y), x, y)
+    return pairs.select(F.col("a._c").alias(clone), d.alias("_d")).groupBy(clone).agg(F.min("_d").alias("nearest"))

@@ -277,6 +277,23 @@ def test_greedy_labels_follow_the_order(spark):
     assert got == {i: least[label[i]] for i in range(30)}
 
 
+def test_cross_group_distances(spark):
+    """The offset distance by default, clones of one group, nulls, and a clone that is dealt out."""
+    rng = random.Random(2)
+    rows = [(i % 4, "ab"[i % 3 > 0] if i % 4 else "a", "".join(rng.choice("ACGT") for _ in range(9))) for i in range(80)] + [(1, None, "A"), (None, "a", "A"), (2, "a", None)]
+    table = spark.createDataFrame(rows, "clone int, grp string, cdr string")
+    want = {}
+    for c, g, x in rows:
+        for d, h, y in rows:
+            if None not in (c, g, x, d, h, y) and c == d and g < h:
+                want[c] = min(want.get(c, 9), 2 * sum(p != q for p, q in zip(x, y)) / 18)
+    for each in (4096, 5):
+        got = {r["clone"]: r["nearest"] for r in T.cross_group_distances(table, "clone", "grp", "cdr", S.chunked_hamming, each).collect()}
+        assert got.keys() == want.keys() == {1, 2, 3} and all(math.isclose(v, want[k]) for k, v in got.items())
+    near = T.cross_group_distances(spark.createDataFrame([(1, "a", "ACGTACGT"), (1, "b", "ACGTACGT")], "clone int, grp string, cdr string"), "clone", "grp", "cdr")
+    assert near.collect()[0][1] == 0.0
+
+
 def plain_greedy(lists):
     """Labels handed on one text after the other: {id: cluster} of {id: its matches}."""
     label, members = {}, {}
