@@ -375,7 +375,7 @@ def _greedy_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of the CDR3s of a family, both ways round and with themselves."""
     rows = records(spark, sf_dir)
     a, b = rows.alias("a"), rows.alias("b")
-    d = S.length_normalised(S.chunked_hamming(F.col("a.cdr3"), F.col("b.cdr3")), F.col("a.cdr3"), F.col("b.cdr3"))
+    d = S.length_normalised(S.letter_distance(F.col("a.cdr3"), F.col("b.cdr3")), F.col("a.cdr3"), F.col("b.cdr3"))
     pairs = a.join(b, F.expr("a.ground_truth = b.ground_truth")).select(F.col("a.sequence_id").alias("i"), F.col("b.sequence_id").alias("j"), F.round(d, 9).alias("distance"))
     return T.greedy_by_distance(pairs, rows.select(F.col("sequence_id").alias("id")), 0.15)
 
@@ -449,7 +449,7 @@ def _to_do(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cross_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest CDR3s of each family between rows of odd and of even numbers."""
     rows = records(spark, sf_dir).withColumn("group", F.split("sequence_id", "_")[1].cast("int") % 2)
-    return rounded(T.cross_group_distances(rows, "ground_truth", "group", "cdr3", S.chunked_hamming))
+    return rounded(T.cross_group_distances(rows, "ground_truth", "group", "cdr3", S.letter_distance))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -288,7 +288,7 @@ def test_cross_group_distances(spark):
             if None not in (c, g, x, d, h, y) and c == d and g < h:
                 want[c] = min(want.get(c, 9), 2 * sum(p != q for p, q in zip(x, y)) / 18)
     for each in (4096, 5):
-        got = {r["clone"]: r["nearest"] for r in T.cross_group_distances(table, "clone", "grp", "cdr", S.chunked_hamming, each).collect()}
+        got = {r["clone"]: r["nearest"] for r in T.cross_group_distances(table, "clone", "grp", "cdr", S.letter_distance, each).collect()}
         assert got.keys() == want.keys() == {1, 2, 3} and all(math.isclose(v, want[k]) for k, v in got.items())
     near = T.cross_group_distances(spark.createDataFrame([(1, "a", "ACGTACGT"), (1, "b", "ACGTACGT")], "clone int, grp string, cdr string"), "clone", "grp", "cdr")
     assert near.collect()[0][1] == 0.0
