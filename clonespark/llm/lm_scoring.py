@@ -9,12 +9,14 @@ It is laid out as a backoff automaton. Every context h of one or two words that
 followed it, whose weight is log10 p(w|h), and a failure arc to the state h' of the weight log10 m / (c(h) + m), which is what p(w|h) leaves
 of p(w|h') for a word without an arc. The root's arcs are p(w), with one class for all unseen words, so each state's
 distribution sums to one. A text is traversed once from left to right, from the state of its beginning. At each token the traversal takes the
-carried state's arc, or else failure arcs until a state has one, adding up the weights; the arc leads to the longest
-context that ends in the token and was seen, which is the state that is carried on.
+carried state's arc, or else failure arcs until a state has one, adding up the weights; the arc leads to the state of the longest
+context that ends in the token and was seen, which is carried on. Arcs and failure arcs hold the states that they lead to, and the traversal reads nothing
+of the text but its words' numbers.
 
 Counts are over all training documents and all of their tokens, with no cut-off. The automaton grows with
 the corpus, so no task holds it: a block of documents asks for the counts of its own n-grams (exchange.py),
-which gives it exactly the part of the automaton that its texts traverse. N-grams are known by 63-bit hashes.
+which gives it the part of the automaton that its texts traverse. N-grams are known by 63-bit hashes, which are not verified: two of the
+same hash would count as one.
 
 Null and empty texts have only the end token. A null doc_id counts as the empty string for the split,
 so that row trains. With no training row at all, every token has the unseen class's probability 1. Repeated rows train as often as they are there, and
@@ -43,8 +45,8 @@ ORDER = 3
 PRIOR = {1: 400.0, 2: 4.0, 3: 2.0, 4: 2.0}
 #: Bytes of texts in a block: larger blocks ask for the n-grams that their texts share but once, and take more memory.
 BLOCK = 12 << 20
-#: Tokens of a text that are traversed by one lane; a longer text is several lanes, each from the state that the one before it ends in.
-STRETCH = 512
+#: Tokens of a text that are traversed in one go; a longer text is several stretches, each run in over the tokens before it.
+STRETCH = 2048
 
 
 @dataclass
@@ -125,76 +127,92 @@ def _reply(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
 
 @dataclass
 class BackoffAutomaton:
-    """The part of the automaton that a block's texts traverse. An arc of a gram of k words leads to the state of that gram, and both have its number.
+    """The part of the automaton that a block's texts traverse: states with arcs and failure arcs.
 
-    weight[k]: log10 weights of the arcs of k words (k >= 1), nan where training has no such gram (but for the root's arcs);
-    failure[k]: log10 weights of the failure arcs of the states of k words; state[k]: whether a gram of k words is a state.
-    The last number of one word is the beginning, which has no arc.
+    State 0 is the root; then come the words, the beginning (``begin``), the grams of two words, and so on. An arc is known by its state and word:
+    arcs: state * span + word, sorted; the root comes first and has an arc for each word.
+    weight, to: by arc, its log10 weight and the state that it leads to.
+    failure, fallback: by state, the log10 weight of its failure arc and the state that this leads to (the root has none).
     """
 
-    weight: dict[int, np.ndarray]
-    failure: dict[int, np.ndarray]
-    state: dict[int, np.ndarray]
+    arcs: np.ndarray
+    weight: np.ndarray
+    to: np.ndarray
+    failure: np.ndarray
+    fallback: np.ndarray
+    begin: int
+    span: int
+    order: int
 
     @classmethod
-    def of(cls, counts: dict[int, np.ndarray], context: dict[int, np.ndarray], suffix: dict[int, np.ndarray], begins: int, total: int, distinct: int, prior: dict[int, float] = PRIOR) -> BackoffAutomaton:
-        """counts[k]: by gram of k words; context, suffix: the gram's first k - 1 words and its last k - 1 words, as grams; begins: documents in training."""
-        order = max(counts)
-        p = {1: (counts[1] + 0.5) / (total + 0.5 * (distinct + 1))}
+    def of(cls, counts: dict[int, np.ndarray], last: dict[int, np.ndarray], context: dict[int, np.ndarray], suffix: dict[int, np.ndarray], begins: int, total: int, distinct: int, prior: dict[int, float] = PRIOR) -> BackoffAutomaton:
+        """counts[k]: by gram of k words, from 1; last, context, suffix: for grams of two words and more, the last word, and as grams the first k - 1 and the last k - 1 words.
+
+        The context of a gram that starts with the beginning is the number after the last word's. begins: documents in training.
+        """
+        order, words = max(counts), len(counts[1])
+        span = words + 1
         occurs = {k: np.append(counts[k], begins) if k == 1 else counts[k] for k in range(1, order)}
-        weight, failure = {1: np.log10(p[1])}, {}
+        state, base = {0: 0}, 1
+        for k, seen in occurs.items():
+            state[k], base = base, base + len(seen)
+        p = {1: (counts[1] + 0.5) / (total + 0.5 * (distinct + 1))}
+        known = counts[1] > 0
+        arcs, weight, to = [np.arange(words)], [np.log10(p[1])], [np.where(known, state[1] + np.arange(words), 0) if order > 1 else np.zeros(words, np.int64)]
+        failure, fallback = np.zeros(base), np.zeros(base, np.int64)
         for k in range(2, order + 1):
             before = occurs[k - 1][context[k]]
             p[k] = np.where(before > 0, (counts[k] + prior[k - 1] * p[k - 1][suffix[k]]) / (before + prior[k - 1]), p[k - 1][suffix[k]])
-            weight[k] = np.where(counts[k] > 0, np.log10(p[k]), np.nan)
-            failure[k - 1] = np.log10(prior[k - 1] / (occurs[k - 1] + prior[k - 1]))
-        return cls(weight, failure, {k: v > 0 for k, v in occurs.items()})
-
-    def traverse(self, grams: dict[int, np.ndarray], first: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
-        """The weight of each token. grams[k]: by token, the gram of k words that ends there (-1 for none); first: the texts' first tokens, and the end."""
-        order, begin, tokens = max(self.weight), len(self.weight[1]), int(first[-1])
+            seen = np.flatnonzero(counts[k] > 0)
+            arcs.append((state[k - 1] + context[k][seen]) * span + last[k][seen])
+            weight.append(np.log10(p[k][seen]))
+            # the longest context that ends in the word: the gram itself, or, of the longest grams, all but its first word
+            to.append(state[k] + seen if k < order else state[k - 1] + suffix[k][seen])
+            own = slice(state[k - 1], state[k - 1] + len(occurs[k - 1]))
+            failure[own] = np.log10(prior[k - 1] / (occurs[k - 1] + prior[k - 1]))
+            if k > 2:
+                fallback[own] = state[k - 2] + suffix[k - 1]
+        arcs = np.concatenate(arcs)
+        by_key = np.argsort(arcs, kind="stable")
+        return cls(arcs[by_key], np.concatenate(weight)[by_key], np.concatenate(to)[by_key], failure, fallback, state.get(1, 0) + words if order > 1 else 0, span, order)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, states) after one token each: the state's arc, or failure arcs until a state has one."""
+        state, weight, going = state.copy(), np.zeros(len(state)), np.arange(len(state))
+        while len(going):
+            at, key = state[going], word[going]
+            key = at * self.span + key
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            found = self.arcs[arc] == key
+            weight[going] += np.where(found, self.weight[arc], self.failure[at])
+            state[going] = np.where(found, self.to[arc], self.fallback[at])
+            going = going[~found]
+        return weight, state
+
+    def traverse(self, word: np.ndarray, first: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+        """The weight of each token. word: the texts' tokens, one text after another; first: the texts' first tokens, and the end.
+
+        A text is traversed from its beginning. Of a text of more than ``stretch`` tokens several stretches are traversed side by side; the later
+        ones run in from the root over the order - 1 tokens before, after which the state no longer depends on where it began.
+        """
+        tokens = int(first[-1])
         out = np.zeros(tokens)
         lanes = -(-np.diff(first) // stretch)
-        start = np.repeat(first[:-1], lanes) + stretch * (np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes))
-        size = np.minimum(np.repeat(first[1:], lanes) - start, stretch)
-        by_size = np.argsort(-size, kind="stable")  # lanes that are still going are a prefix
-        start, shorter = start[by_size], -size[by_size]
-        # the state that is carried: words of its context, and its number
-        held, at = np.ones(len(start), np.int64), np.full(len(start), begin)
-        is_first = np.zeros(tokens, bool)
-        is_first[first[:-1]] = True
-        later = np.flatnonzero(~is_first[start])
-        held[later], at[later] = self._reached(grams, start[later] - 1)
-        has = {k: ~np.isnan(w) for k, w in self.weight.items()}
-        for step in range(int(size.max()) if len(size) else 0):
-            n = int(np.searchsorted(shorter, -step, "left"))
-            t, held, at = start[:n] + step, held[:n], at[:n]
-            weight, going = np.zeros(n), np.arange(n)
-            for k in range(order, 1, -1):  # states of k - 1 words: their arc, or their failure arc
-                here = going[held[going] == k - 1]
-                arc = grams[k][t[here]]
-                found = has[k][arc] & (arc >= 0)
-                taken, lost = here[found], here[~found]
-                weight[taken] += self.weight[k][arc[found]]
-                weight[lost] += self.failure[k - 1][at[lost]]
-                held[taken], held[lost] = order, k - 2
-                if k > 2:
-                    at[lost] = grams[k - 2][t[lost] - 1]
-                going = going[held[going] < k - 1]
-            weight[going] += self.weight[1][grams[1][t[going]]]
-            out[t] = weight
-            held, at = self._reached(grams, t)
+        text = np.repeat(first[:-1], lanes)
+        start = text + stretch * (np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+        stop = np.minimum(start + stretch, np.repeat(first[1:], lanes))
+        run_in = np.maximum(start - (self.order - 1), text)
+        by_size = np.argsort(run_in - stop, kind="stable")  # lanes that are still going are a prefix
+        text, start, run_in, stop = text[by_size], start[by_size], run_in[by_size], stop[by_size]
+        state = np.where(run_in == text, self.begin, 0)
+        for step in range(int((stop - run_in).max(initial=0))):
+            n = int(np.searchsorted(run_in - stop, -step, "left"))
+            t = run_in[:n] + step
+            weight, state = self.step(state[:n], word[t])
+            own = t >= start[:n]
+            out[t[own]] = weight[own]
         return out
 
-    def _reached(self, grams: dict[int, np.ndarray], t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words, number) of the state after the tokens: the longest seen context that ends there; 0 words is the root."""
-        held, at = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-        for k in sorted(self.state):
-            gram = grams[k][t]
-            seen = (gram >= 0) & self.state[k][gram]
-            held[seen], at[seen] = k, gram[seen]
-        return held, at
-
 
 def _score(names: list[str], order: int):
     new = [c.split()[0] for c in SCORES.split(", ")]
@@ -207,23 +225,25 @@ def _score(names: list[str], order: int):
         answered = X.in_bucket_order([(keys, {}) for keys, _ in found], [X.unpack(r["x"], "<i8") for r in rows], len(rows))
         counts = dict(enumerate(answered, 1))
         local = {k: place for k, (_, place) in enumerate(found, 1)}
-        words, begins = len(counts[1]), int(counts[1][local[1][first[1] - 1]])
+        word = local[1]
+        words, begins = len(counts[1]), int(counts[1][word[first[1] - 1]])
         is_first = np.zeros(int(first[-1]), bool)
         is_first[first[:-1]] = True
-        context, suffix = {}, {}
+        last, context, suffix = {}, {}, {}
         for k in range(2, order + 1):
             some = np.flatnonzero(local[k] >= 0)
             example = np.zeros(len(counts[k]), np.int64)
             example[local[k][some]] = some
             before = local[k - 1][example - 1]
             context[k] = np.where(is_first[example], words, before) if k == 2 else before
-            suffix[k] = local[k - 1][example]
-        del found, answered
-        automaton = BackoffAutomaton.of(counts, context, suffix, begins, total, distinct)
-        at, word = first[:-1], local[1]
+            suffix[k], last[k] = local[k - 1][example], word[example]
+        del found, answered, local, is_first
+        automaton = BackoffAutomaton.of(counts, last, context, suffix, begins, total, distinct)
+        del last, context, suffix
+        at = first[:-1]
         known = np.add.reduceat((counts[1] > 0).astype(np.int64)[word], at)
         base = np.add.reduceat(np.log10(counts[1] + 0.5)[word], at) - np.diff(first) * math.log10(total + 0.5 * (distinct + 1))
-        score = np.add.reduceat(automaton.traverse(local, first), at)
+        score = np.add.reduceat(automaton.traverse(word, first), at)
         columns = [np.diff(first), known, np.full(docs.num_rows, total), base, score]
         return pa.table([docs[c] for c in names] + [pa.array(x) for x in columns], names + new)
 

@@ -56,7 +56,7 @@ def test_op1_orders(docs, rows, order):
 
 
 def _automaton(texts, order=3):
-    """The automaton of texts of small numbers (0 is the end), all of them training, and the grams of every token by order."""
+    """The automaton of texts of small numbers (0 is the end), all of them training, and the numbers of their words."""
     tokens = [x for t in texts for x in [*t, 0]]
     first = np.cumsum([0, *(len(t) + 1 for t in texts)])
     padded = [["<s>", *t, 0] for t in texts]
@@ -66,38 +66,58 @@ def _automaton(texts, order=3):
         counts[k] = np.bincount(grams[k][grams[k] >= 0])
     context = {k: np.array([numbers[k - 1].get(g[:-1], len(numbers[1])) for g in numbers[k]]) for k in range(2, order + 1)}
     suffix = {k: np.array([numbers[k - 1][g[1:]] for g in numbers[k]]) for k in range(2, order + 1)}
-    automaton = lm_scoring.BackoffAutomaton.of(counts, context, suffix, len(texts), len(tokens), len(numbers[1]))
-    return automaton, grams, first, numbers
+    last = {k: np.array([numbers[1][g[-1:]] for g in numbers[k]]) for k in range(2, order + 1)}
+    automaton = lm_scoring.BackoffAutomaton.of(counts, last, context, suffix, len(texts), len(tokens), len(numbers[1]))
+    return automaton, grams[1], first, numbers
 
 
 def test_op1_states_sum_to_one():
     """The weights of a state's steps over all known words, and the unseen class, as probabilities."""
     texts = [[1, 2, 1, 2, 3], [1, 2, 3], [2, 2, 1]]
-    automaton, grams, first, numbers = _automaton(texts)
-    distinct, total = len(numbers[1]), int(first[-1])
-    p1 = {w: 10 ** automaton.weight[1][i] for (w,), i in numbers[1].items()}
-    unseen = 0.5 / (total + 0.5 * (distinct + 1))
-    assert np.isclose(sum(p1.values()) + unseen, 1)
-
-    def p(h, w):
-        if not h:
-            return p1.get(w, unseen)
-        k = len(h)
-        if (g := numbers[k + 1].get((*h, w))) is not None and not np.isnan(automaton.weight[k + 1][g]):
-            return 10 ** automaton.weight[k + 1][g]
-        return 10 ** automaton.failure[k][numbers[k].get(h, len(numbers[1]))] * p(h[1:], w)
-
-    for h in [*numbers[1], *numbers[2]]:
-        if 0 not in h:
-            assert np.isclose(sum(p(h, w) for w in [*p1, "unseen"]), 1)
+    automaton, _, first, numbers = _automaton(texts)
+    words, total = len(numbers[1]), int(first[-1])
+    unseen = 0.5 / (total + 0.5 * (words + 1))
+    ends = {0} | {s for s, g in enumerate([(), *numbers[1], ("<s>",), *numbers[2]]) if 0 in g}  # nothing follows an end
+    for state in range(len(automaton.failure)):
+        if state == 0 or state not in ends:
+            weight, _ = automaton.step(np.full(words, state), np.arange(words))
+            lost, at = 0.0, state
+            while at:
+                lost, at = lost + automaton.failure[at], int(automaton.fallback[at])
+            assert np.isclose((10**weight).sum() + 10**lost * unseen, 1)
 
 
 @pytest.mark.parametrize("stretch", [1, 2, 3, 512])
-def test_op1_lanes_carry_their_state(stretch):
+def test_op1_stretches_run_in(stretch):
+    """A text in stretches has the weights of one traversal from its beginning."""
     rng = np.random.default_rng(3)
     texts = [rng.integers(1, 4, n).tolist() for n in (1, 2, 7, 30, 0, 100)]
-    automaton, grams, first, _ = _automaton(texts)
-    assert np.allclose(automaton.traverse(grams, first, stretch), automaton.traverse(grams, first, 1000))
+    for order in (1, 2, 3, 4):
+        automaton, word, first, _ = _automaton(texts, order)
+        assert np.allclose(automaton.traverse(word, first, stretch), automaton.traverse(word, first, 1000))
+
+
+def test_op1_follows_its_arcs():
+    """Scores depend on where arcs and failure arcs lead, as the traversal has no other way to know a token's context."""
+    texts = [[1, 2, 1, 2, 3, 1, 1, 2], [1, 2, 3, 3, 1], [2, 2, 1, 3]]
+    automaton, word, first, _ = _automaton(texts)
+    word = np.concatenate([word, word[::-1]])  # texts of the training, and others, which take failure arcs
+    first = np.concatenate([first, first[1:] + first[-1]])
+    right = automaton.traverse(word, first)
+    assert (automaton.to[automaton.to > 0] != automaton.begin).all()
+    for field in ("to", "fallback"):
+        wrong = getattr(automaton, field).copy()
+        kept, wrong[:] = wrong.copy(), 0
+        setattr(automaton, field, wrong)
+        assert not np.allclose(automaton.traverse(word, first), right)
+        setattr(automaton, field, kept)
+    used = [i for i, to in enumerate(automaton.to) if to > 0]
+    moved = 0
+    for i in used:  # one arc alone
+        kept, automaton.to[i] = automaton.to[i], 0
+        moved += not np.allclose(automaton.traverse(word, first), right)
+        automaton.to[i] = kept
+    assert moved > len(used) / 3 and np.allclose(automaton.traverse(word, first), right)
 
 
 def test_op1_copies_stand_apart(spark):
