@@ -46,7 +46,7 @@ PRIOR = {1: 400.0, 2: 4.0, 3: 2.0, 4: 2.0}
 #: Bytes of texts in a block: larger blocks ask for the n-grams that their texts share but once, and take more memory.
 BLOCK = 12 << 20
 #: Tokens of a text that are traversed in one go; a longer text is several stretches, each run in over the tokens before it.
-STRETCH = 2048
+STRETCH = 1024
 
 
 @dataclass
@@ -132,12 +132,14 @@ class BackoffAutomaton:
     State 0 is the root; then come the words, the beginning (``begin``), the grams of two words, and so on. An arc is known by its state and word:
     arcs: state * span + word, sorted; the root comes first and has an arc for each word.
     weight, to: by arc, its log10 weight and the state that it leads to.
+    lead: by state, its first arc, and the end.
     failure, fallback: by state, the log10 weight of its failure arc and the state that this leads to (the root has none).
     """
 
     arcs: np.ndarray
     weight: np.ndarray
     to: np.ndarray
+    lead: np.ndarray
     failure: np.ndarray
     fallback: np.ndarray
     begin: int
@@ -174,16 +176,21 @@ class BackoffAutomaton:
                 fallback[own] = state[k - 2] + suffix[k - 1]
         arcs = np.concatenate(arcs)
         by_key = np.argsort(arcs, kind="stable")
-        return cls(arcs[by_key], np.concatenate(weight)[by_key], np.concatenate(to)[by_key], failure, fallback, state.get(1, 0) + words if order > 1 else 0, span, order)
+        arcs = arcs[by_key]
+        lead = np.searchsorted(arcs, np.arange(base + 1) * span)
+        return cls(arcs, np.concatenate(weight)[by_key], np.concatenate(to)[by_key], lead, failure, fallback, state.get(1, 0) + words if order > 1 else 0, span, order)
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(weights, states) after one token each: the state's arc, or failure arcs until a state has one."""
         state, weight, going = state.copy(), np.zeros(len(state)), np.arange(len(state))
         while len(going):
-            at, key = state[going], word[going]
-            key = at * self.span + key
-            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            at, arc = state[going], word[going]
+            key, lead = at * self.span + arc, self.lead[at]
+            arc = np.where(at > 0, np.minimum(lead, len(self.arcs) - 1), arc)  # most states have one arc; the root's are the words
             found = self.arcs[arc] == key
+            more = np.flatnonzero(~found & (self.lead[at + 1] > lead + 1))
+            arc[more] = np.minimum(np.searchsorted(self.arcs, key[more]), len(self.arcs) - 1)
+            found[more] = self.arcs[arc[more]] == key[more]
             weight[going] += np.where(found, self.weight[arc], self.failure[at])
             state[going] = np.where(found, self.to[arc], self.fallback[at])
             going = going[~found]
