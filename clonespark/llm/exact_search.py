@@ -1,11 +1,11 @@
-"""Exact search for the largest inner products by pivot tables.
+"""Exact search for the largest inner products by elimination with a pivot table.
 
 |q - x|^2 = |q|^2 + |x|^2 - 2 q.x, so a lower bound on the distance gives an upper bound on the product. The distances from all rows
-to many pivots are computed once. One pivot p bounds |q - x| from below by | |q - p| - |x - p| |; the largest bound that the distances to
-all of them imply together is had from the simplex that they span (Connor et al., 2017): the distances to the pivots fix a row's place a in
-their span and its height h above it, and |q - x|^2 >= |a_q - a_x|^2 + (h_q - h_x)^2, which no single pivot's bound exceeds. It
-orders a query's candidates. They are evaluated in that order, and the search stops as soon as the next upper bound is below
-the k-th best product so far, so the result is exact, ties included.
+to ``PIVOTS`` pivots are computed once and kept as a table. One pivot p bounds |q - x| from below by | |q - p| - |x - p| |, and a candidate's
+bound is the largest one over all pivots. The candidates of the best bounds are evaluated first; those whose bound cannot reach the k-th best product
+are eliminated. The rest gets the bound that the distances to the first ``SPAN`` pivots imply together (Connor et al., 2017): they fix a row's
+place a in the pivots' span and its height h above it, and |q - x|^2 >= |a_q - a_x|^2 + (h_q - h_x)^2. What that leaves is evaluated in
+the order of the bounds, and the search stops as soon as the next one is below the k-th best product so far, so the result is exact, ties included.
 
 Pivots are chosen farthest first from a bounded sample (``SAMPLE`` rows); the choice changes the speed alone. Products of integers are exact:
 in doubles where no product of two norms reaches 2^53, and otherwise in whole numbers without a bound (a result beyond a
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from clonespark.llm import vectors as V
 
-#: Pivots, rows that they are chosen from, candidates that are evaluated first, and numbers of bounds at once.
-PIVOTS, SAMPLE, FIRST, CELLS = 49, 2048, 64, 1 << 21
+#: Pivots of the table, and those whose span is used; rows that they are chosen from, candidates that are evaluated first, and numbers of bounds at once.
+PIVOTS, SPAN, SAMPLE, FIRST, CELLS = 256, 49, 2048, 64, 1 << 18
 #: Vectors with components from here on have no bound, as their squares are beyond doubles; all their products are evaluated.
 HUGE = 1e100
 
@@ -43,9 +43,10 @@ def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class PivotTable:
-    """Places in the pivots' span, from distances to the pivots alone."""
+    """Distances to the pivots, and places in the span of the first of them, from these distances alone."""
 
     def __init__(self, pivots: np.ndarray) -> None:
+        self.all, pivots = pivots, pivots[:SPAN]
         keep, basis = [], np.zeros((0, pivots.shape[1]))
         arms = pivots[1:] - pivots[:1]
         for i, arm in enumerate(arms):  # pivots that lie in the span of those before them add nothing
@@ -58,40 +59,60 @@ class PivotTable:
         arms = arms[keep]
         self._arms, self._solve = (arms**2).sum(1), np.linalg.inv(arms @ basis.T).T if len(keep) else np.zeros((0, 0))
 
-    def distances(self, x: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def squared(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
         """Squared distances, (rows, pivots)."""
-        return np.maximum((x**2).sum(1)[:, None] + (self.pivots**2).sum(1) - 2 * x @ self.pivots.T, 0)
+        return np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0)
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Distances to all pivots, (pivots, rows)."""
+        return np.ascontiguousarray(np.sqrt(self.squared(x, self.all)).T)
 
     def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in the span, heights above it) of rows."""
-        d = self.distances(x)
+        d = self.squared(x, self.pivots)
         along = (d[:, :1] - d[:, 1:] + self._arms) / 2  # products with the arms, by the law of cosines
         at = along @ self._solve
         return at, np.sqrt(np.maximum(d[:, 0] - (at**2).sum(1), 0))
 
 
 class Index:
-    """A block's rows with their places; counts the products that it evaluates."""
+    """A block's rows with their distances and places; counts the candidates that the table eliminates, those that get the second bound, and the products."""
 
     def __init__(self, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, pivots: np.ndarray, whole: bool) -> None:
         self.ids, self.keys, self.x, self.whole = ids, keys, x, whole
         self.table = PivotTable(pivots if pivots.shape[1:] == x.shape[1:] and len(pivots) else np.zeros((1, x.shape[1])))
         self.huge = np.abs(x).max(1, initial=0) >= HUGE
         x = np.where(self.huge[:, None], 0, x) if self.huge.any() else x
+        self.apart = self.table.distances(x)
         self.at, self.height = self.table.places(x)
         self.squares = np.where(self.huge, np.inf, (x**2).sum(1))
-        self.evaluated = 0
-
-    def bounds(self, q: np.ndarray) -> np.ndarray:
-        """Upper bounds on the products of queries (rows of q) with the rows, with room for rounding."""
-        none = np.abs(q).max(1, initial=0) >= HUGE
-        q = np.where(none[:, None], 0, q)
-        at, height = self.table.places(q)
-        own = np.where(none, np.inf, (q**2).sum(1))
-        slack = 1e-7 * (self.squares + own[:, None] + (self.table.pivots**2).sum(1).max() + 1)
+        self.reach = (self.table.all**2).sum(1).max()
+        self.eliminated = self.second = self.evaluated = 0
+
+    def _slack(self, rows: np.ndarray | slice, own: float) -> np.ndarray:
+        """Room for rounding."""
+        return 1e-7 * (self.squares[rows] + own + self.reach + 1)
+
+    def table_bounds(self, q: np.ndarray) -> np.ndarray:
+        """Upper bounds on the products of a query with all rows, by the largest difference of their distances to one pivot."""
+        if np.abs(q).max(initial=0) >= HUGE:
+            return np.full(len(self.x), np.inf)
+        own, apart = float(q @ q), self.table.distances(q[None])
+        least, step = np.empty(len(self.x)), max(1, CELLS // len(apart))
+        for i in range(0, len(least), step):
+            gap = self.apart[:, i : i + step] - apart
+            np.maximum(gap.max(0), -gap.min(0), out=least[i : i + step])
+        return (self.squares + own - least**2) / 2 + self._slack(slice(None), own)
+
+    def span_bounds(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Upper bounds on the products of a query with some rows, by the places in the pivots' span."""
+        if np.abs(q).max(initial=0) >= HUGE:
+            return np.full(len(rows), np.inf)
+        (at,), (height,) = self.table.places(q[None])
+        own, a, h = float(q @ q), self.at[rows], self.height[rows]
         # (|q|^2 + |x|^2 - |a_q - a_x|^2 - (h_q - h_x)^2) / 2, with the squares multiplied out
-        fixed = self.squares - (self.at**2).sum(1) - self.height**2
-        return (fixed + (own - (at**2).sum(1) - height**2)[:, None]) / 2 + at @ self.at.T + height[:, None] * self.height + slack
+        return (self.squares[rows] - (a**2).sum(1) - h**2 + own - at @ at - height**2) / 2 + a @ at + height * h + self._slack(rows, own)
 
     def products(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         self.evaluated += len(rows)
@@ -100,19 +121,20 @@ class Index:
                 return self.x[rows] @ q
         return np.array([sum(int(a) * int(b) for a, b in zip(self.x[i].tolist(), q.tolist(), strict=True)) for i in rows.tolist()], object)
 
-    def top(self, q: np.ndarray, bound: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def top(self, q: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, keys, products) of the k largest products, ties to smaller ids; the rows with the id ``own`` are left out."""
         rows = np.flatnonzero(self.ids != own)
-        bound = bound[rows]
-        if len(rows) > 4 * FIRST:  # the best bounds first; then what they leave, in order
+        bound = self.table_bounds(q)[rows]
+        best, scores = rows[:0], np.zeros(0)
+        if len(rows) > FIRST:  # the best bounds first; then what they leave
             some = np.argpartition(bound, len(bound) - FIRST)[len(bound) - FIRST :]
             best, scores = self._best(rows[some], self.products(rows[some], q), k)
-            left = np.ones(len(rows), bool)
+            left = bound >= self._least(scores, k)
+            self.eliminated += int(len(rows) - np.count_nonzero(left))
             left[some] = False
-            left &= bound >= self._least(scores, k)
             rows, bound = rows[left], bound[left]
-        else:
-            best, scores = rows[:0], np.zeros(0)
+            self.second += len(rows)
+            bound = np.minimum(bound, self.span_bounds(q, rows))
         order = np.argsort(-bound, kind="stable")
         at, step = 0, FIRST
         while at < len(order) and bound[order[at]] >= self._least(scores, k):
@@ -164,11 +186,9 @@ def largest_products(table: DataFrame, queries: str, k: int, scale: float | None
             for d, (own, _, _, q) in V.by_dimension(np.asarray(ids), vectors, np.zeros(len(ids), np.int64), dtype).items():
                 if d in made:
                     index = made[d]
-                    step = max(1, CELLS // len(index.x))
-                    for i in range(0, len(q), step):
-                        for j, bound in enumerate(index.bounds(q[i : i + step]), i):
-                            where, keys, scores = index.top(q[j], bound, k, int(own[j]))
-                            found.append((int(own[j]), where, keys, _longs(scores) if whole else scores))
+                    for one, vector in zip(own.tolist(), q, strict=True):
+                        where, keys, scores = index.top(vector, k, one)
+                        found.append((one, where, keys, _longs(scores) if whole else scores))
         return found
 
     to = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int").alias("to")

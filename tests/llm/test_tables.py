@@ -65,14 +65,18 @@ def test_op6_stops_early_and_stays_exact(kind, share):
     x[5:15] = x[5]
     index = exact_search.Index(np.arange(len(x)), np.zeros(len(x), np.uint64), x, exact_search.farthest_first(x[::9], exact_search.PIVOTS), True)
     for own in range(0, 400, 20):
-        bound = index.bounds(x[own : own + 1])[0]
-        assert (bound >= x @ x[own]).all()
-        ids, _, scores = index.top(x[own], bound, 5, own)
+        gaps = [((index.table.all - v) ** 2).sum(1) ** 0.5 for v in (x[own], x[7], x[-1])]
+        for i, gap in ((7, gaps[1]), (len(x) - 1, gaps[2])):  # the table's bound is the largest over all pivots
+            assert np.isclose(index.table_bounds(x[own])[i], (x[own] @ x[own] + x[i] @ x[i] - np.abs(gaps[0] - gap).max() ** 2) / 2, rtol=1e-5)
+        assert (index.table_bounds(x[own]) >= x @ x[own]).all() and (index.span_bounds(x[own], np.arange(len(x))) >= x @ x[own]).all()
+        ids, _, scores = index.top(x[own], 5, own)
         products = x @ x[own]
         products[own] = -np.inf
         want = np.lexsort((np.arange(len(x)), -products))[:5]
         assert ids.tolist() == want.tolist() and scores.tolist() == products[want].tolist()
     assert index.evaluated < share * 20 * len(x)
+    assert index.eliminated > (0.9 if kind == "clusters" else 0) * 20 * len(x)
+    print(kind, [round(n / (20 * len(x)), 3) for n in (index.eliminated, index.second, index.evaluated)])
 
 
 def test_op10_all_in_small_tables(vectors):
