@@ -101,7 +101,7 @@ class _Grams:
             none = int(len(own) > 0 and own[0] == 0)
             place = np.empty(len(keys), np.int64)
             place[order] = np.cumsum(fresh) - 1 - none
-            out.append((own[none:], place))
+            out.append((own[none:], place.astype(np.int32)))
         return out
 
 
@@ -158,33 +158,38 @@ class BackoffAutomaton:
         state, base = {0: 0}, 1
         for k, seen in occurs.items():
             state[k], base = base, base + len(seen)
-        p = {1: (counts[1] + 0.5) / (total + 0.5 * (distinct + 1))}
-        known = counts[1] > 0
-        arcs, weight, to = [np.arange(words)], [np.log10(p[1])], [np.where(known, state[1] + np.arange(words), 0) if order > 1 else np.zeros(words, np.int64)]
-        failure, fallback = np.zeros(base), np.zeros(base, np.int64)
+        p = (counts[1] + 0.5) / (total + 0.5 * (distinct + 1))
+        starts = np.where(counts[1] > 0, state.get(1, 0) + np.arange(words), 0) if order > 1 else np.zeros(words)
+        arcs, weight, to = [np.arange(words)], [np.log10(p)], [starts.astype(np.int32)]
+        failure, fallback = np.zeros(base), np.zeros(base, np.int32)
         for k in range(2, order + 1):
             before = occurs[k - 1][context[k]]
-            p[k] = np.where(before > 0, (counts[k] + prior[k - 1] * p[k - 1][suffix[k]]) / (before + prior[k - 1]), p[k - 1][suffix[k]])
-            seen = np.flatnonzero(counts[k] > 0)
-            arcs.append((state[k - 1] + context[k][seen]) * span + last[k][seen])
-            weight.append(np.log10(p[k][seen]))
+            p = p[suffix[k]]  # of the shorter context
+            p = np.where(before > 0, (counts[k] + prior[k - 1] * p) / (before + prior[k - 1]), p)
+            del before
+            seen = np.flatnonzero(counts[k] > 0).astype(np.int32)
+            key = (state[k - 1] + context[k][seen].astype(np.int64)) * span + last[k][seen]
+            by_key = np.argsort(key)  # the states of more words come later, so levels follow one another
+            arcs.append(key[by_key])
+            seen = seen[by_key]
+            del key, by_key
+            weight.append(np.log10(p[seen]))
             # the longest context that ends in the word: the gram itself, or, of the longest grams, all but its first word
-            to.append(state[k] + seen if k < order else state[k - 1] + suffix[k][seen])
+            to.append((state[k] + seen if k < order else state[k - 1] + suffix[k][seen]).astype(np.int32))
             own = slice(state[k - 1], state[k - 1] + len(occurs[k - 1]))
             failure[own] = np.log10(prior[k - 1] / (occurs[k - 1] + prior[k - 1]))
             if k > 2:
                 fallback[own] = state[k - 2] + suffix[k - 1]
-        arcs = np.concatenate(arcs)
-        by_key = np.argsort(arcs, kind="stable")
-        arcs = arcs[by_key]
-        lead = np.searchsorted(arcs, np.arange(base + 1) * span)
-        return cls(arcs, np.concatenate(weight)[by_key], np.concatenate(to)[by_key], lead, failure, fallback, state.get(1, 0) + words if order > 1 else 0, span, order)
+        del p
+        arcs, weight, to = np.concatenate(arcs), np.concatenate(weight), np.concatenate(to)
+        lead = np.searchsorted(arcs, np.arange(base + 1) * span).astype(np.int32)
+        return cls(arcs, weight, to, lead, failure, fallback, state.get(1, 0) + words if order > 1 else 0, span, order)
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(weights, states) after one token each: the state's arc, or failure arcs until a state has one."""
         state, weight, going = state.copy(), np.zeros(len(state)), np.arange(len(state))
         while len(going):
-            at, arc = state[going], word[going]
+            at, arc = state[going].astype(np.int64), word[going]
             key, lead = at * self.span + arc, self.lead[at]
             arc = np.where(at > 0, np.minimum(lead, len(self.arcs) - 1), arc)  # most states have one arc; the root's are the words
             found = self.arcs[arc] == key
@@ -239,7 +244,7 @@ def _score(names: list[str], order: int):
         last, context, suffix = {}, {}, {}
         for k in range(2, order + 1):
             some = np.flatnonzero(local[k] >= 0)
-            example = np.zeros(len(counts[k]), np.int64)
+            example = np.zeros(len(counts[k]), np.int32)
             example[local[k][some]] = some
             before = local[k - 1][example - 1]
             context[k] = np.where(is_first[example], words, before) if k == 2 else before
@@ -247,6 +252,7 @@ def _score(names: list[str], order: int):
         del found, answered, local, is_first
         automaton = BackoffAutomaton.of(counts, last, context, suffix, begins, total, distinct)
         del last, context, suffix
+        counts = {1: counts[1]}
         at = first[:-1]
         known = np.add.reduceat((counts[1] > 0).astype(np.int64)[word], at)
         base = np.add.reduceat(np.log10(counts[1] + 0.5)[word], at) - np.diff(first) * math.log10(total + 0.5 * (distinct + 1))
