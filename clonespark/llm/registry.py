@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from clonespark.llm import exact_search, fill_middle, license_scan, mixing, vector_codes, warc_zip
+from clonespark.llm import exact_search, fill_middle, license_scan, mixing, substring_dedup, vector_codes, warc_zip
 from clonespark.llm.ann import op10_ann_search
 from clonespark.llm.bpe import op7_bpe_codec
 from clonespark.llm.lm_scoring import op1_lm_scoring
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable] = {
 }
 ORACLES: dict[str, str] = {
     "op2_warc_zip": warc_zip.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op6_exact_topk": exact_search.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,

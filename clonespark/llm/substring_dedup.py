@@ -227,3 +227,15 @@ def brute_force(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
                 gone.update(range(i, i + window))
         out.append((doc_id, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
     return out
+
+
+#: DuckDB SQL of op4_substring_dedup. Words hold no spaces, so windows are equal where their joined words are.
+ORACLE = f"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws from documents),
+windows as (select r, i, md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) h from (select r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) i from d where len(ws) >= {WINDOW})),
+repeated as (select r, i from windows where h in (select h from windows group by h having count(*) > 1)),
+gone as (select distinct r, i + k p from repeated, range({WINDOW}) o(k)),
+words as (select r, generate_subscripts(ws, 1) p, unnest(ws) word from d),
+kept as (select r, string_agg(word, ' ' order by p) kept, count(*) n from words anti join gone using (r, p) group by r)
+select doc_id, cast(len(ws) as bigint) n_words, cast(len(ws) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join kept using (r)
+"""

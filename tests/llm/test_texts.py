@@ -3,6 +3,7 @@
 import hashlib
 import math
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -129,6 +130,12 @@ def test_op1_copies_stand_apart(spark):
     assert max(got[i] for i in range(50, 150)) < np.quantile([got[i] for i in range(50)], 0.3)
 
 
+def test_op4_sql(spark, folder):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    assert ordered(substring_dedup.op4_substring_dedup(spark, folder).collect()) == ordered(con.sql(substring_dedup.ORACLE).fetchall())
+
+
 @pytest.mark.parametrize(("window", "base"), [(35, 9), (35, 18), (35, 5), (4, 9), (3, 1), (1, 1)])
 def test_op4_removes_what_repeats(docs, rows, window, base):
     got = substring_dedup.remove_repeats(docs, window, base)
