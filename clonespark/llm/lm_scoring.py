@@ -117,12 +117,23 @@ def _ask(order: int):
     return request
 
 
-def _reply(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
-    """x: counts; m, n: training tokens and distinct words of the bucket."""
-    distinct, sums, places = X.totals(keys, [X.unpack(r["a"], "<u4") for r in rows])
-    word = (distinct & U64(1)) > 0
-    tokens, words = int(sums[word].sum()), int((sums[word] > 0).sum())
-    return [{"x": X.pack(sums[p].astype("<u8")), "m": tokens, "n": words} for p in places]
+class _Counts:
+    """Replies with the training count of each n-gram; m, n: training tokens and distinct words of a bucket."""
+
+    def merge(self, keys: list[np.ndarray], rows: list[dict]) -> tuple[np.ndarray, dict[str, np.ndarray], list[np.ndarray]]:
+        counts = [X.unpack(r["a"], f"<u{len(r['a']) // max(len(k), 1) or 4}") for k, r in zip(keys, rows, strict=True)]  # a relay's have 8 bytes
+        distinct, sums, places = X.totals(keys, counts)
+        return distinct, {"a": sums.astype("<u8")}, places
+
+    def totals(self, keys: np.ndarray, values: np.ndarray) -> tuple[int, int]:
+        word = (keys & U64(1)) > 0
+        return int(values[word].sum()), int((values[word] > 0).sum())
+
+    def tell(self, values: np.ndarray) -> bytes:
+        return X.pack(values)
+
+    def told(self, x: bytes, count: int) -> np.ndarray:
+        return X.unpack(x, "<u8")
 
 
 @dataclass
@@ -269,8 +280,9 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", keep: tuple[
         raise ValueError(f"keep has columns that are made: {sorted(clash)}")
     n = X.blocks_for(docs, text, BLOCK)
     slim = docs.select(*keep, F.col(text).alias(_TEXT), F.coalesce(train, F.lit(True)).alias(_TRAIN))
-    blocks = X.in_blocks(slim, [*keep, _TEXT], n)
-    answers = X.answer(X.ask(blocks, _ask(order), n), _reply, n)
+    route = X.Route.of(n)
+    blocks = X.in_blocks(slim, n)
+    answers = X.look_up(X.ask(blocks, _ask(order), route.first), _Counts(), route)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name in keep)
     return X.finish(blocks, answers, _score(list(keep), order), f"{kept}, {SCORES}")
 

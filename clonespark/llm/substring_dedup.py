@@ -102,17 +102,21 @@ class _Passes:
                 among = self._candidates(found, level)
             at, keys = block.windows(self.sizes[level], level, among)
             found = np.zeros(len(block.words.starts) + 1, bool)
-            bits = [np.unpackbits(np.frombuffer(r["x"], np.uint8), count=r["m"]) for r in rows]
             if self._last(level):
                 order, same = _same(keys, block.digests(self.sizes[level], at))
-                hot = X.in_bucket_order([(keys[order][~same], {})], bits, len(rows))[0] > 0
+                hot = self._bits(keys[order][~same], rows) > 0
                 found[at[order][hot[np.cumsum(~same) - 1]]] = True
             else:
                 distinct, _ = _distinct(keys)
-                hot = distinct[X.in_bucket_order([(distinct, {})], bits, len(rows))[0] > 0]
+                hot = distinct[self._bits(distinct, rows) > 0]
                 found[at[_among(keys, hot)]] = True
         return found
 
+    def _bits(self, keys: np.ndarray, rows: list[dict]) -> np.ndarray:
+        """The answers' bits, as the keys are ordered."""
+        counts = np.diff(X.by_bucket(keys, len(rows))).tolist()
+        return np.concatenate([_Repeats().told(r["x"], c) for r, c in zip(rows, counts, strict=True)])
+
     def _candidates(self, repeated: np.ndarray, level: int) -> np.ndarray:
         """By word, whether both halves of the window of a level that starts there repeat."""
         step = self.sizes[level] - self.sizes[level - 1]
@@ -148,18 +152,32 @@ def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return at[wanted[np.minimum(np.searchsorted(wanted, keys[at]), max(len(wanted) - 1, 0))] == keys[at]] if len(at) else at
 
 
-def _reply(keys: list[np.ndarray], rows: list[dict]) -> list[dict]:
-    """x: one bit for each of the request's keys, whether it repeats, within its block or between blocks."""
-    own = np.concatenate([np.frombuffer(r["a"], np.uint8) > 0 for r in rows])
-    digests = [np.ascontiguousarray(X.unpack(r["b"], "V16")).view(np.uint64).reshape(-1, 2) for r in rows if r["b"]]
-    order, same = _same(np.concatenate(keys), np.concatenate(digests) if digests else None)
-    group = np.cumsum(~same) - 1
-    hot = np.zeros(len(order), bool)
-    if len(order):
+class _Repeats:
+    """Replies with one bit for each key, and digest where there is one: whether it repeats, within a block or between blocks."""
+
+    def merge(self, keys: list[np.ndarray], rows: list[dict]) -> tuple[np.ndarray, dict[str, np.ndarray], list[np.ndarray]]:
+        own = np.concatenate([np.frombuffer(r["a"], np.uint8) > 0 for r in rows])
+        digests = [np.ascontiguousarray(X.unpack(r["b"], "V16")).view(np.uint64).reshape(-1, 2) for r in rows if r["b"]]
+        every, more = np.concatenate(keys), np.concatenate(digests) if digests else None
+        order, same = _same(every, more)
+        group = np.cumsum(~same) - 1
         n = np.bincount(group)
-        hot[order] = (n[group] > 1) | (np.bincount(group, own[order], len(n))[group] > 0)
-    ends = np.cumsum([len(k) for k in keys])
-    return [{"x": np.packbits(hot[stop - len(k) : stop]).tobytes(), "m": len(k)} for k, stop in zip(keys, ends, strict=True)]
+        hot = (n > 1) | (np.bincount(group, own[order], len(n)) > 0)
+        place = np.empty(len(order), np.int64)
+        place[order] = group
+        payload = {"a": hot.astype(np.uint8)}
+        if more is not None:
+            payload["b"] = np.ascontiguousarray(more[order][~same]).view("V16").ravel()
+        return every[order][~same], payload, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+
+    def totals(self, keys: np.ndarray, values: np.ndarray) -> tuple[int, int]:
+        return 0, 0
+
+    def tell(self, values: np.ndarray) -> bytes:
+        return np.packbits(values).tobytes()
+
+    def told(self, x: bytes, count: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(x, np.uint8), count=count)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
@@ -169,14 +187,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
     names = [c for c in ("doc_id", "text") if c in docs.columns]
     n = X.blocks_for(docs)
     rows = slim(docs, *names)
-    blocks = X.in_blocks(rows, names, n)
-    answers = X.answer(X.ask(blocks, lambda docs: passes.request(_Block(docs), 0), n), _reply, n)
+    route = X.Route.of(n)
+    blocks = X.in_blocks(rows, n)
+    answers = X.look_up(X.ask(blocks, lambda docs: passes.request(_Block(docs), 0), route.first), _Repeats(), route)
     for level in range(1, len(sizes)):
 
         def following(docs: pa.Table, known: pa.Table, level: int = level) -> X.Runs:
             return passes.request(_Block(docs), level, known)
 
-        answers = answers.unionByName(X.answer(X.ask_again(blocks, answers, following, n), _reply, n, level)).repartitionById(n, "block")
+        answers = answers.unionByName(X.look_up(X.ask_again(blocks, answers, following, route.first), _Repeats(), route, level)).repartitionById(n, "block")
     more = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     kept = list(rows.schema.fields)
 

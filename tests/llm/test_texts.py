@@ -159,9 +159,10 @@ def test_op4_false_matches_are_found_out(rows, colliding, monkeypatch):
     answers = [[], []]
     for level in range(3):
         asked = [passes.request(b, level, pa.Table.from_pylist(a) if a else None)[0] for b, a in zip(blocks, answers)]
-        replies = substring_dedup._reply([k for k, _ in asked], [{"b": None} | {c: X.pack(v) for c, v in more.items()} for _, more in asked])
-        for a, r in zip(answers, replies):
-            a.append({"level": level, "bucket": 0} | r | {"x": X.squeezed(r["x"])})
+        replies = substring_dedup._Repeats()
+        _, merged, places = replies.merge([k for k, _ in asked], [{"b": None} | {c: X.pack(v) for c, v in more.items()} for _, more in asked])
+        for a, p in zip(answers, places):
+            a.append({"level": level, "bucket": 0, "x": X.squeezed(replies.tell(merged["a"][p]))})
     want = substring_dedup.brute_force([r[:2] for r in rows])
     removed = [0] * len(rows)
     for i, (b, a) in enumerate(zip(blocks, answers)):
