@@ -118,7 +118,8 @@ class _Copies:
 def deal(keys: np.ndarray, number: np.ndarray, part: int, n: int) -> np.ndarray:
     """The blocks of rows, from their hashes and their numbers among equal rows of their partition."""
     turn = (number // COPIES).astype(U64)
-    further = A.mix64(keys.view(U64) + turn * U64(0x9E3779B97F4A7C15) + U64(part) * U64(0xD1B54A32D192ED03))
+    own = U64(part * 0xD1B54A32D192ED03 & (1 << 64) - 1)
+    further = A.mix64(keys.view(U64) + turn * U64(0x9E3779B97F4A7C15) + own)
     return np.where(turn > 0, further % U64(n), np.mod(keys, n).astype(U64)).astype(np.int32)
 
 
