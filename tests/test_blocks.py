@@ -40,3 +40,21 @@ def test_texts_in_many_blocks_match_once(spark, monkeypatch):
         vectors.setdefault(r["id"], {})[r["gram"]] = r["w"]
     sims = {(i, j): sum(v * b.get(g, 0.0) for g, v in a.items()) for i, a in vectors.items() for j, b in vectors.items()}
     assert sorted((r["i"], r["j"], round(r["sim"], 9)) for r in found.collect()) == sorted((i, j, round(s, 9)) for (i, j), s in sims.items() if s > 0.5)
+
+
+def test_best_few_of_many_blocks_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(B, "POSTINGS", 100)
+    monkeypatch.setattr(B, "CELLS", 7)
+    words = ["alpha", "gamma", "delta", "omega", "sigma", "kappa"]
+    texts = [(f"{'n' if i % 3 else 'r'}{i}", " ".join(words[(i * k + k * k) % 6] for k in range(1, 5)) + f" {i % 5}") for i in range(24)] + [("r90", "zzzzzz")]
+    w = T.stored_weights(spark.createDataFrame(texts, "id string, text string"))
+    left, right = w.where("id like 'r%'"), w.where("id like 'n%'")
+    vectors: dict = {}
+    for r in w.collect():
+        vectors.setdefault(r["id"], {})[r["gram"]] = r["w"]
+    expected = []
+    for i in (v for v in vectors if v[0] == "r"):
+        sims = [(round(sum(x * vectors[j].get(g, 0.0) for g, x in vectors[i].items()), 9), j) for j in vectors if j[0] == "n"]
+        expected += [(i, j, s) for s, j in sorted((p for p in sims if p[0] > 0), key=lambda p: (-p[0], p[1]))[:3]]
+    assert sorted((r["i"], r["j"], round(r["sim"], 9)) for r in B.block_best(left, right, 3).collect()) == sorted(expected)
+    assert B.block_best(left, right.limit(0), 3).collect() == [] == B.block_best(left.limit(0), right, 3).collect()
