@@ -58,3 +58,18 @@ def test_best_few_of_many_blocks_equal_all_pairs(spark, monkeypatch):
         expected += [(i, j, s) for s, j in sorted((p for p in sims if p[0] > 0), key=lambda p: (-p[0], p[1]))[:3]]
     assert sorted((r["i"], r["j"], round(r["sim"], 9)) for r in B.block_best(left, right, 3).collect()) == sorted(expected)
     assert B.block_best(left, right.limit(0), 3).collect() == [] == B.block_best(left.limit(0), right, 3).collect()
+
+
+def test_weights_made_again_are_those_of_the_table_and_blocks_grow_with_it(spark, monkeypatch):
+    """A text's row has no weights, so it is sent in a third of the bytes; a larger table has larger blocks first, up to POSTINGS."""
+    pa = pytest.importorskip("pyarrow")
+    rows = pa.table({"n": pa.array([0, 1]), "g": pa.array([[0, 2, 5], [1, 2]], pa.list_(pa.int32())), "f": pa.array([[1, 2, 1], [3, 1]], pa.list_(pa.int32())), "size": [2.0, 4.0]})
+    made = B.weighted(rows, np.array([0, 2]), np.array([8.0, 3.0]))
+    assert made.column("v").to_pylist() == [[4.0, 3.0, 1.5], [6.0, 0.75]]
+    monkeypatch.setattr(B, "FEWEST", 20)
+    sent = []
+    monkeypatch.setattr(B, "stored", lambda df, name, keep=B.stored: (sent.append((name, df.rdd.getNumPartitions())) if name == "block-matches" else None) or keep(df, name))
+    texts = [(i, f"some words {i % 7} of text {i % 5}") for i in range(60)]
+    found = B.block_matches(T.stored_weights(spark.createDataFrame(texts, "id long, text string")), 0.5, 0.3)
+    assert found.count() == found.select("i", "j").distinct().count() > 0
+    assert B.BLOCKS * (B.BLOCKS + 1) // 2 <= sent[0][1] <= (B.BLOCKS + 1) * (B.BLOCKS + 2) // 2
