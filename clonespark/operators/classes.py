@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonespark.functions import sequences as S
@@ -11,6 +11,12 @@ from clonespark.plans.lineage import stored
 from clonespark.schema import ANY, CLASS, ROW, WORKING, Params
 
 
+def mutation_count() -> Column:
+    """Letters in which a record's alignments differ; null if one is null."""
+    a, b = F.col("alt_sequence_alignment"), F.col("alt_germline_alignment")
+    return F.when(a.isNotNull() & b.isNotNull(), S.letter_distance(a, b)).cast("int")
+
+
 def normalise(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The working columns; each is derived only where the input lacks it, and rows with a null in any are dropped.
 
@@ -29,8 +35,7 @@ def normalise(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             new[f"alt_{kind}_alignment"] = F.concat(f"v_{kind}_alignment", f"j_{kind}_alignment")
     df = df.withColumns(new).withColumn("cdr3_length", F.length("cdr3").cast("int"))
     more = [c for c in (ROW, *keep) if c in df.columns and c not in WORKING]
-    a, b = F.col("alt_sequence_alignment"), F.col("alt_germline_alignment")
-    df = df.withColumn("mutation_count", F.when(a.isNotNull() & b.isNotNull(), S.letter_distance(a, b)).cast("int"))
+    df = df.withColumn("mutation_count", mutation_count())
     # a null mutation count has a null alignment; left out here so that queries without it need not compute it
     return df.select(*more, *WORKING).na.drop(subset=[c for c in WORKING if c != "mutation_count"])
 

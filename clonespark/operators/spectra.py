@@ -41,7 +41,7 @@ def dnds(sample: DataFrame, family: str) -> DataFrame:
 
     def changed(a, b):
         pairs = F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y"))
-        return F.array_distinct(F.filter(F.transform(pairs, lambda p, i: F.when(p["x"] != p["y"], i)), lambda i: i.isNotNull()))
+        return F.array_compact(F.transform(pairs, lambda p, i: F.when(p["x"] != p["y"], i)))
 
     rows = rows.withColumn("_nt", changed(F.col("cdr3"), F.col("_naive"))).withColumn("_aa", changed(S.translated(F.col("cdr3")), S.translated(F.col("_naive"))))
     # positions of a family are at most the letters of a CDR3
