@@ -114,8 +114,8 @@ def _best_partitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def write_partitions(df: DataFrame, path: str, sequence_id: str, clone: str, by: list[str]) -> None:
     """JSON lines {"partition": [[ids of a clone], ...]}, a line for each value of the columns ``by``; ids and clones in their order."""
-    clones = df.groupBy(*by, clone).agg(F.array_sort(F.collect_list(sequence_id)).alias("_ids"))
-    lines = clones.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(clone, "_ids"))).alias("_clones"))
+    clones = df.groupBy(*by, clone).agg(F.sort_array(F.collect_list(sequence_id)).alias("_ids"))
+    lines = clones.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(clone, "_ids"))).alias("_clones"))
     lines.select(F.transform("_clones", lambda c: c["_ids"]).alias("partition")).write.json(path)
 
 
