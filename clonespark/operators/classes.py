@@ -40,6 +40,13 @@ def normalise(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*more, *WORKING).na.drop(subset=[c for c in WORKING if c != "mutation_count"])
 
 
+def normalised_keys(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What the CDR3 methods read of normalise(df): the ids, classes and CDR3s of the same rows, and no alignments. Those that df lacks are not asked for."""
+    lacking = [c for kind in ("sequence", "germline") for c in (f"v_{kind}_alignment", f"j_{kind}_alignment") if c not in df.columns and f"alt_{kind}_alignment" not in df.columns]
+    rows = normalise(df.withColumns({c: F.lit("") for c in lacking}), keep)
+    return rows.select(*[c for c in (ROW, "sequence_id", *keep, *CLASS, "cdr3") if c in rows.columns])
+
+
 def with_row_ids(df: DataFrame) -> DataFrame:
     """Rows with a number of their own, stored, so that results can be joined back, dropped rows and repeated ids included."""
     return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")[0]

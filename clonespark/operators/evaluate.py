@@ -77,8 +77,9 @@ def prevalence_by_length(df: DataFrame, truth: str = "ground_truth") -> DataFram
 
 def specificity(df: DataFrame, partition: str, truth: str = "ground_truth") -> DataFrame:
     """One row (specificity): the share of unrelated pairs that the partition keeps apart, over all pairs."""
-    n = df.agg(F.expr("count(*) * (count(*) - 1) div 2").alias("all"))
     cells = _cells(df, truth, partition)
+    # of the cells, as the rows would be clustered once more to be counted
+    n = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.expr("n * (n - 1) div 2").alias("all"))
     t, p, both = _pairs(cells, truth), _pairs(cells, partition), _pairs(cells, truth, partition)
     one = n.join(t.select(F.col("pairs").alias("t")), F.lit(True)).join(p.select(F.col("pairs").alias("p")), F.lit(True)).join(both.select(F.col("pairs").alias("b")), F.lit(True))
     return one.select(((F.col("all") - F.col("t") - F.col("p") + F.col("b")) / F.nullif(F.col("all") - F.col("t"), F.lit(0))).alias("specificity"))

@@ -151,22 +151,29 @@ def whole_forest(texts: DataFrame, words: int, inclusive: bool = True) -> DataFr
     return near if rest.isEmpty() else near.unionByName(minimum_forest(forest_links(rest, words, inclusive)))
 
 
-def clusters(records: DataFrame, thresholds: DataFrame, names: dict[str, str], inclusive: bool = True) -> DataFrame:
+def class_sizes(records: DataFrame) -> DataFrame:
+    """(class, _n, _least, _most), stored: the rows of each class, and its least and largest CDR3 length."""
+    length = F.length("cdr3")
+    return stored(records.groupBy(*CLASS).agg(F.count("*").alias("_n"), F.min(length).alias("_least"), F.max(length).alias("_most")), "sizes")[0]
+
+
+def clusters(records: DataFrame, thresholds: DataFrame, names: dict[str, str], inclusive: bool = True, sizes: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """records with labels {label: threshold column}, each the least sequence_id of the row's cluster, for thresholds (class, columns).
 
-    A negative threshold leaves every row alone, and zero links equal CDR3s. Rows of classes without a threshold get null.
+    A negative threshold leaves every row alone, and zero links equal CDR3s. Rows of classes without a threshold get null. sizes: class_sizes(records), where they are known; keep: the
+    columns of the records that are wanted, so that others need not be moved.
     """
-    t = [f"_t{k}" for k in range(len(names))]
+    t, keep = [f"_t{k}" for k in range(len(names))], records.columns if keep is None else keep
     limits = thresholds.select(*CLASS, *[F.col(c).cast("double").alias(k) for k, c in zip(t, names.values(), strict=True)])
-    length, most = F.length("cdr3"), F.greatest(F.lit(-1.0), *[F.coalesce(k, F.lit(-1.0)) for k in t])
-    sizes = records.groupBy(*CLASS).agg(F.count("*").alias("_n"), F.min(length).alias("_least"), F.max(length).alias("_most")).join(limits, CLASS, "left")
+    most = F.greatest(F.lit(-1.0), *[F.coalesce(k, F.lit(-1.0)) for k in t])
+    sizes = (class_sizes(records) if sizes is None else sizes).join(limits, CLASS, "left")
     near = F.expr(f"_n <= {LOCAL} and _least = _most") & (F.col("_least") >= SHORT * F.floor((most + 2) / 2))
-    sizes, _ = stored(sizes.select(*CLASS, "_n", *t, near.alias("_near")), "sizes")
+    sizes, _ = stored(sizes.select(*CLASS, "_n", *t, near.alias("_near"), F.monotonically_increasing_id().alias("_class")), "limits")
     rows, classes, far = sizes.agg(F.sum(F.when(F.col("_near"), F.col("_n"))), F.count("*"), F.count_if(~F.col("_near"))).first()
-    small = sizes.where("_near").select(*CLASS, *t)
+    small = sizes.where("_near").select(*CLASS, *t, "_class")
     parts = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), (rows or 0) // TASK)
-    out = local_labels(records.join(F.broadcast(small) if classes <= FEW else small, CLASS).select(*records.columns, *t), list(names), inclusive, parts)
-    return out if not far else out.unionByName(_joined(records.join(sizes.where("not _near").select(*CLASS), CLASS, "left_semi"), thresholds, names, inclusive))
+    out = local_labels(records.join(F.broadcast(small) if classes <= FEW else small, CLASS), list(names), inclusive, parts, keep)
+    return out if not far else out.unionByName(_joined(records.join(sizes.where("not _near").select(*CLASS), CLASS, "left_semi"), thresholds, names, inclusive).select(*keep, *names))
 
 
 def _joined(records: DataFrame, thresholds: DataFrame, names: dict[str, str], inclusive: bool) -> DataFrame:

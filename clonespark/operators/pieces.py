@@ -21,7 +21,6 @@ from pyspark.sql.types import StructField, StructType
 
 from clonespark.operators.components import least_labels
 from clonespark.operators.spanning import least_forest
-from clonespark.schema import CLASS
 
 #: Texts of a class that one task may have, and texts and pairs that it takes at once.
 LOCAL, CHUNK = 1 << 16, 1 << 20
@@ -41,32 +40,54 @@ def planes(texts: list[str], n: int) -> np.ndarray:
     return out
 
 
-def distances(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Letters in which the texts a and b (places) differ."""
-    total = np.zeros(len(a), np.int32)
+def differing(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """For each word a bit for each letter in which the texts a and b (places) differ."""
     for word in bits:
         differ = word[0][a] ^ word[0][b]
         for plane in word[1:]:
             differ |= plane[a] ^ plane[b]
+        yield differ
+
+
+def distances(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Letters in which the texts a and b (places) differ."""
+    total = np.zeros(len(a), np.int32)
+    for differ in differing(bits, a, b):
         total += np.bitwise_count(differ)
     return total
 
 
+def _mask(places: list[int], word: int) -> np.uint64:
+    return np.uint64(sum(1 << (i - 64 * word) for i in places if i // 64 == word))
+
+
+def _first(bits: np.ndarray, a: np.ndarray, b: np.ndarray, pieces: list[list[int]], choice: tuple[int, ...]) -> np.ndarray:
+    """Whether the choice is the first of all whose pieces agree in the texts a and b, so that a pair that many choices find counts once."""
+    first = np.ones(len(a), bool)
+    differ = list(differing(bits, a, b))
+    for k in range(max(choice, default=-1) + 1):
+        unlike = np.zeros(len(a), bool)
+        for w, word in enumerate(differ):
+            unlike |= (word & _mask(pieces[k], w)) != 0
+        first &= ~unlike if k in choice else unlike
+    return first
+
+
 def _agreeing(bits: np.ndarray, group: np.ndarray, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Texts in an order in which those that agree in a group and at the places follow each other, and how many that agree stand before each; by hashes, so that a few others may be among them."""
     mixed = group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for w, word in enumerate(bits):
-        mask = np.uint64(sum(1 << (i - 64 * w) for i in places if i // 64 == w))
+        mask = _mask(places, w)
         for plane in word if mask else ():
             mixed = (mixed ^ (mixed >> np.uint64(29)) ^ (plane & mask)) * np.uint64(0xBF58476D1CE4E5B9)
-    order = np.argsort(mixed, kind="stable")
+    order = np.argsort(mixed)  # those that agree may stand in any order
     key, at = mixed[order], np.arange(len(order))
     first = np.concatenate([[True], key[1:] != key[:-1]])
     return order, at - np.maximum.accumulate(np.where(first, at, 0))
 
 
-def _choices(n: int, t: int, sizes: np.ndarray) -> list[list[int]]:
-    """The sets of places by which texts are sorted: of those with 0, 1, 2, ... pieces the cheapest, if letters were four and random."""
+def _choices(n: int, t: int, sizes: np.ndarray) -> tuple[list[list[int]], list[tuple[int, ...]]]:
+    """The places of the pieces, and the choices of them by which texts are sorted: of those with 0, 1, 2, ... pieces the cheapest, if letters were four and random."""
     pairs, best = float((sizes.astype(float) ** 2).sum() / 2), (np.inf, 0)
     for r in range(0, n - t + 1):
         if comb(t + r, r) > CHOICES:
@@ -75,7 +96,7 @@ def _choices(n: int, t: int, sizes: np.ndarray) -> list[list[int]]:
         best = min(best, (cost, r))
     r = best[1]
     pieces = [list(range(i * n // (t + r), (i + 1) * n // (t + r))) for i in range(t + r)]
-    return [sum(some, []) for some in combinations(pieces, r)]
+    return pieces, list(combinations(range(t + r), r))
 
 
 def forest_of(texts: list[str], node: np.ndarray, group: np.ndarray, t: int) -> tuple[np.ndarray, ...]:
@@ -85,13 +106,14 @@ def forest_of(texts: list[str], node: np.ndarray, group: np.ndarray, t: int) ->
     sizes = np.unique(group, return_counts=True)[1]
     every = int((sizes * (sizes - 1) // 2).sum())
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-    seen, waiting = 0, _choices(n, min(t, n), sizes)
+    seen, (pieces, waiting) = 0, _choices(n, min(t, n), sizes)
     while waiting:
-        order, before = _agreeing(bits, group, waiting.pop())
+        choice = waiting.pop()
+        order, before = _agreeing(bits, group, sum((pieces[k] for k in choice), []))
         ends = np.cumsum(before)
         seen += int(ends[-1])
         if waiting and seen > every:  # pieces are too frequent: all pairs instead
-            waiting = [[]]
+            waiting = [()]
             continue
         start = 0
         while start < len(order):
@@ -101,7 +123,8 @@ def forest_of(texts: list[str], node: np.ndarray, group: np.ndarray, t: int) ->
             earlier = later - 1 - (np.arange(len(later)) - np.repeat(np.cumsum(k) - k, k))
             a, b = order[later], order[earlier]
             w = distances(bits, a, b)
-            near = (w <= t) & (group[a] == group[b])
+            near = np.flatnonzero((w <= t) & (group[a] == group[b]))
+            near = near[_first(bits, a[near], b[near], pieces, choice)]
             x, y = node[a[near]], node[b[near]]
             held = [np.concatenate(c) for c in zip(held, (np.minimum(x, y), np.maximum(x, y), w[near]), strict=True)]
             if len(held[0]) > max(CHUNK, 4 * len(node)):
@@ -151,21 +174,16 @@ def local_forest(texts: DataFrame) -> DataFrame:
     return rows.repartition(parts, "within").sortWithinPartitions("within").mapInArrow(_run, "src long, dst long, w int, within long")
 
 
-def _changes(column: pa.ChunkedArray) -> np.ndarray:
-    """Whether each value but the first differs from the one before."""
-    values = column.combine_chunks()
-    return pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
-
-
 def _starts(rows: pa.Table) -> np.ndarray:
     """Where classes start, whose rows follow each other."""
-    if rows.num_rows < 2:
-        return np.zeros(rows.num_rows, np.int64)
-    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([_changes(rows.column(c)) for c in CLASS])]))
+    of = rows.column("_class").to_numpy()
+    return np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
 
 
-def _named(rows: pa.Table, names: list[str], inclusive: bool) -> pa.Table:
-    """rows of whole classes, in the order of their ids, with the labels in place of the thresholds ``_t0``, ``_t1``, ..."""
+def _named(rows: pa.Table, names: list[str], inclusive: bool, keep: list[str]) -> pa.Table:
+    """The columns ``keep`` of rows of whole classes with the labels by the thresholds ``_t0``, ``_t1``, ..."""
+    # ids are put in order here: a sort by class alone compares numbers only
+    rows = rows.take(pc.sort_indices(rows, [("_class", "ascending"), ("sequence_id", "ascending")], null_placement="at_start"))
     count, start = rows.num_rows, _starts(rows)
     group = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [count]])))
     text = rows.column("cdr3").combine_chunks()
@@ -182,7 +200,7 @@ def _named(rows: pa.Table, names: list[str], inclusive: bool) -> pa.Table:
         at = np.flatnonzero(kinds == kind)
         edges.append(np.stack(forest_of(text.take(pa.array(first[at])).to_pylist(), first[at], group[first[at]], int(kind & 0xFFFFFFFF))))
     src, dst, w = np.concatenate(edges, axis=1)
-    ids, out = rows.column("sequence_id").combine_chunks(), rows.drop_columns([f"_t{k}" for k in range(len(names))])
+    ids, out = rows.column("sequence_id").combine_chunks(), rows.select(keep)
     for name, t, limit in zip(names, given, limits, strict=True):
         near = w <= limit[src]
         root = least_labels(count, src[near], dst[near])[own]
@@ -191,13 +209,12 @@ def _named(rows: pa.Table, names: list[str], inclusive: bool) -> pa.Table:
     return out
 
 
-def local_labels(records: DataFrame, names: list[str], inclusive: bool, parts: int) -> DataFrame:
-    """records of classes of at most LOCAL rows with their labels: the least sequence_id of the row's cluster at the thresholds ``_t0``, ``_t1``, ... (doubles, the same in a class), which are left out.
+def local_labels(records: DataFrame, names: list[str], inclusive: bool, parts: int, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of records of classes of at most LOCAL rows with their labels: the least sequence_id of the row's cluster at the thresholds ``_t0``, ``_t1``, ... (doubles, the same in a class).
 
-    A row is shuffled once, and its class is clustered and labelled in one task, so nothing is numbered or joined.
+    A class has a number, ``_class``. A row is shuffled once, and its class is clustered and labelled in one task, so nothing is numbered over the rows or joined.
     """
-    kept = [f for f in records.schema.fields if f.name not in {f"_t{k}" for k in range(len(names))}]
-    schema = StructType([*kept, *[StructField(name, records.schema["sequence_id"].dataType) for name in names]])
+    schema = StructType([*[records.schema[c] for c in keep], *[StructField(name, records.schema["sequence_id"].dataType) for name in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -209,10 +226,11 @@ def local_labels(records: DataFrame, names: list[str], inclusive: bool, parts: i
                 rows = pa.Table.from_batches(waiting)
                 last = int(_starts(rows)[-1])  # the last class may go on in the next batch
                 if last:
-                    yield from _named(rows.slice(0, last), names, inclusive).to_batches(10_000)
+                    yield from _named(rows.slice(0, last), names, inclusive, keep).to_batches(10_000)
                 waiting = rows.slice(last).combine_chunks().to_batches()
                 held = rows.num_rows - last
         if held:
-            yield from _named(pa.Table.from_batches(waiting), names, inclusive).to_batches(10_000)
+            yield from _named(pa.Table.from_batches(waiting), names, inclusive, keep).to_batches(10_000)
 
-    return records.repartition(parts, *CLASS).sortWithinPartitions(*CLASS, "sequence_id").mapInArrow(run, schema)
+    read = list(dict.fromkeys(["_class", "sequence_id", "cdr3", *[f"_t{k}" for k in range(len(names))], *keep]))
+    return records.select(*read).repartition(parts, "_class").sortWithinPartitions("_class").mapInArrow(run, schema)

@@ -50,6 +50,19 @@ def _with_labels(records: DataFrame, found: DataFrame) -> DataFrame:
     return records.join(found.select(ROW, *[c for c in found.columns if c not in records.columns]), ROW)
 
 
+def crude_labels(df: DataFrame, share: float = 0.2, fixed: int = -1, params: Params = Params(), keep: list[str] | None = None) -> DataFrame:
+    """The ids, classes, CDR3s and truth of the records that crude(df) can process, or those of them in ``keep``, with their ``crude_method_family``.
+
+    Nothing is joined back to the input, so its rows are not stored; alignments may be lacking.
+    """
+    keys = C.normalised_keys(C.with_sequence_id(df), keep=("ground_truth",))
+    return _crude_families(keys, L.class_sizes(keys), share, fixed, params, keep)
+
+
+def _crude_families(keys: DataFrame, sizes: DataFrame, share: float, fixed: int, params: Params, keep: list[str] | None = None) -> DataFrame:
+    return L.clusters(keys, L.crude_thresholds(sizes.select(*CLASS), share, fixed), {"crude_method_family": "threshold"}, params.inclusive, sizes, keep)
+
+
 def crude(df: DataFrame, share: float = 0.2, fixed: int = -1, light: DataFrame | None = None, params: Params = Params()) -> Result:
     """Clusters at one threshold: fixed, or a share of the CDR3's length."""
     rows, records = prepare(df, light)
