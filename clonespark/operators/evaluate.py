@@ -13,10 +13,15 @@ def _cells(df: DataFrame, *keys: str) -> DataFrame:
     return stored(df.groupBy(*keys).agg(F.count("*").alias("n")), "cells")[0]
 
 
-def _pairs(cells: DataFrame, *keys: str) -> DataFrame:
+def _sums(cells: DataFrame, by: list[str], *keys: str) -> DataFrame:
+    """(by, keys, n): sums of the cells over the other columns, which need no shuffle where there is none; null keys are left out."""
     for k in keys:
         cells = cells.where(F.col(k).isNotNull())
-    return cells.groupBy(*keys).agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("pairs"))
+    return cells if {*by, *keys, "n"} == set(cells.columns) else cells.groupBy(*by, *keys).agg(F.sum("n").alias("n"))
+
+
+def _pairs(cells: DataFrame, *keys: str) -> DataFrame:
+    return _sums(cells, [], *keys).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("pairs"))
 
 
 def pair_scores(df: DataFrame, partition: str, truth: str = "ground_truth") -> DataFrame:
@@ -38,10 +43,7 @@ def pair_scores_by(df: DataFrame, partition: str, truth: str, by: list[str]) ->
     pairs, cells = F.expr("n * (n - 1) div 2"), _cells(df, *by, truth, partition)
 
     def sums(name: str, *keys: str) -> DataFrame:
-        rows = cells
-        for k in keys:
-            rows = rows.where(F.col(k).isNotNull())
-        return rows.groupBy(*by, *keys).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(pairs).alias(name))
+        return _sums(cells, by, *keys).groupBy(*by).agg(F.sum(pairs).alias(name))
 
     one = sums("p", truth).join(sums("tf", partition), by, "left").join(sums("tp", truth, partition), by, "left")
     precision = F.when(F.col("p") == 0, None).when(F.coalesce("tf", F.lit(0)) == 0, 1.0).otherwise(F.col("tp") / F.nullif("tf", F.lit(0)))

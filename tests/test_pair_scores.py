@@ -58,3 +58,10 @@ def test_a_linked_pair_is_kept_once_however_many_pieces_agree(monkeypatch):
     P.forest_of(texts, np.arange(len(texts)), group, 7)
     want = [(i, j, d) for i, j in combinations(range(len(texts)), 2) if group[i] == group[j] and (d := sum(x != y for x, y in zip(texts[i], texts[j], strict=True))) <= 7]
     assert len(given) == 1 and Counter(given[0]) == Counter(want) and len(want) > 200
+
+
+def test_cells_of_a_truth_and_a_label_are_not_shuffled_again(spark):
+    found = E.pair_scores(spark.createDataFrame(ROWS, SCHEMA), "clone")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # by truth, and by label
+    t, p, both = _pairs(ROWS, [0]), _pairs(ROWS, [1]), _pairs(ROWS, [0, 1])
+    assert tuple(found.collect()[0]) == (both / p, both / t)
