@@ -65,3 +65,15 @@ def test_cells_of_a_truth_and_a_label_are_not_shuffled_again(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # by truth, and by label
     t, p, both = _pairs(ROWS, [0]), _pairs(ROWS, [1]), _pairs(ROWS, [0, 1])
     assert tuple(found.collect()[0]) == (both / p, both / t)
+
+
+def test_cells_of_a_length_are_not_shuffled_by_truth_and_label_again(spark):
+    found = E.pair_scores_by(spark.createDataFrame(ROWS, SCHEMA), "clone", "ground_truth", ["cdr3_length"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "clone" in x and "ground_truth" in x]
+    want = {}
+    for n in (15, 18):
+        rows = [r for r in ROWS if r[2] == n]
+        t, p, both = _pairs(rows, [0]), _pairs(rows, [1]), _pairs(rows, [0, 1])
+        want[n] = both / p, both / t
+    assert {r[0]: (r[1], r[2]) for r in found.collect()} == want
