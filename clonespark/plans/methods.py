@@ -56,10 +56,7 @@ def crude_labels(df: DataFrame, share: float = 0.2, fixed: int = -1, params: Par
     Nothing is joined back to the input, so its rows are not stored; alignments may be lacking.
     """
     keys = C.normalised_keys(C.with_sequence_id(df), keep=("ground_truth",))
-    return _crude_families(keys, L.class_sizes(keys), share, fixed, params, keep)
-
-
-def _crude_families(keys: DataFrame, sizes: DataFrame, share: float, fixed: int, params: Params, keep: list[str] | None = None) -> DataFrame:
+    sizes = L.class_sizes(keys)
     return L.clusters(keys, L.crude_thresholds(sizes.select(*CLASS), share, fixed), {"crude_method_family": "threshold"}, params.inclusive, sizes, keep)
 
 
