@@ -5,6 +5,7 @@ from itertools import combinations
 from random import Random
 
 import pytest
+from pyspark.sql import functions as F
 
 from clonespark.operators import classes as C
 from clonespark.operators import histograms as H
@@ -37,3 +38,16 @@ def test_distances_are_not_counted_in_few_tasks(spark):
 
 def test_an_empty_sample_has_no_distances(spark):
     assert C.distance_histogram(spark.createDataFrame([], "class_id int, cdr3_length int, sequence_id string, cdr3 string")).collect() == []
+
+
+def test_queries_on_thresholds_and_cdr3s_derive_no_alignments(spark, sf_dir, monkeypatch):
+    from clonespark import catalogue as K
+
+    names = ["sensitive_clusters", "precise_clusters", "thresholds", "remaining_classes", "to_resolve_clusters"]
+    rows, _ = K.stored(K.records(spark, sf_dir).limit(400), "some")
+    some = rows.select("sequence_id", "ground_truth", F.col("v_gene").alias("v_call"), F.col("j_gene").alias("j_call"), F.concat(F.lit("TGT"), "cdr3", F.lit("TGG")).alias("junction"))
+    for name in ("rep", "records"):
+        monkeypatch.setattr(K, name, lambda *a, **k: pytest.fail("alignments are derived"))
+    monkeypatch.setattr(K, "rep_keys", lambda spark, sf_dir: some)
+    counts = {name: K.QUERIES[name](spark, sf_dir).count() for name in names}
+    assert counts["sensitive_clusters"] == counts["precise_clusters"] == 400 and counts["thresholds"] > 0
